@@ -7,8 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import byte_bpe, token_files
-from fieldtrace.llm.common import table
+from fieldtrace.llm import byte_bpe, pseudonyms, quality_rules, secret_scan, token_files
+from fieldtrace.llm.common import Saved, table
+
+#: Key of the pseudonyms in these queries; a deployment passes its own secret.
+KEY = "fieldtrace-demonstration-key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, KEY, count="n_replaced")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +24,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # Counts are narrow: written once, read for the cutoffs and for the verdicts.
+    scored = Saved(quality_rules.features(docs).drop("text"), "quality-features").df
+    cutoffs = quality_rules.calibrate(scored, table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(scored, cutoffs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op6_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op6_token_files, op8_quality_rules, op10_secret_scan)}
 SQL: dict[str, str] = {}
