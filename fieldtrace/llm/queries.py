@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import byte_bpe, pseudonyms, quality_rules, secret_scan, token_files
+from fieldtrace.llm import byte_bpe, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, token_files
 from fieldtrace.llm.common import Saved, table
 
 #: Key of the pseudonyms in these queries; a deployment passes its own secret.
 KEY = "fieldtrace-demonstration-key"
+#: Words of a line run that make it worth removing when it repeats.
+MIN_WORDS = 50
+#: Readings of the most repeated source for each of the least repeated one.
+MAX_REPEATS = 1.5
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, MIN_WORDS).withColumnsRenamed({"_lines_removed": "n_lines_removed", "_words_removed": "n_words_removed"})
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     # Counts are narrow: written once, read for the cutoffs and for the verdicts.
@@ -33,6 +42,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, max_repeats=MAX_REPEATS).drop("text")
+    return mixed.withColumnsRenamed({"_tokens": "n_tokens", "_epoch": "epoch", "_block": "block", "_position": "position", "_weight": "weight"})
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -42,5 +57,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op6_token_files, op8_quality_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op5_line_dedup, op6_token_files, op8_quality_rules, op9_mixing, op10_secret_scan)}
 SQL: dict[str, str] = {}
