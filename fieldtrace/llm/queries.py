@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import byte_bpe, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, token_files
+from fieldtrace.llm import byte_bpe, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, shingle_join, token_files
 from fieldtrace.llm.common import Saved, table
 
 #: Key of the pseudonyms in these queries; a deployment passes its own secret.
@@ -33,6 +33,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs, MIN_WORDS).withColumnsRenamed({"_lines_removed": "n_lines_removed", "_words_removed": "n_words_removed"})
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shingle_join.join(docs).drop("node")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     # Counts are narrow: written once, read for the cutoffs and for the verdicts.
@@ -57,5 +62,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op5_line_dedup, op6_token_files, op8_quality_rules, op9_mixing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
 SQL: dict[str, str] = {}
