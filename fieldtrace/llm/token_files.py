@@ -30,11 +30,15 @@ from fieldtrace.llm.common import Saved, new_dir
 
 NULL_ID = -(1 << 63)
 #: Words whose ids a worker remembers; the store is emptied when full, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizers file that treats the pieces between spaces and line ends on their own."""
+    """Ids of a text by a tokenizers file that treats the pieces between spaces and line ends on their own.
+
+    Words of letters alone are one piece each, which one id with the word-end mark closes: fresh ones are encoded
+    together, as one text, and cut at these ids.  A sign after such a word is a piece of its own.
+    """
 
     def __init__(self, path: str):
         import os
@@ -44,8 +48,32 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab()
         self.width = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.signs = {c: self._ids(c) for c in ".,;:!?"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def _letters(self, fresh: list[str]) -> None:
+        ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.width)
+        ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.width.itemsize).tolist()
+        raw = ids.tobytes()
+        self.known.update(zip(fresh, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def learn(self, fresh: set[str]) -> None:
+        signed = [w for w in fresh if w[-1:] in self.signs and w[:-1].isalpha()]
+        letters = {w for w in fresh if w.isalpha()}.union(w[:-1] for w in signed).difference(self.known)
+        if letters:
+            self._letters(list(letters))
+        for w in signed:
+            self.known[w] = self.known[w[:-1]] + self.signs[w[-1]]
+        rest = [w for w in fresh if w not in self.known]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            self.known[w] = np.array(e.ids, self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
@@ -54,9 +82,7 @@ class WordEncoder:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
                 fresh = set(parts)
-            new = list(fresh)
-            for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.width).tobytes()
+            self.learn(fresh)
         return b"".join(map(self.known.__getitem__, parts))
 
 
