@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import byte_bpe, context_tree, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, shingle_join, token_files
+from fieldtrace.llm import byte_bpe, context_tree, line_dedup, mixing, nn_descent, pseudonyms, quality_rules, secret_scan, shingle_join, token_files
 from fieldtrace.llm.common import Saved, table
 
 #: Key of the pseudonyms in these queries; a deployment passes its own secret.
@@ -32,6 +32,10 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.run(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, MIN_WORDS).withColumnsRenamed({"_lines_removed": "n_lines_removed", "_words_removed": "n_words_removed"})
@@ -66,5 +70,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op4_nn_descent, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
 SQL: dict[str, str] = {}
