@@ -43,7 +43,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shingle_join.join(docs).drop("node")
+    return shingle_join.join(docs).drop("node", "a", "b")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

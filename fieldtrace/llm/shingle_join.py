@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved
+from fieldtrace.llm.common import Saved, hash128
 from fieldtrace.llm.components import components
 
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
@@ -125,11 +125,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, node) of all documents, and of each task a sketch of its column counts (chunk, counts)."""
+    """Rows (doc_id, n, node, a, b) of all documents, and of each task a sketch of its column counts (chunk, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-        names = ["doc_id", "n", "node", "chunk", "counts"]
+        names = ["doc_id", "n", "node", "a", "b", "chunk", "counts"]
 
         def flush():
             if waiting:
@@ -147,12 +147,12 @@ def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
                 size.append(len(h))
                 node.append(signature(h))
             none = [None] * len(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), batch.column(2), batch.column(3), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         flush()
         for at, part in _sketch_parts(np.minimum(counts, 255).astype(np.uint8)):
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([at], pa.int32()), pa.array([part], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 5, pa.array([at], pa.int32()), pa.array([part], pa.binary())], names=names)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, node long, chunk int, counts binary")
+    return docs.mapInArrow(scan, "doc_id long, n long, node long, a long, b long, chunk int, counts binary")
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, ranks) -> DataFrame:
@@ -351,9 +351,10 @@ def verify(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `df`: doc_id, n_shingles, node (name of its set) and component_id."""
+    """One row per row of `df`: doc_id, n_shingles, node (name of its set), component_id, and a, b (hash of id and text)."""
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    k = hash128(F.col(doc_id), F.col(text))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), k["a"].alias("a"), k["b"].alias("b"))
     first = Saved(nodes_and_sketch(docs, n), "shingle-nodes").df
     counts = _sum_sketch(first.filter("chunk is not null").select("chunk", "counts"))
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
@@ -387,4 +388,24 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = Saved(named.join(lowest, "root").select(F.col("node").alias("_node"), "component_id"), "shingle-components").df
     out = nodes.join(by_node, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "a", "b")
+
+
+def keep_one(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`df` with one row of each component: the one of the smallest id, then of the smallest hash of id and text.
+
+    Rows without words are components of their own and stay; of rows with equal id and text one stays.
+    """
+    joined = Saved(join(df, n, num, den, doc_id, text), "shingle-classes").df
+    wordy = joined.filter("n_shingles > 0")
+    # A component is named by its smallest id, and by its set where it has none.
+    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("node")).alias("set")]
+    best = wordy.groupBy(*name).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("best"))
+    copies = wordy.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    kept = best.select("best.a", "best.b").join(copies, ["a", "b"])
+    kept = kept.unionByName(joined.filter("n_shingles = 0").select("a", "b", F.lit(1).cast("long").alias("copies")).distinct())
+    kept = kept.withColumnsRenamed({"a": "_a", "b": "_b", "copies": "_copies"})
+    keyed = df.withColumn("_k", hash128(F.col(doc_id), F.col(text)))
+    rows = keyed.join(kept.hint("merge"), (F.col("_k.a") == F.col("_a")) & (F.col("_k.b") == F.col("_b")))
+    once = rows.filter("_copies = 1").unionByName(rows.filter("_copies > 1").dropDuplicates(["_a", "_b"]))
+    return once.select(*df.columns)
