@@ -199,7 +199,10 @@ def classify(path: Column, name: Column, head: Column, rules: tuple[FileRule, ..
             out = F.when(sniffed.rlike("(?m)" + "|".join(map(scoped, rule.content))), rule.controller).otherwise(out)
     for rule in reversed(rules):
         names = (*rule.names, *(extra_names or {}).get(rule.controller, ()))
-        out = F.when(name.rlike("|".join(map(glob, names))), rule.controller).otherwise(out)
+        if names:
+            out = F.when(name.rlike("|".join(map(glob, names))), rule.controller).otherwise(out)
     for rule in reversed(rules):
-        out = F.when(F.concat(F.lit("/"), path).rlike("|".join(map(glob, rule.paths))) | path.rlike("|".join(map(glob, rule.paths))), rule.controller).otherwise(out)
+        if rule.paths:
+            within = "|".join(map(glob, rule.paths))
+            out = F.when(F.concat(F.lit("/"), path).rlike(within) | path.rlike(within), rule.controller).otherwise(out)
     return out

@@ -112,7 +112,8 @@ def dedup(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str
     """`df` with repeated runs taken out of `text`, and `_lines_removed` and `_words_removed`."""
     gone = Saved(removed(df, min_words, doc_id, text), "lines-gone").df
     keyed = df.withColumn("_k", hash128(F.col(doc_id), F.col(text)))
-    joined = keyed.join(gone, (F.col("_k.a") == gone["a"]) & (F.col("_k.b") == gone["b"]), "left")
+    # The same join at every size: a broadcast would not hold for long, and texts move once.
+    joined = keyed.join(gone.hint("merge"), (F.col("_k.a") == gone["a"]) & (F.col("_k.b") == gone["b"]), "left")
     m = F.size("gone")
     cut = F.split(F.col(text), "\n")
 

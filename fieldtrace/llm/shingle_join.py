@@ -9,9 +9,11 @@ Columns are dealt into blocks.  A block multiplies its columns: each pair of row
 summed over blocks; a pair is dropped where its count and all columns beyond the prefixes stay below the overlap that
 its sizes ask for.  The rest are checked on their full rows.
 
-A column with many rows is not multiplied out.  Its rows are compared with a few central ones, the linked rows are
-joined into components, and only rows of one column in different components go on to the next round; the last round
-compares all of those.  No link between components is lost, as only pairs that are connected already are skipped.
+A column with many rows is not multiplied out.  Its rows are compared with the most central ones, the linked rows are
+joined into components, and rows of one column in different components are compared in a last round.  There and before
+pairs are dropped by marks: each row has a bit field, set where a column's hash falls, and a bit that only one row has
+set stands for a column that the other lacks, which bounds the overlap from above.  No link between components is lost,
+as only pairs that are connected already, or that the bound excludes, are skipped.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
 n words are one n-gram; rows with equal sets share a component at any number of copies; a null document id takes the
@@ -34,9 +36,9 @@ from fieldtrace.llm.components import components
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
 REMEMBERED = 400_000
 #: Columns with more rows than this are compared through central rows first.
-WIDE = 16
+WIDE = 4
 #: Central rows of each wide column in the rounds before the last.
-CENTRAL = (3, 12)
+CENTRAL = (2,)
 SKETCH_BITS = 22
 CHUNK = 1 << 14
 
@@ -251,48 +253,77 @@ def product(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.repartition("col").mapInArrow(block, PAIR)
 
 
+def marks_of(h: np.ndarray) -> bytes:
+    """Bit field of a set: four or more bits a column, a power of two in all, so that a longer one can be folded."""
+    bits = np.zeros(1 << max(10, int(4 * len(h) - 1).bit_length()), bool)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _possible(own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a row of size `n` and marks `own` can reach the threshold with others; marks are of equal or half the length."""
+    while own.shape[-1] > others.shape[-1]:
+        own = own[: len(own) // 2] | own[len(own) // 2 :]
+    while others.shape[-1] > own.shape[-1]:
+        half = others.shape[-1] // 2
+        others = others[:, :half] | others[:, half:]
+    most = np.minimum(n - np.bitwise_count(own & ~others).sum(1, dtype=np.int64), sizes - np.bitwise_count(others & ~own).sum(1, dtype=np.int64))
+    return most * (num + den) >= num * (n + sizes)
+
+
 def wide_pairs(wide: DataFrame, hubs: int | None, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of rows in one wide column but different components.
+    """Pairs (a, b) of rows in one wide column but different components, as far as size and marks allow the pair.
 
     With `hubs`, each column's most central rows, of as many components as possible, are paired with the others; without,
-    all such pairs are made.  `wide` has col, node, n, central, root.
+    all such pairs are looked at.  `wide` has col, node, n, central, root, marks.
     """
 
+    def column(node: np.ndarray, size: np.ndarray, central: np.ndarray, root: np.ndarray, marks: list[bytes]) -> Iterator[np.ndarray]:
+        by = np.argsort(-central, kind="stable")
+        _, comp, count = np.unique(root, return_inverse=True, return_counts=True)
+        if hubs is None:
+            # Rows of the largest component are connected with each other: the others look at them, and at each other.
+            lead = np.flatnonzero(comp != np.argmax(count))
+        else:
+            # The most central row of each component, then the next: at most `hubs` of them.
+            order = by[np.argsort(comp[by], kind="stable")]
+            at, n = _runs(comp[order])
+            place = np.empty(len(node), np.int64)
+            place[order] = np.arange(len(node)) - np.repeat(at, n)
+            lead = by[np.argsort(place[by], kind="stable")][:hubs]
+        led = np.zeros(len(node), bool)
+        widths = np.array([len(m) for m in marks])
+        fields = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(m for m in marks if len(m) == w), np.uint8).reshape(-1, w)) for w in np.unique(widths).tolist()}
+        for h in lead.tolist():
+            own = np.frombuffer(marks[h], np.uint8)
+            led[h] = True
+            for at, field in fields.values():
+                ok = (root[at] != root[h]) & ~led[at] & _within(size, np.full(len(at), h), at, num, den)
+                if ok.any():
+                    other = at[ok][_possible(own, int(size[h]), field[ok], size[at[ok]].astype(np.int64), num, den)]
+                    if len(other):
+                        yield np.stack([np.minimum(node[h], node[other]), np.maximum(node[h], node[other])])
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches)
-        if not got:
+        parts = list(batches)
+        if not parts:
             return
-        col, node, size, central, root = got
-        order = np.lexsort((node, -central, col))
-        col, node, size, root = col[order], node[order], size[order], root[order]
-        start, width = _runs(col)
+        whole = pa.Table.from_batches(parts)
+        col, node, size, central, root = (whole.column(i).to_numpy() for i in range(5))
+        marks = whole.column(5).to_pylist()
+        order = np.argsort(col, kind="stable")
+        start, width = _runs(col[order])
         done: list[np.ndarray] = []
         for s, w in zip(start.tolist(), width.tolist(), strict=True):
-            here = np.arange(s, s + w)
-            if (root[here] == root[s]).all():
-                continue
-            if hubs is None:
-                lead = here
-            else:
-                # The most central row of each component, then the next: at most `hubs` of them.
-                _, comp = np.unique(root[here], return_inverse=True)
-                by = np.argsort(comp, kind="stable")
-                place = np.empty(w, np.int64)
-                at, n = _runs(comp[by])
-                place[by] = np.arange(w) - np.repeat(at, n)
-                lead = here[np.lexsort((np.arange(w), place))[:hubs]]
-            for h in lead.tolist():
-                other = here[root[here] != root[h]] if hubs is not None else here[(here > h) & (root[here] != root[h])]
-                other = other[_within(size, np.full(len(other), h), other, num, den)]
-                if len(other):
-                    done.append(np.stack([np.minimum(node[h], node[other]), np.maximum(node[h], node[other])]))
+            here = order[s : s + w]
+            done += column(node[here], size[here], central[here], root[here], [marks[i] for i in here.tolist()])
             if sum(x.shape[1] for x in done) > 1 << 20:
                 yield from _distinct(done)
                 done = []
         if done:
             yield from _distinct(done)
 
-    return wide.select("col", "node", "n", "central", "root").repartition("col").mapInArrow(block, "a long, b long").distinct()
+    return wide.select("col", "node", "n", "central", "root", "marks").repartition("col").mapInArrow(block, "a long, b long").distinct()
 
 
 def _distinct(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +335,7 @@ def _distinct(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def full_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, row): the hashes of the nodes asked for, and of a few others whose sketch slot is theirs."""
+    """(node, row, marks): the hashes and the bit fields of the nodes asked for."""
     spark = docs.sparkSession
     shift = 63 - SKETCH_BITS
 
@@ -320,17 +351,18 @@ def full_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = wanted.value, set()
         for batch in batches:
-            got: list[tuple[int, bytes]] = []
+            got: list[tuple[int, bytes, bytes]] = []
             for t in batch.column(1):
                 h = shingles(t.as_py(), n)
                 node = signature(h)
                 if node and want[node >> shift] and node not in seen:
                     seen.add(node)
-                    got.append((node, h.tobytes()))
+                    got.append((node, h.tobytes(), marks_of(h)))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["node", "row"])
+                nodes_, rows, marks = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(rows, pa.binary()), pa.array(marks, pa.binary())], names=["node", "row", "marks"])
 
-    return docs.mapInArrow(scan, "node long, row binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return docs.mapInArrow(scan, "node long, row binary, marks binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -379,7 +411,8 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
             placed = wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             # Columns whose rows are all connected have nothing left to compare.
             left = placed.join(placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col"), "col", "left_semi")
-            more = Saved(verify(wide_pairs(left, hubs, num, den), rows, num, den), "shingle-links").df
+            marked = left.join(rows.select("node", "marks"), "node")
+            more = Saved(verify(wide_pairs(marked, hubs, num, den), rows, num, den), "shingle-links").df
             links = Saved(links.unionByName(more), "shingle-links").df
     roots = components(links)
     nodes = first.filter("chunk is null")

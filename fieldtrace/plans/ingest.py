@@ -1,7 +1,9 @@
-"""A bundle from archive to aligned events: each stage is a function of frames, written between stages by the caller if wanted."""
+"""A bundle from archive to aligned events; each stage is written, so that a later one neither plans nor computes it again."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,33 +29,44 @@ class Bundle:
     summary: DataFrame
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the cluster's shared folder and read from there."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="fieldtrace-"))
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/ingest-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ingest(spark: SparkSession, paths: list[str] | str) -> Bundle:
     members = first_seen(archives.files(spark, paths).withColumn("_key", F.struct("bundle_id", "sha256")), F.col("_key"), "seq").drop("_key")
     kind = R.classify(F.col("bundle_relative_path"), F.col("original_name"), F.col("content"))
-    placed = members.withColumn("controller", kind).withColumn("modified", F.lit(None).cast("timestamp"))
-    return derive(placed.drop("content"), L.decode(placed))
+    placed = stage(members.withColumn("controller", kind).withColumn("modified", F.lit(None).cast("timestamp")), "members")
+    return derive(placed.drop("content"), stage(L.decode(placed), "lines"))
 
 
 def derive(files: DataFrame, lines: DataFrame) -> Bundle:
     """Everything that follows from decoded lines."""
-    segs = prescan.mcu_segments(lines)
-    known = align.file_offsets(files.join(prescan.file_stats(lines), "file_id", "left"), segs)
+    segs = stage(prescan.mcu_segments(lines), "segments")
+    known = stage(align.file_offsets(files.join(prescan.file_stats(lines), "file_id", "left"), segs), "offsets")
     timed = prescan.in_segment(lines.join(known.select("file_id", F.col("clock_offset").alias("_offset"), "offset_method"), "file_id"), segs)
     preset = F.col("offset_method").isin("filename_anchor", "clock_sync")
     wall = F.when(F.col("offset_method") == "segmented", F.col("raw_ts") + F.col("segment_offset")).when(preset, F.col("raw_ts") + F.col("_offset")).otherwise(F.col("raw_ts"))
-    timed = timed.withColumn("_wall", wall)
+    timed = stage(timed.withColumn("_wall", wall), "timed")
     good = effective(F.col("_wall"))
     stored = F.when(F.col("offset_method") == "segmented", F.col("_wall")).otherwise(F.col("raw_ts"))
     ranges = timed.groupBy("file_id").agg(F.min(F.when(good, stored)).alias("valid_ts_min"), F.max(F.when(good, stored)).alias("valid_ts_max"))
     islands = prescan.runs(timed, ~good).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("unsynced"))
-    known = known.drop("valid_ts_min", "valid_ts_max").join(ranges, "file_id", "left").join(islands, "file_id", "left")
+    known = stage(known.drop("valid_ts_min", "valid_ts_max").join(ranges, "file_id", "left").join(islands, "file_id", "left"), "ranges")
     index = prescan.bucket_transitions(timed.filter("offset_method <> 'segmented'").withColumn("raw_ts", F.when(good, F.col("raw_ts"))))
-    anchors = prescan.rule_anchors(lines)
-    found = align.align(anchors, files.select("bundle_id", "controller").distinct())
+    anchors = stage(prescan.rule_anchors(lines), "anchors")
+    found = stage(align.align(anchors, files.select("bundle_id", "controller").distinct()), "alignment")
     final = align.apply_offsets(known, found)
     sync = F.regexp_extract(F.col("text"), P.MCU_SYNC, 0) != ""
     final = align.refine_unsynced(final, lines, sync | F.lower("text").rlike("rtc set hw|time sync|gps time|ntp sync|clock sync") & F.col("controller").isin("mcu", "kernel"))
-    events = prescan.backfill(prescan.rule_events(lines).unionByName(prescan.boot_sessions(final)), final, segs)
+    final = stage(final, "files")
+    events = stage(prescan.backfill(prescan.rule_events(lines).unionByName(prescan.boot_sessions(final)), final, segs), "events")
     crashes = prescan.suspected_crashes(events.filter("event_type = 'boot_session'"), final)
     crashes = crashes.withColumn("event_type", F.lit("system_crash_suspected")).select(*events.columns)
     return Bundle(final, lines, segs, events.unionByName(crashes), anchors, index.select("file_id", "bucket", "byte_offset", "line_no"), align.summary(found))
