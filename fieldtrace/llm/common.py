@@ -58,6 +58,25 @@ class Saved:
         remove_dir(self.spark, self.path)
 
 
+class Scratch:
+    """Tables of one computation, dropped together once its result is saved."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[Saved] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Saved(df, name))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables.clear()
+        # Spark removes the shuffle files of finished jobs when the driver's collector finds nothing that needs them.
+        self.spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or `name` with underscores where the frame has such a column already."""
     have = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import SPACE, WORD, Saved, hash128
+from fieldtrace.llm.common import SPACE, WORD, Saved, Scratch, hash128
 
 DOC = ["doc", "a", "b"]
 
@@ -40,9 +40,9 @@ def lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return ls.select(*DOC, "at", F.col("l.no").alias("first"), F.coalesce(F.get("ls", F.col("at") + 1)["no"], F.col("size")).alias("next"), "l.h", "l.g", "l.n")
 
 
-def ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(classes: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """`classes` (keys, count) with `rank`: the sum of the counts of smaller keys, by a range-partitioned sort."""
-    spread = Saved(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranks").df
+    spread = scratch.save(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranks")
     # One row per partition: small even where the corpus is not.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = spread.groupBy("part").agg(F.sum("count").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
@@ -51,18 +51,18 @@ def ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
     return local.join(bases.select("part", "base"), "part").select(*keys, (F.col("base") + F.col("local")).alias("rank"))
 
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+def repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """Rows whose keys occur more than once, with the rank of their class in place of the keys."""
     classes = rows.groupBy(*keys).count().filter("count > 1")
-    return rows.join(ranked(classes, keys), keys).drop(*keys)
+    return rows.join(ranked(classes, keys, scratch), keys).drop(*keys)
 
 
-def double(level: DataFrame, step: int) -> DataFrame:
+def double(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """Ranks by twice as many lines; pairs of ranks `step` lines apart are sorted and ranked anew."""
     ahead = level.select(*DOC, (F.col("at") - step).alias("at"), F.col("rank").alias("r2"))
     # A null document id is a value like any other.
     pairs = level.withColumnRenamed("rank", "r1").join(ahead.withColumnRenamed("doc", "_doc"), ["a", "b", "at"]).drop("_doc")
-    return repeated(pairs.select(*DOC, "at", "r1", "r2"), ["r1", "r2"])
+    return repeated(pairs.select(*DOC, "at", "r1", "r2"), ["r1", "r2"], scratch)
 
 
 def windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -83,13 +83,13 @@ def windows(rows: DataFrame, min_words: int) -> DataFrame:
     return sized.select(*DOC, F.explode(F.filter(both, lambda w: w["size"].isNotNull())).alias("w")).select(*DOC, "w.*").distinct()
 
 
-def removed(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(df: DataFrame, scratch: Scratch, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document that loses lines: a, b and `gone`, its sorted array of line ranges [from, to)."""
-    every = Saved(lines(df, doc_id, text), "lines").df
-    first = Saved(repeated(every, ["h", "g"]).dropDuplicates(["a", "b", "at"]), "lines-repeated").df
+    every = scratch.save(lines(df, doc_id, text), "lines")
+    first = scratch.save(repeated(every, ["h", "g"], scratch).dropDuplicates(["a", "b", "at"]), "lines-repeated")
     levels = [first.select(*DOC, "at", "rank")]
     while 1 << len(levels) <= min_words and not levels[-1].isEmpty():
-        levels.append(Saved(double(levels[-1], 1 << (len(levels) - 1)), "suffix-ranks").df)
+        levels.append(scratch.save(double(levels[-1], 1 << (len(levels) - 1), scratch), "suffix-ranks"))
     ranks = levels[0].withColumn("level", F.lit(0))
     for i, level in enumerate(levels[1:], 1):
         ranks = ranks.unionByName(level.withColumn("level", F.lit(i)))
@@ -100,7 +100,7 @@ def removed(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: st
     known = wide.join(ranks.withColumnRenamed("rank", "r1"), ["a", "b", "level", "at"])
     known = known.join(ranks.select("a", "b", "level", F.col("at").alias("tail"), F.col("rank").alias("r2")), ["a", "b", "level", "tail"])
     place = F.struct(*DOC, "at")
-    known = Saved(known.select(*DOC, "at", "size", "r1", "r2"), "line-windows").df
+    known = scratch.save(known.select(*DOC, "at", "size", "r1", "r2"), "line-windows")
     origin = known.groupBy("size", "r1", "r2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     later = known.join(origin, ["size", "r1", "r2"]).filter(place > F.col("origin"))
     at = later.select("a", "b", F.explode(F.sequence(F.col("at"), (F.col("at") + F.col("size") - 1).cast("int"))).alias("at")).distinct()
@@ -110,7 +110,9 @@ def removed(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: st
 
 def dedup(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with repeated runs taken out of `text`, and `_lines_removed` and `_words_removed`."""
-    gone = Saved(removed(df, min_words, doc_id, text), "lines-gone").df
+    scratch = Scratch(df.sparkSession)
+    gone = Saved(removed(df, scratch, min_words, doc_id, text), "lines-gone").df
+    scratch.drop()
     keyed = df.withColumn("_k", hash128(F.col(doc_id), F.col(text)))
     # The same join at every size: a broadcast would not hold for long, and texts move once.
     joined = keyed.join(gone.hint("merge"), (F.col("_k.a") == gone["a"]) & (F.col("_k.b") == gone["b"]), "left")

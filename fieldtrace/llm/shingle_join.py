@@ -12,7 +12,8 @@ its sizes ask for.  The rest are checked on their full rows.
 A column with many rows is not multiplied out.  Its rows are compared with the most central ones, the linked rows are
 joined into components, and rows of one column in different components are compared in a last round.  There and before
 pairs are dropped by marks: each row has a bit field, set where a column's hash falls, and a bit that only one row has
-set stands for a column that the other lacks, which bounds the overlap from above.  No link between components is lost,
+set stands for a column that the other lacks, which bounds the overlap from above: coarse fields go with the columns,
+finer ones with the pairs that these leave, and only rows of pairs that both leave are read again.  No link between components is lost,
 as only pairs that are connected already, or that the bound excludes, are skipped.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
@@ -30,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved, hash128
+from fieldtrace.llm.common import Saved, Scratch, hash128
 from fieldtrace.llm.components import components
 
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
 REMEMBERED = 400_000
 #: Columns with more rows than this are compared through central rows first.
 WIDE = 4
-#: Central rows of each wide column in the rounds before the last.
-CENTRAL = (2,)
+#: Central rows of each wide column that are compared with the others first.
+HUBS = 2
 SKETCH_BITS = 22
+#: Bits a column, at least, of the marks that pairs are dropped by: coarse ones travel with each wide column.
+FINE, COARSE = 4, 1
 CHUNK = 1 << 14
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -126,19 +129,23 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+NODE = "doc_id long, n long, node long, a long, b long, marks binary, coarse binary, chunk int, counts binary"
+_NODE_TYPES = [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.int32(), pa.binary()]
+_NODE_NAMES = [x.split()[0] for x in NODE.split(", ")]
+
+
 def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, node, a, b) of all documents, and of each task a sketch of its column counts (chunk, counts)."""
+    """Rows of all documents, with marks once per task for each node, and of each task a sketch of its column counts (chunk, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-        names = ["doc_id", "n", "node", "a", "b", "chunk", "counts"]
+        counts, waiting, held, seen = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0, {0}
 
         def flush():
             if waiting:
                 counts[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
 
         for batch in batches:
-            size, node = [], []
+            size, node, marks, coarse = [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), n)
                 waiting.append(h)
@@ -146,15 +153,20 @@ def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
                 if held > 1 << 20:
                     flush()
                     waiting, held = [], 0
+                name = signature(h)
                 size.append(len(h))
-                node.append(signature(h))
+                node.append(name)
+                marks.append(None if name in seen else marks_of(h, FINE))
+                coarse.append(None if name in seen else marks_of(h, COARSE))
+                seen.add(name)
             none = [None] * len(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), batch.column(2), batch.column(3), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            columns = [batch.column(0), size, node, batch.column(2), batch.column(3), marks, coarse, none, none]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _NODE_TYPES, strict=True)], names=_NODE_NAMES)
         flush()
         for at, part in _sketch_parts(np.minimum(counts, 255).astype(np.uint8)):
-            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 5, pa.array([at], pa.int32()), pa.array([part], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None] * 7 + [at, part], _NODE_TYPES, strict=True)], names=_NODE_NAMES)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, node long, a long, b long, chunk int, counts binary")
+    return docs.mapInArrow(scan, NODE)
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, ranks) -> DataFrame:
@@ -253,9 +265,9 @@ def product(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.repartition("col").mapInArrow(block, PAIR)
 
 
-def marks_of(h: np.ndarray) -> bytes:
-    """Bit field of a set: four or more bits a column, a power of two in all, so that a longer one can be folded."""
-    bits = np.zeros(1 << max(10, int(4 * len(h) - 1).bit_length()), bool)
+def marks_of(h: np.ndarray, per_column: int) -> bytes:
+    """Bit field of a set, a power of two in all, so that a longer one can be folded."""
+    bits = np.zeros(1 << max(8, int(per_column * len(h) - 1).bit_length()), bool)
     bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -334,35 +346,53 @@ def _distinct(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield from _batches([a[keep], b[keep]], ["a", "b"])
 
 
-def full_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, row, marks): the hashes and the bit fields of the nodes asked for."""
+def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that sizes and marks allow; `nodes` has node, n, marks."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = [
+                bool(_possible(np.frombuffer(x.as_buffer(), np.uint8), int(n), np.frombuffer(y.as_buffer(), np.uint8)[None, :], m, num, den)[0])
+                for x, y, n, m in zip(batch.column(4), batch.column(5), na, nb, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("x")), "a")
+    two = one.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("y")), "b")
+    return two.select("a", "b", "na", "nb", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def full_rows(docs: DataFrame, holders: DataFrame, n: int) -> DataFrame:
+    """(node, row): the hashes of the nodes asked for; `holders` names for each node one document that has it, by hash."""
     spark = docs.sparkSession
-    shift = 63 - SKETCH_BITS
+    shift = np.uint64(64 - SKETCH_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            marks[batch.column(0).to_numpy() >> shift] = 1
+            marks[batch.column(0).to_numpy().view(np.uint64) >> shift] = 1
         for at, part in _sketch_parts(marks):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int32()), "counts": [part]})
 
-    wanted = spark.sparkContext.broadcast(_sum_sketch(nodes.select("node").mapInArrow(mark, "chunk int, counts binary")) > 0)
+    wanted = spark.sparkContext.broadcast(_sum_sketch(holders.select("a").mapInArrow(mark, "chunk int, counts binary")) > 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, seen = wanted.value, set()
+        want, seen = wanted.value, {0}
         for batch in batches:
-            got: list[tuple[int, bytes, bytes]] = []
-            for t in batch.column(1):
+            some = pa.array(want[batch.column(1).to_numpy().view(np.uint64) >> shift])
+            got: list[tuple[int, bytes]] = []
+            for t in batch.column(0).filter(some):
                 h = shingles(t.as_py(), n)
                 node = signature(h)
-                if node and want[node >> shift] and node not in seen:
+                if node not in seen:
                     seen.add(node)
-                    got.append((node, h.tobytes(), marks_of(h)))
+                    got.append((node, h.tobytes()))
             if got:
-                nodes_, rows, marks = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(rows, pa.binary()), pa.array(marks, pa.binary())], names=["node", "row", "marks"])
+                nodes_, rows = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(rows, pa.binary())], names=["node", "row"])
 
-    return docs.mapInArrow(scan, "node long, row binary, marks binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text", "a").mapInArrow(scan, "node long, row binary").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -385,42 +415,57 @@ def verify(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
 def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, node (name of its set), component_id, and a, b (hash of id and text)."""
     spark = df.sparkSession
+    scratch = Scratch(spark)
     k = hash128(F.col(doc_id), F.col(text))
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), k["a"].alias("a"), k["b"].alias("b"))
-    first = Saved(nodes_and_sketch(docs, n), "shingle-nodes").df
-    counts = _sum_sketch(first.filter("chunk is not null").select("chunk", "counts"))
+    narrow = Saved(nodes_and_sketch(docs, n), "shingle-nodes").df
+    counts = _sum_sketch(narrow.filter("chunk is not null").select("chunk", "counts"))
+    documents = narrow.filter("chunk is null").select("doc_id", "n", "node", "a", "b")
+    marked = narrow.filter("marks is not null").select("node", "n", "marks", "coarse")
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
-    blocks = Saved(product(prefixes(docs, n, num, den, ranks), num, den), "shingle-product").df
+    blocks = scratch.save(product(prefixes(docs, n, num, den, ranks), num, den), "shingle-product")
 
     wide = blocks.filter("kind = 1").select("col", F.col("a").alias("node"), F.col("na").alias("n"), "central")
     # Pairs may also share wide columns, which are not counted: at most as many as either row has.
-    in_wide = wide.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    in_wide = scratch.save(wide.groupBy("node").agg(F.count(F.lit(1)).alias("w")), "shingle-wide")
     summed = blocks.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     for side in "ab":
         summed = summed.join(in_wide.select(F.col("node").alias(side), F.col("w").alias(f"w{side}")), side, "left")
     beyond = lambda s: F.ceil(F.col(s) * num / den) - 1  # noqa: E731  columns after the prefix
     most = F.col("c") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb"))
-    candidates = Saved(summed.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "shingle-pairs").df
-
-    asked = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(wide.select("node")).distinct()
-    rows = Saved(full_rows(docs, asked, n), "shingle-rows").df
-    links = Saved(verify(candidates, rows, num, den), "shingle-links").df
-    if not wide.isEmpty():
-        for hubs in (*CENTRAL, None):
-            roots = components(links)
-            placed = wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # Columns whose rows are all connected have nothing left to compare.
-            left = placed.join(placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col"), "col", "left_semi")
-            marked = left.join(rows.select("node", "marks"), "node")
-            more = Saved(verify(wide_pairs(marked, hubs, num, den), rows, num, den), "shingle-links").df
-            links = Saved(links.unionByName(more), "shingle-links").df
+    counted = summed.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs: by marks, then by the full rows of what is left."""
+        own = Scratch(spark)
+        pairs = own.save(pairs.distinct(), "shingle-pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        of = marked.join(asked, "node", "left_semi").dropDuplicates(["node"])
+        good = own.save(likely(pairs, of, num, den), "shingle-likely")
+        asked = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
+        holders = own.save(documents.join(asked, "node", "left_semi").groupBy("node").agg(F.min("a").alias("a")), "shingle-holders")
+        rows = own.save(full_rows(docs, holders, n), "shingle-rows")
+        out = scratch.save(verify(good, rows, num, den), "shingle-links")
+        own.drop()
+        return out
+
+    coarse = marked.join(in_wide, "node", "left_semi").dropDuplicates(["node"]).select("node", F.col("coarse").alias("marks"))
+    if in_wide.isEmpty():
+        links = checked(counted)
+    else:
+        central = wide_pairs(wide.withColumn("root", F.col("node")).join(coarse, "node"), HUBS, num, den)
+        links = checked(counted.unionByName(central))
+        placed = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Columns whose rows are all connected have nothing left to compare.
+        left = placed.join(placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col"), "col", "left_semi")
+        links = links.unionByName(checked(wide_pairs(left.join(coarse, "node"), None, num, den)))
     roots = components(links)
-    nodes = first.filter("chunk is null")
-    smallest = nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
+    smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = Saved(named.join(lowest, "root").select(F.col("node").alias("_node"), "component_id"), "shingle-components").df
-    out = nodes.join(by_node, F.col("node") == F.col("_node"), "left")
+    scratch.drop()
+    out = documents.join(by_node, F.col("node") == F.col("_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "a", "b")
 
 
