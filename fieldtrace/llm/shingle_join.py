@@ -12,8 +12,8 @@ its sizes ask for.  The rest are checked on their full rows.
 A column with many rows is not multiplied out.  Its rows are compared with the most central ones, the linked rows are
 joined into components, and rows of one column in different components are compared in a last round.  There and before
 pairs are dropped by marks: each row has a bit field, set where a column's hash falls, and a bit that only one row has
-set stands for a column that the other lacks, which bounds the overlap from above: coarse fields go with the columns,
-finer ones with the pairs that these leave, and only rows of pairs that both leave are read again.  No link between components is lost,
+set stands for a column that the other lacks, which bounds the overlap from above; only
+rows of pairs that it leaves are read again.  No link between components is lost,
 as only pairs that are connected already, or that the bound excludes, are skipped.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
@@ -41,8 +41,8 @@ WIDE = 4
 #: Central rows of each wide column that are compared with the others first.
 HUBS = 2
 SKETCH_BITS = 22
-#: Bits a column, at least, of the marks that pairs are dropped by: coarse ones travel with each wide column.
-FINE, COARSE = 4, 1
+#: Bits a column, at least, of the marks that pairs are dropped by.
+MARK_BITS = 4
 CHUNK = 1 << 14
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -129,8 +129,8 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-NODE = "doc_id long, n long, node long, a long, b long, marks binary, coarse binary, chunk int, counts binary"
-_NODE_TYPES = [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.int32(), pa.binary()]
+NODE = "doc_id long, n long, node long, a long, b long, marks binary, chunk int, counts binary"
+_NODE_TYPES = [pa.int64()] * 5 + [pa.binary()] + [pa.int32(), pa.binary()]
 _NODE_NAMES = [x.split()[0] for x in NODE.split(", ")]
 
 
@@ -145,7 +145,7 @@ def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
                 counts[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
 
         for batch in batches:
-            size, node, marks, coarse = [], [], [], []
+            size, node, marks = [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), n)
                 waiting.append(h)
@@ -156,15 +156,14 @@ def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
                 name = signature(h)
                 size.append(len(h))
                 node.append(name)
-                marks.append(None if name in seen else marks_of(h, FINE))
-                coarse.append(None if name in seen else marks_of(h, COARSE))
+                marks.append(None if name in seen else marks_of(h))
                 seen.add(name)
             none = [None] * len(size)
-            columns = [batch.column(0), size, node, batch.column(2), batch.column(3), marks, coarse, none, none]
+            columns = [batch.column(0), size, node, batch.column(2), batch.column(3), marks, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _NODE_TYPES, strict=True)], names=_NODE_NAMES)
         flush()
         for at, part in _sketch_parts(np.minimum(counts, 255).astype(np.uint8)):
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None] * 7 + [at, part], _NODE_TYPES, strict=True)], names=_NODE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None] * 6 + [at, part], _NODE_TYPES, strict=True)], names=_NODE_NAMES)
 
     return docs.mapInArrow(scan, NODE)
 
@@ -265,9 +264,9 @@ def product(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.repartition("col").mapInArrow(block, PAIR)
 
 
-def marks_of(h: np.ndarray, per_column: int) -> bytes:
+def marks_of(h: np.ndarray) -> bytes:
     """Bit field of a set, a power of two in all, so that a longer one can be folded."""
-    bits = np.zeros(1 << max(8, int(per_column * len(h) - 1).bit_length()), bool)
+    bits = np.zeros(1 << max(8, int(MARK_BITS * len(h) - 1).bit_length()), bool)
     bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -421,7 +420,7 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     narrow = Saved(nodes_and_sketch(docs, n), "shingle-nodes").df
     counts = _sum_sketch(narrow.filter("chunk is not null").select("chunk", "counts"))
     documents = narrow.filter("chunk is null").select("doc_id", "n", "node", "a", "b")
-    marked = narrow.filter("marks is not null").select("node", "n", "marks", "coarse")
+    marked = narrow.filter("marks is not null").select("node", "n", "marks")
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
     blocks = scratch.save(product(prefixes(docs, n, num, den, ranks), num, den), "shingle-product")
 
@@ -449,16 +448,16 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
         own.drop()
         return out
 
-    coarse = marked.join(in_wide, "node", "left_semi").dropDuplicates(["node"]).select("node", F.col("coarse").alias("marks"))
+    of_wide = marked.join(in_wide, "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
     if in_wide.isEmpty():
         links = checked(counted)
     else:
-        central = wide_pairs(wide.withColumn("root", F.col("node")).join(coarse, "node"), HUBS, num, den)
+        central = wide_pairs(wide.withColumn("root", F.col("node")).join(of_wide, "node"), HUBS, num, den)
         links = checked(counted.unionByName(central))
         placed = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Columns whose rows are all connected have nothing left to compare.
         left = placed.join(placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col"), "col", "left_semi")
-        links = links.unionByName(checked(wide_pairs(left.join(coarse, "node"), None, num, den)))
+        links = links.unionByName(checked(wide_pairs(left.join(of_wide, "node"), None, num, den)))
     roots = components(links)
     smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
