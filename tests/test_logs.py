@@ -248,7 +248,8 @@ def test_bundle_end_to_end(spark, tmp_path):
     assert gear.aligned_timestamp == pytest.approx(1577836800 + 131680000 + 0.1) and gear.extracted_fields["gear"] == "D"
     got = Q.query(b.lines, b.files, 1709287200.0, 1709287201.0, segments=b.segments).collect()
     assert sorted((r.controller, r.line_no) for r in got) == [("android", 0), ("android", 1), ("tbox", 0), ("tbox", 1)]
-    assert b.summary.first().status == "success"
+    # Every controller present is a target, and mcu, whose clock is placed by its own segments, gets no offset: half of two.
+    assert b.summary.first().status == "partial"
 
 
 def test_archive_names():
