@@ -2,10 +2,12 @@
 
 Equal vectors with equal labels are one node.  Nodes start with the best neighbours from a few random cells; then each
 round joins the neighbours of every node, in both directions, with each other and keeps the `k` best of each node, as
-long as lists still change.  Edges that reach the threshold are links.  A list that is full of links is saturated: it is
-enlarged to the node's whole component, whose members are compared with each other in blocks, so that dense groups lose
-no link and no pair of them is written out.  The recall is audited: for a bounded sample of nodes the exact links are
-counted against all rows, and the search goes on with doubled lists until enough are found.
+long as lists still change.  Edges that reach the threshold are links.  A list that is full of links is saturated and may
+hide others: saturated nodes search again for the best neighbours outside their component, and components that turn out
+linked are merged, until no such link is left.  Members of a component are then compared with each other in blocks, so
+that dense groups lose no link and no pair of them is written out.  The recall is audited: for bounded samples of all
+nodes and of one node of each component the exact links are counted against all rows, and the search goes on with
+doubled lists until the nodes of either sample have, on average, enough of theirs.
 
 Cosines are computed in double precision.  Defined cases: a null label, and a vector that is null, empty, zero or holds
 a null or non-finite component, links with nothing; vectors of different length do not link; repeated rows are copies
@@ -27,7 +29,7 @@ from fieldtrace.llm.components import components
 
 K, TABLES, CELL, SPLIT = 12, 3, 48, 256
 ROUNDS, LEAST_CHANGE = 8, 0.005
-#: Nodes whose exact links are counted in the audit, and the recall asked for.
+#: Nodes of each of the two samples whose exact links are counted in the audit, and the recall asked for.
 AUDITED, RECALL = 1000, 0.97
 BLOCK = 512
 
@@ -89,7 +91,7 @@ def _edges(node: list[np.ndarray], other: list[np.ndarray], sim: list[np.ndarray
 
 
 def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """Best neighbours within cells of random hyperplanes; cells are small, large ones are split."""
+    """Best neighbours with another root within cells of random hyperplanes; cells are small, large ones are split."""
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
     sized = nodes.join(sizes, ["label", "dim"]).withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / CELL))).cast("int"))
 
@@ -98,7 +100,7 @@ def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
         for batch in batches:
             node, bits, dim = (batch.column(i).to_numpy() for i in (0, 2, 3))
             blobs = batch.column(1).to_pylist()
-            home = batch.column(4).to_pylist()
+            home, root = batch.column(4).to_pylist(), batch.column(5).to_numpy()
             for at in _groups(dim, bits):
                 m, b, d = _unit([blobs[i] for i in at]), int(min(bits[at[0]], 40)), int(dim[at[0]])
                 for t in range(TABLES):
@@ -106,8 +108,8 @@ def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
                         planes[t, d] = np.random.default_rng([seed, t, d]).standard_normal((d // 8, 40))
                     code = ((m @ planes[t, d][:, :b] > 0) @ (1 << np.arange(b, dtype=np.int64))) if b else np.zeros(len(at), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{t}|{d}|{home[i]}|{c}" for i, c in zip(at.tolist(), code.tolist(), strict=True)]), pa.array(node[at]), pa.array([blobs[i] for i in at], pa.binary())],
-                        names=["cell", "node", "v"],
+                        [pa.array([f"{t}|{d}|{home[i]}|{c}" for i, c in zip(at.tolist(), code.tolist(), strict=True)]), pa.array(node[at]), pa.array([blobs[i] for i in at], pa.binary()), pa.array(root[at])],
+                        names=["cell", "node", "v", "root"],
                     )
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +117,25 @@ def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
         if table is None:
             return
         cell, node = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy(), table.column(1).to_numpy()
-        blobs = table.column(2).to_pylist()
+        blobs, root = table.column(2).to_pylist(), table.column(3).to_numpy()
+        names = table.column(0).to_pylist()
         for whole in _groups(cell):
-            whole = whole[np.argsort(node[whole])]
+            # Each table deals the rows of a large cell anew, or pieces of a dense group would never meet.
+            odd, salt = np.random.default_rng([seed, int(names[whole[0]].split("|")[0])]).integers(1 << 62, size=2, dtype=np.uint64)
+            whole = whole[np.lexsort((node[whole], (node[whole].astype(np.uint64) ^ salt) * (odd | np.uint64(1))))]
             for start in range(0, len(whole), SPLIT):
                 at = whole[start : start + SPLIT]
                 if len(at) > 1:
                     m = _unit([blobs[i] for i in at])
                     sim = m @ m.T
-                    np.fill_diagonal(sim, -2)
+                    sim[root[at][:, None] == root[at][None, :]] = -2
                     n = min(k, len(at) - 1)
                     top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                    yield _edges([np.repeat(node[at], n)], [node[at][top].ravel()], [np.take_along_axis(sim, top, 1).ravel()])
+                    sims = np.take_along_axis(sim, top, 1).ravel()
+                    apart = sims > -2
+                    yield _edges([np.repeat(node[at], n)[apart]], [node[at][top].ravel()[apart]], [sims[apart]])
 
-    cells = sized.select("node", "v", "bits", F.col("dim").cast("int").alias("dim"), "label").mapInArrow(deal, "cell string, node long, v binary")
+    cells = sized.select("node", "v", "bits", F.col("dim").cast("int").alias("dim"), "label", "root").mapInArrow(deal, "cell string, node long, v binary, root long")
     return cells.repartition("cell").mapInArrow(best, EDGE)
 
 
@@ -154,21 +161,26 @@ def keep_best(edges: DataFrame, k: int) -> DataFrame:
     return edges.select("node", "other", "sim", "fresh").repartition("node").mapInArrow(work, EDGE)
 
 
-def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Edges between the neighbours of each node that are better than what their lists end with."""
+def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int, inner: DataFrame | None = None) -> DataFrame:
+    """Edges between the neighbours of each node, of different roots, that are better than what their lists end with.
+
+    Edges of `inner` make neighbours too, but are in no list.
+    """
     worst = lists.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
     # In the other direction the k best and freshest count too: a node that many lists name does not gather them all.
     back = keep_best(lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "fresh"), k)
     both = lists.unionByName(back).groupBy("node", "other").agg(F.min("fresh").alias("fresh"))
+    if inner is not None:
+        both = both.unionByName(inner.select("node", "other", F.lit(False).alias("fresh")))
     active = both.groupBy("node").agg(F.max("fresh").alias("any")).filter("any").select("node")
     around = both.join(active, "node", "left_semi").select(F.col("node").alias("center"), F.col("other").alias("node"), "fresh")
-    told = around.join(nodes.select("node", "v").join(worst, "node", "left"), "node").select("center", "node", "fresh", "v", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    told = around.join(nodes.select("node", "v", "root").join(worst, "node", "left"), "node").select("center", "node", "fresh", "v", F.coalesce("worst", F.lit(-1.0)).alias("worst"), "root")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
         if table is None:
             return
-        center, node, fresh, worst = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
+        center, node, fresh, worst, root = (table.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
         blobs = table.column(3).to_pylist()
         out: tuple[list, list, list] = ([], [], [])
         for at in _groups(center):
@@ -176,8 +188,7 @@ def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 continue
             m = _unit([blobs[i] for i in at])
             sim = m @ m.T
-            ok = (fresh[at][:, None] | fresh[at][None, :]) & (sim > worst[at][:, None])
-            np.fill_diagonal(ok, False)
+            ok = (fresh[at][:, None] | fresh[at][None, :]) & (sim > worst[at][:, None]) & (root[at][:, None] != root[at][None, :])
             i, j = np.nonzero(ok)
             if len(i):
                 for values, x in zip(out, (node[at][i], node[at][j], sim[i, j]), strict=True):
@@ -188,6 +199,48 @@ def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return told.repartition("center").mapInArrow(work, EDGE)
 
 
+def descend(lists: Saved, nodes: DataFrame, k: int, total: int, inner: DataFrame | None = None) -> Saved:
+    """`lists` after rounds of joins, as long as they still change."""
+    for _ in range(ROUNDS):
+        known = lists.df.withColumn("fresh", F.lit(False))
+        better = Saved(keep_best(known.unionByName(join_neighbours(lists.df, nodes, k, inner)), k), "lists")
+        lists.drop()
+        lists = better
+        if lists.df.filter("fresh").count() <= LEAST_CHANGE * total * k:
+            break
+    return lists
+
+
+def merged(roots: DataFrame, lists: DataFrame, nodes: DataFrame, least: float, k: int, seed: int) -> DataFrame:
+    """`roots` with those components merged that are linked with each other where saturated lists hide it.
+
+    A link is hidden only if the lists of both its ends are full of better ones.  Such nodes look for the best ones
+    outside their component; each round merges every component that has a hidden link, until none has.
+    """
+    full = Saved(lists.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sim").alias("worst")).filter((F.col("size") >= k) & (F.col("worst") >= least)).select("node"), "saturated")
+    while True:
+        held = nodes.join(full.df, "node", "left_semi").select("node", "label", "dim", "v").join(roots, "node")
+        several = held.groupBy("label", "dim").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("label", "dim")
+        open_ = Saved(held.join(several, ["label", "dim"]), "saturated-vectors")
+        total = open_.df.count()
+        if not total:
+            break
+        seed += 1
+        outer = descend(Saved(keep_best(first_lists(open_.df, k, seed), k), "lists"), open_.df, k, total, lists)
+        root = open_.df.select("node", "root")
+        hidden = outer.df.filter(F.col("sim") >= least).join(root.withColumnRenamed("root", "a"), "node")
+        hidden = hidden.join(root.select(F.col("node").alias("other"), F.col("root").alias("b")), "other")
+        tops = components(hidden.select("a", "b"))
+        outer.drop()
+        open_.drop()
+        if tops.isEmpty():
+            break
+        tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = Saved(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "components").df
+    full.drop()
+    return roots
+
+
 def block_links(members: DataFrame, least: float) -> DataFrame:
     """(node, links): rows linked to each node within its component; blocks of members are compared pair by pair."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -221,7 +274,7 @@ def block_links(members: DataFrame, least: float) -> DataFrame:
 
 def exact_links(sample: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """(node, exact): rows linked to each sampled node, by comparing the sample with all nodes."""
-    asked = [(r.node, r.label, np.frombuffer(bytes(r.v), np.float64)) for r in sample.collect()]  # AUDITED rows at most
+    asked = [(r.node, r.label, np.frombuffer(bytes(r.v), np.float64)) for r in sample.collect()]  # twice AUDITED rows at most
     by: dict[tuple[str, int], list] = {}
     for node, label, v in asked:
         by.setdefault((label, len(v)), []).append((node, v / np.linalg.norm(v)))
@@ -244,31 +297,40 @@ def exact_links(sample: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return counts.groupBy("node").agg(F.sum("exact").alias("exact"))
 
 
+def samples(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, part): nodes at large, and one node of each component, so that small groups count as much as large ones."""
+    at_large = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", F.lit(0).alias("part"))
+    chosen = roots.groupBy("root").agg(F.min_by("node", F.xxhash64("node")).alias("node"))
+    return at_large.unionByName(chosen.orderBy(F.xxhash64("root"), "root").limit(AUDITED).select("node", F.lit(1).alias("part")))
+
+
+def audited(asked: DataFrame, exact: DataFrame, found: DataFrame) -> float | None:
+    """Mean share of its exact links that a node has, in the worse of the samples; None if nothing was to find."""
+    share = F.coalesce("links", F.lit(0)) / F.col("exact")
+    parts = asked.join(exact.filter("exact > 0"), "node").join(found, "node", "left").groupBy("part").agg(F.avg(share).alias("share"))
+    return parts.agg(F.min("share")).first()[0]
+
+
 def link(df: DataFrame, least: float = 0.93, k: int = K, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding", seed: int = 11) -> DataFrame:
     """One row per row of `df`: vec_id, n_links, component_id, kept, recall (of the audit; null if nothing was to find)."""
     rows = Saved(rows_of(df, vec_id, label, embedding), "vectors").df
     grouped = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
-    nodes = Saved(grouped.withColumn("dim", F.length("v")), "vector-nodes").df
+    nodes = Saved(grouped.withColumn("dim", F.length("v")).withColumn("root", F.col("node")), "vector-nodes").df
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "label", "v")
-    exact = Saved(exact_links(sample, nodes, least), "audit").df
-    wanted = exact.agg(F.sum("exact")).first()[0] or 0
+    exact = None
 
     lists = Saved(keep_best(first_lists(nodes, k, seed), k), "lists")
     while True:
-        for _ in range(ROUNDS):
-            known = lists.df.withColumn("fresh", F.lit(False))
-            better = Saved(keep_best(known.unionByName(join_neighbours(lists.df, nodes, k)), k), "lists")
-            lists.drop()
-            lists = better
-            if lists.df.filter("fresh").count() <= LEAST_CHANGE * total * k:
-                break
+        lists = descend(lists, nodes, k, total)
         links = Saved(lists.df.filter(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("other").alias("b")), "links").df
-        roots = components(links)
-        members = Saved(nodes.join(roots, "node"), "linked-vectors").df
+        roots = merged(components(links), lists.df, nodes, least, k, seed)
+        members = Saved(nodes.drop("root").join(roots, "node"), "linked-vectors").df
         found = Saved(block_links(members, least), "vector-links").df
-        got = exact.join(found, "node", "left").agg(F.sum("links")).first()[0] or 0
-        if got >= RECALL * wanted or k >= total:
+        if exact is None:
+            asked = Saved(samples(nodes, roots), "audit-nodes").df
+            exact = Saved(exact_links(nodes.join(asked, "node", "left_semi").select("node", "label", "v"), nodes, least), "audit").df
+        recall = audited(asked, exact, found)
+        if recall is None or recall >= RECALL or k >= total:
             break
         k *= 2
         # Old edges count as fresh again, as longer lists have more to join.
@@ -283,5 +345,5 @@ def link(df: DataFrame, least: float = 0.93, k: int = K, vec_id: str = "vec_id",
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-        F.lit(got / wanted if wanted else None).cast("double").alias("recall"),
+        F.lit(recall).cast("double").alias("recall"),
     )

@@ -220,6 +220,26 @@ def test_nn_descent_edge_rows(spark):
     assert nn_descent.link(df.limit(0)).count() == 0
 
 
+def test_nn_descent_links_saturated_groups(spark):
+    rng = np.random.default_rng(5)
+    first, second = np.eye(64)[0], 0.95 * np.eye(64)[0] + np.sqrt(1 - 0.95**2) * np.eye(64)[1]
+    m = np.concatenate([c + 0.004 * rng.standard_normal((20, 64)) for c in (first, second)])
+    dense = first + 0.004 * rng.standard_normal((250, 64))  # holds nearly all pairs of the table
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(m)] + [(100 + i, 1, v.tolist()) for i, v in enumerate(dense)]
+    got = by_id(nn_descent.link(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")), "vec_id")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert (m @ m.T >= 0.93).all()
+    assert {(r.n_links, r.component_id, r.recall) for r in got.values()} == {(39, 0, 1.0), (249, 100, 1.0)}
+
+
+def test_nn_descent_audit_counts_nodes_not_pairs(spark):
+    asked = spark.createDataFrame([(i, 0) for i in range(10)] + [(0, 1), (10, 1)], "node long, part int")
+    exact = spark.createDataFrame([(i, 1000) for i in range(10)] + [(10, 2)], "node long, exact long")
+    found = spark.createDataFrame([(i, 1000) for i in range(10)], "node long, links long")
+    assert nn_descent.audited(asked, exact, found) == 0.5
+    assert nn_descent.audited(asked, exact.limit(0), found) is None
+
+
 # --- shingle join -------------------------------------------------------------------------------------------------
 
 
