@@ -2,8 +2,8 @@
 
 Base patterns find assignments, access keys and hexadecimal runs.  Further candidates are credential formats and long
 mixed tokens.  Every candidate value is hashed; over the whole corpus the distinct owners and repositories of each hash
-are counted.  A value of many owners is a copied example; a value that stays with few owners looks live.  Live-looking
-further candidates that overlap no base span are added to the spans.
+are counted.  A value of many owners, or in many repositories, is a copied example; a value that stays with few of both
+looks live.  Live-looking further candidates that overlap no base span are added to the spans.
 
 All of it is DataFrame expressions.  Positions are code points, end exclusive.  Defined cases: null and empty texts
 have no spans; a null owner or repository is not counted; repeated rows get equal results; empty tables give empty
@@ -32,6 +32,9 @@ FURTHER: dict[str, tuple[str, int, int]] = {
     ),
     "mixed": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 0, 20),
 }
+#: Owners and repositories that a live value has at most: a credential and its rotation or review copies stay with one or
+#: two owners and within a handful of repositories, even where one owner has very many of these.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 10
 KINDS = [*BASE, *FURTHER]
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
@@ -82,7 +85,7 @@ def ownership(held: DataFrame) -> DataFrame:
     return by_owner.groupBy("key").agg(F.count("owner").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
 
 
-def scan(df: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", most_owners: int = 2, id_col: str = "doc_id") -> DataFrame:
+def scan(df: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", most_owners: int = MOST_OWNERS, id_col: str = "doc_id", most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row for each row of `df`: counts and spans by base patterns, all spans, and how many values look live or copied."""
     rows = candidates(df, text).select(
         F.col(id_col).alias("doc_id"),
@@ -97,7 +100,7 @@ def scan(df: DataFrame, owner: str = "source", repository: str = "doc_id", text:
     held = rows.select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("span"))
     held = held.withColumn("key", hash128(F.col("span.value")))
     owners = ownership(held.select("key", "owner", "repository"))
-    judged = held.select("row", "key", "span").join(owners, "key").withColumn("live", F.col("n_owners") <= most_owners)
+    judged = held.select("row", "key", "span").join(owners, "key").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
     added = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("span.rank") >= len(BASE)), F.col("span"))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"),

@@ -420,6 +420,14 @@ def test_secret_ownership_separates_copied_examples(spark):
     assert got[9].spans == ""
 
 
+def test_secret_copied_within_one_owner(spark):
+    spread, few = "ghp_" + "Qq1Ww2Ee3R" * 3, "ghp_" + "Tt4Uu5Ii6O" * 3
+    rows = [(i, f"see {spread}", "hot") for i in range(40)] + [(i, f"key {few}", "hot") for i in range(40, 50)]
+    got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all((got[i].spans, got[i].n_live, got[i].n_copied) == ("", 0, 1) for i in range(40))
+    assert all((got[i].spans, got[i].n_live, got[i].n_copied) == (f"format:4:{4 + len(few)}", 1, 0) for i in range(40, 50))
+
+
 def test_secret_edge_rows(spark, edge):
     assert secret_scan.scan(edge).count() == len(ROWS)
     assert secret_scan.scan(edge.limit(0)).count() == 0
