@@ -102,14 +102,14 @@ def limited(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def events(df: DataFrame, types: list[str] | None = None, controllers: list[str] | None = None, start: float | None = None, end: float | None = None, clock: str = "raw_timestamp") -> DataFrame:
-    """Events by type, controller and time, undated last."""
+    """Events by type, controller and time, undated last; bounds keep undated events."""
     for column, values in (("event_type", types), ("controller", controllers)):
         if values:
             df = df.filter(F.col(column).isin(values))
     if start is not None:
-        df = df.filter(F.col(clock) >= start)
+        df = df.filter(F.col(clock).isNull() | (F.col(clock) >= start))
     if end is not None:
-        df = df.filter(F.col(clock) <= end)
+        df = df.filter(F.col(clock).isNull() | (F.col(clock) <= end))
     return df.orderBy(F.asc_nulls_last(clock), "line_no")
 
 

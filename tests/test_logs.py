@@ -261,3 +261,11 @@ def test_log_lines_source(spark, tmp_path):
     spark.dataSource.register(L.LinesSource)
     got = spark.read.format("log_lines").load(str(tmp_path)).orderBy("line_no").collect()
     assert [(r.line_no, r.byte_offset, r.text) for r in got] == [(0, 0, "x"), (1, 3, "y")]
+
+
+def test_events_with_bounds_keep_undated(spark):
+    rows = [(1, 5.0), (2, 15.0), (3, None), (4, 25.0)]
+    df = spark.createDataFrame(rows, "line_no long, raw_timestamp double")
+    got = lambda **bounds: [r.line_no for r in Q.events(df, **bounds).collect()]
+    assert got(start=10.0, end=20.0) == [2, 3]
+    assert got(start=10.0) == [2, 4, 3] and got(end=20.0) == [1, 2, 3]
