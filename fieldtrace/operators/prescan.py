@@ -139,10 +139,12 @@ def forward_filled(lines: DataFrame, by: str, order: str, ts: str) -> DataFrame:
 
 
 def clip(lines: DataFrame, fault: float, before: float = 60.0, after: float = 30.0, most: int = 500, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts") -> DataFrame:
-    """Lines around a fault; all lines if none is there.  At most `most` lines."""
-    filled = forward_filled(lines, by, order, ts)
-    near = filled.filter(F.col("filled").between(fault - before, fault + after))
-    return (filled if near.isEmpty() else near).orderBy(by, order).limit(most)
+    """Lines of each file around a fault; all its lines, with `fallback`, if none is there.  At most `most` of each file."""
+    near = F.coalesce(F.col("filled").between(fault - before, fault + after), F.lit(False))
+    marked = forward_filled(lines, by, order, ts).withColumn("_near", near)
+    kept = marked.withColumn("fallback", ~F.max("_near").over(Window.partitionBy(by))).filter(F.col("_near") | F.col("fallback"))
+    placed = kept.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return placed.filter(F.col("_place") <= most).drop("_near", "_place").orderBy(by, order)
 
 
 def merged_ranges(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:

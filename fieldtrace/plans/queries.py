@@ -185,7 +185,9 @@ def forward_fill(spark, sf_dir):
 SELECT * FROM f WHERE filled BETWEEN {START} - 60 AND {START} + 3600 ORDER BY user_id, event_id LIMIT 500""")
 def forward_fill_clip(spark, sf_dir):
     own = lines(spark, sf_dir).select("user_id", F.col("line_no").alias("event_id"), F.when(F.col("event_type") != "view", F.col("raw_ts")).alias("t"))
-    return prescan.clip(own, START, 60, 3600, 500, "user_id", "event_id", "t").drop("t")
+    # The SQL has no fall-back and one limit for all users.
+    clipped = prescan.clip(own, START, 60, 3600, 500, "user_id", "event_id", "t").filter("not fallback")
+    return clipped.select("user_id", "event_id", "filled").orderBy("user_id", "event_id").limit(500)
 
 
 def _anchors(spark, sf_dir) -> DataFrame:

@@ -269,3 +269,10 @@ def test_events_with_bounds_keep_undated(spark):
     got = lambda **bounds: [r.line_no for r in Q.events(df, **bounds).collect()]
     assert got(start=10.0, end=20.0) == [2, 3]
     assert got(start=10.0) == [2, 4, 3] and got(end=20.0) == [1, 2, 3]
+
+
+def test_clip_cuts_and_falls_back_per_file(spark):
+    rows = [("a", i, 100.0 + i) for i in range(8)] + [("b", 0, None), ("b", 1, 101.0), ("b", 2, None), ("b", 3, 900.0)] + [("c", i, 900.0 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "file_id string, line_no long, raw_ts double")
+    got = [(r.file_id, r.line_no, r.fallback) for r in prescan.clip(df, 100.0, most=5).collect()]
+    assert got == [("a", i, False) for i in range(5)] + [("b", 1, False), ("b", 2, False)] + [("c", i, True) for i in range(5)]
