@@ -9,8 +9,11 @@ file system has one.
 Writing is idempotent: each attempt writes files of its own name and the manifest lists those of the attempt that
 Spark counts, so retried and speculative tasks do no harm.
 
+Ids are those of the library with its defaults: the text of a special token in a document becomes its one id.
+
 Defined cases: a null or empty text has the end id alone; null document ids come first and are stored as the smallest
-64-bit integer; rows with the same document id follow each other, ordered by text; an empty table gives an empty data set.
+64-bit integer; rows with the same document id follow each other, ordered by the text's hash, then the text; a text of
+any length is encoded whole; other columns, whatever their names, are not read; an empty table gives an empty data set.
 """
 
 from __future__ import annotations
@@ -36,28 +39,36 @@ REMEMBERED = 800_000
 class WordEncoder:
     """Ids of a text by a tokenizers file that treats the pieces between spaces and line ends on their own.
 
-    Words of letters alone are one piece each, which one id with the word-end mark closes: fresh ones are encoded
-    together, as one text, and cut at these ids.  A sign after such a word is a piece of its own.
+    A word whose normal form is letters alone is one piece, which one id with the word-end mark closes: fresh ones are
+    encoded together, as one text, and cut at these ids.  A sign after such a word is a piece of its own.  All other
+    words, those with text of special tokens among them, go to the library one by one.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab()
         self.width = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.letters_only = regex.compile(r"\p{L}+").fullmatch
         self.signs = {c: self._ids(c) for c in ".,;:!?"}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
+    def one_piece(self, word: str) -> bool:
+        """Whether the library keeps the word in one piece; lower case or composition may turn one letter into two signs."""
+        if not word.isalpha():
+            return False
+        return word.isascii() or self.letters_only(self.model.normalizer.normalize_str(word)) is not None
+
     def _letters(self, fresh: list[str]) -> None:
         ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.width)
         ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.width.itemsize).tolist()
@@ -65,8 +76,9 @@ class WordEncoder:
         self.known.update(zip(fresh, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def learn(self, fresh: set[str]) -> None:
-        signed = [w for w in fresh if w[-1:] in self.signs and w[:-1].isalpha()]
-        letters = {w for w in fresh if w.isalpha()}.union(w[:-1] for w in signed).difference(self.known)
+        alone = {w for w in fresh if self.one_piece(w)}
+        signed = [w for w in fresh if w[-1:] in self.signs and (w[:-1] in alone or self.one_piece(w[:-1]))]
+        letters = alone.union(w[:-1] for w in signed).difference(self.known)
         if letters:
             self._letters(list(letters))
         for w in signed:
@@ -123,7 +135,8 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "width": [c.width.itemsize], "n_docs": [len(docs)], "n_tokens": [total]})
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash spreads rows that share an id.
+    placed = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     parts = Saved(placed.mapInArrow(put, "part long, name string, width long, n_docs long, n_tokens long"), "token-parts").df
     # One row for each part: small even where the corpus is not.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

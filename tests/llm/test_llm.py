@@ -104,7 +104,6 @@ def test_token_files_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     got, start = by_id(Q.op6_token_files(spark, SF)), 0
     for i, text in sorted(zip(docs.doc_id, docs.text, strict=True)):
         ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -112,10 +111,27 @@ def test_token_files_equal_the_library(spark, docs):
         start += len(ids)
 
 
+def test_token_encoder_equals_the_library_on_every_letter():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    letters = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c))[0] in "LM"]
+    texts = [" ".join(letters[i : i + 50]) for i in range(0, len(letters), 50)]
+    texts += [" ".join(f"{form}" for c in letters[i : i + 50] for form in (f"a{c}", f"{c}b.", f"x{c}y,")) for i in range(0, len(letters), 50)]
+    texts += ["\u0130stanbul \ufb1d e\u0301 \u1100\u1161 don't 12ab \U0001d518x", "foo <|endoftext|> bar", "foo<|endoftext|>bar <|startoftext|>. <|ENDOFTEXT|>", "a\u3000b\x0b c\r\nd", "", " \n "]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.width).tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_edge_rows(spark, edge):
     rows = token_files.round_trip(spark, edge, public_tokenizers.path("word_bpe_49k.json"), 2).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 5, 6, 6, 8]
     assert [r.n_tokens for r in rows[1:4]] == [1, 1, 1]
+    same = spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 9).cast("string")).alias("text"))
+    assert token_files.round_trip(spark, same, public_tokenizers.path("word_bpe_49k.json"), 2).count() == 50
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     assert token_files.round_trip(spark, edge.limit(0), public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
