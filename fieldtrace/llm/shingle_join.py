@@ -2,23 +2,26 @@
 
 Documents are rows and distinct word n-grams columns of an incidence matrix; equal rows are one node.  Jaccard >= r asks
 for an overlap of at least r / (1 + r) of both sizes together, and so two similar rows share one of the first
-n - ceil(r n) + 1 columns of each in any common order of columns: only these entries are multiplied.  The order puts
-columns that many rows have last; a sketch of column counts of fixed size decides, which changes cost and no result.
-
-Columns are dealt into blocks.  A block multiplies its columns: each pair of rows in a column counts one.  Counts are
-summed over blocks; a pair is dropped where its count and all columns beyond the prefixes stay below the overlap that
-its sizes ask for.  The rest are checked on their full rows.
-
-A column with many rows is not multiplied out.  Its rows are compared with the most central ones, the linked rows are
-joined into components, and rows of one column in different components are compared in a last round.  There and before
-pairs are dropped by marks: each row has a bit field, set where a column's hash falls, and a bit that only one row has
-set stands for a column that the other lacks, which bounds the overlap from above; only
-rows of pairs that it leaves are read again.  No link between components is lost,
-as only pairs that are connected already, or that the bound excludes, are skipped.
+n - ceil(r n) + 1 columns of each in any common order of columns: only these entries choose which blocks are multiplied.
+The order puts columns that many rows have last; a sketch of column counts of fixed size decides, which changes cost and
+no result.
+
+First product.  Entries are dealt by column, those of columns with very many rows by column and row part.  Each block
+multiplies the first rows of a column, the most central ones, with all its rows; a column of up to FEW rows whole.
+Either way a column of w rows gives at most 2 w counts.  Counts are summed over all blocks; a pair is dropped where its
+count, the columns that are not counted yet and those beyond the prefixes stay below the overlap that its sizes ask for.
+The rest are bounded by their hashed rows, then checked on their full rows, and linked rows are joined into components.
+
+Second product.  Columns whose rows lie in several components are multiplied in full: their rows are dealt in row blocks,
+and each pair of blocks multiplies the hashed rows of both, bit fields with a bit for each column's hash, over all
+columns at once.  A bit that one row has alone stands for a column that the other lacks, so the counts bound the overlap
+from above; pairs below what their sizes ask for, or within one component, are dropped and the rest checked on full
+rows.  So no link between components is lost, and no group of copies is written out pair by pair.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
-n words are one n-gram; rows with equal sets share a component at any number of copies; a null document id takes the
-smallest other id of its component, or null; empty tables give empty tables.
+n words are one n-gram; rows with equal sets share a component at any number of copies; a text of any length is one row
+with all its n-grams; a null document id takes the smallest other id of its component, or null; other columns, whatever
+their names, are not read by `join` and kept by `keep_one`; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,19 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved, Scratch, hash128
+from fieldtrace.llm.common import Saved, Scratch, free_name, hash128
 from fieldtrace.llm.components import components
 
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
 REMEMBERED = 400_000
-#: Columns with more rows than this are compared through central rows first.
-WIDE = 4
-#: Central rows of each wide column that are compared with the others first.
-HUBS = 2
+#: Rows of a column's first row block; a column of up to FEW rows has no more pairs than its first block would give.
+FIRST, FEW = 2, 5
+#: Rows of a row block in the second product, and of a part of a column with more rows in the first.
+ROW_BLOCK = 512
 SKETCH_BITS = 22
 #: Bits a column, at least, of the marks that pairs are dropped by.
 MARK_BITS = 4
 CHUNK = 1 << 14
+#: Share of the slots of the map of asked-for rows beyond which it is no longer worth its while.
+FULL = 0.3
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -102,7 +107,7 @@ def _sum_sketch(rows: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(x, np.uint8).astype(np.uint32)
+                part = _decode(np.frombuffer(x, np.uint8))
                 sums[c] = sums[c] + part if c in sums else part
         for c, part in sums.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": [part.tobytes()]})
@@ -113,11 +118,29 @@ def _sum_sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def excess(counts: np.ndarray) -> np.ndarray:
+    """By how much each sketch slot exceeds the level of chance."""
+    mean = counts.mean()
+    return np.maximum(0, counts - mean - 4 * np.sqrt(mean))
+
+
 def ranks_of(counts: np.ndarray) -> np.ndarray:
     """Rank 0 to 31 of each sketch slot: 0 at the level of chance, higher the more rows have its columns."""
-    mean = counts.mean()
-    excess = np.maximum(0, counts - mean - 4 * np.sqrt(mean)) / 8
-    return np.minimum(31, np.ceil(np.log2(1 + excess))).astype(np.uint8)
+    return np.minimum(31, np.ceil(np.log2(1 + excess(counts) / 8))).astype(np.uint8)
+
+
+def parts_of(counts: np.ndarray) -> np.ndarray:
+    """Of each sketch slot, the number of parts, as a power of two, in which the rows of its columns are dealt."""
+    return np.ceil(np.log2(np.maximum(1, excess(counts) / ROW_BLOCK))).astype(np.uint8)
+
+
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact below 128, then in steps of a sixteenth power of two."""
+    return np.where(counts < 128, counts, np.minimum(255, 128 + 16 * np.log2(np.maximum(counts, 128) / 128))).astype(np.uint8)
+
+
+def _decode(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < 128, codes, 128 * 2.0 ** ((codes.astype(np.float64) - 128) / 16)).astype(np.uint32)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -135,7 +158,7 @@ _NODE_NAMES = [x.split()[0] for x in NODE.split(", ")]
 
 
 def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of all documents, with marks once per task for each node, and of each task a sketch of its column counts (chunk, counts)."""
+    """Rows of all documents, with marks once per task for each node, and of each task a sketch of its nodes' column counts (chunk, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held, seen = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0, {0}
@@ -148,52 +171,64 @@ def nodes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
             size, node, marks = [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), n)
-                waiting.append(h)
-                held += len(h)
-                if held > 1 << 20:
-                    flush()
-                    waiting, held = [], 0
                 name = signature(h)
                 size.append(len(h))
                 node.append(name)
                 marks.append(None if name in seen else marks_of(h))
-                seen.add(name)
+                if name not in seen:
+                    seen.add(name)
+                    waiting.append(h)
+                    held += len(h)
+                if held > 1 << 20:
+                    flush()
+                    waiting, held = [], 0
             none = [None] * len(size)
             columns = [batch.column(0), size, node, batch.column(2), batch.column(3), marks, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _NODE_TYPES, strict=True)], names=_NODE_NAMES)
         flush()
-        for at, part in _sketch_parts(np.minimum(counts, 255).astype(np.uint8)):
+        for at, part in _sketch_parts(_code(counts)):
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None] * 6 + [at, part], _NODE_TYPES, strict=True)], names=_NODE_NAMES)
 
     return docs.mapInArrow(scan, NODE)
 
 
+ENTRY = "col long, part int, node long, n int, central int"
+_ENTRY_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+
+
 def prefixes(docs: DataFrame, n: int, num: int, den: int, ranks) -> DataFrame:
-    """Entries of the incidence matrix that are multiplied: col, node, n, central; equal rows once per task."""
+    """Entries of the incidence matrix that are multiplied: ENTRY; equal rows once per task.
+
+    Columns are dealt in one part (0), or in parts from 1 on where very many rows have them.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = ranks.value, set()
+        (rank, split), seen = ranks.value, set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for t in batch.column(1):
                 h = shingles(t.as_py(), n)
                 node = signature(h)
                 if not node or node in seen:
                     continue
                 seen.add(node)
-                r = rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                r = rank[slot]
                 col = r.astype(np.uint64) << np.uint64(58) | h >> np.uint64(6)
                 p = prefix_size(len(h), num, den)
-                out[0].append(np.sort(np.partition(col, p - 1)[:p]).view(np.int64))
-                for values, x in zip(out[1:], (node, len(h), int(r.mean() * 1000)), strict=True):
+                first = np.argpartition(col, p - 1)[:p]
+                first = first[np.argsort(col[first])]
+                many = split[slot[first]].astype(np.int64)
+                out[0].append(col[first].view(np.int64))
+                out[1].append(np.where(many > 0, 1 + (node % (1 << many)), 0))
+                for values, x in zip(out[2:], (node, len(h), int(r.mean() * 1000)), strict=True):
                     values.append(np.full(p, x, np.int64))
             if out[0]:
-                col, node, size, central = map(np.concatenate, out)
-                for at in range(0, len(col), 1 << 18):
-                    to = at + (1 << 18)
-                    yield pa.RecordBatch.from_arrays([pa.array(col[at:to]), pa.array(node[at:to]), pa.array(size[at:to].astype(np.int32)), pa.array(central[at:to].astype(np.int32))], names=["col", "node", "n", "central"])
+                columns = [np.concatenate(x) for x in out]
+                columns = [x.astype(np.int32) if i in (1, 3, 4) else x for i, x in enumerate(columns)]
+                yield from _batches(columns, _ENTRY_NAMES)
 
-    return docs.mapInArrow(scan, "col long, node long, n int, central int")
+    return docs.mapInArrow(scan, ENTRY)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -204,11 +239,6 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [c.to_numpy() for c in whole.columns]
 
 
-def _runs(col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-    return start, np.diff(np.r_[start, len(col)])
-
-
 def _within(size: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes alone allow the pairs."""
     low, high = np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64)
@@ -220,48 +250,58 @@ def _batches(arrays: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)]) for x in arrays], names=names)
 
 
-PAIR = "kind int, a long, b long, na int, nb int, c int, col long, central int"
-_NAMES = ["kind", "a", "b", "na", "nb", "c", "col", "central"]
+PAIR = "kind int, a long, b long, na int, nb int, c int, col long, central int, first boolean"
+_NAMES = [x.split()[0] for x in PAIR.split(", ")]
 
 
 def product(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Per block: overlap counts of pairs in narrow columns (kind 0), and the entries of wide columns (kind 1)."""
+    """Per block: overlap counts of the pairs that are multiplied (kind 0), and the entries of other columns (kind 1).
+
+    `first` marks the first rows of a part of a column, which the parts of that column are multiplied by next.
+    """
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches)
         if not got:
             return
-        col, node, size, central = got
-        order = np.lexsort((node, col))
-        col, node, size, central = col[order], node[order], size[order], central[order]
-        keep = np.r_[True, (col[1:] != col[:-1]) | (node[1:] != node[:-1])]  # equal rows of different tasks
-        col, node, size, central = col[keep], node[keep], size[keep], central[keep]
-        start, width = _runs(col)
-        first, second = [], []
-        for w in range(2, WIDE + 1):
+        order = np.lexsort((got[2], -got[4], got[1], got[0]))  # the most central rows of a column come first
+        col, part, node, size, central = (x[order] for x in got)
+        keep = np.r_[True, (col[1:] != col[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])]  # equal rows of different tasks
+        col, part, node, size, central = col[keep], part[keep], node[keep], size[keep], central[keep]
+        start = np.flatnonzero(np.r_[True, (col[1:] != col[:-1]) | (part[1:] != part[:-1])])
+        width = np.diff(np.r_[start, len(col)])
+        one, two = [], []
+        for w in range(2, FEW + 1):
             at = start[width == w]
-            if len(at):
-                i, j = np.triu_indices(w, 1)
-                first.append((at[:, None] + i).ravel())
-                second.append((at[:, None] + j).ravel())
-        if first:
-            a, b = np.concatenate(first), np.concatenate(second)
-            ok = _within(size, a, b, num, den)
-            a, b = a[ok], b[ok]
-            order = np.lexsort((node[b], node[a]))
-            a, b = a[order], b[order]
-            if len(a):
-                at = np.flatnonzero(np.r_[True, (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]])])
-                c = np.diff(np.r_[at, len(a)]).astype(np.int32)
-                a, b = a[at], b[at]
-                zero = np.zeros(len(a), np.int32)
-                yield from _batches([zero, node[a], node[b], size[a], size[b], c, zero.astype(np.int64), zero], _NAMES)
-        many = np.repeat(width > WIDE, width)
+            i, j = np.triu_indices(w, 1)
+            one.append((at[:, None] + i).ravel())
+            two.append((at[:, None] + j).ravel())
+        at, w = start[width > FEW], width[width > FEW]
+        place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        for f in range(FIRST):
+            one.append(np.repeat(at + f, w)[place > f])
+            two.append((np.repeat(at, w) + place)[place > f])
+        a, b = np.concatenate(one), np.concatenate(two)
+        ok = _within(size, a, b, num, den)
+        a, b = a[ok], b[ok]
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.lexsort((node[b], node[a]))
+        a, b = a[order], b[order]
+        if len(a):
+            at = np.flatnonzero(np.r_[True, (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]])])
+            c = np.diff(np.r_[at, len(a)]).astype(np.int32)
+            a, b = a[at], b[at]
+            zero = np.zeros(len(a), np.int32)
+            yield from _batches([zero, node[a], node[b], size[a], size[b], c, zero.astype(np.int64), zero, zero > 0], _NAMES)
+        many = np.repeat(width > FEW, width) | (part > 0)
         if many.any():
+            first = ((np.arange(len(col)) - np.repeat(start, width)) < FIRST) & (part > 0)
             m = int(many.sum())
-            yield from _batches([np.ones(m, np.int32), node[many], np.zeros(m, np.int64), size[many], np.zeros(m, np.int32), np.zeros(m, np.int32), col[many], central[many]], _NAMES)
+            zero = np.zeros(m, np.int32)
+            yield from _batches([zero + 1, node[many], zero.astype(np.int64), size[many], zero, zero, col[many], central[many], first[many]], _NAMES)
 
-    return entries.repartition("col").mapInArrow(block, PAIR)
+    return entries.select(*_ENTRY_NAMES).repartition("col", "part").mapInArrow(block, PAIR)
 
 
 def marks_of(h: np.ndarray) -> bytes:
@@ -282,59 +322,92 @@ def _possible(own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, nu
     return most * (num + den) >= num * (n + sizes)
 
 
-def wide_pairs(wide: DataFrame, hubs: int | None, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of rows in one wide column but different components, as far as size and marks allow the pair.
+def _bits(marks: list[bytes], bits: int) -> np.ndarray:
+    """Rows of 0 and 1, folded to `bits` columns."""
+    field = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1), axis=1)
+    while field.shape[1] > bits:
+        half = field.shape[1] // 2
+        # Bits lie byte by byte, so that halves of the field are halves of the hashes' range.
+        field = field[:, :half] | field[:, half:]
+    return field
+
+
+#: Cells of a matrix of bits that are multiplied at a time.
+CELLS = 1 << 24
 
-    With `hubs`, each column's most central rows, of as many components as possible, are paired with the others; without,
-    all such pairs are looked at.  `wide` has col, node, n, central, root, marks.
-    """
 
-    def column(node: np.ndarray, size: np.ndarray, central: np.ndarray, root: np.ndarray, marks: list[bytes]) -> Iterator[np.ndarray]:
-        by = np.argsort(-central, kind="stable")
-        _, comp, count = np.unique(root, return_inverse=True, return_counts=True)
-        if hubs is None:
-            # Rows of the largest component are connected with each other: the others look at them, and at each other.
-            lead = np.flatnonzero(comp != np.argmax(count))
-        else:
-            # The most central row of each component, then the next: at most `hubs` of them.
-            order = by[np.argsort(comp[by], kind="stable")]
-            at, n = _runs(comp[order])
-            place = np.empty(len(node), np.int64)
-            place[order] = np.arange(len(node)) - np.repeat(at, n)
-            lead = by[np.argsort(place[by], kind="stable")][:hubs]
-        led = np.zeros(len(node), bool)
-        widths = np.array([len(m) for m in marks])
-        fields = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(m for m in marks if len(m) == w), np.uint8).reshape(-1, w)) for w in np.unique(widths).tolist()}
-        for h in lead.tolist():
-            own = np.frombuffer(marks[h], np.uint8)
-            led[h] = True
-            for at, field in fields.values():
-                ok = (root[at] != root[h]) & ~led[at] & _within(size, np.full(len(at), h), at, num, den)
-                if ok.any():
-                    other = at[ok][_possible(own, int(size[h]), field[ok], size[at[ok]].astype(np.int64), num, den)]
-                    if len(other):
-                        yield np.stack([np.minimum(node[h], node[other]), np.maximum(node[h], node[other])])
+def block_product(x: list[bytes], y: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the hashed columns that each row of `x` shares with each of `y`, and the counts of either's own."""
+    p, q = _bits(x, bits), _bits(y, bits)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    step = max(1, CELLS // (len(x) + len(y)))
+    for at in range(0, bits, step):
+        shared += p[:, at : at + step].astype(np.float32) @ q[:, at : at + step].astype(np.float32).T
+    return shared.astype(np.int64), p.sum(1, dtype=np.int64), q.sum(1, dtype=np.int64)
+
+
+def wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of rows of one column in different components, as far as the product of their hashed rows allows.
+
+    `wide` has col, node, n, root, marks.  The rows of a column's largest component are multiplied with the other rows
+    only; both are dealt in blocks, and a task has two blocks of a column.
+    """
+    held = wide.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"))
+    cols = held.groupBy("col").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"))
+    number = lambda rows: F.greatest(F.lit(1), F.ceil(rows / ROW_BLOCK)).cast("int")
+    cols = cols.select("col", F.col("most.root").alias("top"), number(F.col("most.rows")).alias("tops"), number(F.col("all") - F.col("most.rows")).alias("rests"))
+    placed = wide.join(cols, "col").withColumn("rest", F.col("root") != F.col("top"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops"))).cast("int")
+    placed = placed.withColumn("own", own)
+    # Blocks: (i, j) of other rows, i <= j, and (i, -1 - j) of block i of the others with block j of the largest component.
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    among = F.transform(upto("rests"), lambda x: pair(F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
+    across = F.transform(upto("tops"), lambda x: pair(F.col("own"), -1 - x))
+    joined = F.transform(upto("rests"), lambda x: pair(x, -1 - F.col("own")))
+    dealt = placed.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(among, across)).otherwise(joined)))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         whole = pa.Table.from_batches(parts)
-        col, node, size, central, root = (whole.column(i).to_numpy() for i in range(5))
-        marks = whole.column(5).to_pylist()
-        order = np.argsort(col, kind="stable")
-        start, width = _runs(col[order])
+        col, i, j, own, rest, node, size, root = (whole.column(k).to_numpy() for k in range(8))
+        marks = whole.column(8)
+        order = np.lexsort((j, i, col))
+        cuts = np.flatnonzero((np.diff(col[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         done: list[np.ndarray] = []
-        for s, w in zip(start.tolist(), width.tolist(), strict=True):
-            here = order[s : s + w]
-            done += column(node[here], size[here], central[here], root[here], [marks[i] for i in here.tolist()])
+        for here in np.split(order, cuts):
+            left = here[rest[here] & (own[here] == i[here[0]])]
+            right = here[(own[here] == j[here[0]]) if j[here[0]] >= 0 else ~rest[here]]
+            done += _survivors(left, right, node, size.astype(np.int64), root, marks, num, den)
             if sum(x.shape[1] for x in done) > 1 << 20:
                 yield from _distinct(done)
                 done = []
         if done:
             yield from _distinct(done)
 
-    return wide.select("col", "node", "n", "central", "root", "marks").repartition("col").mapInArrow(block, "a long, b long").distinct()
+    columns = ["col", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "rest", "node", "n", "root", "marks"]
+    return dealt.select(*columns).repartition("col", "i", "j").mapInArrow(block, "a long, b long").distinct()
+
+
+def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs of a row of `left` and one of `right` that sizes, components and the product of hashed rows allow."""
+    own = {int(k): marks[int(k)].as_py() for k in np.union1d(left, right)}
+    bits = {k: 8 * len(m) for k, m in own.items()}
+    classes = lambda at: {b: np.array([k for k in at.tolist() if bits[k] == b]) for b in {bits[k] for k in at.tolist()}}
+    for x, p in classes(left).items():
+        for y, q in classes(right).items():
+            low, high = np.minimum(size[p][:, None], size[q][None, :]), np.maximum(size[p][:, None], size[q][None, :])
+            open_ = (low * den >= high * num) & (root[p][:, None] != root[q][None, :])
+            if not open_.any():
+                continue
+            shared, a, b = block_product([own[k] for k in p.tolist()], [own[k] for k in q.tolist()], min(x, y))
+            # Bits that one row has alone are columns that the other lacks.
+            most = np.minimum(size[p][:, None] - a[:, None], size[q][None, :] - b[None, :]) + shared
+            s, t = np.nonzero(open_ & (most * (num + den) >= num * (low + high)))
+            if len(s):
+                yield np.stack([np.minimum(node[p][s], node[q][t]), np.maximum(node[p][s], node[q][t])])
 
 
 def _distinct(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +447,11 @@ def full_rows(docs: DataFrame, holders: DataFrame, n: int) -> DataFrame:
         for at, part in _sketch_parts(marks):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int32()), "counts": [part]})
 
-    wanted = spark.sparkContext.broadcast(_sum_sketch(holders.select("a").mapInArrow(mark, "chunk int, counts binary")) > 0)
+    slots = _sum_sketch(holders.select("a").mapInArrow(mark, "chunk int, counts binary")) > 0
+    if slots.mean() > FULL:
+        # The map would let nearly all texts pass: they are joined with the holders before they are read.
+        docs, slots = docs.join(holders.select("a").distinct(), "a", "left_semi"), np.ones_like(slots)
+    wanted = spark.sparkContext.broadcast(slots)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = wanted.value, {0}
@@ -421,13 +498,15 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     counts = _sum_sketch(narrow.filter("chunk is not null").select("chunk", "counts"))
     documents = narrow.filter("chunk is null").select("doc_id", "n", "node", "a", "b")
     marked = narrow.filter("marks is not null").select("node", "n", "marks")
-    ranks = spark.sparkContext.broadcast(ranks_of(counts))
+    ranks = spark.sparkContext.broadcast((ranks_of(counts), parts_of(counts)))
     blocks = scratch.save(product(prefixes(docs, n, num, den, ranks), num, den), "shingle-product")
 
-    wide = blocks.filter("kind = 1").select("col", F.col("a").alias("node"), F.col("na").alias("n"), "central")
+    wide = blocks.filter("kind = 1").select("col", F.col("a").alias("node"), F.col("na").alias("n"), "central", "first")
     # Pairs may also share wide columns, which are not counted: at most as many as either row has.
     in_wide = scratch.save(wide.groupBy("node").agg(F.count(F.lit(1)).alias("w")), "shingle-wide")
-    summed = blocks.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    # The first rows of all parts of a column are multiplied with each other, as a column of their own.
+    heads = product(wide.filter("first").select("col", F.lit(0).alias("part"), "node", "n", "central"), num, den)
+    summed = blocks.unionByName(heads).filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     for side in "ab":
         summed = summed.join(in_wide.select(F.col("node").alias(side), F.col("w").alias(f"w{side}")), side, "left")
     beyond = lambda s: F.ceil(F.col(s) * num / den) - 1  # noqa: E731  columns after the prefix
@@ -435,29 +514,26 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     counted = summed.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs: by marks, then by the full rows of what is left."""
+        """Links among the pairs, by the full rows of both."""
         own = Scratch(spark)
-        pairs = own.save(pairs.distinct(), "shingle-pairs")
+        pairs = own.save(pairs, "shingle-pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        of = marked.join(asked, "node", "left_semi").dropDuplicates(["node"])
-        good = own.save(likely(pairs, of, num, den), "shingle-likely")
-        asked = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
         holders = own.save(documents.join(asked, "node", "left_semi").groupBy("node").agg(F.min("a").alias("a")), "shingle-holders")
         rows = own.save(full_rows(docs, holders, n), "shingle-rows")
-        out = scratch.save(verify(good, rows, num, den), "shingle-links")
+        out = scratch.save(verify(pairs, rows, num, den), "shingle-links")
         own.drop()
         return out
 
-    of_wide = marked.join(in_wide, "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
-    if in_wide.isEmpty():
-        links = checked(counted)
-    else:
-        central = wide_pairs(wide.withColumn("root", F.col("node")).join(of_wide, "node"), HUBS, num, den)
-        links = checked(counted.unionByName(central))
-        placed = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = scratch.save(counted, "shingle-counted")
+    asked = counted.select(F.col("a").alias("node")).union(counted.select("b")).distinct()
+    links = checked(likely(counted, marked.join(asked, "node", "left_semi").dropDuplicates(["node"]), num, den))
+    if not in_wide.isEmpty():
+        placed = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).select("col", "node", "n", "root")
         # Columns whose rows are all connected have nothing left to compare.
-        left = placed.join(placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col"), "col", "left_semi")
-        links = links.unionByName(checked(wide_pairs(left.join(of_wide, "node"), None, num, den)))
+        ends = placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col")
+        left = scratch.save(placed.join(ends, "col", "left_semi"), "shingle-open")
+        of_left = marked.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
+        links = links.unionByName(checked(wide_pairs(left.join(of_left, "node"), num, den)))
     roots = components(links)
     smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -481,8 +557,9 @@ def keep_one(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str
     copies = wordy.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
     kept = best.select("best.a", "best.b").join(copies, ["a", "b"])
     kept = kept.unionByName(joined.filter("n_shingles = 0").select("a", "b", F.lit(1).cast("long").alias("copies")).distinct())
-    kept = kept.withColumnsRenamed({"a": "_a", "b": "_b", "copies": "_copies"})
-    keyed = df.withColumn("_k", hash128(F.col(doc_id), F.col(text)))
-    rows = keyed.join(kept.hint("merge"), (F.col("_k.a") == F.col("_a")) & (F.col("_k.b") == F.col("_b")))
-    once = rows.filter("_copies = 1").unionByName(rows.filter("_copies > 1").dropDuplicates(["_a", "_b"]))
+    key, x, y, times = (free_name(df, c) for c in ("_key", "_a", "_b", "_copies"))
+    kept = kept.withColumnsRenamed({"a": x, "b": y, "copies": times})
+    keyed = df.withColumn(key, hash128(F.col(doc_id), F.col(text)))
+    rows = keyed.join(kept.hint("merge"), (F.col(key)["a"] == F.col(x)) & (F.col(key)["b"] == F.col(y)))
+    once = rows.filter(F.col(times) == 1).unionByName(rows.filter(F.col(times) > 1).dropDuplicates([x, y]))
     return once.select(*df.columns)

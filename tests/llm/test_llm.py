@@ -277,7 +277,9 @@ def test_shingle_join_equals_brute_force(spark, docs):
     assert got == {i: (len(s), top[i]) for i, s in sets.items()}
 
 
-def test_shingle_join_with_common_passages_and_large_groups(spark):
+@pytest.mark.parametrize("block", [shingle_join.ROW_BLOCK, 4])
+def test_shingle_join_with_common_passages_and_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "ROW_BLOCK", block)
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     passage, base = word(40), word(120)
@@ -288,6 +290,8 @@ def test_shingle_join_with_common_passages_and_large_groups(spark):
             copy[at] = f"x{rng.integers(0, 99)}"
         rows.append(" ".join(copy))
     rows += ["the same words stand in all of these rows"] * 20
+    for _ in range(40):  # rows that share a passage in their prefixes and are not similar, as rare words follow
+        rows.append(" ".join(passage[:20] + word(8)))
     rows = list(enumerate(rows))
     sets, top = exact_components(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
