@@ -1,13 +1,17 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses in text.
 
-A match is replaced only where it is valid: Luhn for card numbers, calendar for dates, octets for IP addresses, length
-for telephone and account numbers.  Its characters are permuted by a keyed Feistel network within their format: digits
-stay digits, letters stay letters of the same case, separators stay, a card number stays a valid card number, a date
-stays a date from 1900 to 2099 in the same layout.  The permutation depends on the key, the kind and the value alone, so
-equal values get equal pseudonyms in all documents, and different values of one format get different ones.
+A match is replaced only where it is valid: a card number by its Luhn digit, a date by the calendar (1900 to 2099), an IP
+address by octets up to 255 without leading zeros, a social security number by its area, group and serial, a telephone
+number by its length.  Valid values of one kind are permuted among themselves by a keyed Feistel network: digits stay
+digits, letters stay letters of the same case, separators stay, a card number stays a valid card number, a date stays a
+date in the same layout, an address stays an address (its octets may take other lengths).  The permutation depends on
+the key, the kind and the value alone, so equal values get equal pseudonyms in all documents, and different values of
+one format get different ones.
 
 All of it is DataFrame expressions on one row; nothing is shuffled.  Defined cases: a null text stays null, an empty one
-empty; repeated rows get equal results; other columns are kept; dates outside 1900 to 2099 stay as they are.
+empty; a text of any length is searched whole; invalid values stay as they are, as do dates outside 1900 to 2099;
+repeated rows get equal results; other columns, whatever their names, are kept, but for those that `out` and `count`
+name, which are replaced; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrace.llm.common import free_name
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -122,26 +128,34 @@ def only_digits(c: Column) -> Column:
 
 
 def new_card(m: Column, key: str) -> Column:
-    """Body permuted; the check digit follows it in a valid card number and is permuted with it in another number."""
+    """Body permuted, and the check digit that follows from it; a number that fails Luhn stays."""
 
     def of(d: Column) -> Column:
         def valid(body: Column) -> Column:
             return F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string"))
 
         card = bind(feistel_text(F.substr(d, F.lit(1), F.length(d) - 1), key, F.lit("card")), valid)
-        return into(m, F.when(luhn_sum(d, 0) % 10 == 0, card).otherwise(_other_number(d, key)))
+        return F.when(luhn_sum(d, 0) % 10 == 0, into(m, card)).otherwise(m)
 
     return bind(only_digits(m), of)
 
 
-def _other_number(d: Column, key: str) -> Column:
-    """Permuted among the numbers of this length that fail Luhn: the body is permuted, the distance to the check digit kept."""
+#: Areas, groups times areas, and serials of social security numbers: areas 001 to 899 without 666, groups from 01, serials from 0001.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def new_ssn(m: Column, key: str) -> Column:
+    """Permuted among the numbers that can be issued; another one stays."""
+    field = lambda at, n: F.substring(m, at, n).cast("bigint")
+    area, group, serial = field(1, 3), field(5, 2), field(8, 4)
+    issued = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = ((area - 1 - F.when(area > 666, 1).otherwise(0)) * GROUPS + group - 1) * SERIALS + serial - 1
 
-    def of(body: Column) -> Column:
-        off = (luhn_sum(d, 0) % 10).cast("int")
-        return F.concat(body, ((10 - luhn_sum(body, 1) % 10 + off) % 10).cast("string"))
+    def out(v: Column) -> Column:
+        high = F.floor(v / (GROUPS * SERIALS)).cast("bigint")
+        return F.format_string("%03d-%02d-%04d", high + 1 + F.when(high >= 665, 1).otherwise(0), F.floor(v / SERIALS).cast("bigint") % GROUPS + 1, v % SERIALS + 1)
 
-    return bind(feistel_text(F.substr(d, F.lit(1), F.length(d) - 1), key, F.lit("account")), of)
+    return F.when(issued, bind(feistel_number(place, AREAS * GROUPS, SERIALS, key, "ssn"), out)).otherwise(m)
 
 
 def new_ip(m: Column, key: str) -> Column:
@@ -149,7 +163,7 @@ def new_ip(m: Column, key: str) -> Column:
         part = lambda i: F.get(p, F.lit(i)).cast("bigint")
         whole = ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3)
         dotted = lambda v: F.concat_ws(".", *((F.shiftright(v, s) % 256).cast("string") for s in (24, 16, 8, 0)))
-        return F.when(F.exists(p, lambda x: x.cast("int") > 255), m).otherwise(bind(feistel_number(whole, 1 << 16, 1 << 16, key, "ip"), dotted))
+        return F.when(F.exists(p, lambda x: (x.cast("int") > 255) | x.rlike("^0.")), m).otherwise(bind(feistel_number(whole, 1 << 16, 1 << 16, key, "ip"), dotted))
 
     return bind(F.split(m, r"\."), of)
 
@@ -201,23 +215,30 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(is_a("email"), new_email(m, key))
         .when(is_a("date"), new_date(m, key))
         .when(is_a("ip"), new_ip(m, key))
-        .when(is_a("ssn"), into(m, feistel_text(only_digits(m), key, F.lit("ssn"))))
+        .when(is_a("ssn"), new_ssn(m, key))
         .when(is_a("card"), new_card(m, key))
         .when(is_a("phone"), new_phone(m, key))
         .otherwise(m)
     )
 
 
+#: What every match holds: an at sign, or a digit and five more digits, separators or brackets.
+HINT = r"@|[0-9][0-9./() -]{5}"
+
+
 def pseudonymise(df: DataFrame, key: str, text: str = "text", out: str | None = None, count: str | None = None) -> DataFrame:
     """`df` with `text` (or a new column `out`) in which personal values are replaced; `count` names a column for how many."""
     t = F.col(text)
-    found = df.withColumns({"_gaps": F.split(t, PATTERN, -1), "_found": F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))})
-    found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.flatten(F.zip_with("_gaps", "_new", lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
-    # Aliased after the fact, so that `out` may be the text column itself.
-    hits = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
-    done = found.withColumns({"_text": F.when(F.size("_found") > 0, joined).otherwise(t), "_count": F.coalesce(F.when(t.isNotNull(), hits), F.lit(0).cast("long"))})
-    done = done.withColumn(out or text, F.col("_text"))
+    gaps, hit, new, made, n = (free_name(df, c) for c in ("_gaps", "_found", "_new", "_made", "_n"))
+    # Most texts hold nothing that the patterns could match: one simple search spares them the others.
+    searched = F.when(t.rlike(HINT), t)
+    found = df.withColumns({gaps: F.split(searched, PATTERN, -1), hit: F.regexp_extract_all(searched, F.lit(PATTERN), F.lit(0))})
+    found = found.withColumn(new, F.transform(hit, lambda m: pseudonym(m, key)))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+    # Named after the fact, so that `out` may be the text column itself.
+    hits = F.size(F.filter(F.zip_with(hit, new, lambda a, b: a != b), lambda x: x)).cast("long")
+    done = found.withColumns({made: F.when(F.coalesce(F.size(hit) > 0, F.lit(False)), joined).otherwise(t), n: F.when(F.coalesce(F.size(hit) > 0, F.lit(False)), hits).otherwise(F.lit(0).cast("long"))})
+    done = done.withColumn(out or text, F.col(made))
     if count:
-        done = done.withColumn(count, F.col("_count"))
-    return done.drop("_gaps", "_found", "_new", "_text", "_count")
+        done = done.withColumn(count, F.col(n))
+    return done.drop(gaps, hit, new, made, n)
