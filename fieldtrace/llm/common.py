@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where the session names none (tests, local mode)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         there = "file://" + tempfile.mkdtemp(prefix="fieldtrace-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -97,3 +99,23 @@ def words(text: Column) -> Column:
 def hash128(*cols: Column) -> Column:
     """Two independently seeded 64-bit hashes as a struct: equal inputs, and for practical purposes only those, agree."""
     return F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b"))
+
+
+#: Tasks among which the rows of one key are spread where they meet what is known of the key.
+SPREAD = 32
+
+
+def spread_of(*cols: Column) -> Column:
+    """Which of the SPREAD shares of its key a row lies in."""
+    return F.pmod(F.xxhash64(*cols), F.lit(SPREAD)).cast("int")
+
+
+def spreads(share: Column) -> Column:
+    """Aggregate: the shares that occur, as bits; one number for each key and task before the shuffle."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), share))
+
+
+def each_spread(df: DataFrame, bits: str, share: str) -> DataFrame:
+    """A row of `df` for each share that occurs, in column `share`: a join on key and share splits a hot key's rows."""
+    there = F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.call_function("shiftright", F.col(bits), i).bitwiseAND(F.lit(1)) == 1)
+    return df.withColumn(share, F.explode(there)).drop(bits)

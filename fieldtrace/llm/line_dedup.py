@@ -11,10 +11,12 @@ on a window of L lines are the longest-common-prefix interval of depth L; two ra
 start and 2^k lines before its end, identify it.  All but the first window of an interval are removed, so maximal
 repeated runs vanish whole but for their first copy.  Doubling ends at `min_words` lines, as each line holds a word.
 
-All of it is DataFrame expressions; joins and aggregates only, so a line that stands in a third of all documents is
-pre-aggregated or split by adaptive execution.  Defined cases: null texts stay null; empty texts stay; lines without a
-word follow the line before them; rows with equal document id and text are one document, and each gets its result; a
-null document id is the smallest; documents whose lines all go keep an empty text; empty tables give empty tables.
+All of it is DataFrame expressions; joins and aggregates only.  A line or interval that stands in a third of all
+documents is pre-aggregated, and its rows meet their rank in SPREAD shares.  Runs of fewer than `min_words` words stay
+at any number of copies.  Defined cases: null texts stay null; empty texts stay; lines without a word follow the line
+before them; a text of any length is cut into lines whole; rows with equal document id and text are one document, and
+each gets its result; a null document id is the smallest; documents whose lines all go keep an empty text; other columns
+stay, and new ones whose names are taken get leading underscores; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import SPACE, WORD, Saved, Scratch, hash128
+from fieldtrace.llm.common import WORD, Saved, Scratch, each_spread, free_name, hash128, spread_of, spreads
 
 DOC = ["doc", "a", "b"]
 
@@ -41,20 +43,21 @@ def lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def ranked(classes: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """`classes` (keys, count) with `rank`: the sum of the counts of smaller keys, by a range-partitioned sort."""
+    """`classes` (keys, count, shares) with `rank`: the sum of the counts of smaller keys, by a range-partitioned sort."""
     spread = scratch.save(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranks")
     # One row per partition: small even where the corpus is not.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = spread.groupBy("part").agg(F.sum("count").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     within = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     local = spread.withColumn("local", F.coalesce(F.sum("count").over(within), F.lit(0)))
-    return local.join(bases.select("part", "base"), "part").select(*keys, (F.col("base") + F.col("local")).alias("rank"))
+    return local.join(bases.select("part", "base"), "part").select(*keys, "shares", (F.col("base") + F.col("local")).alias("rank"))
 
 
 def repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """Rows whose keys occur more than once, with the rank of their class in place of the keys."""
-    classes = rows.groupBy(*keys).count().filter("count > 1")
-    return rows.join(ranked(classes, keys, scratch), keys).drop(*keys)
+    rows = rows.withColumn("share", spread_of("a", "b", "at"))
+    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), spreads(F.col("share")).alias("shares")).filter("count > 1")
+    return rows.join(each_spread(ranked(classes, keys, scratch), "shares", "share"), [*keys, "share"]).drop(*keys, "share")
 
 
 def double(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
@@ -100,23 +103,26 @@ def removed(df: DataFrame, scratch: Scratch, min_words: int = 50, doc_id: str =
     known = wide.join(ranks.withColumnRenamed("rank", "r1"), ["a", "b", "level", "at"])
     known = known.join(ranks.select("a", "b", "level", F.col("at").alias("tail"), F.col("rank").alias("r2")), ["a", "b", "level", "tail"])
     place = F.struct(*DOC, "at")
-    known = scratch.save(known.select(*DOC, "at", "size", "r1", "r2"), "line-windows")
-    origin = known.groupBy("size", "r1", "r2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    later = known.join(origin, ["size", "r1", "r2"]).filter(place > F.col("origin"))
+    known = scratch.save(known.select(*DOC, "at", "size", "r1", "r2", spread_of("a", "b", "at").alias("share")), "line-windows")
+    interval = ["size", "r1", "r2"]
+    origin = known.groupBy(*interval).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("copies"), spreads(F.col("share")).alias("shares")).filter("copies > 1")
+    later = known.join(each_spread(origin, "shares", "share"), [*interval, "share"]).filter(place > F.col("origin"))
     at = later.select("a", "b", F.explode(F.sequence(F.col("at"), (F.col("at") + F.col("size") - 1).cast("int"))).alias("at")).distinct()
     gone = at.join(first.select("a", "b", "at", "first", "next", "n"), ["a", "b", "at"])
     return gone.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("first", "next"))).alias("gone"), F.sum("n").alias("words_gone"))
 
 
 def dedup(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`df` with repeated runs taken out of `text`, and `_lines_removed` and `_words_removed`."""
+    """`df` with repeated runs taken out of `text`, and `_lines_removed` and `_words_removed` (under free names)."""
     scratch = Scratch(df.sparkSession)
     gone = Saved(removed(df, scratch, min_words, doc_id, text), "lines-gone").df
     scratch.drop()
-    keyed = df.withColumn("_k", hash128(F.col(doc_id), F.col(text)))
+    key, x, y, ranges, n_words = (free_name(df, c) for c in ("_key", "_a", "_b", "_gone", "_words_gone"))
+    keyed = df.withColumn(key, hash128(F.col(doc_id), F.col(text)))
+    gone = gone.withColumnsRenamed({"a": x, "b": y, "gone": ranges, "words_gone": n_words})
     # The same join at every size: a broadcast would not hold for long, and texts move once.
-    joined = keyed.join(gone.hint("merge"), (F.col("_k.a") == gone["a"]) & (F.col("_k.b") == gone["b"]), "left")
-    m = F.size("gone")
+    joined = keyed.join(gone.hint("merge"), (F.col(key)["a"] == F.col(x)) & (F.col(key)["b"] == F.col(y)), "left")
+    m = F.size(ranges)
     cut = F.split(F.col(text), "\n")
 
     def bind(value: Column, f) -> Column:
@@ -126,12 +132,13 @@ def dedup(df: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str
         """Slices between the removed ranges: linear in the lines."""
 
         def between(i: Column) -> Column:
-            start = F.when(i > 0, F.get("gone", i - 1)["next"]).otherwise(F.lit(0))
-            stop = F.when(i < m, F.get("gone", i)["first"]).otherwise(F.size(all_lines))
+            start = F.when(i > 0, F.get(ranges, i - 1)["next"]).otherwise(F.lit(0))
+            stop = F.when(i < m, F.get(ranges, i)["first"]).otherwise(F.size(all_lines))
             return F.slice(all_lines, start + 1, F.greatest(stop - start, F.lit(0)))
 
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), m), between)), "\n")
 
-    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(bind(cut, kept))
-    done = joined.withColumns({text: new, "_lines_removed": F.coalesce(F.aggregate("gone", F.lit(0), lambda s, r: s + r["next"] - r["first"]), F.lit(0)).cast("long"), "_words_removed": F.coalesce("words_gone", F.lit(0)).cast("long")})
-    return done.select(*df.columns, "_lines_removed", "_words_removed")
+    new = F.when(F.col(ranges).isNull(), F.col(text)).otherwise(bind(cut, kept))
+    n_lines = F.coalesce(F.aggregate(ranges, F.lit(0), lambda s, r: s + r["next"] - r["first"]), F.lit(0)).cast("long")
+    rest = [F.col(c) if c.lower() != text.lower() else new.alias(c) for c in df.columns]
+    return joined.select(*rest, n_lines.alias(free_name(df, "_lines_removed")), F.coalesce(n_words, F.lit(0)).cast("long").alias(free_name(df, "_words_removed")))
