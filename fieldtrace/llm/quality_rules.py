@@ -1,14 +1,18 @@
 """Quality rules whose cutoffs are chosen by risk control on labelled documents.
 
-A rule scores a document; larger is worse.  For each stratum, rule and cutoff of a fixed grid, k of the n good
-documents that are labelled would be rejected.  The cutoff is proven safe where P(Binomial(n, a) <= k) <= delta / m,
-with a the rule's share of the allowed false rejection rate and m the number of all tests (Bonferroni).  The strictest
-safe cutoff is used; a rule without one rejects nothing.  So with probability 1 - delta no stratum loses more than
-`alpha` of its good documents to all rules together.
-
-All of it is DataFrame expressions.  Defined cases: null and empty texts have no words and fail the base rule; a null
+A rule scores a document; larger is worse.  Cutoffs are taken on in a fixed order, from the lenient to the strict ones of
+all rules in turn.  For each stratum and each step of that order, k of the n good documents that are labelled would be
+rejected, by the base rule or by any cutoff so far.  The step is proven safe where P(Binomial(n, alpha) <= k) <= delta / m
+with m strata (Bonferroni over strata; within one the steps are tested in order, each at the full level, until the first
+that fails, which keeps the family-wise level).  The strictest cutoffs of the safe steps are used; a rule without one
+rejects nothing.  So with probability 1 - delta no stratum loses more than `alpha` of its good documents to the base rule
+and the cutoffs together; where already the base rule cannot be shown to keep within that, no cutoff is used.
+
+All of it is DataFrame expressions.  Counts are in one column of structs, so that no other column can clash with them.
+Defined cases: null and empty texts have no words and fail the base rule; texts of any length are counted whole; a null
 stratum is a stratum; documents without label, or with a null one, are judged and not counted; a document with several
-labels is good if any says so; repeated rows get equal results; empty tables and missing labels give no cutoffs.
+labels is good if any says so; repeated rows get equal results; columns whose names are taken get leading underscores;
+empty tables and missing labels give no cutoffs.
 """
 
 from __future__ import annotations
@@ -18,20 +22,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import SPACE, WORD, words
+from fieldtrace.llm.common import SPACE, WORD, free_name, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
-#: Rule -> (score, cutoffs tested).
-RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbol_share": ("n_symbols / n_words", (0.05, 0.1, 0.2, 0.4, 0.8)),
-    "upper_share": ("n_upper / word_chars", (0.1, 0.2, 0.3, 0.5, 0.8)),
-    "mark_share": ("n_marks / n_words", (0.05, 0.1, 0.2, 0.4, 0.8)),
-    "dup_line_share": ("n_dup_lines / n_lines", (0.05, 0.1, 0.2, 0.3, 0.5)),
-    "repeat_share": ("n_repeat_words / n_words", (0.02, 0.05, 0.08, 0.12, 0.16)),
-    "mean_length": ("word_chars / n_words", (6.5, 7.0, 8.0, 10.0, 12.0)),
+#: Rule -> (count, count that it is divided by, cutoffs from lenient to strict).
+RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
+    "symbol_share": ("n_symbols", "n_words", (0.8, 0.4, 0.2, 0.1, 0.05)),
+    "upper_share": ("n_upper", "word_chars", (0.8, 0.5, 0.3, 0.2, 0.1)),
+    "mark_share": ("n_marks", "n_words", (0.8, 0.4, 0.2, 0.1, 0.05)),
+    "dup_line_share": ("n_dup_lines", "n_lines", (0.5, 0.3, 0.2, 0.1, 0.05)),
+    "repeat_share": ("n_repeat_words", "n_words", (0.16, 0.12, 0.08, 0.05, 0.02)),
+    "mean_length": ("word_chars", "n_words", (12.0, 10.0, 8.0, 7.0, 6.5)),
 }
+#: The order in which cutoffs are taken on: the first of every rule, then the second, and so on.
+STEPS = [(rule, spec[2][i]) for i in range(5) for rule, spec in RULES.items()]
+#: Share of good documents that a stratum may lose, and the probability that any stratum loses more.
+ALPHA, DELTA = 0.06, 0.05
 #: Up to so many strata the cutoffs are sent to every task; beyond, they are joined by shuffle.
 MAX_SENT = 10_000
 
@@ -59,23 +67,31 @@ def repeated_words(word: Column) -> Column:
     return bind(keys, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("bigint")).otherwise(slow(g)))
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with the counts that the rules use, base_failed among them; nothing is shuffled."""
+def features(df: DataFrame, text: str = "text", counts: str = "counts") -> DataFrame:
+    """`df` with a struct `counts` of what the rules use, base_failed among them; nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("_word", words(F.col(text))).withColumn("_line", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
-    out = out.withColumns(
-        {
-            "n_words": F.size("_word").cast("long"),
-            "word_chars": F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            "n_lines": F.size("_line").cast("long"),
-            "n_dup_lines": (F.size("_line") - F.size(F.array_distinct("_line"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_word")),
-            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-            "n_marks": F.regexp_count(t, F.lit("[!?]")).cast("long"),
-        }
-    ).drop("_word", "_line")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    word, line, own = (free_name(df, c) for c in ("_word", "_line", "_own"))
+    out = df.withColumn(word, words(F.col(text))).withColumn(line, F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    each = {
+        "n_words": F.size(word).cast("long"),
+        "word_chars": F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+        "n_lines": F.size(line).cast("long"),
+        "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(word)),
+        "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+        "n_marks": F.regexp_count(t, F.lit("[!?]")).cast("long"),
+    }
+    out = out.withColumn(own, F.struct(*(c.alias(k) for k, c in each.items()))).drop(word, line)
+    failed = (F.col(own)["n_words"] < 10) | (100 * F.col(own)["n_repeat_words"] > 20 * F.col(own)["n_words"])
+    return out.withColumn(free_name(df, counts), F.col(own).withField("base_failed", failed)).drop(own)
+
+
+def exceeds(counts: str, rule: str, cutoff: Column | float) -> Column:
+    """Whether a document's score reaches the cutoff; without words or lines it does not."""
+    part, whole, _ = RULES[rule]
+    c = F.col(counts)
+    return F.coalesce((c[whole] > 0) & (c[part] / F.greatest(c[whole], F.lit(1)) >= cutoff), F.lit(False))
 
 
 def binomial_cdf(n: Column, k: Column, p: float) -> Column:
@@ -94,34 +110,34 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(F.aggregate(upto, zero, step, lambda s: s["sum"])))
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The strictest safe cutoff per stratum and rule: stratum, rule, cutoff, n, k, p."""
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = scored.filter("not base_failed").join(good, "doc_id", "left_semi")
-    grid = [(rule, c) for rule, (_, cutoffs) in RULES.items() for c in cutoffs]
-    # One pass: a count for each cell of the grid, so that rows are pre-aggregated before the shuffle.
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.sum((F.expr(RULES[rule][0]) >= c).cast("long")).alias(f"k{i}") for i, (rule, c) in enumerate(grid)),
-    )
-    cells = counts.select(
-        "stratum",
-        "n",
-        F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("strata"),  # one row per stratum
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.coalesce(F.col(f"k{i}"), F.lit(0).cast("long")).alias("k")) for i, (r, c) in enumerate(grid)))).alias("cell"),
-    ).select("stratum", "n", "strata", "cell.*")
-    tested = cells.withColumn("p", binomial_cdf(F.col("n"), F.col("k"), alpha / len(RULES)))
-    safe = tested.filter(F.col("p") <= delta / (len(grid) * F.col("strata")))
-    best = F.min(F.struct("cutoff", "n", "k", "p")).alias("best")
-    return safe.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "best.*")
-
-
-def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, counts: str = "counts", doc_id: str = "doc_id") -> DataFrame:
+    """The strictest safe cutoff per stratum and rule: stratum, rule, cutoff, and n, k, p of the last safe step."""
+    good = labels.groupBy(F.col("doc_id").alias("good_id")).agg(F.max("quality").alias("quality")).filter("quality = 1").select("good_id")
+    narrow = scored.select(F.col(doc_id).alias("id"), F.col(stratum).alias("stratum"), F.col(counts).alias("counts"))
+    held = narrow.join(good, F.col("id") == F.col("good_id"), "left_semi")
+    # The step that rejects a document first: 0 the base rule, len(STEPS) + 1 none.
+    first = F.when(F.col("counts")["base_failed"], 0)
+    for at, (rule, cutoff) in enumerate(STEPS, 1):
+        first = first.when(exceeds("counts", rule, cutoff), at)
+    # Rows are pre-aggregated before the shuffle: a number for each step.
+    by = held.groupBy("stratum", first.otherwise(len(STEPS) + 1).alias("first")).agg(F.count(F.lit(1)).alias("rows"))
+    told = by.groupBy("stratum").agg(F.sum("rows").alias("n"), F.map_from_entries(F.collect_list(F.struct("first", "rows"))).alias("of"))
+    told = told.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # one row per stratum
+    rejected = lambda at: F.aggregate(F.sequence(F.lit(0), at), F.lit(0).cast("bigint"), lambda s, i: s + F.coalesce(F.try_element_at("of", i), F.lit(0)))
+    steps = told.select("stratum", "n", "strata", "of", F.explode(F.sequence(F.lit(1), F.lit(len(STEPS)))).alias("at")).withColumn("k", rejected(F.col("at")))
+    # k and so p grow along the steps: the first that fails is the first above the level.
+    safe = steps.withColumn("p", binomial_cdf(F.col("n"), F.col("k"), alpha)).filter(F.col("p") <= delta / F.col("strata"))
+    last = safe.groupBy("stratum").agg(F.max(F.struct("at", "n", "k", "p")).alias("last"))
+    each = last.select("stratum", "last", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.lit(i).alias("at")) for i, (r, c) in enumerate(STEPS, 1)))).alias("step")).filter(F.col("step.at") <= F.col("last.at"))
+    return each.groupBy("stratum", F.col("step.rule").alias("rule"), "last").agg(F.min("step.cutoff").alias("cutoff")).select("stratum", "rule", "cutoff", "last.n", "last.k", "last.p")
+
+
+def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang", counts: str = "counts", kept: str = "kept") -> DataFrame:
     """`scored` with `kept`: passes the base rule and stays under every cutoff of its stratum."""
-    by = cutoffs.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES))
-    by = by.withColumnRenamed("stratum", "_stratum")
+    to, cut, kept = (free_name(scored, c) for c in ("_stratum", "_cut", kept))
+    by = cutoffs.groupBy(F.col("stratum").alias(to)).agg(F.struct(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES)).alias(cut))
     if len(by.limit(MAX_SENT + 1).collect()) <= MAX_SENT:
         by = F.broadcast(by)
-    joined = scored.join(by, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    bad = reduce(lambda a, b: a | b, (F.coalesce(F.expr(score) >= F.col(f"_cut_{r}"), F.lit(False)) for r, (score, _) in RULES.items()))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_stratum", *(f"_cut_{r}" for r in RULES))
+    joined = scored.join(by, F.col(stratum).eqNullSafe(F.col(to)), "left")
+    bad = reduce(lambda a, b: a | b, (exceeds(counts, r, F.col(cut)[r]) for r in RULES))
+    return joined.withColumn(kept, ~F.col(counts)["base_failed"] & ~bad).drop(to, cut)

@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = Saved(quality_rules.features(docs).drop("text"), "quality-features").df
     cutoffs = quality_rules.calibrate(scored, table(spark, sf_dir, "labels"))
     judged = quality_rules.judge(scored, cutoffs)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), "kept")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
