@@ -1,130 +1,171 @@
 """Temperature mixing of sources.
 
-Source s with a share q_s of all tokens gets the weight q_s^t / sum.  The exponent t is found by bisection: for a
-target entropy of the weights, or as the smallest for which no source is repeated more often than a limit allows.  The
-weights are then realised under a token budget: source s is read e_s = weight * budget / tokens times, floor(e_s)
-whole epochs and one partial epoch.  A keyed hash deals the documents of a source into blocks; each epoch permutes the
-blocks, and the partial epoch takes documents in hash order as long as its budget lasts.
+Source s with a share q_s of all tokens gets the weight q_s^t / sum.  The exponent t is found by sections: for a target
+entropy of the weights, or as the smallest for which no source is repeated more often than a limit allows.  Each round
+sums over all sources for SECTIONS exponents at once and keeps the section in which the target lies.  The weights are
+then realised under a token budget: source s is read e_s = weight * budget / tokens times, floor(e_s) whole epochs and
+one partial epoch.  A keyed hash deals the documents of a source into blocks; each epoch permutes the blocks, and the
+partial epoch takes documents in hash order as long as its budget lasts.
 
-All of it is DataFrame expressions.  Where the partial epoch ends is found from token sums per source and block, and
-then within one block per source, so no task holds a source.  One row per source is collected into one array.
+All of it is DataFrame expressions.  Sources are rows of a table, at any number.  Where the partial epoch ends is found
+from token sums per source and block, then per part of that block, and then among the documents of one part, so no task
+holds a source.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and are read in every whole
-epoch, and in the partial one by hash order; sources without any token get one epoch; rows that are equal in id and text
-are dealt alike; an empty table gives an empty mixture; without a budget, it is as large as lets each source be read
+epoch, and in the partial one by hash order; texts of any length are counted whole; sources without any token get one
+epoch; rows that are equal in id and text are dealt alike; other columns stay, and new ones whose names are taken get
+leading underscores; an empty table gives an empty mixture; without a budget, it is as large as lets each source be read
 once in full.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import WORD, Saved
+from fieldtrace.llm.common import WORD, Saved, free_name
 
-BLOCK_BITS = 12
-STEPS = 60
+#: Bits of the hash that name a block, and those after them that name a part of a block.
+BLOCK_BITS, PART_BITS = 12, 16
+#: Exponents tried in one pass over the sources, and passes: the section left is 1 / 32^12 of the first.
+SECTIONS, PASSES = 31, 12
 #: Sources whose plan is sent to every task; beyond, it is joined by shuffle.
 MAX_SENT = 100_000
+KEY_BITS = 63
 
 
-def keyed(df: DataFrame, seed: int, source: str, doc_id: str, text: str) -> DataFrame:
-    """`df` with _source, _tokens, _key (63-bit keyed hash) and _block."""
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
-    out = df.withColumns({"_source": F.col(source), "_tokens": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"), "_key": key})
-    return out.withColumn("_block", F.shiftright("_key", 63 - BLOCK_BITS))
-
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
-def shares(rows: Column) -> Column:
-    total = F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["tokens"])
-    return F.transform(rows, lambda x: x["tokens"] / total)
 
+def key_of(seed: int, doc_id: Column, text: Column) -> Column:
+    """63-bit keyed hash of a document."""
+    return F.xxhash64(F.lit(seed), doc_id, text).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
 
-def tempered(q: Column, t: Column) -> Column:
-    """Weights of the shares `q` at exponent `t`."""
-    raised = F.transform(q, lambda x: F.pow(x, t))
-    return F.get(F.transform(F.array(raised), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y))), F.lit(0))
 
+@dataclass(frozen=True)
+class Shape:
+    """Sums over all sources at one exponent: of q^t, of q^t ln(q^t), and the range of q^t / q."""
 
-def entropy(w: Column) -> Column:
-    return F.aggregate(w, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0)))
+    total: float
+    logs: float
+    most: float
+    least: float
 
+    @property
+    def entropy(self) -> float:
+        import math
 
-def bisect(low: float, high: float, go_up) -> Column:
-    """Where `go_up(t)`, true below some point, turns false; the upper end of the last bracket."""
-    zero = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+        return math.log(self.total) - self.logs / self.total
 
-    def step(s: Column, _: Column) -> Column:
-        t = (s["low"] + s["high"]) / 2
-        up = go_up(t)
-        return F.struct(F.when(up, t).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(t).alias("high"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, step, lambda s: s["high"])
+def shapes(shares: DataFrame, exponents: list[float]) -> list[Shape]:
+    """One pass over the sources for all exponents; `shares` has q > 0."""
+    q = F.col("q")
+    sums = []
+    for i, t in enumerate(exponents):
+        raised = F.pow(q, F.lit(t))
+        sums += [F.sum(raised).alias(f"a{i}"), F.sum(raised * F.lit(t) * F.log(q)).alias(f"b{i}"), F.max(raised / q).alias(f"c{i}"), F.min(raised / q).alias(f"d{i}")]
+    row = shares.agg(*sums).first()
+    return [Shape(*(row[f"{x}{i}"] for x in "abcd")) for i in range(len(exponents))]
 
 
-def weights(totals: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
-    """One row per source: source, tokens, weight, epochs, exponent; `totals` has source and tokens > 0."""
-    one = totals.agg(F.sort_array(F.collect_list(F.struct(F.col("tokens").cast("double").alias("tokens"), "source"))).alias("rows"))
-    one = one.withColumn("q", shares(F.col("rows"))).withColumn("total", F.aggregate("rows", F.lit(0.0), lambda a, x: a + x["tokens"]))
-    q = F.col("q")
-    # Readings of the most repeated source: under a budget, weight * budget / tokens; else relative to the least repeated.
-    times = lambda t: F.transform(F.arrays_zip(tempered(q, t).alias("w"), q.alias("q")), lambda x: x["w"] / x["q"])
-    most = lambda t: F.array_max(times(t)) * budget / F.col("total") if budget else F.array_max(times(t)) / F.array_min(times(t))
+def exponent_for(shares: DataFrame, total: int, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> float:
+    """The exponent at which the target is met: the upper end of the last section."""
     if target_entropy is not None:
-        exponent = bisect(0.0, 16.0, lambda t: entropy(tempered(q, t)) > target_entropy)
+        low, high, go_up = 0.0, 16.0, lambda s: s.entropy > target_entropy
     elif max_repeats is not None:
-        # At exponent 1 all sources are repeated alike: nothing flatter is needed where even that is too often.
-        exponent = bisect(0.0, 1.0, lambda t: most(t) > max_repeats)
+        # Readings of the most repeated source: under a budget, weight * budget / tokens; else relative to the least
+        # repeated.  At exponent 1 all are repeated alike: nothing flatter is needed where even that is too often.
+        most = (lambda s: s.most / s.total * budget / total) if budget else (lambda s: s.most / s.least)
+        low, high, go_up = 0.0, 1.0, lambda s: most(s) > max_repeats
     else:
-        exponent = F.lit(1.0)
-    one = one.withColumn("exponent", exponent).withColumn("w", tempered(q, F.col("exponent"))).filter(F.size("rows") > 0)
-    spent = F.lit(float(budget)) if budget else F.col("total") / F.array_min(F.transform(F.arrays_zip("w", "q"), lambda x: x["w"] / x["q"]))
-    one = one.withColumn("budget", spent)
-    out = one.select("exponent", "budget", F.explode(F.arrays_zip("rows", "w")).alias("x"))
-    tokens = F.col("x.rows.tokens")
-    # Less than a billionth of an epoch is the bisection's rounding.
-    epochs = F.floor(F.col("x.w") * F.col("budget") / tokens * 1e9 + 0.5) / 1e9
-    return out.select(F.col("x.rows.source").alias("source"), tokens.cast("long").alias("tokens"), F.col("x.w").alias("weight"), epochs.alias("epochs"), "exponent")
+        return 1.0
+    for _ in range(PASSES):
+        tried = [low + (high - low) * i / (SECTIONS + 1) for i in range(1, SECTIONS + 1)]
+        up = [t for t, s in zip(tried, shapes(shares, tried), strict=True) if go_up(s)]
+        low = max([low, *up])
+        high = min([high, *(t for t in tried if t > low)])
+        if high - low < 1e-15:
+            break
+    return high
+
+
+def weights(totals: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
+    """One row per source: source, tokens, weight, epochs, exponent; `totals` has source and tokens > 0."""
+    total = totals.agg(F.sum("tokens")).first()[0]
+    shares = totals.withColumn("q", F.col("tokens") / F.lit(float(total or 1)))
+    if not total:
+        return shares.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(1.0).alias("exponent"))
+    t = exponent_for(shares, total, max_repeats, target_entropy, budget)
+    shape = shapes(shares, [t])[0]
+    spent = float(budget) if budget else total / (shape.least / shape.total)
+    weight = F.pow("q", F.lit(t)) / F.lit(shape.total)
+    # Less than a billionth of an epoch is rounding.
+    epochs = F.floor(weight * F.lit(spent) / F.col("tokens") * 1e9 + 0.5) / 1e9
+    return shares.select("source", "tokens", weight.alias("weight"), epochs.alias("epochs"), F.lit(t).alias("exponent"))
+
+
+def _edge(sums: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
+    """Per source the place (block, part) in which `rest` tokens end: of, edge, left; `sums` has source, place, tokens."""
+    before = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    both = placed.join(wanted, F.col("source").eqNullSafe(F.col("of")))
+    # Places without tokens end where they begin: the last of those that `rest` reaches counts.
+    reached = both.filter("rest > 0 and before <= rest")
+    return reached.groupBy("of").agg(F.max(F.struct(place, (F.col("rest") - F.col("before")).alias("left"))).alias("e")).select("of", F.col(f"e.{place}").alias("edge"), "e.left")
 
 
 def plan(narrow: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
-    """Per source: _to, weight, epochs, whole (epochs) and cut, the largest key that the partial epoch takes (-1: none)."""
-    blocks = Saved(narrow.groupBy("_source", "_block").agg(F.sum("_tokens").alias("tokens")), "mix-blocks").df
-    totals = blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    """Per source: source, weight, epochs, whole (epochs) and cut, the largest key that the partial epoch takes (-1: none).
+
+    `narrow` has source, tokens, key.
+    """
+    block, part = F.shiftright("key", KEY_BITS - BLOCK_BITS), F.shiftright("key", KEY_BITS - BLOCK_BITS - PART_BITS)
+    blocks = Saved(narrow.groupBy("source", block.alias("block")).agg(F.sum("tokens").alias("tokens")), "mix-blocks").df
+    totals = Saved(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-totals").df
     some = weights(totals.filter("tokens > 0"), max_repeats, target_entropy, budget)
     none = totals.filter("tokens = 0").select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(None).cast("double").alias("exponent"))
     all_of = some.unionByName(none).withColumn("whole", F.floor("epochs").cast("long"))
-    all_of = Saved(all_of.withColumn("rest", F.floor((F.col("epochs") - F.col("whole")) * F.col("tokens") + 1e-6).cast("long")), "mix-weights").df
-    # At most 2^BLOCK_BITS rows per source.
-    before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    edge = placed.withColumnRenamed("tokens", "block_tokens").join(all_of.select(F.col("source").alias("_of"), "rest"), F.col("_source").eqNullSafe(F.col("_of")))
-    edge = edge.filter("rest > 0 and before <= rest and rest < before + block_tokens").select("_of", F.col("_block").alias("_edge"), (F.col("rest") - F.col("before")).alias("left"))
-    # The one block of each source in which the partial epoch ends; equal keys are taken together.
-    inside = narrow.join(edge, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_edge")))
-    running = inside.withColumn("sum", F.sum("_tokens").over(Window.partitionBy("_source", "_block").orderBy("_key")))
-    taken = running.groupBy("_of", "_edge").agg(F.max(F.when(F.col("sum") <= F.col("left"), F.col("_key"))).alias("last"))
-    start = F.shiftleft(F.col("_edge"), 63 - BLOCK_BITS) - 1
-    cuts = taken.select("_of", F.coalesce("last", start).alias("cut"))
-    out = all_of.join(cuts, F.col("source").eqNullSafe(F.col("_of")), "left")
-    return Saved(out.select(F.col("source").alias("_to"), "weight", "epochs", "exponent", "whole", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut")), "mix-plan").df
+    rest = F.floor((F.col("epochs") - F.col("whole")) * F.col("tokens") + 1e-6).cast("long")
+    all_of = Saved(all_of.withColumn("rest", rest), "mix-weights").df
+    # At most 2^BLOCK_BITS blocks of a source, then 2^PART_BITS parts of one block, then the documents of one part.
+    first = _edge(blocks, "block", all_of.select(F.col("source").alias("of"), "rest"))
+    inside = narrow.join(first.withColumnRenamed("edge", "block"), F.col("source").eqNullSafe(F.col("of")) & (block == F.col("block")))
+    parts = inside.groupBy("source", part.alias("part")).agg(F.sum("tokens").alias("tokens"))
+    second = Saved(_edge(parts, "part", first.select("of", F.col("left").alias("rest"))), "mix-parts").df
+    # Where nothing is left for the block at all, its first key is the end.
+    ends = first.select(F.col("of").alias("at"), (F.shiftleft(F.col("edge"), KEY_BITS - BLOCK_BITS) - 1).alias("start"))
+    last = narrow.join(second.withColumnRenamed("edge", "part"), F.col("source").eqNullSafe(F.col("of")) & (part == F.col("part")))
+    # Equal keys are taken together.
+    running = last.withColumn("sum", F.sum("tokens").over(Window.partitionBy("source", "part").orderBy("key")))
+    taken = running.groupBy("of", "part").agg(F.max(F.when(F.col("sum") <= F.col("left"), F.col("key"))).alias("key"))
+    cuts = taken.select("of", F.coalesce("key", F.shiftleft(F.col("part"), KEY_BITS - BLOCK_BITS - PART_BITS) - 1).alias("cut"))
+    found = ends.join(cuts, F.col("at").eqNullSafe(F.col("of")), "left").select("at", F.coalesce("cut", "start").alias("cut"))
+    out = all_of.join(found, F.col("source").eqNullSafe(F.col("at")), "left")
+    return Saved(out.select("source", "weight", "epochs", "exponent", "whole", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut")), "mix-plan").df
 
 
 def mix(df: DataFrame, max_repeats: float | None = None, target_entropy: float | None = None, budget: int | None = None, seed: int = 7, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of `df` for each time that it is read, with _tokens, _epoch, _block, _position (0..1 in the mixture) and _weight."""
-    rows = keyed(df, seed, source, doc_id, text)
-    narrow = Saved(rows.select("_source", "_tokens", "_key", "_block"), "mix-documents").df
-    by = plan(narrow, max_repeats, target_entropy, budget)
-    if len(by.select("whole").limit(MAX_SENT + 1).collect()) <= MAX_SENT:
+    narrow = df.select(F.col(source).alias("source"), token_count(F.col(text)).alias("tokens"), key_of(seed, F.col(doc_id), F.col(text)).alias("key"))
+    by = plan(Saved(narrow, "mix-documents").df, max_repeats, target_entropy, budget)
+    tokens, key, of, epoch = (free_name(df, c) for c in ("_tokens", "_key", "_of", "_epoch"))
+    by = by.select(F.struct(*by.columns).alias(of))
+    if len(by.limit(MAX_SENT + 1).collect()) <= MAX_SENT:
         by = F.broadcast(by)
-    joined = rows.join(by, F.col("_source").eqNullSafe(F.col("_to")))
-    times = F.col("whole") + F.when(F.col("_key") <= F.col("cut"), 1).otherwise(0)
-    read = joined.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    rows = df.withColumns({tokens: token_count(F.col(text)), key: key_of(seed, F.col(doc_id), F.col(text))})
+    joined = rows.join(by, F.col(source).eqNullSafe(F.col(of)["source"]))
+    its = F.col(of)
+    times = its["whole"] + F.when(F.col(key) <= its["cut"], 1).otherwise(0)
+    read = joined.filter(times > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), times)))
     # Each epoch permutes a source's blocks by an affine map with an odd factor, and the documents within a block by hash.
-    dice = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_source"))
-    block = (F.col("_block") * F.shiftleft(F.shiftright(dice, 40), 1).bitwiseOR(F.lit(1)) + F.shiftright(dice, 17)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    within = F.xxhash64(dice, F.col("_key")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    part = F.when(F.col("_epoch") > F.col("whole"), F.col("epochs") - F.col("whole")).otherwise(F.lit(1.0))
-    position = (F.col("_epoch") - 1 + (block + within) / float(1 << BLOCK_BITS) * part) / F.greatest("epochs", F.lit(1e-9))
-    out = read.withColumns({"_position": position, "_block": block, "_weight": F.col("weight")})
-    return out.select(*df.columns, "_tokens", "_epoch", "_block", "_position", "_weight")
+    dice = F.xxhash64(F.lit(seed), F.col(epoch), F.col(source))
+    block = (F.shiftright(key, KEY_BITS - BLOCK_BITS) * F.shiftleft(F.shiftright(dice, 40), 1).bitwiseOR(F.lit(1)) + F.shiftright(dice, 17)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    within = F.xxhash64(dice, F.col(key)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    share = F.when(F.col(epoch) > its["whole"], its["epochs"] - its["whole"]).otherwise(F.lit(1.0))
+    position = (F.col(epoch) - 1 + (block + within) / float(1 << BLOCK_BITS) * share) / F.greatest(its["epochs"], F.lit(1e-9))
+    new = {"_block": block, "_position": position, "_weight": its["weight"]}
+    return read.select(*df.columns, tokens, epoch, *(c.alias(free_name(df, n)) for n, c in new.items()))
