@@ -6,8 +6,10 @@ are counted.  A value of many owners, or in many repositories, is a copied examp
 looks live.  Live-looking further candidates that overlap no base span are added to the spans.
 
 All of it is DataFrame expressions.  Positions are code points, end exclusive.  Defined cases: null and empty texts
-have no spans; a null owner or repository is not counted; repeated rows get equal results; empty tables give empty
-results; a value held by a third of all rows is pre-aggregated per owner and repository before it is counted.
+have no spans; all rows with a null owner have one owner, the unknown one, and likewise for repositories; texts of any
+length are scanned whole; repeated rows get equal results; other columns, whatever their names, are not read; empty
+tables give empty results; a value held by a third of all rows is pre-aggregated per owner and repository before it is
+counted, and its rows meet the counts in SPREAD shares.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved, hash128
+from fieldtrace.llm.common import Saved, each_spread, hash128, spread_of, spreads
 
 #: Kind -> (pattern, group that holds the value, shortest value), in the order in which spans are listed.
 BASE: dict[str, tuple[str, int, int]] = {
@@ -30,7 +32,7 @@ FURTHER: dict[str, tuple[str, int, int]] = {
         0,
         16,
     ),
-    "mixed": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 0, 20),
+    "mixed": (r"[A-Za-z0-9+/_-]{20,}", 0, 20),
 }
 #: Owners and repositories that a live value has at most: a credential and its rotation or review copies stay with one or
 #: two owners and within a handful of repositories, even where one owner has very many of these.
@@ -67,40 +69,41 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with `_base` and `_more`, the base spans and the further ones that overlap none of them."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumns({f"_{k}": spans(t, k, *spec) for k, spec in (BASE | FURTHER).items()})
-    found = found.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    likely = F.filter("_mixed", lambda x: mixed(x["value"]) & ~F.exists("_format", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    found = found.withColumn("_more", F.filter(F.concat("_format", likely), apart))
-    return found.drop(*(f"_{k}" for k in KINDS if k not in BASE))
+def candidates(rows: DataFrame) -> DataFrame:
+    """`rows` (with `text`) with `base` and `more`, the base spans and the further ones that overlap none of them."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    found = rows.withColumns({f"of_{k}": spans(t, k, *spec) for k, spec in (BASE | FURTHER).items()})
+    found = found.withColumn("base", F.concat(*(F.col(f"of_{k}") for k in BASE)))
+    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    likely = F.filter("of_mixed", lambda x: mixed(x["value"]) & ~F.exists("of_format", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return found.withColumn("more", F.filter(F.concat("of_format", likely), apart))
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """Owners and repositories of each value; `held` has key, owner, repository."""
-    once = held.groupBy("key", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = once.groupBy("key", "owner").agg(F.count("repository").alias("repositories"))
-    return by_owner.groupBy("key").agg(F.count("owner").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
+    """Owners and repositories of each value, and its shares; `held` has key, owner, repository, share."""
+    once = held.groupBy("key", "owner", "repository").agg(spreads(F.col("share")).alias("shares"))
+    by_owner = once.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.bit_or("shares").alias("shares"))
+    return by_owner.groupBy("key").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.bit_or("shares").alias("shares"))
 
 
 def scan(df: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", most_owners: int = MOST_OWNERS, id_col: str = "doc_id", most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row for each row of `df`: counts and spans by base patterns, all spans, and how many values look live or copied."""
-    rows = candidates(df, text).select(
-        F.col(id_col).alias("doc_id"),
-        F.col(owner).cast("string").alias("owner"),
-        F.col(repository).cast("string").alias("repository"),
-        *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE),
-        F.col("_base").alias("base"),
-        F.col("_more").alias("more"),
+    named = df.select(F.col(id_col).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.col(text).alias("text"))
+    rows = candidates(named).select(
+        "doc_id",
+        "owner",
+        "repository",
+        *(F.size(f"of_{k}").cast("long").alias(f"n_{k}") for k in BASE),
+        "base",
+        "more",
         F.monotonically_increasing_id().alias("row"),
     )
     rows = Saved(rows, "secret-candidates").df  # text is scanned once; from here on rows are narrow
     held = rows.select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("span"))
-    held = held.withColumn("key", hash128(F.col("span.value")))
-    owners = ownership(held.select("key", "owner", "repository"))
-    judged = held.select("row", "key", "span").join(owners, "key").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
+    held = held.withColumn("key", hash128(F.col("span.value"))).withColumn("share", spread_of("row"))
+    owners = each_spread(ownership(held.select("key", "owner", "repository", "share")), "shares", "share")
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+    judged = held.select("row", "key", "share", "span").join(owners, ["key", "share"]).withColumn("live", live)
     added = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("span.rank") >= len(BASE)), F.col("span"))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
