@@ -1,9 +1,9 @@
 """Temperature mixing of sources.
 
-Source s with a share q_s of all tokens gets the weight q_s^t / sum.  The exponent t is found by sections: for a target
-entropy of the weights, or as the smallest for which no source is repeated more often than a limit allows.  Each round
-sums over all sources for SECTIONS exponents at once and keeps the section in which the target lies.  The weights are
-then realised under a token budget: source s is read e_s = weight * budget / tokens times, floor(e_s) whole epochs and
+Source s with a share q_s of all tokens gets the weight q_s^t / sum.  The exponent t is found by bisection: for a target
+entropy of the weights, or as the smallest for which no source is repeated more often than a limit allows.  Where that
+takes sums over all sources, each pass has them for SECTIONS exponents at once and keeps the section in which the target
+lies.  The weights are then realised under a token budget: source s is read e_s = weight * budget / tokens times, floor(e_s) whole epochs and
 one partial epoch.  A keyed hash deals the documents of a source into blocks; each epoch permutes the blocks, and the
 partial epoch takes documents in hash order as long as its budget lasts.
 
@@ -20,7 +20,8 @@ once in full.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from fieldtrace.llm.common import WORD, Saved, free_name
 
 #: Bits of the hash that name a block, and those after them that name a part of a block.
 BLOCK_BITS, PART_BITS = 12, 16
-#: Exponents tried in one pass over the sources, and passes: the section left is 1 / 32^12 of the first.
-SECTIONS, PASSES = 31, 12
+#: Exponents tried in one pass over the sources, and passes; halvings where no pass is needed.
+SECTIONS, PASSES, STEPS = 15, 13, 60
 #: Sources whose plan is sent to every task; beyond, it is joined by shuffle.
 MAX_SENT = 100_000
 KEY_BITS = 63
@@ -45,64 +46,53 @@ def key_of(seed: int, doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(seed), doc_id, text).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
 
 
-@dataclass(frozen=True)
-class Shape:
-    """Sums over all sources at one exponent: of q^t, of q^t ln(q^t), and the range of q^t / q."""
-
-    total: float
-    logs: float
-    most: float
-    least: float
-
-    @property
-    def entropy(self) -> float:
-        import math
-
-        return math.log(self.total) - self.logs / self.total
+def sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """Per exponent t the sums over all sources of q^t and of q^t ln(q^t), in one pass; `shares` has q > 0."""
+    each = []
+    for i, t in enumerate(exponents):
+        raised = F.pow("q", F.lit(t))
+        each += [F.sum(raised).alias(f"a{i}"), F.sum(raised * F.lit(t) * F.log("q")).alias(f"b{i}")]
+    row = shares.agg(*each).first()
+    return [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(exponents))]
 
 
-def shapes(shares: DataFrame, exponents: list[float]) -> list[Shape]:
-    """One pass over the sources for all exponents; `shares` has q > 0."""
-    q = F.col("q")
-    sums = []
-    for i, t in enumerate(exponents):
-        raised = F.pow(q, F.lit(t))
-        sums += [F.sum(raised).alias(f"a{i}"), F.sum(raised * F.lit(t) * F.log(q)).alias(f"b{i}"), F.max(raised / q).alias(f"c{i}"), F.min(raised / q).alias(f"d{i}")]
-    row = shares.agg(*sums).first()
-    return [Shape(*(row[f"{x}{i}"] for x in "abcd")) for i in range(len(exponents))]
+def bisect(low: float, high: float, go_up: Callable[[float], bool]) -> float:
+    """Where `go_up(t)`, true below some point, turns false: the upper end of the last half."""
+    for _ in range(STEPS):
+        t = (low + high) / 2
+        low, high = (t, high) if go_up(t) else (low, t)
+    return high
 
 
-def exponent_for(shares: DataFrame, total: int, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> float:
-    """The exponent at which the target is met: the upper end of the last section."""
+def exponent_for(shares: DataFrame, span: tuple[float, float], total: int, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> float:
+    """The exponent at which the target is met; `span` is the range of q."""
+    if target_entropy is None and max_repeats is None:
+        return 1.0
+    if target_entropy is None and not budget:
+        # The most repeated source relative to the least repeated one: the range of the shares tells.
+        return bisect(0.0, 1.0, lambda t: (span[1] / span[0]) ** (1 - t) > max_repeats)
     if target_entropy is not None:
-        low, high, go_up = 0.0, 16.0, lambda s: s.entropy > target_entropy
-    elif max_repeats is not None:
-        # Readings of the most repeated source: under a budget, weight * budget / tokens; else relative to the least
-        # repeated.  At exponent 1 all are repeated alike: nothing flatter is needed where even that is too often.
-        most = (lambda s: s.most / s.total * budget / total) if budget else (lambda s: s.most / s.least)
-        low, high, go_up = 0.0, 1.0, lambda s: most(s) > max_repeats
+        low, high, go_up = 0.0, 16.0, lambda t, a, b: math.log(a) - b / a > target_entropy
     else:
-        return 1.0
+        # At exponent 1 all sources are repeated alike: nothing flatter is needed where even that is too often.
+        low, high, go_up = 0.0, 1.0, lambda t, a, b: span[0] ** (t - 1) / a * budget / total > max_repeats
     for _ in range(PASSES):
         tried = [low + (high - low) * i / (SECTIONS + 1) for i in range(1, SECTIONS + 1)]
-        up = [t for t, s in zip(tried, shapes(shares, tried), strict=True) if go_up(s)]
-        low = max([low, *up])
+        low = max([low, *(t for t, (a, b) in zip(tried, sums(shares, tried), strict=True) if go_up(t, a, b))])
         high = min([high, *(t for t in tried if t > low)])
-        if high - low < 1e-15:
-            break
     return high
 
 
 def weights(totals: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> DataFrame:
     """One row per source: source, tokens, weight, epochs, exponent; `totals` has source and tokens > 0."""
-    total = totals.agg(F.sum("tokens")).first()[0]
-    shares = totals.withColumn("q", F.col("tokens") / F.lit(float(total or 1)))
+    total, least, most = totals.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     if not total:
-        return shares.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(1.0).alias("exponent"))
-    t = exponent_for(shares, total, max_repeats, target_entropy, budget)
-    shape = shapes(shares, [t])[0]
-    spent = float(budget) if budget else total / (shape.least / shape.total)
-    weight = F.pow("q", F.lit(t)) / F.lit(shape.total)
+        return totals.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(1.0).alias("exponent"))
+    shares, span = totals.withColumn("q", F.col("tokens") / F.lit(float(total))), (least / total, most / total)
+    t = exponent_for(shares, span, total, max_repeats, target_entropy, budget)
+    z = sums(shares, [t])[0][0]
+    spent = float(budget) if budget else total * z / min(q ** (t - 1) for q in span)
+    weight = F.pow("q", F.lit(t)) / F.lit(z)
     # Less than a billionth of an epoch is rounding.
     epochs = F.floor(weight * F.lit(spent) / F.col("tokens") * 1e9 + 0.5) / 1e9
     return shares.select("source", "tokens", weight.alias("weight"), epochs.alias("epochs"), F.lit(t).alias("exponent"))
