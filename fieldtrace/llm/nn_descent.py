@@ -9,10 +9,13 @@ that dense groups lose no link and no pair of them is written out.  The recall i
 nodes and of one node of each component the exact links are counted against all rows, and the search goes on with
 doubled lists until the nodes of either sample have, on average, enough of theirs.
 
-Cosines are computed in double precision.  Defined cases: a null label, and a vector that is null, empty, zero or holds
-a null or non-finite component, links with nothing; vectors of different length do not link; repeated rows are copies
-and link with each other; a null id takes part, and a component's id is the smallest other one; empty tables give empty
-tables.
+doubled lists until the nodes of either sample have, on average, enough of theirs; after DOUBLINGS it fails by name.
+
+Cosines are computed in double precision on vectors scaled by their largest component, so that no finite one leaves the
+range.  Defined cases: a null label, and a vector that is null, empty, zero or holds a null or non-finite component,
+links with nothing; vectors of different length do not link; repeated rows are copies and link with each other; a null
+id takes part, and a component's id is the smallest other one; other columns, whatever their names, are not read; empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved
+from fieldtrace.llm.common import Saved, each_spread, spread_of, spreads
 from fieldtrace.llm.components import components
 
 K, TABLES, CELL, SPLIT = 12, 3, 48, 256
 ROUNDS, LEAST_CHANGE = 8, 0.005
 #: Nodes of each of the two samples whose exact links are counted in the audit, and the recall asked for.
 AUDITED, RECALL = 1000, 0.97
+#: How often lists are doubled before the search gives up with an error.
+DOUBLINGS = 6
 BLOCK = 512
+#: Labels whose sizes are sent to every task; beyond, they are joined by shuffle.
+MAX_SENT = 100_000
 
 
 def _vectors(column) -> list[np.ndarray | None]:
@@ -45,6 +52,7 @@ def _vectors(column) -> list[np.ndarray | None]:
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
     m = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # so that squares of huge or tiny numbers stay in range
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -91,56 +99,61 @@ def _edges(node: list[np.ndarray], other: list[np.ndarray], sim: list[np.ndarray
 
 
 def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """Best neighbours with another root within cells of random hyperplanes; cells are small, large ones are split."""
+    """Best neighbours with another root within cells of random hyperplanes; large cells are dealt in parts of about SPLIT.
+
+    Near-equal vectors share all cells however small these are, so cells are counted before vectors are sent to them.
+    Each table deals the rows of a large cell by another hash, or pieces of a dense group would never meet.
+    """
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
-    sized = nodes.join(sizes, ["label", "dim"]).withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / CELL))).cast("int"))
+    sized = nodes.join(F.broadcast(sizes) if sizes.limit(MAX_SENT + 1).count() <= MAX_SENT else sizes, ["label", "dim"])
+    sized = sized.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / CELL))).cast("int"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             node, bits, dim = (batch.column(i).to_numpy() for i in (0, 2, 3))
             blobs = batch.column(1).to_pylist()
-            home, root = batch.column(4).to_pylist(), batch.column(5).to_numpy()
+            home = batch.column(4).to_pylist()
             for at in _groups(dim, bits):
                 m, b, d = _unit([blobs[i] for i in at]), int(min(bits[at[0]], 40)), int(dim[at[0]])
                 for t in range(TABLES):
                     if (t, d) not in planes:
                         planes[t, d] = np.random.default_rng([seed, t, d]).standard_normal((d // 8, 40))
                     code = ((m @ planes[t, d][:, :b] > 0) @ (1 << np.arange(b, dtype=np.int64))) if b else np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{t}|{d}|{home[i]}|{c}" for i, c in zip(at.tolist(), code.tolist(), strict=True)]), pa.array(node[at]), pa.array([blobs[i] for i in at], pa.binary()), pa.array(root[at])],
-                        names=["cell", "node", "v", "root"],
-                    )
+                    cells = [f"{t}|{d}|{home[i]}|{c}" for i, c in zip(at.tolist(), code.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(node[at])], names=["cell", "node"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
         if table is None:
             return
-        cell, node = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy(), table.column(1).to_numpy()
-        blobs, root = table.column(2).to_pylist(), table.column(3).to_numpy()
-        names = table.column(0).to_pylist()
-        for whole in _groups(cell):
-            # Each table deals the rows of a large cell anew, or pieces of a dense group would never meet.
-            odd, salt = np.random.default_rng([seed, int(names[whole[0]].split("|")[0])]).integers(1 << 62, size=2, dtype=np.uint64)
-            whole = whole[np.lexsort((node[whole], (node[whole].astype(np.uint64) ^ salt) * (odd | np.uint64(1))))]
-            for start in range(0, len(whole), SPLIT):
-                at = whole[start : start + SPLIT]
-                if len(at) > 1:
-                    m = _unit([blobs[i] for i in at])
-                    sim = m @ m.T
-                    sim[root[at][:, None] == root[at][None, :]] = -2
-                    n = min(k, len(at) - 1)
-                    top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                    sims = np.take_along_axis(sim, top, 1).ravel()
-                    apart = sims > -2
-                    yield _edges([np.repeat(node[at], n)[apart]], [node[at][top].ravel()[apart]], [sims[apart]])
-
-    cells = sized.select("node", "v", "bits", F.col("dim").cast("int").alias("dim"), "label", "root").mapInArrow(deal, "cell string, node long, v binary, root long")
-    return cells.repartition("cell").mapInArrow(best, EDGE)
-
-
-def keep_best(edges: DataFrame, k: int) -> DataFrame:
-    """The `k` best edges of each node; an edge stays fresh only if no list had it before."""
+        cell, part, node = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
+        blobs, root = table.column(3).to_pylist(), table.column(4).to_numpy()
+        for at in _groups(cell, part):
+            if len(at) > 1:
+                m = _unit([blobs[i] for i in at])
+                sim = m @ m.T
+                sim[root[at][:, None] == root[at][None, :]] = -2
+                n = min(k, len(at) - 1)
+                top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+                sims = np.take_along_axis(sim, top, 1).ravel()
+                apart = sims > -2
+                yield _edges([np.repeat(node[at], n)[apart]], [node[at][top].ravel()[apart]], [sims[apart]])
+
+    coded = sized.select("node", "v", "bits", F.col("dim").cast("int").alias("dim"), "label").mapInArrow(deal, "cell string, node long")
+    cells = Saved(coded.withColumn("share", spread_of("node")), "cells").df
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), spreads(F.col("share")).alias("shares")).filter(F.col("rows") > SPLIT)
+    placed = cells.join(each_spread(large, "shares", "share"), ["cell", "share"], "left")
+    part = F.pmod(F.xxhash64(F.lit(seed), "cell", "node"), F.ceil(F.coalesce("rows", F.lit(1)) / SPLIT))
+    placed = placed.select("cell", "node", part.cast("int").alias("part")).join(nodes.select("node", "v", "root"), "node")
+    return placed.select("cell", "part", "node", "v", "root").repartition("cell", "part").mapInArrow(best, EDGE)
+
+
+def keep_best(edges: DataFrame, k: int, ahead: bool = False) -> DataFrame:
+    """The `k` best edges of each node; an edge stays fresh only if no list had it before.
+
+    With `ahead` each task cuts what it sends, for edges of which one node may have very many.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
@@ -158,7 +171,9 @@ def keep_best(edges: DataFrame, k: int) -> DataFrame:
         keep = place < k
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, other, sim, fresh)], names=["node", "other", "sim", "fresh"])
 
-    return edges.select("node", "other", "sim", "fresh").repartition("node").mapInArrow(work, EDGE)
+    own = edges.select("node", "other", "sim", "fresh")
+    own = own.mapInArrow(work, EDGE) if ahead else own
+    return own.repartition("node").mapInArrow(work, EDGE)
 
 
 def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int, inner: DataFrame | None = None) -> DataFrame:
@@ -168,7 +183,7 @@ def join_neighbours(lists: DataFrame, nodes: DataFrame, k: int, inner: DataFrame
     """
     worst = lists.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
     # In the other direction the k best and freshest count too: a node that many lists name does not gather them all.
-    back = keep_best(lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "fresh"), k)
+    back = keep_best(lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "fresh"), k, ahead=True)
     both = lists.unionByName(back).groupBy("node", "other").agg(F.min("fresh").alias("fresh"))
     if inner is not None:
         both = both.unionByName(inner.select("node", "other", F.lit(False).alias("fresh")))
@@ -277,7 +292,7 @@ def exact_links(sample: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     asked = [(r.node, r.label, np.frombuffer(bytes(r.v), np.float64)) for r in sample.collect()]  # twice AUDITED rows at most
     by: dict[tuple[str, int], list] = {}
     for node, label, v in asked:
-        by.setdefault((label, len(v)), []).append((node, v / np.linalg.norm(v)))
+        by.setdefault((label, len(v)), []).append((node, _unit([v.tobytes()])[0]))
     sent = nodes.sparkSession.sparkContext.broadcast({k: (np.array([n for n, _ in x]), np.stack([v for _, v in x])) for k, x in by.items()})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +331,7 @@ def link(df: DataFrame, least: float = 0.93, k: int = K, vec_id: str = "vec_id",
     rows = Saved(rows_of(df, vec_id, label, embedding), "vectors").df
     grouped = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
     nodes = Saved(grouped.withColumn("dim", F.length("v")).withColumn("root", F.col("node")), "vector-nodes").df
-    total = nodes.count()
+    total, widest = nodes.count(), k << DOUBLINGS
     exact = None
 
     lists = Saved(keep_best(first_lists(nodes, k, seed), k), "lists")
@@ -332,6 +347,8 @@ def link(df: DataFrame, least: float = 0.93, k: int = K, vec_id: str = "vec_id",
         recall = audited(asked, exact, found)
         if recall is None or recall >= RECALL or k >= total:
             break
+        if k >= widest:
+            raise RuntimeError(f"lists of {k} neighbours find {recall:.3f} of the audited links, less than {RECALL}: pass a larger k")
         k *= 2
         # Old edges count as fresh again, as longer lists have more to join.
         lists = Saved(keep_best(lists.df.withColumn("fresh", F.lit(True)).unionByName(first_lists(nodes, k, seed + k)), k), "lists")

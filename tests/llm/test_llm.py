@@ -248,6 +248,24 @@ def test_nn_descent_links_saturated_groups(spark):
     assert {(r.n_links, r.component_id, r.recall) for r in got.values()} == {(39, 0, 1.0), (249, 100, 1.0)}
 
 
+def test_nn_descent_with_huge_and_tiny_vectors(spark):
+    rows = [(i, 0, [x, 2 * x, 0.5 * x]) for i, x in enumerate((1.0, 1e200, 3e200, 1e-200, 5e-320))] + [(9, 0, [1e300, -1e300, 0.0])]
+    got = by_id(nn_descent.link(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (4, 0) for i in range(5)} | {9: (0, 9)}
+
+
+def test_nn_descent_with_a_third_of_all_rows_in_one_component(spark):
+    rng = np.random.default_rng(8)
+    dense = np.eye(32)[0] + 0.02 * rng.standard_normal((700, 32))
+    loose = rng.standard_normal((1400, 32))
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(np.concatenate([dense, loose]))]
+    got = by_id(nn_descent.link(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")), "vec_id")
+    m = np.concatenate([dense, loose])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    linked = m @ m.T >= 0.93
+    assert all(got[i].n_links == linked[i].sum() - 1 for i in range(len(rows))) and got[0].recall >= 0.9
+
+
 def test_nn_descent_audit_counts_nodes_not_pairs(spark):
     asked = spark.createDataFrame([(i, 0) for i in range(10)] + [(0, 1), (10, 1)], "node long, part int")
     exact = spark.createDataFrame([(i, 1000) for i in range(10)] + [(10, 2)], "node long, exact long")
