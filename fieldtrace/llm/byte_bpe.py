@@ -83,6 +83,9 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.chars = byte_characters()
         self.latin = {b: self.chars[b] for b in range(256)}
+        # Decoding inverts the byte mapping of the model's own pieces.
+        byte_of = {c: b for b, c in enumerate(self.chars)}
+        self.bytes_of = [bytes(map(byte_of.__getitem__, self.model.id_to_piece(r + 1))) for r in range(len(self.tokens))]
         self.whole = {t: np.uint32(r).tobytes() for r, t in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
 
@@ -105,7 +108,7 @@ class Codec:
         return b"".join(map(self.known.__getitem__, parts))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
