@@ -12,11 +12,12 @@ Either way a column of w rows gives at most 2 w counts.  Counts are summed over
 count, the columns that are not counted yet and those beyond the prefixes stay below the overlap that its sizes ask for.
 The rest are bounded by their hashed rows, then checked on their full rows, and linked rows are joined into components.
 
-Second product.  Columns whose rows lie in several components are multiplied in full: their rows are dealt in row blocks,
-and each pair of blocks multiplies the hashed rows of both, bit fields with a bit for each column's hash, over all
+Second product.  Columns whose rows lie in several components are multiplied in full; of columns with the same rows one
+is enough.  Rows are dealt in row blocks, and each pair of blocks multiplies the hashed rows of both, bit fields with a bit for each column's hash, over all
 columns at once.  A bit that one row has alone stands for a column that the other lacks, so the counts bound the overlap
 from above; pairs below what their sizes ask for, or within one component, are dropped and the rest checked on full
-rows.  So no link between components is lost, and no group of copies is written out pair by pair.
+rows.  Rounds in which each row gives its best pair only join what belongs together, before a last one gives all that is
+left.  So no link between components is lost, and no group of copies is written out pair by pair.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
 n words are one n-gram; rows with equal sets share a component at any number of copies; a text of any length is one row
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved, Scratch, free_name, hash128
+from fieldtrace.llm.common import Saved, Scratch, each_spread, free_name, hash128, spread_of, spreads
 from fieldtrace.llm.components import components
 
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
@@ -43,6 +44,8 @@ REMEMBERED = 400_000
 FIRST, FEW = 2, 5
 #: Rows of a row block in the second product, and of a part of a column with more rows in the first.
 ROW_BLOCK = 512
+#: Share of all links below which a round of best pairs has found so few that the next one looks at all pairs.
+FEW_LINKS = 0.02
 SKETCH_BITS = 22
 #: Bits a column, at least, of the marks that pairs are dropped by.
 MARK_BITS = 4
@@ -346,17 +349,29 @@ def block_product(x: list[bytes], y: list[bytes], bits: int) -> tuple[np.ndarray
     return shared.astype(np.int64), p.sum(1, dtype=np.int64), q.sum(1, dtype=np.int64)
 
 
-def wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of rows of one column in different components, as far as the product of their hashed rows allows.
+def open_columns(wide: DataFrame) -> DataFrame:
+    """The entries (col, node, n, root) of columns whose rows lie in several components, with what is needed to deal them.
 
-    `wide` has col, node, n, root, marks.  The rows of a column's largest component are multiplied with the other rows
-    only; both are dealt in blocks, and a task has two blocks of a column.
+    Of columns with the same rows, as those of a passage, one is enough: they would give the same pairs.
     """
-    held = wide.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"))
-    cols = held.groupBy("col").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"))
+    wide = wide.withColumn("share", spread_of("node"))
+    marks = hash128("node")
+    held = wide.groupBy("col", "root").agg(F.count(F.lit(1)).alias("rows"), spreads(F.col("share")).alias("shares"), F.bit_xor(marks["a"]).alias("x"), F.bit_xor(marks["b"]).alias("y"))
+    cols = held.groupBy("col").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("roots"), F.bit_or("shares").alias("shares"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    one = cols.filter("roots > 1").groupBy("all", "x", "y").agg(F.min(F.struct("col", "most", "shares")).alias("c"))
     number = lambda rows: F.greatest(F.lit(1), F.ceil(rows / ROW_BLOCK)).cast("int")
-    cols = cols.select("col", F.col("most.root").alias("top"), number(F.col("most.rows")).alias("tops"), number(F.col("all") - F.col("most.rows")).alias("rests"))
-    placed = wide.join(cols, "col").withColumn("rest", F.col("root") != F.col("top"))
+    one = one.select("c.col", "c.shares", F.col("c.most.root").alias("top"), number(F.col("c.most.rows")).alias("tops"), number(F.col("all") - F.col("c.most.rows")).alias("rests"))
+    placed = wide.join(each_spread(one, "shares", "share"), ["col", "share"])
+    return placed.select("col", "node", "n", "root", "tops", "rests", (F.col("root") != F.col("top")).alias("rest"))
+
+
+def wide_pairs(placed: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of rows of one column in different components, as far as the product of their hashed rows allows.
+
+    `placed` has the rows of open columns with marks.  The rows of a column's largest component are multiplied with the
+    other rows only; both are dealt in blocks, and a task has two blocks of a column.  With `best`, each row of a block
+    gives its most promising pair only, so that rows of one group do not give all their pairs before they are joined.
+    """
     own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops"))).cast("int")
     placed = placed.withColumn("own", own)
     # Blocks: (i, j) of other rows, i <= j, and (i, -1 - j) of block i of the others with block j of the largest component.
@@ -380,7 +395,7 @@ def wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
         for here in np.split(order, cuts):
             left = here[rest[here] & (own[here] == i[here[0]])]
             right = here[(own[here] == j[here[0]]) if j[here[0]] >= 0 else ~rest[here]]
-            done += _survivors(left, right, node, size.astype(np.int64), root, marks, num, den)
+            done += _survivors(left, right, node, size.astype(np.int64), root, marks, num, den, best)
             if sum(x.shape[1] for x in done) > 1 << 20:
                 yield from _distinct(done)
                 done = []
@@ -391,8 +406,8 @@ def wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select(*columns).repartition("col", "i", "j").mapInArrow(block, "a long, b long").distinct()
 
 
-def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num: int, den: int) -> Iterator[np.ndarray]:
-    """Pairs of a row of `left` and one of `right` that sizes, components and the product of hashed rows allow."""
+def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num: int, den: int, best: bool) -> Iterator[np.ndarray]:
+    """Pairs of a row of `left` and one of `right` that sizes, components and the product of hashed rows allow; the best of each row only, or all."""
     own = {int(k): marks[int(k)].as_py() for k in np.union1d(left, right)}
     bits = {k: 8 * len(m) for k, m in own.items()}
     classes = lambda at: {b: np.array([k for k in at.tolist() if bits[k] == b]) for b in {bits[k] for k in at.tolist()}}
@@ -405,7 +420,14 @@ def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num
             shared, a, b = block_product([own[k] for k in p.tolist()], [own[k] for k in q.tolist()], min(x, y))
             # Bits that one row has alone are columns that the other lacks.
             most = np.minimum(size[p][:, None] - a[:, None], size[q][None, :] - b[None, :]) + shared
-            s, t = np.nonzero(open_ & (most * (num + den) >= num * (low + high)))
+            fits = open_ & (most * (num + den) >= num * (low + high))
+            if best:
+                likely_ = np.where(fits, most / (low + high), 0)
+                top = np.zeros_like(fits)
+                top[np.arange(len(p)), likely_.argmax(1)] = True
+                top[likely_.argmax(0), np.arange(len(q))] = True
+                fits &= top
+            s, t = np.nonzero(fits)
             if len(s):
                 yield np.stack([np.minimum(node[p][s], node[q][t]), np.maximum(node[p][s], node[q][t])])
 
@@ -527,13 +549,18 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     counted = scratch.save(counted, "shingle-counted")
     asked = counted.select(F.col("a").alias("node")).union(counted.select("b")).distinct()
     links = checked(likely(counted, marked.join(asked, "node", "left_semi").dropDuplicates(["node"]), num, den))
-    if not in_wide.isEmpty():
-        placed = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).select("col", "node", "n", "root")
-        # Columns whose rows are all connected have nothing left to compare.
-        ends = placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col")
-        left = scratch.save(placed.join(ends, "col", "left_semi"), "shingle-open")
+    last = False
+    while not in_wide.isEmpty():
+        placed = wide.join(components(links), "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
+        left = scratch.save(open_columns(placed), "shingle-open")
         of_left = marked.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
-        links = links.unionByName(checked(wide_pairs(left.join(of_left, "node"), num, den)))
+        left = left.join(of_left, "node")
+        found = checked(wide_pairs(left, num, den, best=not last))
+        links = links.unionByName(found)
+        if last:
+            break
+        # Components that grew in this round may have grown enough; what is still open then is looked at in full.
+        last = found.count() <= FEW_LINKS * links.count()
     roots = components(links)
     smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
