@@ -16,8 +16,8 @@ Second product.  Columns whose rows lie in several components are multiplied in
 is enough.  Rows are dealt in row blocks, and each pair of blocks multiplies the hashed rows of both, bit fields with a bit for each column's hash, over all
 columns at once.  A bit that one row has alone stands for a column that the other lacks, so the counts bound the overlap
 from above; pairs below what their sizes ask for, or within one component, are dropped and the rest checked on full
-rows.  Rounds in which each row gives its best pair only join what belongs together, before a last one gives all that is
-left.  So no link between components is lost, and no group of copies is written out pair by pair.
+rows.  Blocks with many pairs give the PER_ROW best ones of each row; then linked rows are joined, and columns that are
+still open are multiplied again, until no pair is left out.  So no link between components is lost, and no group of copies is written out pair by pair.
 
 Defined cases: null and wordless texts have size 0, link with nothing and are their own component; texts with fewer than
 n words are one n-gram; rows with equal sets share a component at any number of copies; a text of any length is one row
@@ -44,7 +44,9 @@ REMEMBERED = 400_000
 FIRST, FEW = 2, 5
 #: Rows of a row block in the second product, and of a part of a column with more rows in the first.
 ROW_BLOCK = 512
-#: Share of all links below which a round of best pairs has found so few that the next one looks at all pairs.
+#: Pairs a row, on average, that a pair of blocks gives in a round of the second product; of more, each row gives its best.
+PER_ROW = 4
+#: Share of all links below which a round has found so few that the next one gives all pairs.
 FEW_LINKS = 0.02
 SKETCH_BITS = 22
 #: Bits a column, at least, of the marks that pairs are dropped by.
@@ -365,12 +367,13 @@ def open_columns(wide: DataFrame) -> DataFrame:
     return placed.select("col", "node", "n", "root", "tops", "rests", (F.col("root") != F.col("top")).alias("rest"))
 
 
-def wide_pairs(placed: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+def wide_pairs(placed: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
     """Pairs (a, b) of rows of one column in different components, as far as the product of their hashed rows allows.
 
     `placed` has the rows of open columns with marks.  The rows of a column's largest component are multiplied with the
-    other rows only; both are dealt in blocks, and a task has two blocks of a column.  With `best`, each row of a block
-    gives its most promising pair only, so that rows of one group do not give all their pairs before they are joined.
+    other rows only; both are dealt in blocks, and a task has two blocks of a column.  Of a pair of blocks with more
+    than `most` pairs a row on average each row gives the `most` most promising ones, so that rows of one group do not give all their pairs before they are joined; a row
+    of nulls says that there are more.  Without `most` all are given.
     """
     own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops"))).cast("int")
     placed = placed.withColumn("own", own)
@@ -395,7 +398,7 @@ def wide_pairs(placed: DataFrame, num: int, den: int, best: bool) -> DataFrame:
         for here in np.split(order, cuts):
             left = here[rest[here] & (own[here] == i[here[0]])]
             right = here[(own[here] == j[here[0]]) if j[here[0]] >= 0 else ~rest[here]]
-            done += _survivors(left, right, node, size.astype(np.int64), root, marks, num, den, best)
+            done += _survivors(left, right, node, size.astype(np.int64), root, marks, num, den, most)
             if sum(x.shape[1] for x in done) > 1 << 20:
                 yield from _distinct(done)
                 done = []
@@ -403,11 +406,16 @@ def wide_pairs(placed: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             yield from _distinct(done)
 
     columns = ["col", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "rest", "node", "n", "root", "marks"]
-    return dealt.select(*columns).repartition("col", "i", "j").mapInArrow(block, "a long, b long").distinct()
+    found = dealt.select(*columns).repartition("col", "i", "j").mapInArrow(block, "a long, b long").distinct()
+    return found.select(F.nullif("a", F.lit(-1)).alias("a"), F.nullif("b", F.lit(-1)).alias("b"))
 
 
-def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num: int, den: int, best: bool) -> Iterator[np.ndarray]:
-    """Pairs of a row of `left` and one of `right` that sizes, components and the product of hashed rows allow; the best of each row only, or all."""
+#: Stands for pairs that are left out.
+CUT = np.full((2, 1), -1, np.int64)
+
+
+def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num: int, den: int, most: int | None) -> Iterator[np.ndarray]:
+    """Pairs of a row of `left` and one of `right` that sizes, components and the product of hashed rows allow; CUT if some are left out."""
     own = {int(k): marks[int(k)].as_py() for k in np.union1d(left, right)}
     bits = {k: 8 * len(m) for k, m in own.items()}
     classes = lambda at: {b: np.array([k for k in at.tolist() if bits[k] == b]) for b in {bits[k] for k in at.tolist()}}
@@ -419,13 +427,14 @@ def _survivors(left: np.ndarray, right: np.ndarray, node, size, root, marks, num
                 continue
             shared, a, b = block_product([own[k] for k in p.tolist()], [own[k] for k in q.tolist()], min(x, y))
             # Bits that one row has alone are columns that the other lacks.
-            most = np.minimum(size[p][:, None] - a[:, None], size[q][None, :] - b[None, :]) + shared
-            fits = open_ & (most * (num + den) >= num * (low + high))
-            if best:
-                likely_ = np.where(fits, most / (low + high), 0)
+            bound = np.minimum(size[p][:, None] - a[:, None], size[q][None, :] - b[None, :]) + shared
+            fits = open_ & (bound * (num + den) >= num * (low + high))
+            if most and fits.sum() > most * (len(p) + len(q)):
+                yield CUT
+                promise = np.where(fits, bound / (low + high), 0)
                 top = np.zeros_like(fits)
-                top[np.arange(len(p)), likely_.argmax(1)] = True
-                top[likely_.argmax(0), np.arange(len(q))] = True
+                np.put_along_axis(top, np.argsort(-promise, axis=1, kind="stable")[:, :most], True, 1)
+                np.put_along_axis(top, np.argsort(-promise, axis=0, kind="stable")[:most], True, 0)
                 fits &= top
             s, t = np.nonzero(fits)
             if len(s):
@@ -549,18 +558,18 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     counted = scratch.save(counted, "shingle-counted")
     asked = counted.select(F.col("a").alias("node")).union(counted.select("b")).distinct()
     links = checked(likely(counted, marked.join(asked, "node", "left_semi").dropDuplicates(["node"]), num, den))
-    last = False
+    most = PER_ROW
     while not in_wide.isEmpty():
         placed = wide.join(components(links), "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
         left = scratch.save(open_columns(placed), "shingle-open")
         of_left = marked.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
-        left = left.join(of_left, "node")
-        found = checked(wide_pairs(left, num, den, best=not last))
+        pairs = scratch.save(wide_pairs(left.join(of_left, "node"), num, den, most), "shingle-wide-pairs")
+        found = checked(pairs.filter("a is not null"))
         links = links.unionByName(found)
-        if last:
+        if pairs.filter("a is null").isEmpty():
             break
-        # Components that grew in this round may have grown enough; what is still open then is looked at in full.
-        last = found.count() <= FEW_LINKS * links.count()
+        # Where a round has joined next to nothing, what it left out is not waiting to be joined: the next gives all.
+        most = None if found.count() <= FEW_LINKS * links.count() else PER_ROW
     roots = components(links)
     smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
