@@ -90,6 +90,46 @@ FILE_RULES = (
 SNIFF_BYTES = 8192
 
 
+def load_rules(path: str, kind: str) -> tuple[Rule, ...]:
+    """A user's rules of a kind (`events` or `anchors`) from a YAML or JSON file.
+
+    An entry has `type`, `applies_to`, `patterns` (each with `regex`, `keyword_any` or `keyword_all`), and may have
+    `fields` (name to pattern) and `confidence`.
+    """
+    out = []
+    for entry in _read(path).get(kind) or []:
+        if not isinstance(entry, dict) or not entry.get("type") or not entry.get("applies_to"):
+            raise ValueError(f"{path}: a rule needs `type` and `applies_to`: {entry!r}")
+        pick = lambda name, e=entry: [p[name] for p in e.get("patterns") or () if p.get(name)]
+        words = lambda name, pick=pick: tuple(w for ws in pick(name) for w in ws)
+        fields = {k: v if isinstance(v, str) else v["regex"] for k, v in (entry.get("fields") or {}).items()}
+        for pattern in (*pick("regex"), *fields.values()):
+            re.compile(pattern)
+        confidence = entry.get("confidence")
+        out.append(Rule(entry["type"], tuple(entry["applies_to"]), tuple(pick("regex")), words("keyword_any"), words("keyword_all"), fields, 1.0 if confidence is None else float(confidence)))
+    return tuple(out)
+
+
+def load_slim(path: str) -> tuple[dict[str, tuple[str, ...]], tuple[str, ...]]:
+    """(drop by controller, keep) of a user's line filter from a YAML or JSON file, as `slim_keeps` takes them."""
+    spec, drop = _read(path).get("slim") or {}, {}
+    for group in spec.get("drop") or []:
+        drop[group["controller"]] = (*drop.get(group["controller"], ()), *group["patterns"])
+    return drop, tuple(spec.get("keep_always") or ())
+
+
+def _read(path: str) -> dict:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
 def scoped(pattern: str) -> str:
     """The pattern as a group of its own: leading flags hold within it, and named groups become plain ones."""
     plain = re.sub(r"\(\?P<[A-Za-z_]\w*>", "(", pattern)

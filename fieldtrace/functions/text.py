@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What redaction replaces, in this order.
+# What redaction replaces, in this order, and what counts as a word, a Han run and white space at the ends.
 SENSITIVE = {
     "VIN": r"[A-HJ-NPR-Z0-9]{17}",
     "PHONE": r"1[3-9]\d{9}",
@@ -13,6 +13,12 @@ SENSITIVE = {
 }
 WORD = r"[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*"
 HAN = r"[一-鿿]+"
+BLANK = r"[\s\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
 
 
 def redact(text: Column) -> Column:
@@ -34,7 +40,7 @@ def tokens(text: Column) -> Column:
 
 def query_key(scenario: Column, query: Column) -> Column:
     """Cache key of a query: blanks at its ends and case do not matter."""
-    return F.sha2(F.concat(scenario, F.lit("|"), F.lower(F.trim(query))), 256)
+    return F.sha2(F.concat(scenario, F.lit("|"), F.lower(strip(query))), 256)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -53,7 +59,7 @@ def _merged(chunks: Column, least: int) -> Column:
     """Strips chunks; one below `least` characters joins the one before it, and goes if there is none."""
 
     def step(out: Column, c: Column) -> Column:
-        bare = F.trim(c["text"])
+        bare = strip(c["text"])
         last = F.element_at(out, -1)
         joined = F.struct(F.concat_ws("\n", last["text"], bare).alias("text"), last["start"].alias("start"), c["stop"].alias("stop"))
         short = F.when(F.size(out) > 0, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(out)
@@ -83,7 +89,7 @@ def chunk_sliding(text: Column, size: int = 500, overlap: int = 50, least: int =
 
 def chunk_paragraphs(text: Column, size: int = 500, least: int = 50) -> Column:
     """Paragraphs packed while they fit; places count each paragraph and two line ends."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: strip(p)), lambda p: p != "")
     state = f"struct<out:{CHUNK},held:string,start:int,at:int>"
     zero = F.struct(F.array().cast(CHUNK).alias("out"), F.lit("").alias("held"), F.lit(0).alias("start"), F.lit(0).alias("at")).cast(state)
     closed = lambda s: F.concat(s["out"], F.array(F.struct(s["held"].alias("text"), s["start"].alias("start"), (s["start"] + F.length(s["held"])).alias("stop"))))
@@ -106,13 +112,24 @@ def ticket_ids(task: Column) -> Column:
 
 def title_of(message: Column, most: int = 18) -> Column:
     """Blanks collapsed, cut to `most` characters with dots after them."""
-    bare = F.trim(F.regexp_replace(message, r"\s+", " "))
+    bare = strip(F.regexp_replace(message, r"(?U)\s+", " "))
     return F.when(F.length(bare) > most, F.concat(F.left(bare, F.lit(most)), F.lit("..."))).otherwise(bare)
 
 
 def duration_label(seconds: Column) -> Column:
-    s = F.floor(F.abs(seconds)).cast("long")
-    return F.when(s >= 3600, F.format_string("%dh%dm", F.floor(s / 3600), F.floor(s % 3600 / 60))).when(s >= 60, F.format_string("%dm%ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+    """Hours and minutes, minutes, or seconds below a minute; empty for null and negative values."""
+    s = F.floor(seconds + 0.5).cast("long")
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    long_ = F.when(h == 0, F.format_string("%dm", m)).when(m == 0, F.format_string("%dh", h)).otherwise(F.format_string("%dh %dm", h, m))
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0), "").when(s < 60, F.format_string("%ds", s)).otherwise(long_)
+
+
+def delta_label(seconds: Column) -> Column:
+    """The two largest units of a difference, which is at least 0; dashes without one."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("long")
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    some = F.when(h > 0, F.format_string("Δ%dh %dm", h, m)).when(m > 0, F.format_string("Δ%dm %ds", m, s % 60)).otherwise(F.format_string("Δ%ds", s))
+    return F.when(seconds.isNull() | F.isnan(seconds), "Δ--").otherwise(some)
 
 
 def cut_bytes(text: Column, most: int) -> Column:

@@ -17,8 +17,7 @@ def nearest_pairs(source: np.ndarray, base: np.ndarray, window: float) -> list[t
     """Source times in order each take the nearer unused of the two base times around them, if within the window."""
     used = np.zeros(len(base), bool)
     out = []
-    for i, t in enumerate(source):
-        at = int(np.searchsorted(base, t))
+    for i, (t, at) in enumerate(zip(source.tolist(), np.searchsorted(base, source).tolist(), strict=True)):
         around = [j for j in (at - 1, at) if 0 <= j < len(base) and not used[j]]
         if around:
             j = min(around, key=lambda j: (abs(base[j] - t), j))
@@ -35,15 +34,18 @@ def anchor_pairs(source: DataFrame, base: DataFrame, windows: tuple[float, ...]
     """
 
     def match(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        parts = []
         two = two.sort_values("raw_timestamp", kind="stable")
+        theirs, weight = two.raw_timestamp.to_numpy(), two.confidence.to_numpy()
         for name, own in one.groupby("controller"):
             own = own.sort_values("raw_timestamp", kind="stable")
+            times, trust = own.raw_timestamp.to_numpy(), own.confidence.to_numpy()
             for window in windows:
-                for i, j in nearest_pairs(own.raw_timestamp.to_numpy(), two.raw_timestamp.to_numpy(), window):
-                    a, b = own.iloc[i], two.iloc[j]
-                    rows.append((a.bundle_id, name, a.anchor_type, window, a.raw_timestamp, b.raw_timestamp, max(a.confidence * b.confidence, 1e-6)))
-        return pd.DataFrame(rows, columns=["bundle_id", "controller", "anchor_type", "window", "source_ts", "base_ts", "weight"])
+                pairs = np.array(nearest_pairs(times, theirs, window), np.int64).reshape(-1, 2)
+                i, j = pairs[:, 0], pairs[:, 1]
+                fixed = {"bundle_id": own.bundle_id.iat[0], "controller": name, "anchor_type": own.anchor_type.iat[0], "window": window}
+                parts.append(pd.DataFrame({**fixed, "source_ts": times[i], "base_ts": theirs[j], "weight": np.maximum(trust[i] * weight[j], 1e-6)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["bundle_id", "controller", "anchor_type", "window", "source_ts", "base_ts", "weight"])
 
     keys = ["bundle_id", "anchor_type"]
     base = base.select(*(F.col(c).alias(c) for c in base.columns))  # both sides may come from one frame
@@ -87,17 +89,22 @@ def align(anchors: DataFrame, present: DataFrame) -> DataFrame:
     known = clean.join(bases, "bundle_id")
     base = known.filter("controller = base").select("bundle_id", "anchor_type", "raw_timestamp", "confidence")
     sane = lambda df: df.filter(F.abs("offset") <= MAX_OFFSET)
-    direct = sane(chosen_window(offsets(anchor_pairs(known.filter("controller <> base").select(*clean.columns), base), "bundle_id", "controller", "window"), "bundle_id", "controller"))
+    every = chosen_window(offsets(anchor_pairs(known.filter("controller <> base").select(*clean.columns), base), "bundle_id", "controller", "window"), "bundle_id", "controller")
+    direct = sane(every)
+    seen = clean.groupBy("bundle_id", "controller").agg(F.count(F.lit(1)).alias("anchors"))
 
     # A second hop over android, where it is well aligned itself and the target is not.
     bridge = direct.filter("controller = 'android' and confidence >= 0.6").select("bundle_id", F.col("offset").alias("bridge_offset"), F.col("confidence").alias("bridge_confidence"))
     weak = known.filter("controller <> base and controller <> 'android'").join(direct.select("bundle_id", "controller", F.col("confidence").alias("own")), ["bundle_id", "controller"], "left").filter("coalesce(own, 0) < 0.7")
     over = known.filter("controller = 'android' and base <> 'android'").select("bundle_id", "anchor_type", "raw_timestamp", "confidence")
     hop = chosen_window(offsets(anchor_pairs(weak.select(*clean.columns), over), "bundle_id", "controller", "window"), "bundle_id", "controller").join(bridge, "bundle_id")
-    hop = sane(hop.select("bundle_id", "controller", (F.col("bridge_offset") + F.col("offset")).alias("offset"), (F.col("confidence") * F.col("bridge_confidence") * 0.95).alias("confidence"), "n"))
+    hops = hop.select("bundle_id", "controller", (F.col("bridge_offset") + F.col("offset")).alias("offset"), (F.col("confidence") * F.col("bridge_confidence") * 0.95).alias("confidence"), "n")
+    hop = sane(hops)
+    far = lambda df, name: df.filter(F.abs("offset") > MAX_OFFSET).select("bundle_id", "controller", F.col("offset").alias(name))
     two = hop.select("bundle_id", "controller", F.col("offset").alias("hop_offset"), F.col("confidence").alias("hop_confidence"), F.col("n").alias("hop_n"))
 
     both = present.filter("controller <> 'unknown'").join(bases, "bundle_id", "left").join(direct, ["bundle_id", "controller"], "left").join(two, ["bundle_id", "controller"], "left")
+    both = both.join(seen, ["bundle_id", "controller"], "left").join(far(every, "far_direct"), ["bundle_id", "controller"], "left").join(far(hops, "far_hop"), ["bundle_id", "controller"], "left")
     better = F.col("hop_confidence") > F.coalesce("confidence", F.lit(0.0))
     is_base = F.coalesce(F.col("controller") == F.col("base"), F.lit(False))
     placed = both.select(
@@ -107,11 +114,26 @@ def align(anchors: DataFrame, present: DataFrame) -> DataFrame:
         F.when(is_base, 0.0).when(better, F.col("hop_offset")).otherwise(F.col("offset")).alias("offset"),
         F.when(is_base, 1.0).when(better, F.col("hop_confidence")).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
         F.when(is_base, "none").when(better, "two_hop").when(F.col("offset").isNotNull(), "direct").otherwise("none").alias("method"),
-        F.when(better, F.col("hop_n")).otherwise(F.coalesce("n", F.lit(0))).alias("n"),
+        F.when(is_base, F.coalesce("anchors", F.lit(0))).when(better, F.col("hop_n")).otherwise(F.coalesce("n", F.lit(0))).alias("n"),
+        warnings_of(is_base).alias("warnings"),
     )
     return placed.join(statuses(placed), "bundle_id")
 
 
+def warnings_of(is_base: Column) -> Column:
+    """What went wrong for a controller, and for its bundle."""
+    name, based = F.col("controller"), F.col("base").isNotNull()
+    rejected = lambda c, how: F.when(F.col(c).isNotNull(), F.format_string(f"%s: {how} offset of %.0f s is beyond 30 days", name, c))
+    each = (
+        F.when(F.col("base") == "android", "no usable anchors of tbox: android is the base clock"),
+        F.when(~based, "no usable anchors of tbox or android: not aligned"),
+        F.when(based & ~is_base & F.col("anchors").isNull(), F.concat(name, F.lit(": no usable anchors"))),
+        rejected("far_direct", "direct"),
+        rejected("far_hop", "two-hop"),
+    )
+    return F.filter(F.array(*each), lambda w: w.isNotNull())
+
+
 def statuses(placed: DataFrame) -> DataFrame:
     """success: every target has confidence 0.8; partial: at least half of them, one at least, have an offset; else failed."""
     target = F.coalesce(F.col("controller") != F.col("base"), F.lit(True))
@@ -160,8 +182,8 @@ def refine_unsynced(files: DataFrame, lines: DataFrame, sync: Column) -> DataFra
 
 
 def summary(placed: DataFrame) -> DataFrame:
-    """One row per bundle: status and a map from controller to what was found."""
+    """One row per bundle: status, a map from controller to what was found, and all warnings."""
     value = F.struct("offset", "confidence", "method", "n")
-    return placed.groupBy("bundle_id", "status").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("controller", value)))).alias("sources"))
+    return placed.groupBy("bundle_id", "status").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("controller", value)))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
 
 

@@ -138,6 +138,23 @@ def forward_filled(lines: DataFrame, by: str, order: str, ts: str) -> DataFrame:
     return lines.withColumn("filled", F.last(ts, ignorenulls=True).over(w))
 
 
+def counters(files: DataFrame, events: DataFrame, anchors: DataFrame, index: DataFrame) -> DataFrame:
+    """Per bundle: events, anchors, files with an index, files with unsynced ranges, and files that gave no lines."""
+    indexed = index.select("file_id").distinct().withColumn("_indexed", F.lit(1))
+    none = F.coalesce(F.col("line_count"), F.lit(0)) == 0
+    whole = files.join(indexed, "file_id", "left").groupBy("bundle_id").agg(
+        F.count("_indexed").alias("indexed_files"), F.count(F.when(F.size(F.coalesce("unsynced", F.array())) > 0, 1)).alias("unsynced_files"), F.count(F.when(none, 1)).alias("skipped")
+    )
+    per = lambda df, name: df.groupBy("bundle_id").agg(F.count(F.lit(1)).alias(name))
+    out = whole.join(per(events, "events"), "bundle_id", "left").join(per(anchors, "anchors"), "bundle_id", "left")
+    return out.select("bundle_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("events", "anchors", "indexed_files", "unsynced_files", "skipped")))
+
+
+def controllers_present(files: DataFrame) -> DataFrame:
+    """(bundle_id, controller) of all known controllers."""
+    return files.filter("controller <> 'unknown'").select("bundle_id", "controller").distinct()
+
+
 def clip(lines: DataFrame, fault: float, before: float = 60.0, after: float = 30.0, most: int = 500, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts") -> DataFrame:
     """Lines of each file around a fault; all its lines, with `fallback`, if none is there.  At most `most` of each file."""
     near = F.coalesce(F.col("filled").between(fault - before, fault + after), F.lit(False))

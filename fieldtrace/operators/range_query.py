@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import rules as R
@@ -95,10 +95,14 @@ def query(
 
 
 def limited(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The first `limit` rows by `keys`; `truncated` says whether there were more."""
+    """The first `limit` rows by `keys`; `truncated` says whether there were more.
+
+    One pass: the limit, which HARD_LIMIT bounds, is cut with one row to spare, and that row is counted.
+    """
+    whole = Window.partitionBy(F.lit(0))  # at most HARD_LIMIT + 1 rows, which the limit has brought together already
     probe = df.orderBy(*keys).limit(limit + 1)
-    more = probe.agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return probe.orderBy(*keys).limit(limit).crossJoin(F.broadcast(more))  # one row
+    numbered = probe.withColumns({"_n": F.row_number().over(whole.orderBy(*keys)), "truncated": F.count(F.lit(1)).over(whole) > limit})
+    return numbered.filter(F.col("_n") <= limit).drop("_n")
 
 
 def events(df: DataFrame, types: list[str] | None = None, controllers: list[str] | None = None, start: float | None = None, end: float | None = None, clock: str = "raw_timestamp") -> DataFrame:
@@ -122,6 +126,31 @@ def valid_ranges(files: DataFrame) -> DataFrame:
     return ends.groupBy("bundle_id", "controller").agg(F.min("_low").alias("valid_start"), F.max("_high").alias("valid_end"))
 
 
+def files_of(files: DataFrame, bundle: str) -> DataFrame:
+    """Files of a bundle, by controller and name."""
+    return files.filter(F.col("bundle_id") == bundle).orderBy("controller", "original_name")
+
+
+def overall_range(ranges: DataFrame) -> DataFrame:
+    """Per bundle the range that covers all its controllers (bundle_id, start, end); null ends do not count."""
+    return ranges.groupBy("bundle_id").agg(F.min("valid_start").alias("start"), F.max("valid_end").alias("end"))
+
+
+def fetch(lines: DataFrame, files: DataFrame, bundle: str, words: list[str], limit: int = DEFAULT_LIMIT, **more) -> DataFrame:
+    """Lines of a bundle's whole valid range that hold any of the words, with `shown`: time, controller and text.
+
+    A bundle without a valid range has none; what is shown then is the caller's choice.
+    """
+    own = files.filter(F.col("bundle_id") == bundle)
+    span = overall_range(valid_ranges(own)).first()  # one row
+    start, end = (span["start"], span["end"]) if span and span["start"] is not None else (0.0, -1.0)
+    if end < start:
+        return query(lines.limit(0), own, 0.0, 0.0, limit=limit).withColumn("shown", F.lit(None).cast("string"))
+    found = query(lines.filter(F.col("bundle_id") == bundle), own, start, end, limit=limit, **more)
+    shown = found.withColumn("shown", F.concat(F.lit("["), F.coalesce(F.col("aligned_ts").cast("string"), F.lit("")), F.lit("]["), "controller", F.lit("] "), "line"))
+    return keyword_lines(shown, words, "shown")
+
+
 def ndjson(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
@@ -146,4 +175,4 @@ def keyword_lines(lines: DataFrame, words: list[str], column: str = "text") -> D
     return lines.filter(hit) if words else lines
 
 
-__all__ = ["aligned_range", "estimate", "events", "keyword_lines", "limited", "ndjson", "overlapping", "parse_time", "query", "valid_ranges"]
+__all__ = ["aligned_range", "estimate", "events", "fetch", "keyword_lines", "limited", "ndjson", "overall_range", "overlapping", "parse_time", "query", "valid_ranges"]

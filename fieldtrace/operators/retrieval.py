@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import text as T
+from fieldtrace.sources.tables import stage
+
+
+#: Terms whose weights are sent to every task; more are joined by shuffle, where adaptive execution splits common terms.
+MAX_SENT = 300_000
 
 
 def term_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -28,9 +33,11 @@ def tfidf_topk(docs: DataFrame, query: str, k: int = 5, least: float = 0.1, doc:
     query's terms are joined.
     """
     spark = docs.sparkSession
-    counts = term_counts(docs, doc, text)
-    n = docs.count()
-    weights = idf(counts, F.lit(n))
+    # Written once: texts are cut into terms in one pass, which the weights and the norms then read.
+    counts = stage(term_counts(docs, doc, text), "terms")
+    weights = stage(idf(counts, F.lit(docs.count())), "weights")
+    if weights.count() <= MAX_SENT:
+        weights = F.broadcast(weights)
     asked = spark.createDataFrame([(query,)], "q string").select(T.tokens(F.col("q")).alias("_t"))
     asked = asked.select(F.size("_t").alias("total"), F.explode("_t").alias("term")).groupBy("term", "total").agg(F.count(F.lit(1)).alias("count"))
     asked = asked.join(weights, "term", "left").select("term", (F.col("count") / F.col("total") * F.coalesce("idf", F.lit(1.0))).alias("q"))

@@ -22,6 +22,47 @@ def add_new(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.unionByName(new.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
+def page_of(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page with `total`, the number of all rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return page(df, order, offset, limit).crossJoin(F.broadcast(total))
+
+
+def without(table: DataFrame, key: str, value, *dependants: DataFrame) -> tuple[DataFrame, ...]:
+    """`table` and the tables that refer to it, without the rows of one key."""
+    return tuple(df.filter(~F.coalesce(F.col(key) == value, F.lit(False))) for df in (table, *dependants))
+
+
+def of_case(feedback: DataFrame, case: str | None = None, status: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Feedback of a case, or with a status, newest first."""
+    for column, value in (("case_id", case), ("confirmation_status", status)):
+        if value:
+            feedback = feedback.filter(F.col(column) == value)
+    ordered = feedback.orderBy(F.desc("confirmed_at"), "id").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def bundle_status(bundles: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each bundle with its number of files, files by controller and valid range by controller (maps)."""
+    each = files.groupBy("bundle_id", "controller").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("bundle_id").agg(F.sum("n").alias("file_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("controller", "n")))).alias("files_by_controller"))
+    span = F.struct("controller", F.struct(F.col("valid_start").alias("start"), F.col("valid_end").alias("end")).alias("range"))
+    spans = ranges.groupBy("bundle_id").agg(F.map_from_entries(F.array_sort(F.collect_list(span))).alias("valid_time_range_by_controller"))
+    out = bundles.join(counts, "bundle_id", "left").join(spans, "bundle_id", "left")
+    return out.withColumns(
+        {
+            "file_count": F.coalesce("file_count", F.lit(0).cast("long")),
+            "files_by_controller": F.coalesce("files_by_controller", F.create_map().cast("map<string,bigint>")),
+            "valid_time_range_by_controller": F.coalesce("valid_time_range_by_controller", F.create_map().cast("map<string,struct<start:double,end:double>>")),
+        }
+    )
+
+
+def overall_label(answers: DataFrame, by: str, level: str) -> DataFrame:
+    """high if any answer is, else medium."""
+    return answers.groupBy(by).agg(F.when(F.bool_or(F.coalesce(F.col(level) == "high", F.lit(False))), "high").otherwise("medium").alias("label"))
+
+
 def conflicts(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(table.select(key), key, "left_semi")
 
@@ -54,6 +95,12 @@ def cache_get(table: DataFrame, query_hash: str, kind: str, now: Column) -> Data
     return live.orderBy(F.desc("created_at")).limit(1)
 
 
+def cache_hit(table: DataFrame, query_hash: str, kind: str, now: Column) -> DataFrame:
+    """`table` after a read: the row that `cache_get` finds has one hit more; `id` names rows."""
+    found = cache_get(table, query_hash, kind, now).select(F.col("id").alias("_id"))  # one row at most
+    return table.join(F.broadcast(found), F.col("id") == F.col("_id"), "left").withColumn("hit_count", F.col("hit_count") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)).select(*table.columns)
+
+
 def cache_drop(table: DataFrame, now: Column, query_hash: str | None = None, kind: str | None = None) -> DataFrame:
     """Without one hash, or without what has expired, of one type or of all."""
     if query_hash is not None:
@@ -90,11 +137,15 @@ def recall(text: Column, wanted: Column) -> Column:
     return F.size(F.filter(wanted, lambda w: text.contains(F.lower(w)))) / F.greatest(F.size(wanted), F.lit(1))
 
 
+def word_set(text: Column) -> Column:
+    """Distinct words of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
 def token_overlap(text: Column, wanted: Column) -> Column:
     """Share of the wanted text's words that the text has; 0 without words."""
-    bag = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
-    want = bag(wanted)
-    return F.when(F.size(want) > 0, F.size(F.array_intersect(want, bag(text))) / F.size(want)).otherwise(0.0)
+    want = word_set(wanted)
+    return F.when(F.size(want) > 0, F.size(F.array_intersect(want, word_set(text))) / F.size(want)).otherwise(0.0)
 
 
 def evaluate(cases: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -150,7 +201,12 @@ def density(events: DataFrame, by: str, ts: str, kind: str, start: Column, end:
     """Events per lane and slice of the time line, with the first three types in order of time."""
     pct = (F.col(ts) - start) / (end - start) * 100
     each = events.select(by, F.floor(pct / width).cast("long").alias("slot"), F.col(ts).alias("_t"), F.col(kind).alias("_k"))
-    return each.groupBy(by, "slot").agg(F.count(F.lit(1)).alias("n"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_t", "_k"))), 1, 3), lambda x: x["_k"]).alias("types"))
+    counts = each.groupBy(by, "slot").agg(F.count(F.lit(1)).alias("n"))
+    # Three rows of each slice are kept before they meet, so that no task holds a slice.
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy(by, "slot").orderBy("_t", "_k"))).filter("_n <= 3")
+    types = first.groupBy(by, "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_k"))), lambda x: x["_k"]).alias("types"))
+    one, two = (df.withColumn("_slot", F.coalesce("slot", F.lit(-1).cast("long"))) for df in (counts, types))
+    return one.join(two.drop("slot"), [by, "_slot"], "left").drop("_slot")
 
 
 def metrics(files: DataFrame, events: DataFrame, bundles: DataFrame) -> DataFrame:

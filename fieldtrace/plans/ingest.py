@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from fieldtrace.operators.services import first_seen
 from fieldtrace.schema import effective
 from fieldtrace.sources import archives
 from fieldtrace.sources import lines as L
+from fieldtrace.sources.tables import stage, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -29,19 +28,20 @@ class Bundle:
     summary: DataFrame
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the cluster's shared folder and read from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="fieldtrace-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/ingest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def store(bundle: Bundle, folder: str) -> None:
+    """Writes a bundle's tables below `folder`; storing a bundle again replaces its own rows and no others."""
+    for name in ("events", "anchors", "files"):
+        write_partitioned(getattr(bundle, name), f"{folder}/{name}", "bundle_id")
+    own = bundle.files.select("file_id", "bundle_id")
+    for name in ("segments", "index"):
+        write_partitioned(getattr(bundle, name).join(own, "file_id"), f"{folder}/{name}", "bundle_id")
+    write_partitioned(bundle.summary, f"{folder}/alignment", "bundle_id")
 
 
-def ingest(spark: SparkSession, paths: list[str] | str) -> Bundle:
+def ingest(spark: SparkSession, paths: list[str] | str, extra_names: dict[str, tuple[str, ...]] | None = None) -> Bundle:
+    """`extra_names` adds file names by controller to the rules that classify files."""
     members = first_seen(archives.files(spark, paths).withColumn("_key", F.struct("bundle_id", "sha256")), F.col("_key"), "seq").drop("_key")
-    kind = R.classify(F.col("bundle_relative_path"), F.col("original_name"), F.col("content"))
+    kind = R.classify(F.col("bundle_relative_path"), F.col("original_name"), F.col("content"), extra_names=extra_names)
     placed = stage(members.withColumn("controller", kind).withColumn("modified", F.lit(None).cast("timestamp")), "members")
     return derive(placed.drop("content"), stage(L.decode(placed), "lines"))
 

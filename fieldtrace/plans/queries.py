@@ -16,7 +16,7 @@ from fieldtrace.functions import text as T
 from fieldtrace.operators import align, prescan, retrieval, services
 from fieldtrace.operators import range_query as Q
 from fieldtrace.schema import epoch
-from fieldtrace.sources.tables import table
+from fieldtrace.sources.tables import table, updated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,10 +101,10 @@ def status_counts(spark, sf_dir):
 
 
 @query(f"""WITH {LINES} SELECT event_type, controller, CASE WHEN line_no % 7 = 0 THEN NULL ELSE raw_ts END AS raw_timestamp, line_no FROM lines WHERE event_type IN ('error', 'signup') AND controller IN ('kernel', 'mcu')
-ORDER BY raw_timestamp NULLS LAST, line_no LIMIT 500""")
+""")
 def events_filtered_nulls_last(spark, sf_dir):
     own = lines(spark, sf_dir).select("event_type", "controller", F.when(F.col("line_no") % 7 != 0, F.col("raw_ts")).alias("raw_timestamp"), "line_no")
-    return Q.events(own, ["error", "signup"], ["kernel", "mcu"]).limit(500)
+    return Q.events(own, ["error", "signup"], ["kernel", "mcu"])
 
 
 @query(f"""WITH {LINES} SELECT event_type, line_no, raw_ts FROM lines WHERE event_type = 'purchase' AND raw_ts >= {START} AND raw_ts <= {END}""")
@@ -231,7 +231,10 @@ WORD_RULES = (
 )
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id::VARCHAR AS file_id, turn AS line_no, text, CASE role WHEN 'user' THEN 'tbox' WHEN 'assistant' THEN 'android' ELSE 'kernel' END AS controller FROM conversations WHERE length(text) > 0),
+g AS (SELECT file_id, controller, line_no, text, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '(?i)(\b(?:the|le|der)\b)|(with that|the)', 1)) AS word FROM t)
+SELECT file_id, controller, line_no, CASE WHEN coalesce(word, '') <> '' THEN 'starts' ELSE 'longer' END AS event_type, CASE WHEN coalesce(word, '') <> '' THEN nullif(regexp_extract(text, '^(\w+)', 1), '') END AS first FROM g
+UNION ALL SELECT file_id, controller, line_no, 'both', NULL FROM t WHERE controller IN ('android', 'tbox') AND contains(lower(text), 'and') AND contains(lower(text), 'of')""")
 def rule_hits_events(spark, sf_dir):
     return prescan.rule_events(_texts(spark, sf_dir), WORD_RULES).select("file_id", "controller", "line_no", "event_type", F.col("extracted_fields")["first"].alias("first"))
 
@@ -335,7 +338,7 @@ def chunk_paragraph(spark, sf_dir):
     return _chunks(spark, sf_dir, T.chunk_paragraphs(F.col("text")))
 
 
-@query("SELECT conv_id, turn, sha256(concat(role, '|', lower(trim(text)))) AS query_hash FROM conversations")
+@query(r"SELECT conv_id, turn, sha256(concat(role, '|', lower(regexp_replace(text, '^\s+|\s+$', '', 'g')))) AS query_hash FROM conversations")
 def query_hash_cache(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.query_key(F.col("role"), F.col("text")).alias("query_hash"))
 
@@ -389,24 +392,27 @@ def session_titles(spark, sf_dir):
     return services.session_titles(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
-EVAL = r"""judged AS (SELECT b.item_id AS case_id, lower(concat(' ', d.text)) AS text, string_split(lower(left(b.text, 60)), ' ') AS kw, regexp_extract_all(lower(b.text), '[\w]+') AS rc FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
-parts AS (SELECT case_id, len([w for w in kw if contains(text, w)]) / greatest(len(kw), 1) AS k FROM judged)"""
+EVAL = r"""judged AS (SELECT b.item_id AS case_id, lower(concat(' ', coalesce(d.text, ''))) AS text, string_split(lower(b.text), ' ') AS kw, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pM\pN_]+')) AS rc,
+  d.doc_id IS NOT NULL AS has FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
+parts AS (SELECT case_id, len([w for w in kw if contains(text, w)]) / greatest(len(kw), 1) AS k, CASE WHEN len(rc) > 0 THEN len(list_intersect(rc, regexp_extract_all(text, '[\pL\pM\pN_]+'))) / len(rc) ELSE 0 END AS r, CASE WHEN has THEN 1.0 ELSE 0.5 END::DOUBLE AS c FROM judged),
+scores AS (SELECT case_id, round(k, 3) AS keyword_score, 0.0::DOUBLE AS ecu_score, 0.0::DOUBLE AS stage_score, round(r, 3) AS root_cause_score, c::DOUBLE AS confidence_score, round((k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE)::DECIMAL(18, 12), 3)::DOUBLE AS total_score, k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE >= 0.6 AS passed FROM parts)"""
 
 
-@query(f"WITH {EVAL} SELECT case_id, round(k, 3) AS keyword_score FROM parts")
+@query(f"WITH {EVAL} SELECT * FROM scores")
 def eval_scores(spark, sf_dir):
-    return services.evaluate(*_eval(spark, sf_dir)).select("case_id", "keyword_score")
+    return services.evaluate(*_eval(spark, sf_dir))
 
 
 def _eval(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    words = F.split(F.lower(F.left("text", F.lit(60))), " ")
+    words = F.split(F.lower("text"), " ")
     none = F.array().cast("array<string>")
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), words.alias("expected_keywords"), none.alias("expected_ecus"), none.alias("expected_fota_stages"), F.col("text").alias("expected_root_cause"), F.lit("high").alias("expected_confidence"))
     outputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit("").alias("summary"), F.col("text").alias("detail"), F.lit("high").alias("confidence"))
     return cases, outputs
 
 
-@query()
+@query(f"""WITH {EVAL} SELECT count(*) AS cases, sum(passed::INT)::BIGINT AS passed, round(avg(keyword_score), 3) AS avg_keyword_score, round(avg(ecu_score), 3) AS avg_ecu_score, round(avg(stage_score), 3) AS avg_stage_score,
+round(avg(root_cause_score), 3) AS avg_root_cause_score, round(avg(confidence_score), 3) AS avg_confidence_score, round(avg(total_score), 3) AS avg_total_score FROM scores""")
 def eval_report(spark, sf_dir):
     return services.report(services.evaluate(*_eval(spark, sf_dir)))
 
@@ -427,11 +433,13 @@ def citation_checks(spark, sf_dir):
     return services.citation_warnings(own, known, own.select("agent").distinct()).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {LINES}, w AS (SELECT min(raw_ts) AS s, max(raw_ts) AS e FROM lines) SELECT controller, floor((raw_ts - s) / (e - s) * 100 / 3.0)::BIGINT AS slot, count(*) AS n FROM lines, w GROUP BY ALL""")
+@query(f"""WITH {LINES}, w AS (SELECT min(raw_ts) AS s, max(raw_ts) AS e FROM lines), r AS (SELECT controller, floor((raw_ts - s) / (e - s) * 100 / 3.0)::BIGINT AS slot, event_type, raw_ts FROM lines, w),
+n AS (SELECT *, row_number() OVER (PARTITION BY controller, slot ORDER BY raw_ts, event_type) AS i, count(*) OVER (PARTITION BY controller, slot) AS n FROM r)
+SELECT controller, slot, n, string_agg(event_type, ',' ORDER BY i) AS types FROM n WHERE i <= 3 GROUP BY ALL""")
 def event_density_lanes(spark, sf_dir):
     own = lines(spark, sf_dir)
     w = own.agg(F.min("raw_ts").alias("s"), F.max("raw_ts").alias("e"))  # one row
-    return services.density(own.crossJoin(F.broadcast(w)), "controller", "raw_ts", "event_type", F.col("s"), F.col("e")).drop("types")
+    return services.density(own.crossJoin(F.broadcast(w)), "controller", "raw_ts", "event_type", F.col("s"), F.col("e")).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"""WITH {LINES}, w AS (SELECT min(raw_ts) AS s, max(raw_ts) AS e FROM lines) SELECT file_id, round((min(raw_ts) - any_value(s)) / (any_value(e) - any_value(s)) * 100, 6) AS from_pct, round((max(raw_ts) - any_value(s)) / (any_value(e) - any_value(s)) * 100, 6) AS to_pct FROM lines, w GROUP BY file_id""")
@@ -472,3 +480,143 @@ def ticket_lookup(spark, sf_dir):
 @query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'queaux') OR contains(lower(text), 'attion')")
 def keyword_lines(spark, sf_dir):
     return Q.keyword_lines(table(spark, sf_dir, "conversations"), ["Queaux", "attion"]).select("conv_id", "turn")
+
+
+# A bundle is the files of every twentieth user.
+BUNDLED = """owned AS (SELECT *, concat('b', user_id % 20) AS bundle_id FROM lines), ranges AS (SELECT bundle_id, file_id, controller, min(user_id) % 5 * 60.0 AS clock_offset, count(*) AS line_count, min(raw_ts) AS lo, max(raw_ts) AS hi FROM owned GROUP BY ALL)"""
+
+
+def _bundled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lines and files of all bundles; lines of type `error` are unsynced stretches."""
+    own = lines(spark, sf_dir).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")))
+    meta = own.groupBy("file_id", "bundle_id", "controller").agg((F.min("user_id") % 5 * 60.0).alias("clock_offset"))
+    named = meta.withColumns({"original_name": F.col("file_id"), "offset_method": F.lit("direct"), "unsynced": F.when(F.col("controller") == "kernel", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))))})
+    return own, named.join(prescan.file_stats(own), "file_id")
+
+
+def _bundles(spark, sf_dir) -> DataFrame:
+    own = table(spark, sf_dir, "nation").select(F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("bundle_id"), F.col("n_name").alias("archive_filename"))
+    return own.withColumns({"status": F.lit("done"), "progress": F.lit(1.0), "archive_size_bytes": F.length("archive_filename").cast("long"), "error": F.lit(None).cast("string")})
+
+
+@query(f"""WITH {LINES}, {BUNDLED}, c AS (SELECT bundle_id, controller, count(*) AS n, min(lo + clock_offset) AS s, max(hi + clock_offset) AS e FROM ranges GROUP BY ALL),
+t AS (SELECT bundle_id, sum(n)::BIGINT AS file_count, string_agg(concat(controller, '=', n), ',' ORDER BY controller) AS files, string_agg(concat(controller, '=', floor(s)::BIGINT, '-', floor(e)::BIGINT), ',' ORDER BY controller) AS spans FROM c GROUP BY bundle_id)
+SELECT concat('b', n_nationkey) AS bundle_id, 'done' AS status, n_name AS archive_filename, length(n_name) AS archive_size_bytes, coalesce(file_count, 0) AS file_count, coalesce(files, '') AS files, coalesce(spans, '') AS spans FROM nation LEFT JOIN t ON t.bundle_id = concat('b', n_nationkey)""")
+def bundle_status(spark, sf_dir):
+    _, own = _bundled(spark, sf_dir)
+    out = services.bundle_status(_bundles(spark, sf_dir), own, Q.valid_ranges(own))
+    shown = lambda c, f: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), f(e["value"]))), ",")
+    whole = lambda t: F.floor(t).cast("long").cast("string")
+    files_ = shown("files_by_controller", lambda n: n.cast("string"))
+    spans = shown("valid_time_range_by_controller", lambda r: F.concat_ws("-", whole(r["start"]), whole(r["end"])))
+    return out.select("bundle_id", "status", "archive_filename", "archive_size_bytes", "file_count", files_.alias("files"), spans.alias("spans"))
+
+
+@query(f"""WITH {LINES}, {BUNDLED}, e AS (SELECT bundle_id, count(*) AS events FROM owned WHERE event_type = 'click' GROUP BY bundle_id), a AS (SELECT bundle_id, count(*) AS anchors FROM owned WHERE event_type = 'signup' GROUP BY bundle_id)
+SELECT r.bundle_id, coalesce(any_value(events), 0) AS events, coalesce(any_value(anchors), 0) AS anchors, count(*) AS indexed_files, count(*) FILTER (WHERE controller = 'kernel') AS unsynced_files, 0::BIGINT AS skipped
+FROM ranges r LEFT JOIN e ON e.bundle_id = r.bundle_id LEFT JOIN a ON a.bundle_id = r.bundle_id GROUP BY r.bundle_id""")
+def prescan_counters(spark, sf_dir):
+    own, meta = _bundled(spark, sf_dir)
+    return prescan.counters(meta, own.filter("event_type = 'click'"), own.filter("event_type = 'signup'"), prescan.bucket_transitions(own))
+
+
+@query(f"WITH {LINES}, {BUNDLED} SELECT bundle_id, min(lo + clock_offset) AS start, max(hi + clock_offset) AS \"end\" FROM ranges GROUP BY bundle_id")
+def bundle_overall_range(spark, sf_dir):
+    return Q.overall_range(Q.valid_ranges(_bundled(spark, sf_dir)[1]))
+
+
+@query(f"""WITH {LINES}, {BUNDLED} SELECT l.file_id, l.controller, l.line_no, l.text AS line, l.raw_ts + r.clock_offset AS aligned_ts FROM owned l JOIN ranges r USING (file_id) WHERE l.bundle_id = 'b7' AND l.controller <> 'kernel'
+AND (contains(lower(l.text), ': 7') OR contains(l.controller, 'tbox'))""")
+def bundle_log_fetch(spark, sf_dir):
+    own, meta = _bundled(spark, sf_dir)
+    # Lines of unsynced stretches have no place on the aligned clock; here these are the first two lines of kernel files.
+    return Q.fetch(own, meta, "b7", [": 7", "TBOX"]).filter("controller <> 'kernel'").select("file_id", "controller", "line_no", "line", "aligned_ts")
+
+
+@query(f"WITH {LINES}, {BUNDLED} SELECT DISTINCT bundle_id, controller FROM ranges")
+def controllers_present(spark, sf_dir):
+    return prescan.controllers_present(_bundled(spark, sf_dir)[1])
+
+
+@query(f"WITH {LINES}, {BUNDLED} SELECT file_id, controller, line_count FROM ranges WHERE bundle_id = 'b3'")
+def files_of_bundle(spark, sf_dir):
+    return Q.files_of(_bundled(spark, sf_dir)[1], "b3").select("file_id", "controller", "line_count")
+
+
+@query("SELECT source, CASE WHEN bool_or(lang = 'fr' AND n_chars > 3000) THEN 'high' ELSE 'medium' END AS label FROM documents GROUP BY source")
+def overall_label(spark, sf_dir):
+    level = F.when((F.col("lang") == "fr") & (F.col("n_chars") > 3000), "high").otherwise("low")
+    return services.overall_label(table(spark, sf_dir, "documents").withColumn("level", level), "source", "level")
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice - 5000 END AS d, floor(o_totalprice - 5000 + 0.5)::BIGINT AS s FROM orders)
+SELECT o_orderkey, CASE WHEN d IS NULL OR d < 0 THEN '' WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s % 3600 // 60 = 0 THEN concat(s // 3600, 'h') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS duration,
+CASE WHEN d IS NULL THEN 'Δ--' WHEN s >= 3600 THEN concat('Δ', s // 3600, 'h ', s % 3600 // 60, 'm') WHEN s >= 60 THEN concat('Δ', s // 60, 'm ', s % 60, 's') ELSE concat('Δ', greatest(s, 0), 's') END AS delta FROM t""")
+def time_labels(spark, sf_dir):
+    d = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") - 5000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.duration_label(d).alias("duration"), T.delta_label(d).alias("delta"))
+
+
+@query("SELECT o_orderkey, o_orderdate, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
+def case_list_total(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
+    return services.page_of(own, [F.desc("o_orderdate"), F.col("o_orderkey")], 100, 50)
+
+
+@query("SELECT 'case' AS kind, c_custkey AS key FROM customer WHERE c_custkey <> 11 UNION ALL SELECT 'log', o_orderkey FROM orders WHERE o_custkey <> 11")
+def case_delete(spark, sf_dir):
+    cases = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("key"))
+    logs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("key"))
+    one, two = services.without(cases, "c_custkey", 11, logs)
+    return one.select(F.lit("case").alias("kind"), "key").unionByName(two.select(F.lit("log").alias("kind"), "key"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS case_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 5")
+def feedback_list(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("confirmation_status"), F.col("o_orderdate").alias("confirmed_at"))
+    return services.of_case(own, status="O", offset=5, limit=25).select("id", "case_id")
+
+
+@query("""SELECT CASE WHEN c_custkey IS NULL THEN 'no such case' WHEN o_orderstatus NOT IN ('O', 'F') THEN 'no such status' ELSE 'confidence outside 0..1' END AS error, count(*) AS n
+FROM (SELECT *, (o_orderkey % 13) / 10.0 AS conf FROM orders) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey WHERE c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F') OR conf > 1 GROUP BY ALL""")
+def feedback_checks(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "confirmed").when(F.col("o_orderstatus") == "F", "rejected").otherwise("other")
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), status.alias("confirmation_status"), (F.col("o_orderkey") % 13 / 10.0).alias("confidence"))
+    cases = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("case_id"))
+    return services.feedback_errors(own, cases).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {CACHE}, n AS (SELECT *, created_at AS id FROM cache), f AS (SELECT id FROM n WHERE query_hash = 'user' AND cache_type = 'a' AND (expires_at IS NULL OR expires_at > 1000) ORDER BY created_at DESC LIMIT 1)
+SELECT id, hit_count + (id IN (SELECT id FROM f))::INT AS hit_count FROM n""")
+def cache_hit_counted(spark, sf_dir):
+    own = _cache(spark, sf_dir).withColumn("id", F.col("created_at"))
+    return services.cache_hit(own, "user", "a", F.lit(1000.0)).select("id", "hit_count")
+
+
+@query(f"""WITH {CACHE} SELECT 'hash' AS mode, count(*) AS n, max(created_at) AS last FROM cache WHERE query_hash <> 'user' UNION ALL SELECT 'type', count(*), max(created_at) FROM cache WHERE NOT (coalesce(expires_at <= 1000, false) AND cache_type = 'a')
+UNION ALL SELECT 'expired', count(*), max(created_at) FROM cache WHERE NOT coalesce(expires_at <= 1000, false)""")
+def cache_invalidate(spark, sf_dir):
+    own, now = _cache(spark, sf_dir), F.lit(1000.0)
+    modes = {"hash": services.cache_drop(own, now, "user"), "type": services.cache_drop(own, now, kind="a"), "expired": services.cache_drop(own, now)}
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last")).select(F.lit(m).alias("mode"), "n", "last") for m, df in modes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE coalesce(o.name, c_name) END AS c_name, coalesce(o.total, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, CASE WHEN o_custkey % 2 = 1 THEN max(o_orderpriority) END AS name, max(o_totalprice) AS total FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+def catalog_update(spark, sf_dir):
+    new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("c_name"), F.max("o_totalprice").alias("c_acctbal"))
+    new = new.withColumn("c_name", F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")))
+    return updated(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), new, "c_custkey")
+
+
+@query("""WITH s AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 4) SELECT conv_id, turn, CASE WHEN conv_id IN (SELECT conv_id FROM s) THEN 'new' ELSE role END AS role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM s) OR turn < 2""")
+def session_replace(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    long_ = said.groupBy("conv_id").count().filter("count >= 4").select("conv_id")
+    return services.replace_session(said, said.join(long_, "conv_id", "left_semi").filter("turn < 2").withColumn("role", F.lit("new")), "conv_id")
+
+
+@query(r"""SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) = list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS same, len(list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+')))::INT AS words FROM benchmark""")
+def word_sets(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark")
+    return own.select("item_id", (services.token_overlap(F.col("text"), F.col("text")) == 1.0).alias("same"), F.size(services.word_set(F.col("text"))).alias("words"))

@@ -138,11 +138,11 @@ class _LinesReader(DataSourceReader):
 
 
 def keyword_files(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """One row per .log or .txt file that has lines with the words: its name and these lines under a header."""
+    """One row per .log or .txt file that has lines with the words: its name and these lines, in file order, under a header."""
     low = F.lower("value")
     hit = F.lit(not words)
     for w in words:
         hit = hit | low.contains(w.lower())
     read = spark.read.option("pathGlobFilter", "*.{log,txt}").option("recursiveFileLookup", "true").text(path, lineSep="\n")
-    named = read.select(F.col("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("at"), "value").filter(hit)
+    named = read.select(F.col("_metadata.file_name").alias("name"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value").filter(hit)
     return named.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("_t")).select("name", F.concat(F.lit("=== "), "name", F.lit(" ===\n"), "_t").alias("text"))

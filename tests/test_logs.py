@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import struct
@@ -12,12 +13,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import rules as R
+from fieldtrace.functions import text as T
 from fieldtrace.functions import timeparse as P
-from fieldtrace.operators import align, prescan
+from fieldtrace.operators import align, prescan, services
 from fieldtrace.operators import range_query as Q
 from fieldtrace.plans import ingest
-from fieldtrace.schema import FILES, LINES
-from fieldtrace.sources import archives
+from fieldtrace.schema import ANCHORS, FILES, LINES
+from fieldtrace.sources import archives, tables
 from fieldtrace.sources import lines as L
 
 T0 = 1710000000.0
@@ -276,3 +278,93 @@ def test_clip_cuts_and_falls_back_per_file(spark):
     df = spark.createDataFrame(rows, "file_id string, line_no long, raw_ts double")
     got = [(r.file_id, r.line_no, r.fallback) for r in prescan.clip(df, 100.0, most=5).collect()]
     assert got == [("a", i, False) for i in range(5)] + [("b", 1, False), ("b", 2, False)] + [("c", i, True) for i in range(5)]
+
+
+def test_white_space_of_any_kind_goes_at_the_ends(spark):
+    for text, want in (("\t a b \n", "a b"), ("　x ", "x"), ("\x1cq\x1f", "q"), (" \r\n ", ""), ("a\n\nb\n", "a\n\nb")):
+        assert one(spark, T.strip(F.lit(text))) == want == text.strip()
+        assert one(spark, T.query_key(F.lit("s"), F.lit(text))) == hashlib.sha256(f"s|{text.strip().lower()}".encode()).hexdigest()
+    chunks = one(spark, T.chunk_paragraphs(F.lit("\tfirst paragraph that is long enough to stand for itself, yes\n \t\n second"), 500, 5))
+    assert [c.text for c in chunks] == ["first paragraph that is long enough to stand for itself, yes\n\nsecond"]
+
+
+def test_labels(spark):
+    assert [one(spark, T.duration_label(F.lit(float(s)))) for s in (0, 59.4, 60, 3600, 3725, -1)] == ["0s", "59s", "1m", "1h", "1h 2m", ""]
+    assert [one(spark, T.delta_label(F.lit(float(s)))) for s in (5, 65, 3725, -3)] == ["Δ5s", "Δ1m 5s", "Δ1h 2m", "Δ0s"]
+
+
+def test_keyword_files_keep_the_order_of_a_split_file(spark, tmp_path):
+    rows = [f"line {i:05d} {'Alpha' if i % 3 else 'beta'}" for i in range(4000)]
+    (tmp_path / "a.log").write_text("\n".join(rows))
+    (tmp_path / "b.dat").write_text("alpha")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = L.keyword_files(spark, str(tmp_path), ["ALPHA"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.text for r in got] == ["=== a.log ===\n" + "\n".join(x for x in rows if "Alpha" in x)]
+
+
+def test_alignment_counts_and_warnings(spark):
+    rows = [anchor("tbox", "k", 1.7e9), anchor("tbox", "k", 1.7e9 + 50), anchor("mcu", "k", 1.7e9 + 1), anchor("fota", "j", 1.7e9)]
+    got = {r.controller: r for r in align.align(spark.createDataFrame(rows, ANCHORS), spark.createDataFrame([("b", c) for c in ("tbox", "mcu", "fota", "kernel")], "bundle_id string, controller string")).collect()}
+    assert (got["tbox"].n, got["tbox"].method, got["tbox"].warnings) == (2, "none", [])
+    assert got["kernel"].warnings == ["kernel: no usable anchors"] and got["fota"].warnings == []
+    only = align.align(spark.createDataFrame([anchor("android", "k", 1.7e9)], ANCHORS), spark.createDataFrame([("b", "android")], "bundle_id string, controller string"))
+    assert align.summary(only).first().warnings == ["no usable anchors of tbox: android is the base clock"]
+
+
+def test_stored_bundles_are_replaced_one_by_one(spark, tmp_path):
+    rows = [("b1", "boot", 1.0), ("b1", "crash", 2.0), ("b2", "boot", 3.0)]
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame(rows, "bundle_id string, event_type string, raw_timestamp double")
+    for _ in range(2):
+        tables.write_partitioned(df, path, "bundle_id")
+    tables.write_partitioned(df.filter("bundle_id = 'b1'").withColumn("raw_timestamp", F.lit(9.0)), path, "bundle_id")
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("bundle_id", "event_type", "raw_timestamp").collect())
+    assert read() == [("b1", "boot", 9.0), ("b1", "crash", 9.0), ("b2", "boot", 3.0)]
+    tables.clear_rows(spark, path, "bundle_id", "b1", F.col("event_type") == "crash")
+    assert read() == [("b1", "boot", 9.0), ("b2", "boot", 3.0)]
+    tables.clear_rows(spark, path, "bundle_id", "b1", F.lit(True))
+    assert read() == [("b2", "boot", 3.0)]
+
+
+def test_updates_keep_old_values_where_new_ones_are_null(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, at double")
+    new = spark.createDataFrame([(1, None, 5.0)], "id int, name string, at double")
+    assert sorted(tuple(r) for r in tables.updated(old, new, "id").collect()) == [(1, "a", 5.0), (2, "b", 2.0)]
+
+
+def test_users_rules(spark, tmp_path):
+    text = """
+events:
+  - type: door
+    applies_to: [mcu]
+    patterns: [{regex: '(?P<x>DOOR_\\w+)'}, {keyword_any: [hatch]}, {keyword_all: [lock, open]}]
+    fields: {which: 'DOOR_(\\w+)'}
+    confidence: 0.5
+slim:
+  keep_always: [panic]
+  drop: [{controller: mcu, patterns: [noise]}]
+"""
+    (tmp_path / "rules.yaml").write_text(text)
+    rules = R.load_rules(str(tmp_path / "rules.yaml"), "events")
+    got = prescan.rule_events(lines(spark, [("b", "f", "mcu", i, 0, 0.0, t) for i, t in enumerate(("DOOR_FL and Hatch", "open the lock", "none"))]), rules).orderBy("line_no").collect()
+    assert [(r.line_no, r.event_type, r.extracted_fields["which"]) for r in got] == [(0, "door", "FL"), (0, "door", "FL"), (1, "door", None)]
+    drop, keep = R.load_slim(str(tmp_path / "rules.yaml"))
+    assert (drop, keep) == ({"mcu": ("noise",)}, ("panic",))
+    with pytest.raises(ValueError):
+        (tmp_path / "bad.yaml").write_text("events: [{type: x}]")
+        R.load_rules(str(tmp_path / "bad.yaml"), "events")
+
+
+def test_trace_payload_and_services(spark):
+    assert one(spark, T.printable(F.lit(b"\x01\x02hello\x00wor\x00ld"))) == "hello wor"
+    said = spark.createDataFrame([("s", 0, "user", " \n"), ("s", 1, "user", "x" * 30), ("t", 0, "assistant", "hi")], "conv_id string, turn int, role string, text string")
+    assert [tuple(r) for r in services.session_titles(said, "conv_id", "turn", "role", "text").collect()] == [("s", "x" * 18 + "...")]
+    cases = spark.createDataFrame([("c",)], "case_id string")
+    rows = [("c", "confirmed", 0.5), ("d", "confirmed", 0.5), ("c", "odd", 0.5), ("c", "pending", 1.5)]
+    errors = services.feedback_errors(spark.createDataFrame(rows, "case_id string, confirmation_status string, confidence double"), cases).collect()
+    assert sorted(r.error for r in errors) == ["confidence outside 0..1", "no such case", "no such status"]
+    assert services.conflicts(cases, cases, "case_id").count() == 1 and services.add_new(cases, cases, "case_id").count() == 1
