@@ -163,7 +163,7 @@ def evaluate(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     scored = both.withColumns({f"_{k}": c for k, c in parts.items()})
     total = lambda c: sum((c(k) * w for k, w in weights.items()), F.lit(0.0))
     rounded = {k: F.round(f"_{k}", 3) for k in parts}
-    return scored.withColumns(rounded).select("case_id", *parts, F.round(total(F.col), 3).alias("total_score"), (total(lambda k: F.col(f"_{k}")) >= 0.6).alias("passed"))
+    return scored.withColumns(rounded).select("case_id", *parts, F.round(total(F.col), 3).alias("total_score"), (total(F.col) >= 0.6).alias("passed"))
 
 
 def report(scores: DataFrame) -> DataFrame:

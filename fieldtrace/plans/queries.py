@@ -395,7 +395,8 @@ def session_titles(spark, sf_dir):
 EVAL = r"""judged AS (SELECT b.item_id AS case_id, lower(concat(' ', coalesce(d.text, ''))) AS text, string_split(lower(b.text), ' ') AS kw, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pM\pN_]+')) AS rc,
   d.doc_id IS NOT NULL AS has FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
 parts AS (SELECT case_id, len([w for w in kw if contains(text, w)]) / greatest(len(kw), 1) AS k, CASE WHEN len(rc) > 0 THEN len(list_intersect(rc, regexp_extract_all(text, '[\pL\pM\pN_]+'))) / len(rc) ELSE 0 END AS r, CASE WHEN has THEN 1.0 ELSE 0.5 END::DOUBLE AS c FROM judged),
-scores AS (SELECT case_id, round(k, 3) AS keyword_score, 0.0::DOUBLE AS ecu_score, 0.0::DOUBLE AS stage_score, round(r, 3) AS root_cause_score, c::DOUBLE AS confidence_score, round((k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE)::DECIMAL(18, 12), 3)::DOUBLE AS total_score, k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE >= 0.6 AS passed FROM parts)"""
+rounded AS (SELECT case_id, round(k, 3) AS k, round(r, 3) AS r, c FROM parts),
+scores AS (SELECT case_id, k AS keyword_score, 0.0::DOUBLE AS ecu_score, 0.0::DOUBLE AS stage_score, r AS root_cause_score, c AS confidence_score, round((k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE)::DECIMAL(18, 12), 3)::DOUBLE AS total_score, k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE >= 0.6 AS passed FROM rounded)"""
 
 
 @query(f"WITH {EVAL} SELECT * FROM scores")
