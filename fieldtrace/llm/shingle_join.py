@@ -544,12 +544,16 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     most = F.col("c") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb"))
     counted = summed.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
+    # One row for each set, however many documents have it.
+    share = spread_of("a", "b")
+    first = scratch.save(documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("a").alias("a"), spreads(share).alias("shares")), "shingle-first")
+
     def checked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs, by the full rows of both."""
         own = Scratch(spark)
         pairs = own.save(pairs, "shingle-pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        holders = own.save(documents.join(asked, "node", "left_semi").groupBy("node").agg(F.min("a").alias("a")), "shingle-holders")
+        holders = own.save(first.join(asked, "node", "left_semi").select("node", "a"), "shingle-holders")
         rows = own.save(full_rows(docs, holders, n), "shingle-rows")
         out = scratch.save(verify(pairs, rows, num, den), "shingle-links")
         own.drop()
@@ -571,12 +575,12 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
         # Where a round has joined next to nothing, what it left out is not waiting to be joined: the next gives all.
         most = None if found.count() <= FEW_LINKS * links.count() else PER_ROW
     roots = components(links)
-    smallest = documents.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = Saved(named.join(lowest, "root").select(F.col("node").alias("_node"), "component_id"), "shingle-components").df
+    by_node = Saved(named.join(lowest, "root").select(F.col("node").alias("_node"), "component_id", "shares"), "shingle-components").df
     scratch.drop()
-    out = documents.join(by_node, F.col("node") == F.col("_node"), "left")
+    shared = each_spread(by_node, "shares", "_share")
+    out = documents.join(shared, (F.col("node") == F.col("_node")) & (share == F.col("_share")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "a", "b")
 
 
