@@ -22,8 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
         trees = Saved(hooks, "hooks")
         while True:
-            up = trees.df.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            moved = Saved(trees.df.join(up, "root").select("node", F.col("root").alias("old"), F.col("up").alias("root")), "hooks")
+            # Two steps up at a time.
+            up = trees.df.select(F.col("node").alias("root"), F.col("root").alias("old"))
+            top = trees.df.select(F.col("node").alias("old"), F.col("root").alias("top"))
+            moved = Saved(trees.df.select("node", "root").join(up, "root").join(top, "old").select("node", "old", F.col("top").alias("root")), "hooks")
             trees.drop()
             trees = moved
             if trees.df.filter("old <> root").isEmpty():

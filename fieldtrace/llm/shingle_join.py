@@ -519,6 +519,15 @@ def verify(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b) between nodes; nodes without a root so far are their own."""
+    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    tops = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(tops.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti"))
+
+
 def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, node (name of its set), component_id, and a, b (hash of id and text)."""
     spark = df.sparkSession
@@ -562,19 +571,21 @@ def join(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "d
     counted = scratch.save(counted, "shingle-counted")
     asked = counted.select(F.col("a").alias("node")).union(counted.select("b")).distinct()
     links = checked(likely(counted, marked.join(asked, "node", "left_semi").dropDuplicates(["node"]), num, den))
-    most = PER_ROW
+    most, roots, n_links = PER_ROW, components(links), links.count()
     while not in_wide.isEmpty():
-        placed = wide.join(components(links), "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
+        placed = wide.join(roots, "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
         left = scratch.save(open_columns(placed), "shingle-open")
         of_left = marked.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "marks")
         pairs = scratch.save(wide_pairs(left.join(of_left, "node"), num, den, most), "shingle-wide-pairs")
         found = checked(pairs.filter("a is not null"))
-        links = links.unionByName(found)
+        n_found = found.count()
+        if n_found:
+            roots = scratch.save(merged(roots, found), "shingle-roots")
         if pairs.filter("a is null").isEmpty():
             break
         # Where a round has joined next to nothing, what it left out is not waiting to be joined: the next gives all.
-        most = None if found.count() <= FEW_LINKS * links.count() else PER_ROW
-    roots = components(links)
+        n_links += n_found
+        most = None if n_found <= FEW_LINKS * n_links else PER_ROW
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = Saved(named.join(lowest, "root").select(F.col("node").alias("_node"), "component_id", "shares"), "shingle-components").df
