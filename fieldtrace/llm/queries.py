@@ -71,4 +71,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op4_nn_descent, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_shingle_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT n.doc_id, n.n_shingles, min(other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL""",
+}
