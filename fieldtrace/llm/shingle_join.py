@@ -118,7 +118,8 @@ def _sum_sketch(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": [part.tobytes()]})
 
     out = np.zeros(size, np.uint32)
-    for row in rows.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+    # Collected in one job: an iterator would run one for each partition, and all chunks together are of fixed size.
+    for row in rows.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[row.chunk : row.chunk + CHUNK] = np.frombuffer(row.counts, np.uint32)
     return out
 
