@@ -71,6 +71,29 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op4_nn_descent, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
+#: Steps of the quality rules as rows of SQL: number, count, count that it is divided by, cutoff.
+STEPS = ", ".join(f"({i}, '{quality_rules.RULES[r][0]}', '{quality_rules.RULES[r][1]}', {cutoff}::DOUBLE)" for i, (r, cutoff) in enumerate(quality_rules.STEPS, 1))
+
+
+def _matches(rank: int, pattern: str, group: int, least: int) -> str:
+    """SQL: matches of a pattern in each text, and the pieces between them."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT nr, {rank} AS rank, {least} AS least, string_split_regex(t, {p}) AS gap, regexp_extract_all(t, {p}) AS hit, regexp_extract_all(t, {p}, {group}) AS val FROM t WHERE regexp_matches(t, {p})"
+
+
+#: The patterns of the secret scan in the order of its kinds, with the group of the value and its least length.
+MATCHES = " UNION ALL ".join(
+    _matches(i, *spec)
+    for i, spec in enumerate(
+        [
+            (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+            (r"AKIA[A-Z0-9]+", 0, 18),
+            (r"[0-9a-f]+", 0, 16),
+            (secret_scan.FURTHER["format"][0], 0, 16),
+            (r"[A-Za-z0-9+/_-]{20,}", 0, 20),
+        ]
+    )
+)
 SQL: dict[str, str] = {
     "op7_shingle_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
@@ -79,4 +102,36 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
 SELECT n.doc_id, n.n_shingles, min(other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL""",
+    "op8_quality_rules": rf"""WITH t AS (SELECT row_number() OVER () AS nr, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT nr, i, w[i:i + 4] AS g FROM (SELECT nr, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT nr, i FROM g QUALIFY count(*) OVER (PARTITION BY nr, g) > 1),
+r AS (SELECT nr, count(DISTINCT i + k) AS n FROM twice, range(5) AS s(k) GROUP BY nr),
+c AS (SELECT w.nr, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN r ON r.nr = w.nr),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+v AS (SELECT nr, unnest(['n_words', 'word_chars', 'n_symbols', 'n_lines', 'n_dup_lines', 'n_repeat_words', 'n_upper', 'n_marks']) AS name, unnest([n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks]) AS value FROM f),
+steps(step, part, whole, cutoff) AS (VALUES {STEPS}),
+hit AS (SELECT p.nr, min(step) AS step FROM steps JOIN v p ON p.name = part JOIN v q ON q.name = whole AND q.nr = p.nr WHERE q.value > 0 AND p.value / q.value >= cutoff GROUP BY p.nr),
+j AS (SELECT f.*, CASE WHEN base_failed THEN 0 ELSE coalesce(hit.step, 1000) END AS first FROM f LEFT JOIN hit ON hit.nr = f.nr),
+held AS (SELECT lang, first FROM j WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+n AS (SELECT lang, count(*) AS n, count(*) OVER () AS strata FROM held GROUP BY lang),
+k AS (SELECT n.lang, n.n, n.strata, step, (SELECT count(*) FROM held WHERE held.lang IS NOT DISTINCT FROM n.lang AND first <= step) AS k FROM n, steps),
+p AS (SELECT lang, step, strata, CASE WHEN k > n * {quality_rules.ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.ALPHA}) + (n - i) * ln(1 - {quality_rules.ALPHA})))) END AS p FROM k),
+safe AS (SELECT lang, max(step) AS step FROM p WHERE p <= {quality_rules.DELTA} / strata GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first > coalesce(safe.step, 0) AS kept FROM j LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM j.lang""",
+    "op10_secret_scan": rf"""WITH t AS (SELECT row_number() OVER () AS nr, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({MATCHES}),
+u AS (SELECT nr, rank, least, i, length(gap[i]) AS gap, length(hit[i]) AS hit, val[i] AS val FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m)),
+s AS (SELECT nr, rank, least, val, sum(gap + hit) OVER (PARTITION BY nr, rank ORDER BY i) - hit AS start, sum(gap + hit) OVER (PARTITION BY nr, rank ORDER BY i) AS stop FROM u),
+f AS (SELECT nr, rank, val, start, stop FROM s WHERE length(val) >= least),
+h AS (SELECT * FROM f WHERE rank < 3 UNION ALL
+  SELECT * FROM f WHERE rank >= 3 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.nr = f.nr AND o.start < f.stop AND f.start < o.stop AND (o.rank < 3 OR o.rank = 3 AND f.rank = 4))
+  AND (rank = 3 OR regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]'))),
+o AS (SELECT val, count(DISTINCT {{'o': source}}) AS n_owners, count(DISTINCT {{'o': source, 'r': doc_id}}) AS n_repositories FROM h JOIN t USING (nr) GROUP BY val),
+j AS (SELECT nr, rank, start, ['assign', 'access', 'hex', 'format', 'mixed'][rank + 1] || ':' || start || ':' || stop AS span, n_owners <= {secret_scan.MOST_OWNERS} AND n_repositories <= {secret_scan.MOST_REPOSITORIES} AS live FROM h JOIN o USING (val)),
+a AS (SELECT nr, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied FROM j GROUP BY nr)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN a ON a.nr = t.nr""",
 }

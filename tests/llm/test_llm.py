@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -66,6 +67,44 @@ def smallest_reachable(ids, links):
     return {i: find(i) for i in ids}
 
 
+# --- queries and their SQL ----------------------------------------------------------------------------------------
+
+
+def equal_to_sql(spark, name, folder):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder != SF else ''}')")
+    want = con.execute(Q.SQL[name])
+    names = [d[0] for d in want.description]
+    got = Q.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    rows = [tuple(r) for r in got.select(*names).collect()]
+    assert Counter(rows) == Counter(want.fetchall())
+    return [dict(zip(names, r, strict=True)) for r in rows]
+
+
+@pytest.mark.parametrize("name", list(Q.SQL))
+def test_queries_equal_their_sql(spark, name):
+    assert len(equal_to_sql(spark, name, SF)) == 200
+
+
+@pytest.mark.parametrize("name", ["op8_quality_rules", "op10_secret_scan"])
+def test_queries_equal_their_sql_on_planted_rows(spark, edge, tmp_path, name):
+    prose = " ".join(f"Wort{i}" for i in range(40))
+    live, wide = "ghp_" + "aB3dE5fG7h" * 3, "ghp_" + "Zz9Yy8Xx7W" * 3
+    texts = [f"{prose} {i}{' # !' * (i % 60)}\n{'again and again\n' * (i % 7)}" for i in range(300)]
+    texts += [f"𝔘 PassWord = '{live}' AKIA{'Q7' * 9} {prose}", f"apiKey: {'0a' * 12} {'9f' * 12}.eyJ{'a' * 12}.eyJ{'b' * 12}", f"ſecret: {'x1' * 9} toKen={'y2' * 9}"]
+    texts += [f"a copied example {wide} of few words" for _ in range(12)] + [f"Zeile {live} ohne {'Cc3' * 9}" for _ in range(2)]
+    more = spark.createDataFrame([(i, t, ["en", "de", None][i % 3], [None, "a", "b", "c"][i % 4], i) for i, t in enumerate(texts, 100)], edge.schema)
+    edge.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, None if i % 11 == 0 else int(i % 5 > 0), 0) for i in range(390)] + [(104, 1, 0), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = equal_to_sql(spark, name, str(tmp_path))
+    assert len(rows) == len(ROWS) + len(texts)
+    if name == "op10_secret_scan":
+        assert sum(r["n_copied"] for r in rows) >= 12 and any("mixed" in r["spans"] for r in rows)
+
+
 # --- byte-level BPE -----------------------------------------------------------------------------------------------
 
 
