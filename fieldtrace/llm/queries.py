@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldtrace.llm import byte_bpe, context_tree, line_dedup, mixing, nn_descent, pseudonyms, quality_rules, secret_scan, shingle_join, token_files
+from fieldtrace.llm import byte_bpe, context_tree, fill_middle, html_extract, line_dedup, mixing, nn_descent, pseudonyms, quality_rules, secret_scan, shingle_join, spelling, token_files
 from fieldtrace.llm.common import Saved, table
 
 #: Key of the pseudonyms in these queries; a deployment passes its own secret.
@@ -70,7 +71,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op4_nn_descent, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", seed=7, rate=100, spm_rate=50)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_one_in=199)
+    return spelling.group(spelling.count(runs, least=5), factor=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_context_tree, op4_nn_descent, op5_line_dedup, op6_token_files, op7_shingle_join, op8_quality_rules, op9_mixing, op10_secret_scan, op11_fill_middle, op12_spelling, op13_html_extract)}
 #: Steps of the quality rules as rows of SQL: number, count, count that it is divided by, cutoff.
 STEPS = ", ".join(f"({i}, '{quality_rules.RULES[r][0]}', '{quality_rules.RULES[r][1]}', {cutoff}::DOUBLE)" for i, (r, cutoff) in enumerate(quality_rules.STEPS, 1))
 
@@ -134,4 +149,20 @@ j AS (SELECT nr, rank, start, ['assign', 'access', 'hex', 'format', 'mixed'][ran
 a AS (SELECT nr, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
   string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied FROM j GROUP BY nr)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN a ON a.nr = t.nr""",
+    "op12_spelling": rf"""WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[{spelling.LETTERS}]+')) AS run FROM documents),
+u AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM r WHERE length(run) >= {spelling.SHORTEST} GROUP BY ALL),
+b AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM u),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295::BIGINT) AS h FROM b, crc),
+c AS (SELECT k, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word) >= {spelling.SHORTEST} GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word, x.n, y.word AS o, y.n AS m FROM d x JOIN d y ON x.i = y.i AND x.v = y.v AND x.word <> y.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.v = w.word UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.v = w.word),
+g AS (SELECT word, n, count(*) AS n_near, max(m) AS m FROM p GROUP BY ALL),
+f AS (SELECT word, n_near, CASE WHEN m >= 5 * n THEN m END AS form_n, CASE WHEN m >= 5 * n THEN (SELECT min(encode(o)) FROM p WHERE p.word = g.word AND p.m = g.m) END AS form FROM g),
+s(word, root) AS (SELECT word, word FROM w UNION ALL SELECT s.word, decode(f.form) FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL),
+e AS (SELECT s.word, root FROM s LEFT JOIN f ON f.word = s.root WHERE f.form IS NULL)
+SELECT w.word, decode(f.form) AS form, e.root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM w JOIN e USING (word) LEFT JOIN f USING (word)""",
 }
