@@ -2,55 +2,84 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import timeparse as P
+from fieldtrace.operators import scan
 from fieldtrace.schema import MAX_OFFSET, effective
+from fieldtrace.sources.tables import stage
 
 NARROW, WIDE = 60.0, 600.0
 
 
-def nearest_pairs(source: np.ndarray, base: np.ndarray, window: float) -> list[tuple[int, int]]:
-    """Source times in order each take the nearer unused of the two base times around them, if within the window."""
-    used = np.zeros(len(base), bool)
-    out = []
-    for i, (t, at) in enumerate(zip(source.tolist(), np.searchsorted(base, source).tolist(), strict=True)):
-        around = [j for j in (at - 1, at) if 0 <= j < len(base) and not used[j]]
-        if around:
-            j = min(around, key=lambda j: (abs(base[j] - t), j))
-            if abs(base[j] - t) <= window:
-                used[j] = True
-                out.append((i, j))
-    return out
+#: Seconds of a stretch in which the neighbours of anchors are searched by one task.
+STRETCH = 3600.0
 
 
-def anchor_pairs(source: DataFrame, base: DataFrame, windows: tuple[float, ...] = (NARROW, WIDE)) -> DataFrame:
-    """Pairs per window; `source` has bundle_id, controller, anchor_type, raw_timestamp, confidence, `base` the same without controller.
+def neighbours(source: DataFrame, base: DataFrame, by: list[str], stretch: float = STRETCH) -> DataFrame:
+    """Sources with `left`, the last base time before theirs, and `right`, the first at or after it; either may be null.
 
-    A group is the anchors of one type, controller and bundle: few, as anchors are rare lines.
+    A base time is a struct of the time, how many anchors share it, and the least and greatest confidence among them.
     """
+    points = base.groupBy(*by, F.col("raw_timestamp").alias("_t")).agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
+    points = points.select(*by, "_t", F.lit(1).alias("_kind"), F.struct(F.col("_t").alias("t"), "n", "low", "high").alias("_point"), F.lit(None).cast(source.schema["controller"].dataType).alias("controller"), F.lit(None).cast("double").alias("confidence"))
+    own = source.select(*by, F.col("raw_timestamp").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(points.schema["_point"].dataType).alias("_point"), "controller", "confidence")
+    # Among equal times sources come first: the base time is then to their right.
+    merged, order = own.unionByName(points), ["_t", "_kind"]
+    around = scan.seen(merged, {"left": (F.col("_point"), False, False), "right": (F.col("_point"), False, True)}, by, order, stretch)
+    return around.filter("_kind = 0").select(*by, "controller", "_t", "confidence", "left", "right")
+
+
+def anchor_pairs(source: DataFrame, base: DataFrame, windows: tuple[float, ...] = (NARROW, WIDE), stretch: float = STRETCH) -> DataFrame:
+    """Pairs per window; `source` has bundle_id, controller, anchor_type, raw_timestamp, confidence, `base` the same without controller.
 
-    def match(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        two = two.sort_values("raw_timestamp", kind="stable")
-        theirs, weight = two.raw_timestamp.to_numpy(), two.confidence.to_numpy()
-        for name, own in one.groupby("controller"):
-            own = own.sort_values("raw_timestamp", kind="stable")
-            times, trust = own.raw_timestamp.to_numpy(), own.confidence.to_numpy()
-            for window in windows:
-                pairs = np.array(nearest_pairs(times, theirs, window), np.int64).reshape(-1, 2)
-                i, j = pairs[:, 0], pairs[:, 1]
-                fixed = {"bundle_id": own.bundle_id.iat[0], "controller": name, "anchor_type": own.anchor_type.iat[0], "window": window}
-                parts.append(pd.DataFrame({**fixed, "source_ts": times[i], "base_ts": theirs[j], "weight": np.maximum(trust[i] * weight[j], 1e-6)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["bundle_id", "controller", "anchor_type", "window", "source_ts", "base_ts", "weight"])
-
-    keys = ["bundle_id", "anchor_type"]
+    The sources of a controller and type, in order of time and confidence, each take the nearer base time of the two around
+    them that is still free, if it lies within the window; of two equally near the earlier.  This walk is computed without
+    walking.  The sources between two base times form a gap, and compete for these two alone; of what came before, a gap
+    feels only whether its left base time is taken, by the gap to its left.  Its first two sources and its first one near the
+    right base time decide what it takes in either case.  Whether its right base time ends up taken is then fixed, or is
+    what the left one was; so the state at each gap is the last fixed one before it along a chain of touching gaps, which a
+    segmented scan finds.  No task holds the anchors of a group, and no gap more than its first two.
+    """
+    by = ["bundle_id", "anchor_type"]
     base = base.select(*(F.col(c).alias(c) for c in base.columns))  # both sides may come from one frame
-    schema = "bundle_id string, controller string, anchor_type string, window double, source_ts double, base_ts double, weight double"
-    return source.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(match, schema)
+    # Each step is read by several others: written once, as narrow rows.
+    near = stage(neighbours(source.filter("raw_timestamp is not null"), base.filter("raw_timestamp is not null"), by, stretch), "neighbours")
+    near = near.withColumn("window", F.explode(F.array(*(F.lit(float(w)) for w in windows))))
+    to_left, to_right = F.col("_t") - F.col("left.t"), F.col("right.t") - F.col("_t")
+    reach = lambda d: F.coalesce(d <= F.col("window"), F.lit(False))
+    near = near.withColumns({"_l": reach(to_left), "_r": reach(to_right)}).filter("_l or _r")
+    gap = [*by, "controller", "window", "left", "right"]
+    one = F.struct(F.col("_t").alias("t"), F.col("confidence").alias("c"), F.col("_l").alias("l"), F.col("_r").alias("r"))
+    near = near.select(*gap, one.alias("_one"))
+    # Tasks keep the first two rows of each gap before the shuffle.
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy(*gap).orderBy("_one"))).filter("_n <= 2")
+    first = ranked.groupBy(*gap).agg(F.max(F.when(F.col("_n") == 1, F.col("_one"))).alias("a"), F.max(F.when(F.col("_n") == 2, F.col("_one"))).alias("b"))
+    late = near.filter("_one.r").groupBy(*gap).agg(F.min("_one").alias("s"))
+    same = [first[c].eqNullSafe(late[c]) for c in gap]
+    gaps = first.join(late, same, "left").select(*(first[c] for c in gap), "a", "b", "s")
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    goes_left = a["l"] & (F.col("right").isNull() | (a["t"] - F.col("left.t") <= F.col("right.t") - a["t"]))
+    free = F.struct(
+        F.when(goes_left, a).when(b["l"], b).alias("left"),
+        F.when(~goes_left, a).when(~a["r"], s).otherwise(F.when(b["r"], b)).alias("right"),
+    )
+    taken = F.struct(F.when(F.lit(False), a).alias("left"), s.alias("right"))
+    gaps = gaps.withColumns({"free": free, "taken": taken, "_at": F.coalesce(F.col("left.t"), F.lit(-1e15))}).drop("a", "b", "s")
+    gaps = stage(gaps, "gaps")
+    chain = [*by, "controller", "window"]
+    gaps = scan.last_seen(gaps, F.col("right"), "_before", chain, ["_at"], stretch, inclusive=False)
+    # Anchors that share a time are taken one from the left, another from the right.
+    touches = F.coalesce((F.col("_before.t") == F.col("left.t")) & (F.col("left.n") == 1), F.lit(False))
+    after = lambda c: F.col(f"{c}.right").isNotNull()
+    fixed = F.when(after("free") == after("taken"), after("free")).when(~touches, after("free"))
+    gaps = stage(gaps.withColumns({"_touches": touches, "_fixed": fixed}), "chains")
+    gaps = scan.last_seen(gaps, F.col("_fixed"), "_state", chain, ["_at"], stretch, inclusive=False)
+    got = F.when(F.col("_touches") & F.coalesce("_state", F.lit(False)), F.col("taken")).otherwise(F.col("free"))
+    pair = lambda side, trust: F.when(got[side].isNotNull(), F.struct(got[side]["t"].alias("source_ts"), F.col(f"{side}.t").alias("base_ts"), F.greatest(got[side]["c"] * F.col(f"{side}.{trust}"), F.lit(1e-6)).alias("weight")))
+    pairs = gaps.withColumn("_pair", F.explode(F.array_compact(F.array(pair("left", "high"), pair("right", "low")))))
+    return pairs.select("bundle_id", "controller", "anchor_type", "window", "_pair.*")
 
 
 def consistency(stdev: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import rules as R
 from fieldtrace.functions import text as T
 from fieldtrace.functions import timeparse as P
+from fieldtrace.operators import scan
 from fieldtrace.schema import BUCKET_SECONDS, RAW_LINE_BYTES, effective
 
 
@@ -19,33 +20,29 @@ def file_stats(lines: DataFrame, by: str = "file_id", ts: str = "raw_ts") -> Dat
     )
 
 
-def bucket_transitions(lines: DataFrame, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts") -> DataFrame:
+def bucket_transitions(lines: DataFrame, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts", size: int = scan.BLOCK) -> DataFrame:
     """The first line of each stretch of one five-minute bucket, among lines with a usable time."""
     bucket = F.floor(F.col(ts) / BUCKET_SECONDS).cast("long")
     known = lines.filter(effective(F.col(ts))).withColumn("bucket", bucket)
-    before = F.lag("bucket").over(Window.partitionBy(by).orderBy(order))
-    return known.withColumn("_before", before).filter("_before is null or _before <> bucket").drop("_before")
+    return scan.last_seen(known, F.col("bucket"), "_before", [by], [order], size, inclusive=False).filter("_before is null or _before <> bucket").drop("_before")
 
 
-def runs(lines: DataFrame, bad: Column, by: str = "file_id", order: str = "line_no") -> DataFrame:
+def runs(lines: DataFrame, bad: Column, by: str = "file_id", order: str = "line_no", size: int = scan.BLOCK) -> DataFrame:
     """Unbroken runs of lines for which `bad` holds, as inclusive ranges."""
-    w = Window.partitionBy(by).orderBy(order)
     # Good lines count up; a run of bad ones shares the count.
-    numbered = lines.select(by, order, bad.alias("_bad")).withColumn("_run", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
+    marked = lines.select(by, order, bad.alias("_bad"))
+    numbered = scan.running_sum(marked, F.when(F.col("_bad"), 0).otherwise(1), "_run", [by], [order], size)
     return numbered.filter("_bad").groupBy(by, "_run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("lines")).drop("_run")
 
 
-def segments(lines: DataFrame, tick: Column, sync: Column, by: str = "file_id", order: str = "line_no") -> DataFrame:
+def segments(lines: DataFrame, tick: Column, sync: Column, by: str = "file_id", order: str = "line_no", size: int = scan.BLOCK) -> DataFrame:
     """Boot segments: a new one where the tick falls below the last tick before; line spans are half-open.
 
     Lines without a tick belong to the segment open at their place, leading ones to the first.  The first line that sets
     the clock gives the segment's offset, with confidence 0.95; without one it has none.
     """
-    w = Window.partitionBy(by).orderBy(order)
     ticked = lines.select(by, order, tick.alias("_tick"), sync.alias("_sync"))
-    last = F.last("_tick", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ticked.withColumn("_reset", F.when(F.col("_tick") < last, 1).otherwise(0))
-    placed = marked.withColumn("seq_no", F.sum("_reset").over(w).cast("int"))
+    placed = scan.resets(ticked, "_tick", "seq_no", [by], order, size).withColumn("seq_no", F.col("seq_no").cast("int"))
     out = placed.groupBy(by, "seq_no").agg(
         F.min(order).alias("line_start"),
         (F.max(order) + 1).alias("line_end"),
@@ -61,11 +58,10 @@ def mcu_segments(lines: DataFrame) -> DataFrame:
     return segments(lines.filter("controller = 'mcu'"), P.mcu_tick(F.col("text")), P.mcu_offset(F.col("text"))).filter("raw_ts_min is not null")
 
 
-def in_segment(rows: DataFrame, segs: DataFrame) -> DataFrame:
+def in_segment(rows: DataFrame, segs: DataFrame, size: int = scan.BLOCK) -> DataFrame:
     """Rows with the segment that holds their line; segments of one file do not overlap."""
-    s = segs.select(F.col("file_id").alias("_file"), "seq_no", "line_start", "line_end", F.col("clock_offset").alias("segment_offset"), F.col("offset_confidence").alias("segment_confidence"))
-    held = (F.col("file_id") == F.col("_file")) & (F.col("line_no") >= F.col("line_start")) & (F.col("line_no") < F.col("line_end"))
-    return rows.join(s, held, "left").drop("_file", "line_start", "line_end")
+    s = segs.select("file_id", "seq_no", "line_start", "line_end", F.col("clock_offset").alias("segment_offset"), F.col("offset_confidence").alias("segment_confidence"))
+    return scan.within_ranges(rows, s, "file_id", "line_no", "line_start", "line_end", size)
 
 
 def rule_events(lines: DataFrame, rules: tuple[R.Rule, ...] = R.EVENT_RULES) -> DataFrame:
@@ -132,10 +128,9 @@ def suspected_crashes(sessions: DataFrame, files: DataFrame, capture: float = 90
     return ended.filter((F.col("capture_seconds") < capture) & (F.col("next_boot") - F.col(ts) < gap))
 
 
-def forward_filled(lines: DataFrame, by: str, order: str, ts: str) -> DataFrame:
+def forward_filled(lines: DataFrame, by: str, order: str, ts: str, size: int = scan.BLOCK) -> DataFrame:
     """`lines` with `filled`: the last time seen up to each line."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("filled", F.last(ts, ignorenulls=True).over(w))
+    return scan.last_seen(lines, F.col(ts), "filled", [by], [order], size)
 
 
 def counters(files: DataFrame, events: DataFrame, anchors: DataFrame, index: DataFrame) -> DataFrame:
@@ -155,13 +150,10 @@ def controllers_present(files: DataFrame) -> DataFrame:
     return files.filter("controller <> 'unknown'").select("bundle_id", "controller").distinct()
 
 
-def clip(lines: DataFrame, fault: float, before: float = 60.0, after: float = 30.0, most: int = 500, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts") -> DataFrame:
+def clip(lines: DataFrame, fault: float, before: float = 60.0, after: float = 30.0, most: int = 500, by: str = "file_id", order: str = "line_no", ts: str = "raw_ts", size: int = scan.BLOCK) -> DataFrame:
     """Lines of each file around a fault; all its lines, with `fallback`, if none is there.  At most `most` of each file."""
-    near = F.coalesce(F.col("filled").between(fault - before, fault + after), F.lit(False))
-    marked = forward_filled(lines, by, order, ts).withColumn("_near", near)
-    kept = marked.withColumn("fallback", ~F.max("_near").over(Window.partitionBy(by))).filter(F.col("_near") | F.col("fallback"))
-    placed = kept.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    return placed.filter(F.col("_place") <= most).drop("_near", "_place").orderBy(by, order)
+    near = F.col("filled").between(fault - before, fault + after)
+    return scan.first_rows(forward_filled(lines, by, order, ts, size), most, [by], order, size, near, "fallback").orderBy(by, order)
 
 
 def merged_ranges(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 START, END = 1704412800.0, 1704499200.0  # 2024-01-05, one day
+#: Lines of a block in the segmented scans of these queries: small, so that the given tables have many blocks.
+SMALL = 1000
 NAMES = {"view": "android", "click": "fota", "error": "kernel", "purchase": "tbox", "signup": "mcu"}
 LINES = f"""lines AS (SELECT concat(user_id, '_', event_type) AS file_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items())} END AS controller,
   event_id AS line_no, epoch(ts) AS raw_ts, props AS text, user_id, event_type, value FROM events)"""
@@ -132,13 +134,13 @@ def valid_range_by_group(spark, sf_dir):
 @query(f"""WITH {LINES}, b AS (SELECT file_id, line_no, floor(raw_ts / 300)::BIGINT AS bucket FROM lines WHERE raw_ts >= 1577923200), c AS (SELECT *, lag(bucket) OVER (PARTITION BY file_id ORDER BY line_no) AS before FROM b)
 SELECT file_id, line_no, bucket FROM c WHERE before IS NULL OR before <> bucket""")
 def bucket_transitions(spark, sf_dir):
-    return prescan.bucket_transitions(lines(spark, sf_dir)).select("file_id", "line_no", "bucket")
+    return prescan.bucket_transitions(lines(spark, sf_dir), size=SMALL).select("file_id", "line_no", "bucket")
 
 
 @query("""WITH n AS (SELECT user_id, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)
 SELECT user_id, min(event_id) AS start, max(event_id) AS "end", count(*) AS lines FROM n WHERE bad GROUP BY user_id, run""")
 def unsynced_ranges(spark, sf_dir):
-    return prescan.runs(table(spark, sf_dir, "events"), F.col("event_type") == "error", "user_id", "event_id")
+    return prescan.runs(table(spark, sf_dir, "events"), F.col("event_type") == "error", "user_id", "event_id", SMALL)
 
 
 @query("""WITH r AS (SELECT o_custkey, epoch(o_orderdate) AS s, epoch(o_orderdate) + 86400.0 * (o_orderkey % 90) AS e FROM orders),
@@ -150,11 +152,13 @@ def merge_ranges(spark, sf_dir):
     return prescan.merged_ranges(own, "o_custkey", "s", "e")
 
 
-@query("""WITH t AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+@query("""WITH t AS (SELECT user_id, event_id, value, CASE WHEN event_type = 'signup' THEN epoch(ts) - value END AS sync, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
 s AS (SELECT *, sum(CASE WHEN value < before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS seq_no FROM t)
-SELECT user_id, seq_no::INT AS seq_no, min(event_id) AS line_start, max(event_id) + 1 AS line_end, min(value) AS raw_ts_min, max(value) AS raw_ts_max FROM s GROUP BY user_id, seq_no""")
+SELECT user_id, seq_no::INT AS seq_no, min(event_id) AS line_start, max(event_id) + 1 AS line_end, min(value) AS raw_ts_min, max(value) AS raw_ts_max, arg_min(sync, event_id) AS clock_offset,
+CASE WHEN arg_min(sync, event_id) IS NULL THEN 0.0 ELSE 0.95 END::DOUBLE AS offset_confidence FROM s GROUP BY user_id, seq_no""")
 def boot_segments(spark, sf_dir):
-    return prescan.segments(table(spark, sf_dir, "events"), F.col("value"), F.lit(None).cast("double"), "user_id", "event_id").drop("clock_offset", "offset_confidence")
+    sync = F.when(F.col("event_type") == "signup", epoch(F.col("ts")) - F.col("value"))
+    return prescan.segments(table(spark, sf_dir, "events"), F.col("value"), sync, "user_id", "event_id", SMALL)
 
 
 @query("""WITH t AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
@@ -163,8 +167,8 @@ g AS (SELECT user_id, seq_no, min(event_id) AS line_start, max(event_id) + 1 AS
 SELECT e.user_id::VARCHAR AS file_id, e.event_id AS line_no, g.seq_no::INT AS seq_no FROM events e JOIN g ON e.user_id = g.user_id AND e.event_id >= g.line_start AND e.event_id < g.line_end WHERE e.event_type = 'error'""")
 def line_in_segment(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("line_no"), "value", "event_type")
-    segs = prescan.segments(own, F.col("value"), F.lit(None).cast("double"))
-    return prescan.in_segment(own.filter("event_type = 'error'"), segs).select("file_id", "line_no", "seq_no")
+    segs = prescan.segments(own, F.col("value"), F.lit(None).cast("double"), size=SMALL)
+    return prescan.in_segment(own.filter("event_type = 'error'"), segs, SMALL).select("file_id", "line_no", "seq_no")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, epoch(ts) AS boot, value, lead(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts)) AS next_boot FROM events WHERE event_type = 'signup')
@@ -178,34 +182,82 @@ def suspected_crash_pairs(spark, sf_dir):
 @query("""SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'view' THEN epoch(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events""")
 def forward_fill(spark, sf_dir):
     own = lines(spark, sf_dir).select("user_id", F.col("line_no").alias("event_id"), F.when(F.col("event_type") != "view", F.col("raw_ts")).alias("t"))
-    return prescan.forward_filled(own, "user_id", "event_id", "t").drop("t")
+    return prescan.forward_filled(own, "user_id", "event_id", "t", SMALL).drop("t")
 
 
-@query(f"""WITH f AS (SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'view' THEN epoch(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events)
-SELECT * FROM f WHERE filled BETWEEN {START} - 60 AND {START} + 3600 ORDER BY user_id, event_id LIMIT 500""")
+@query(f"""WITH f AS (SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'view' THEN epoch(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events),
+n AS (SELECT *, coalesce(filled BETWEEN {START} - 60 AND {START} + 3600, false) AS near FROM f), k AS (SELECT *, NOT bool_or(near) OVER (PARTITION BY user_id) AS fallback FROM n)
+SELECT user_id, event_id, filled, fallback FROM k WHERE near OR fallback QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20""")
 def forward_fill_clip(spark, sf_dir):
     own = lines(spark, sf_dir).select("user_id", F.col("line_no").alias("event_id"), F.when(F.col("event_type") != "view", F.col("raw_ts")).alias("t"))
-    # The SQL has no fall-back and one limit for all users.
-    clipped = prescan.clip(own, START, 60, 3600, 500, "user_id", "event_id", "t").filter("not fallback")
-    return clipped.select("user_id", "event_id", "filled").orderBy("user_id", "event_id").limit(500)
+    # The feature keeps a number of lines of each log: twenty here, so that the cut falls in most of them.
+    return prescan.clip(own, START, 60, 3600, 20, "user_id", "event_id", "t", SMALL).select("user_id", "event_id", "filled", "fallback")
 
 
 def _anchors(spark, sf_dir) -> DataFrame:
-    own = lines(spark, sf_dir)
-    return own.select(F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")).alias("bundle_id"), "file_id", "controller", F.concat(F.lit("k"), (F.col("value") % 3).cast("int").cast("string")).alias("anchor_type"), F.col("raw_ts").alias("raw_timestamp"), "line_no", F.lit(0.9).alias("confidence"))
+    """Anchors of twenty bundles; b3 has none of tbox, b4 none of tbox and android, and those of mcu in b5 are not usable."""
+    own = lines(spark, sf_dir).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")))
+    own = own.filter("not (controller = 'tbox' and bundle_id in ('b3', 'b4')) and not (controller = 'android' and bundle_id = 'b4')")
+    ts = F.when((F.col("controller") == "mcu") & (F.col("bundle_id") == "b5"), F.lit(0.0)).otherwise(F.col("raw_ts"))
+    return own.select("bundle_id", "file_id", "controller", F.concat(F.lit("k"), (F.col("value") % 3).cast("int").cast("string")).alias("anchor_type"), ts.alias("raw_timestamp"), "line_no", (0.55 + F.col("line_no") % 10 * 0.05).alias("confidence"))
 
 
-@query()
+ANCHORS = f"""{LINES}, anchors AS (SELECT * FROM (SELECT concat('b', user_id % 20) AS bundle_id, controller, concat('k', trunc(value % 3)::INT) AS anchor_type,
+  CASE WHEN controller = 'mcu' AND user_id % 20 = 5 THEN 0.0 ELSE raw_ts END AS t, 0.55::DOUBLE + (line_no % 10) * 0.05::DOUBLE AS c FROM lines)
+  WHERE NOT (controller = 'tbox' AND bundle_id IN ('b3', 'b4')) AND NOT (controller = 'android' AND bundle_id = 'b4'))"""
+
+
+def _walk(name: str, source: str, base: str) -> str:
+    """SQL of the walk itself: source after source takes the nearer free one of the two base times around it."""
+    return f"""{name}_s AS (SELECT bundle_id, controller, anchor_type, win, list({{'t': t, 'c': c}} ORDER BY t, c) AS st FROM ({source}), (VALUES (60.0::DOUBLE), (600.0::DOUBLE)) w(win) GROUP BY ALL),
+{name}_b AS (SELECT bundle_id, anchor_type, list({{'t': t, 'c': c}} ORDER BY t, c) AS bt FROM ({base}) GROUP BY ALL),
+{name}_w AS (SELECT s.*, b.bt, 0 AS i, []::BIGINT[] AS used, NULL::BIGINT AS j FROM {name}_s s JOIN {name}_b b USING (bundle_id, anchor_type)
+  UNION ALL SELECT bundle_id, controller, anchor_type, win, st, bt, i + 1, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, got FROM (
+    SELECT *, CASE WHEN abs(bt[best].t - st[i + 1].t) <= win THEN best END AS got FROM (
+      SELECT *, CASE WHEN len(cand) = 2 AND abs(bt[cand[2]].t - st[i + 1].t) < abs(bt[cand[1]].t - st[i + 1].t) THEN cand[2] ELSE cand[1] END AS best FROM (
+        SELECT *, list_filter([before, before + 1], lambda x: x >= 1 AND x <= len(bt) AND NOT list_contains(used, x)) AS cand FROM (
+          SELECT *, len(list_filter(bt, lambda x: x.t < st[i + 1].t)) AS before FROM {name}_w WHERE i < len(st)))))),
+{name} AS (SELECT bundle_id, controller, anchor_type, win, st[i].t AS source_ts, bt[j].t AS base_ts, greatest(st[i].c * bt[j].c, 1e-6) AS weight FROM {name}_w WHERE j IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {ANCHORS}, {_walk('pairs', "SELECT * FROM anchors WHERE controller <> 'tbox'", "SELECT * FROM anchors WHERE controller = 'tbox'")}
+SELECT bundle_id, controller, anchor_type, win AS "window", source_ts, base_ts, round(weight, 9) AS weight FROM pairs""")
 def anchor_pairs_greedy(spark, sf_dir):
     own = _anchors(spark, sf_dir)
     base = own.filter("controller = 'tbox'").select("bundle_id", "anchor_type", "raw_timestamp", "confidence")
-    return align.anchor_pairs(own.filter("controller <> 'tbox'").select("bundle_id", "controller", "anchor_type", "raw_timestamp", "confidence"), base)
-
-
-@query()
+    found = align.anchor_pairs(own.filter("controller <> 'tbox'").select("bundle_id", "controller", "anchor_type", "raw_timestamp", "confidence"), base)
+    return found.withColumn("weight", F.round("weight", 9))
+
+
+def _offsets_sql(name: str, pairs: str) -> str:
+    """SQL of offset, confidence and number of the pairs of the window chosen for each controller."""
+    return f"""{name}_m AS (SELECT bundle_id, controller, win, count(*) AS n, sum(weight * (base_ts - source_ts)) / sum(weight) AS m, avg(weight) AS aw FROM {pairs} GROUP BY ALL),
+{name}_d AS (SELECT p.bundle_id, p.controller, win, any_value(n) AS n, any_value(m) AS m, any_value(aw) AS aw, CASE WHEN any_value(n) < 2 THEN 0 ELSE sqrt(sum(weight * (base_ts - source_ts - m) ** 2) / sum(weight)) END AS sd FROM {pairs} p JOIN {name}_m USING (bundle_id, controller, win) GROUP BY ALL),
+{name} AS (SELECT bundle_id, controller, n, m AS off, greatest(0, least(1, least(n / 2, 1) * sqrt(aw) * CASE WHEN sd <= 5 THEN 1 ELSE greatest(0.6, 1 - 0.4 * least((sd - 5) / 25, 1)) END)) AS conf FROM {name}_d
+  QUALIFY row_number() OVER (PARTITION BY bundle_id, controller ORDER BY CASE WHEN win = 60 AND n >= 3 THEN 1000000000 ELSE n END DESC, win) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {ANCHORS}, clean AS (SELECT * FROM anchors WHERE t >= 1577923200),
+bases AS (SELECT bundle_id, CASE WHEN bool_or(controller = 'tbox') THEN 'tbox' WHEN bool_or(controller = 'android') THEN 'android' END AS base FROM clean GROUP BY bundle_id),
+known AS (SELECT * FROM clean JOIN bases USING (bundle_id)), {_walk('one', "SELECT * FROM known WHERE controller <> base", "SELECT * FROM known WHERE controller = base")}, {_offsets_sql('direct', 'one')},
+bridge AS (SELECT bundle_id, off AS b_off, conf AS b_conf FROM direct WHERE controller = 'android' AND conf >= 0.6),
+weak AS (SELECT k.* FROM known k LEFT JOIN direct d ON d.bundle_id = k.bundle_id AND d.controller = k.controller WHERE k.controller NOT IN (k.base, 'android') AND coalesce(d.conf, 0) < 0.7),
+{_walk('two', "SELECT * FROM weak", "SELECT * FROM known WHERE controller = 'android' AND base <> 'android'")}, {_offsets_sql('over', 'two')},
+hop AS (SELECT o.bundle_id, controller, b_off + off AS h_off, conf * b_conf * 0.95::DOUBLE AS h_conf, n AS h_n FROM over o JOIN bridge USING (bundle_id)),
+seen AS (SELECT bundle_id, controller, count(*) AS anchors FROM clean GROUP BY ALL),
+p AS (SELECT q.bundle_id, q.controller, base, coalesce(q.controller = base, false) AS is_base, off, conf, n, h_off, h_conf, h_n, anchors, coalesce(h_conf > coalesce(conf, 0), false) AS better
+  FROM (SELECT DISTINCT bundle_id, controller FROM anchors) q LEFT JOIN bases USING (bundle_id) LEFT JOIN direct USING (bundle_id, controller) LEFT JOIN hop USING (bundle_id, controller) LEFT JOIN seen USING (bundle_id, controller)),
+r AS (SELECT bundle_id, controller, base, CASE WHEN is_base THEN 0.0 WHEN better THEN h_off ELSE off END AS "offset", CASE WHEN is_base THEN 1.0 WHEN better THEN h_conf ELSE coalesce(conf, 0) END AS confidence,
+  CASE WHEN is_base THEN 'none' WHEN better THEN 'two_hop' WHEN off IS NOT NULL THEN 'direct' ELSE 'none' END AS method, CASE WHEN is_base THEN coalesce(anchors, 0) WHEN better THEN h_n ELSE coalesce(n, 0) END AS n,
+  concat_ws('; ', CASE WHEN base = 'android' THEN 'no usable anchors of tbox: android is the base clock' END, CASE WHEN base IS NULL THEN 'no usable anchors of tbox or android: not aligned' END, CASE WHEN base IS NOT NULL AND NOT is_base AND anchors IS NULL THEN concat(controller, ': no usable anchors') END) AS warnings FROM p),
+t AS (SELECT bundle_id, any_value(base) AS base, count(*) FILTER (WHERE coalesce(controller <> base, true)) AS targets, count(*) FILTER (WHERE coalesce(controller <> base, true) AND "offset" IS NOT NULL) AS placed,
+  count(*) FILTER (WHERE coalesce(controller <> base, true) AND "offset" IS NOT NULL AND confidence >= 0.8) AS sure FROM r GROUP BY bundle_id)
+SELECT bundle_id, controller, r.base, round("offset", 6) AS "offset", round(confidence, 6) AS confidence, method, n, warnings, CASE WHEN t.base IS NULL THEN 'failed' WHEN sure = targets AND t.base = 'tbox' THEN 'success' WHEN placed >= greatest(1, ceil(targets * 0.5)) OR sure = targets THEN 'partial' ELSE 'failed' END AS status
+FROM r JOIN t USING (bundle_id)""")
 def alignment_status(spark, sf_dir):
     own = _anchors(spark, sf_dir)
-    return align.align(own.select("bundle_id", "file_id", "controller", "anchor_type", "raw_timestamp", "line_no", "confidence"), own.select("bundle_id", "controller").distinct())
+    found = align.align(own, own.select("bundle_id", "controller").distinct())
+    return found.withColumns({"offset": F.round("offset", 6), "confidence": F.round("confidence", 6), "warnings": F.array_join("warnings", "; ")})
 
 
 @query("""WITH p AS (SELECT o_orderpriority AS k, (o_totalprice % 40) - 20 AS d, 0.5 + (o_orderkey % 5) / 10.0 AS w FROM orders), m AS (SELECT k, count(*) AS n, sum(w * d) / sum(w) AS m, avg(w) AS aw FROM p GROUP BY k),

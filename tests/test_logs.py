@@ -172,11 +172,14 @@ def test_boot_segments_match_a_walk(spark):
     assert got == want
 
 
-def test_greedy_pairs():
-    import numpy as np
-
-    assert align.nearest_pairs(np.array([0.0, 1.0, 100.0]), np.array([0.4, 50.0]), 60) == [(0, 0), (1, 1)]
-    assert align.nearest_pairs(np.array([10.0]), np.array([5.0, 15.0]), 60) == [(0, 0)]
+def test_greedy_pairs(spark):
+    def pairs(source, base):
+        s = spark.createDataFrame([("b", "m", "x", t, 0.9) for t in source], "bundle_id string, controller string, anchor_type string, raw_timestamp double, confidence double")
+        b = spark.createDataFrame([("b", "x", t, 0.9) for t in base], "bundle_id string, anchor_type string, raw_timestamp double, confidence double")
+        return sorted((r.source_ts, r.base_ts) for r in align.anchor_pairs(s, b, (60.0,)).collect())
+
+    assert pairs([0.0, 1.0, 100.0], [0.4, 50.0]) == [(0.0, 0.4), (1.0, 50.0)]
+    assert pairs([10.0], [5.0, 15.0]) == [(10.0, 5.0)]
 
 
 def anchor(controller, kind, ts, confidence=0.9):
