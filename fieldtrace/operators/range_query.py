@@ -30,8 +30,8 @@ def estimate(files: DataFrame, start: float, end: float, controllers: list[str]
     return overlapping(files, start, end, controllers).agg(F.coalesce(F.sum("line_count"), F.lit(0)).cast("long").alias("estimated_lines"))
 
 
-def sent(files: DataFrame) -> DataFrame:
-    return F.broadcast(files) if len(files.select("file_id").limit(MAX_SENT + 1).collect()) <= MAX_SENT else files
+def sent(files: DataFrame, key: str = "file_id") -> DataFrame:
+    return F.broadcast(files) if files.select(key).limit(MAX_SENT + 1).count() <= MAX_SENT else files
 
 
 def query(

@@ -14,7 +14,8 @@ from fieldtrace.operators.services import first_seen
 from fieldtrace.schema import effective
 from fieldtrace.sources import archives
 from fieldtrace.sources import lines as L
-from fieldtrace.sources.tables import stage, write_partitioned
+from fieldtrace.sources.tables import stage
+from fieldtrace.sources.versions import Tables
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,13 @@ class Bundle:
     summary: DataFrame
 
 
-def store(bundle: Bundle, folder: str) -> None:
-    """Writes a bundle's tables below `folder`; storing a bundle again replaces its own rows and no others."""
-    for name in ("events", "anchors", "files"):
-        write_partitioned(getattr(bundle, name), f"{folder}/{name}", "bundle_id")
+def store(bundle: Bundle, folder: str) -> int:
+    """A bundle's tables below `folder` as one new version; storing a bundle again replaces its own rows and no others."""
     own = bundle.files.select("file_id", "bundle_id")
-    for name in ("segments", "index"):
-        write_partitioned(getattr(bundle, name).join(own, "file_id"), f"{folder}/{name}", "bundle_id")
-    write_partitioned(bundle.summary, f"{folder}/alignment", "bundle_id")
+    named = {name: getattr(bundle, name) for name in ("events", "anchors", "files")}
+    named |= {name: getattr(bundle, name).join(own, "file_id") for name in ("segments", "index")}
+    keys = [r.bundle_id for r in own.select("bundle_id").distinct().toLocalIterator()]
+    return Tables(bundle.files.sparkSession, folder).replace(named | {"alignment": bundle.summary}, keys)
 
 
 def ingest(spark: SparkSession, paths: list[str] | str, extra_names: dict[str, tuple[str, ...]] | None = None) -> Bundle:

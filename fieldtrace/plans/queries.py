@@ -16,7 +16,8 @@ from fieldtrace.functions import text as T
 from fieldtrace.operators import align, prescan, retrieval, services
 from fieldtrace.operators import range_query as Q
 from fieldtrace.schema import epoch
-from fieldtrace.sources.tables import table, updated
+from fieldtrace.sources import logstore
+from fieldtrace.sources.tables import shared_path, stage, table, updated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +83,33 @@ def estimate_rows(spark, sf_dir):
     return Q.estimate(files(spark, sf_dir), START, END)
 
 
+UNDATED = f"""{LINES}, own AS (SELECT *, CASE WHEN line_no % 7 > 0 THEN raw_ts END AS t FROM lines),
+meta AS (SELECT file_id, min(user_id) % 5 * 60.0 AS off, min(t) AS lo, max(t) AS hi FROM own GROUP BY file_id), met AS (SELECT * FROM meta WHERE hi + off >= {START} AND lo + off <= {END}),
+reach AS (SELECT file_id, min(line_no) AS a, max(line_no) AS b FROM own JOIN met USING (file_id) WHERE floor(t / 300) BETWEEN floor(({START} - off) / 300) AND floor(({END} - off) / 300) + 1 GROUP BY file_id)"""
+
+
+@query(f"""WITH {UNDATED} SELECT l.controller, l.file_id, l.file_id AS original_name, l.t + off AS aligned_ts, l.t AS raw_ts, l.line_no, l.text AS line, false AS clock_unaligned, false AS truncated
+FROM own l JOIN met USING (file_id) LEFT JOIN reach USING (file_id) WHERE l.t + off BETWEEN {START} AND {END} OR l.t IS NULL AND l.line_no BETWEEN a AND b""")
+def range_indexed(spark, sf_dir):
+    """The window read by the bucket index of stored lines; a seventh of the lines has no time."""
+    own = lines(spark, sf_dir).withColumn("raw_ts", F.when(F.col("line_no") % 7 > 0, F.col("raw_ts")))
+    offset = own.groupBy("file_id").agg((F.min("user_id") % 5 * 60.0).alias("clock_offset"))
+    meta = stage(own.groupBy("file_id", "bundle_id", "controller").agg(F.min("raw_ts").alias("valid_ts_min"), F.max("raw_ts").alias("valid_ts_max"), F.count(F.lit(1)).alias("line_count")).join(offset, "file_id"), "files")
+    meta = meta.withColumns({"original_name": F.col("file_id"), "offset_method": F.lit("direct"), "unsynced": F.lit(None).cast("array<struct<start:long,end:long>>")})
+    folder = shared_path(spark, "store")
+    logstore.write(own, folder)
+    return Q.query(logstore.window(spark, folder, meta, START, END, undated=True), meta, START, END, include_unsynced=True)
+
+
+@query(f"""WITH {LINES} SELECT bundle_id, file_id, controller, line_no, raw_ts, text FROM (SELECT *, concat('b', user_id % 20) AS bundle_id FROM lines) WHERE raw_ts >= {START} AND raw_ts < {END} AND bundle_id IN ('b2', 'b3')""")
+def stored_lines_pushdown(spark, sf_dir):
+    """Stored lines of two bundles and a day; bundle and times are pushed into the source."""
+    own = lines(spark, sf_dir).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")))
+    folder = shared_path(spark, "store")
+    logstore.write(own, folder)
+    return logstore.lines(spark, folder).filter(F.col("bundle_id").isin("b2", "b3") & (F.col("raw_ts") >= START) & (F.col("raw_ts") < END))
+
+
 @query(f"""WITH {LINES} SELECT file_id, count(*) AS line_count, min(raw_ts) AS raw_ts_min, max(raw_ts) AS raw_ts_max, min(CASE WHEN raw_ts >= 1577923200 THEN raw_ts END) AS valid_ts_min, max(CASE WHEN raw_ts >= 1577923200 THEN raw_ts END) AS valid_ts_max FROM lines GROUP BY file_id""")
 def file_stats(spark, sf_dir):
     return prescan.file_stats(lines(spark, sf_dir))

@@ -15,18 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the cluster's shared folder and read from there; it goes when the application ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder; what is written there goes when the application ends."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="fieldtrace-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(jvm_path)  # only what exists is marked to go
+    fs.deleteOnExit(jvm_path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the cluster's shared folder and read from there; it goes when the application ends."""
+    path = shared_path(df.sparkSession, f"stage-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def json_table(spark: SparkSession, path: str, schema: str, fallback: list[tuple]) -> DataFrame:
@@ -39,27 +46,6 @@ def json_table(spark: SparkSession, path: str, schema: str, fallback: list[tuple
         return spark.createDataFrame(fallback, schema)
 
 
-def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
-    """Replaces the partitions that `df` has rows of, and no others: a bundle can be derived again."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def clear_rows(spark: SparkSession, path: str, by: str, value: str, gone) -> None:
-    """Rewrites one partition without the rows for which `gone` holds; other partitions stay."""
-    rows = spark.read.parquet(path).filter((F.col(by) == value) & ~F.coalesce(gone, F.lit(False)))
-    # A partition cannot be read and replaced at once: its rows are written beside it first.
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.parquet(beside)
-    kept = spark.read.parquet(beside)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if kept.isEmpty():
-        fs.delete(fs_path(f"{path.rstrip('/')}/{by}={value}"), True)
-    else:
-        write_partitioned(kept, path, by)
-    fs.delete(fs_path(beside), True)
-
-
 def updated(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`table` with the columns of `new` taken where they are not null: an update that keeps old values."""
     columns = [c for c in new.columns if c != key]

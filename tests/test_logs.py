@@ -318,21 +318,6 @@ def test_alignment_counts_and_warnings(spark):
     assert align.summary(only).first().warnings == ["no usable anchors of tbox: android is the base clock"]
 
 
-def test_stored_bundles_are_replaced_one_by_one(spark, tmp_path):
-    rows = [("b1", "boot", 1.0), ("b1", "crash", 2.0), ("b2", "boot", 3.0)]
-    path = str(tmp_path / "events")
-    df = spark.createDataFrame(rows, "bundle_id string, event_type string, raw_timestamp double")
-    for _ in range(2):
-        tables.write_partitioned(df, path, "bundle_id")
-    tables.write_partitioned(df.filter("bundle_id = 'b1'").withColumn("raw_timestamp", F.lit(9.0)), path, "bundle_id")
-    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("bundle_id", "event_type", "raw_timestamp").collect())
-    assert read() == [("b1", "boot", 9.0), ("b1", "crash", 9.0), ("b2", "boot", 3.0)]
-    tables.clear_rows(spark, path, "bundle_id", "b1", F.col("event_type") == "crash")
-    assert read() == [("b1", "boot", 9.0), ("b2", "boot", 3.0)]
-    tables.clear_rows(spark, path, "bundle_id", "b1", F.lit(True))
-    assert read() == [("b2", "boot", 3.0)]
-
-
 def test_updates_keep_old_values_where_new_ones_are_null(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, at double")
     new = spark.createDataFrame([(1, None, 5.0)], "id int, name string, at double")
