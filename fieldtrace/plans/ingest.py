@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import rules as R
 from fieldtrace.functions import timeparse as P
 from fieldtrace.operators import align, prescan
+from fieldtrace.operators.range_query import sent
 from fieldtrace.operators.services import first_seen
 from fieldtrace.schema import effective
 from fieldtrace.sources import archives
 from fieldtrace.sources import lines as L
-from fieldtrace.sources.tables import stage
+from fieldtrace.sources.tables import shared_path, stage
 from fieldtrace.sources.versions import Tables
 
 
@@ -38,19 +39,22 @@ def store(bundle: Bundle, folder: str) -> int:
     return Tables(bundle.files.sparkSession, folder).replace(named | {"alignment": bundle.summary}, keys)
 
 
-def ingest(spark: SparkSession, paths: list[str] | str, extra_names: dict[str, tuple[str, ...]] | None = None) -> Bundle:
-    """`extra_names` adds file names by controller to the rules that classify files."""
-    members = first_seen(archives.files(spark, paths).withColumn("_key", F.struct("bundle_id", "sha256")), F.col("_key"), "seq").drop("_key")
-    kind = R.classify(F.col("bundle_relative_path"), F.col("original_name"), F.col("content"), extra_names=extra_names)
-    placed = stage(members.withColumn("controller", kind).withColumn("modified", F.lit(None).cast("timestamp")), "members")
-    return derive(placed.drop("content"), stage(L.decode(placed), "lines"))
+def ingest(spark: SparkSession, paths: list[str] | str, extra_names: dict[str, tuple[str, ...]] | None = None, store_at: str | None = None, decoders: tuple[L.Decoder, ...] = L.DECODERS, split: int = L.SPLIT) -> Bundle:
+    """`extra_names` adds file names by controller to the rules that classify files; members are kept below `store_at`."""
+    members = stage(archives.extract(spark, paths, store_at or shared_path(spark, "members")), "extracted")
+    first = first_seen(members.withColumn("_key", F.struct("bundle_id", "sha256")), F.col("_key"), "seq").drop("_key")
+    kind = R.classify(F.col("bundle_relative_path"), F.col("original_name"), F.col("head"), extra_names=extra_names)
+    placed = stage(first.withColumn("controller", kind).withColumn("modified", F.lit(None).cast("timestamp")), "members")
+    return derive(placed.drop("head"), stage(L.decode(placed, decoders, split), "lines"))
 
 
 def derive(files: DataFrame, lines: DataFrame) -> Bundle:
     """Everything that follows from decoded lines."""
     segs = stage(prescan.mcu_segments(lines), "segments")
     known = stage(align.file_offsets(files.join(prescan.file_stats(lines), "file_id", "left"), segs), "offsets")
-    timed = prescan.in_segment(lines.join(known.select("file_id", F.col("clock_offset").alias("_offset"), "offset_method"), "file_id"), segs)
+    # Times and places alone: texts are not written again.
+    placed = lines.select("file_id", "line_no", "byte_offset", "raw_ts").join(sent(known.select("file_id", F.col("clock_offset").alias("_offset"), "offset_method")), "file_id")
+    timed = prescan.in_segment(placed, segs)
     preset = F.col("offset_method").isin("filename_anchor", "clock_sync")
     wall = F.when(F.col("offset_method") == "segmented", F.col("raw_ts") + F.col("segment_offset")).when(preset, F.col("raw_ts") + F.col("_offset")).otherwise(F.col("raw_ts"))
     timed = stage(timed.withColumn("_wall", wall), "timed")

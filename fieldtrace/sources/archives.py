@@ -1,25 +1,39 @@
-"""Bundles: archives read by Spark as binary files and unpacked in tasks.
+"""Bundles: archives unpacked in tasks, member after member, into the cluster's store.
 
-`files(spark, paths)` gives one row per member: bundle_id, seq, bundle_relative_path, original_name, content, sha256, size_bytes.
-Zip, tar (also gzipped), gzip and plain log files are read; archives inside archives up to five deep.  Rar needs the
-optional package `rarfile`.
+`extract(spark, paths, store)` gives one row per member: bundle_id, seq, bundle_relative_path, original_name, uri, sha256,
+size_bytes, file_id, head.  Zip, tar (also gzipped), gzip and plain log files are read; archives inside archives up to five
+deep.  Rar needs the optional package `rarfile`.
+
+A member goes to the store in pieces of CHUNK bytes, so that a task holds one piece of an archive of any size; an archive
+inside an archive is put beside it first, as its directory may stand at its end.  A member's file appears under its final
+name when it is whole; a task that runs again writes the same bytes to the same name.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
+import hashlib
 import re
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrace.sources.versions import opened
+
 DEPTH = 5
+CHUNK = 4 << 20
+#: First bytes of a member that come with its row, for rules that look at content.
+HEAD = 8192
 UPLOAD_PREFIX = re.compile(r"^[0-9a-f]{32}__")
+UNSAFE = r'[\\/:*?"<>|\x00-\x1f]'
+MEMBERS = "bundle_id string, seq long, bundle_relative_path string, original_name string, uri string, sha256 string, size_bytes long, file_id string, head binary"
 
 
 def member_name(raw: str, flag_bits: int) -> str:
@@ -45,48 +59,112 @@ def kind_of(name: str) -> str:
     return "plain"
 
 
-def unpack(name: str, content: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """(path, content) of all members, archives inside included."""
-    kind = kind_of(name) if depth < DEPTH else "plain"
-    if kind == "plain":
-        yield name, content
-        return
+def members(name: str, f: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
+    """(path, open stream) of the members of one archive, each to be read before the next; `f` can seek."""
+    kind = kind_of(name)
     if kind == "zip":
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            members = [(member_name(i.filename, i.flag_bits), z.read(i)) for i in z.infolist() if not i.is_dir()]
+        with zipfile.ZipFile(f) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    with z.open(i) as member:
+                        yield member_name(i.filename, i.flag_bits), member
     elif kind == "tar":
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-            members = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
+        with tarfile.open(fileobj=f, mode="r:*") as t:
+            for i in t:
+                if i.isfile():
+                    yield i.name, t.extractfile(i)
     elif kind == "gz":
-        members = [(name[: -len(".gz")], gzip.decompress(content))]
+        with gzip.GzipFile(fileobj=f) as member:
+            yield name[: -len(".gz")], member
     else:
         try:
             import rarfile
         except ImportError as e:
             raise RuntimeError(f"{name}: rar archives need the package rarfile") from e
-        with rarfile.RarFile(io.BytesIO(content)) as r:
-            members = [(i.filename, r.read(i)) for i in r.infolist() if not i.is_dir()]
-    for inner, data in members:
-        if not skipped(inner):
-            yield from unpack(inner, data, depth + 1)
-
-
-def files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Members of all archives, in archive order; one archive is one task's work."""
+        with rarfile.RarFile(f) as r:
+            for i in r.infolist():
+                if not i.is_dir():
+                    with r.open(i) as member:
+                        yield i.filename, member
+
+
+def stored_name(file_id: str, name: str) -> str:
+    """Unsafe characters become underscores, names end at 200 characters."""
+    return f"{file_id}__{re.sub(UNSAFE, '_', name)[-200:]}"
+
+
+class Unpacker:
+    """Puts the members of archives into a folder of a store."""
+
+    def __init__(self, store: str):
+        self.base = store.rstrip("/")
+        self.fs, self.path = opened(self.base)
+
+    def _copy(self, source: BinaryIO, beside: str) -> tuple[str, int, bytes]:
+        digest, size, head = hashlib.sha256(), 0, b""
+        with self.fs.open_output_stream(beside) as out:
+            while piece := source.read(CHUNK):
+                digest.update(piece)
+                size += len(piece)
+                head = (head + piece[:HEAD])[:HEAD]
+                out.write(piece)
+        return digest.hexdigest(), size, head
+
+    def unpack(self, bundle: str, name: str, source: BinaryIO, depth: int = 0) -> Iterator[dict]:
+        """A row for each member of an open archive or plain file, archives inside included."""
+        folder = f"{self.path}/{re.sub(UNSAFE, '_', bundle)}"
+        self.fs.create_dir(folder, recursive=True)
+        if kind_of(name) != "plain" and depth < DEPTH:
+            for inner, member in members(name, source):
+                if skipped(inner):
+                    continue
+                if kind_of(inner) == "plain" or depth + 1 >= DEPTH:
+                    yield from self.unpack(bundle, inner, member, DEPTH)
+                else:
+                    beside = f"{folder}/.{uuid.uuid4().hex}"
+                    self._copy(member, beside)
+                    try:
+                        with self.fs.open_input_file(beside) as again:
+                            yield from self.unpack(bundle, inner, again, depth + 1)
+                    finally:
+                        self.fs.delete_file(beside)
+            return
+        file_id = hashlib.sha256(f"{bundle}|{name}".encode()).hexdigest()
+        beside, original = f"{folder}/.{uuid.uuid4().hex}", name.rsplit("/", 1)[-1]
+        sha, size, head = self._copy(source, beside)
+        final = stored_name(file_id, original)
+        self.fs.move(beside, f"{folder}/{final}")
+        yield {"bundle_id": bundle, "bundle_relative_path": name, "original_name": original, "uri": f"{self.base}/{re.sub(UNSAFE, '_', bundle)}/{final}", "sha256": sha, "size_bytes": size, "file_id": file_id, "head": head}
+
+
+def extract(spark: SparkSession, paths: list[str] | str, store: str) -> DataFrame:
+    """Members of all archives, in archive order, put into `store`; one archive is one task's work, a piece of it at a time."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in MEMBERS.split(", "))])
+        unpacker = Unpacker(store)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = UPLOAD_PREFIX.sub("", path.rsplit("/", 1)[-1])
-                for seq, (inner, data) in enumerate(unpack(name, content)):
-                    yield pa.RecordBatch.from_pydict({"bundle_id": [name], "seq": pa.array([seq], pa.int64()), "bundle_relative_path": [inner], "original_name": [inner.rsplit("/", 1)[-1]], "content": pa.array([data], pa.binary())})
+            for uri in batch.column(0).to_pylist():
+                name = UPLOAD_PREFIX.sub("", uri.rsplit("/", 1)[-1])
+                source, path = opened(uri)
+                with source.open_input_file(path) as f:
+                    for seq, row in enumerate(unpacker.unpack(name, name, f)):
+                        yield pa.RecordBatch.from_pylist([row | {"seq": seq}], kind)
 
-    read = spark.read.format("binaryFile").load(paths).select("path", "content")
-    out = read.mapInArrow(work, "bundle_id string, seq long, bundle_relative_path string, original_name string, content binary")
-    return out.withColumns({"sha256": F.sha2("content", 256), "size_bytes": F.length("content").cast("long"), "file_id": F.sha2(F.concat_ws("|", "bundle_id", "bundle_relative_path"), 256)})
+    named = spark.read.format("binaryFile").load(paths).select("path")  # names alone: no content is read here
+    return named.repartition(max(1, named.count())).mapInArrow(work, MEMBERS)
 
 
 def stored_path(bundle: Column, controller: Column, file_id: Column, name: Column) -> Column:
     """Where a file is kept: unsafe characters become underscores, names end at 200 characters."""
-    safe = F.right(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]', "_"), F.lit(200))
+    safe = F.right(F.regexp_replace(name, UNSAFE, "_"), F.lit(200))
     return F.concat_ws("/", bundle, controller, F.concat(file_id, F.lit("__"), safe))
+
+
+def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(uri, size_bytes, modified) of the files below a folder, by name and not by content."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return read.select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
+

@@ -264,7 +264,8 @@ def test_archive_names():
 def test_log_lines_source(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"x\r\ny\n")
     spark.dataSource.register(L.LinesSource)
-    got = spark.read.format("log_lines").load(str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.byte_offset, r.text) for r in spark.read.format("log_lines").load(str(tmp_path)).orderBy("byte_offset").collect()] == [(0, "x"), (3, "y")]
+    got = L.log_lines(spark, str(tmp_path)).orderBy("line_no").collect()
     assert [(r.line_no, r.byte_offset, r.text) for r in got] == [(0, 0, "x"), (1, 3, "y")]
 
 
