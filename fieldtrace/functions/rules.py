@@ -148,22 +148,90 @@ def alternatives(rules: tuple[Rule, ...], controller: str) -> list[tuple[int, st
     return out
 
 
+def needed(pattern: str) -> set[str] | None:
+    """Literals, lower-cased, of which every match of the pattern holds one; None where none can be told."""
+
+    def best(found: list[set[str]]) -> set[str] | None:
+        return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    def of(parts) -> set[str] | None:
+        found, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            if name == "SUBPATTERN":
+                found += [x for x in [of(arg[3])] if x]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                found += [x for x in [of(arg[2])] if x]
+            elif name == "ATOMIC_GROUP":
+                found += [x for x in [of(arg)] if x]
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                found += [set().union(*each)] if all(each) else []
+        return best(found)
+
+    return of(list(re._parser.parse(pattern)))
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern of any of the words that looks at each character of a text a few times, however many words there are: a tree of prefixes."""
+    tree: dict = {}
+    for w in sorted(words):
+        at = tree
+        for c in w:
+            if "" in at:
+                break  # a shorter word is found first
+            at = at.setdefault(c, {})
+        else:
+            at.clear()
+            at[""] = {}
+
+    def written(at: dict) -> str:
+        branches = [re.escape(c) + written(rest) for c, rest in at.items() if c]
+        return "" if "" in at else branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return written(tree)
+
+
+#: What stands between groups of a marked match: characters that no text holds, as they are set aside for programs.
+MARKS = "\ufdd0\ufdd1\ufdd2"
+
+
 def hits(rules: tuple[Rule, ...], controller: str, text: Column) -> Column:
-    """Array of rule numbers that a line of this controller hits, in order of place, then of `all_words` rules."""
+    """Array of rule numbers that a line of this controller hits, in order of place, then of `all_words` rules.
+
+    A line is looked at once for literals that some pattern needs; few lines have one.  These are searched once: each match
+    is replaced by its groups between marks, and the first group that is not empty names the rule.
+    """
     tried = alternatives(rules, controller)
     words = [(i, r.all_words) for i, r in enumerate(rules) if controller in r.controllers and r.all_words]
     none = F.array().cast("array<int>")
     found = none
     if tried:
-        # One search finds the matches; each is short, and the first alternative that it fits in full names its rule.
-        combined = "|".join(f"({p})" for _, p in tried)
-        groups, at = [], 1
-        for i, p in tried:
-            groups.append((i, at))
+        combined, groups, at = "|".join(f"({p})" for _, p in tried), [], 1
+        for _, p in tried:
+            groups.append(at)
             at += 1 + re.compile(p).groups
-        per = [F.regexp_extract_all(text, F.lit(combined), F.lit(g)) for _, g in groups]
-        which = F.transform(F.arrays_zip(*(x.alias(f"g{k}") for k, x in enumerate(per))), lambda m: F.coalesce(*(F.when(m[f"g{k}"] != "", F.lit(i)) for k, (i, _) in enumerate(groups))).cast("int"))
-        found = F.when(text.rlike(combined), F.filter(which, lambda x: x.isNotNull())).otherwise(none)
+        begin, between, end = MARKS
+        # Java reads as many digits of a group's number as there are groups: a mark ends each number.
+        marked = F.regexp_replace(F.translate(text, MARKS, "\ufffd" * 3), F.lit(combined), F.lit(begin + "".join(f"${g}{between}" for g in groups) + end))
+        each = F.slice(F.split(marked, begin), 2, F.size(F.split(marked, begin)))
+        number = F.array(*(F.lit(i) for i, _ in tried))
+
+        def named(piece: Column) -> Column:
+            got = F.split(F.substring_index(piece, end, 1), between)
+            first = F.array_position(F.transform(got, lambda g: g != ""), F.lit(True))
+            return F.when(first > 0, F.get(number, (first - 1).cast("int")))
+
+        matches = F.filter(F.transform(each, named), lambda x: x.isNotNull())
+        literals = [needed(p) for _, p in tried]
+        likely = text.rlike("(?i)" + any_of(set().union(*literals))) if all(literals) else text.rlike(combined)
+        found = F.when(likely, matches).otherwise(none)
     low = F.lower(text)
     for i, ws in words:
         every = F.lit(True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import rules as R
 from fieldtrace.schema import DEFAULT_LIMIT, HARD_LIMIT
+from fieldtrace.sources.tables import stage
 
 #: Files of a query are metadata rows; up to so many are sent to every task, more are joined by shuffle.
 MAX_SENT = 200_000
@@ -94,15 +95,30 @@ def query(
     return limited(out, keys, limit).drop("_last")
 
 
-def limited(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+#: Limits up to this many rows are taken in one task, from the best rows of each.
+TOP = 10_000
+
+
+def limited(df: DataFrame, keys: list[str], limit: int, top: int = TOP) -> DataFrame:
     """The first `limit` rows by `keys`; `truncated` says whether there were more.
 
-    One pass: the limit, which HARD_LIMIT bounds, is cut with one row to spare, and that row is counted.
+    Rows are sorted in range partitions and written; the counts of the partitions sum up to the place of the cut, which is
+    one number: partition and place within it.  No task holds more than its partition.  Small limits need no sort of all.
     """
-    whole = Window.partitionBy(F.lit(0))  # at most HARD_LIMIT + 1 rows, which the limit has brought together already
-    probe = df.orderBy(*keys).limit(limit + 1)
-    numbered = probe.withColumns({"_n": F.row_number().over(whole.orderBy(*keys)), "truncated": F.count(F.lit(1)).over(whole) > limit})
-    return numbered.filter(F.col("_n") <= limit).drop("_n")
+    if limit <= top:
+        whole = Window.partitionBy(F.lit(0))  # at most `top` and one rows, which the limit has brought together already
+        probe = df.orderBy(*keys).limit(limit + 1)
+        numbered = probe.withColumns({"_n": F.row_number().over(whole.orderBy(*keys)), "truncated": F.count(F.lit(1)).over(whole) > limit})
+        return numbered.filter(F.col("_n") <= limit).drop("_n")
+    placed = stage(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    left, cut = limit, None
+    # One row for each partition that has any.
+    for part, rows in sorted(map(tuple, placed.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())):
+        if cut is None and rows > left:
+            cut = (part << 33) + left
+        left -= rows
+    kept = placed if cut is None else placed.filter(F.col("_at") < cut)
+    return kept.orderBy("_at").drop("_at").withColumn("truncated", F.lit(cut is not None))
 
 
 def events(df: DataFrame, types: list[str] | None = None, controllers: list[str] | None = None, start: float | None = None, end: float | None = None, clock: str = "raw_timestamp") -> DataFrame:

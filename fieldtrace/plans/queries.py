@@ -72,6 +72,13 @@ def range_window_scan(spark, sf_dir):
     return Q.query(lines(spark, sf_dir), files(spark, sf_dir), START, END, limit=200)
 
 
+@query(f"""WITH {LINES} SELECT controller, file_id, line_no, text, (SELECT count(*) > 3000 FROM lines) AS truncated FROM lines ORDER BY controller, file_id, line_no LIMIT 3000""")
+def limit_by_prefix_sums(spark, sf_dir):
+    """The feature is the limit: the first 3,000 lines in file order, and whether there are more."""
+    own = lines(spark, sf_dir).select("controller", "file_id", "line_no", "text")
+    return Q.limited(own, ["controller", "file_id", "line_no"], 3000, top=0)
+
+
 @query(f"""WITH {LINES}, {FILES} SELECT l.controller, l.file_id, l.file_id AS original_name, l.raw_ts + f.clock_offset AS aligned_ts, l.raw_ts, l.line_no, l.text AS line, false AS clock_unaligned, false AS truncated
 FROM lines l JOIN files f USING (file_id) WHERE f.controller IN ('kernel', 'tbox') AND l.raw_ts + f.clock_offset BETWEEN {START} AND {END}""")
 def range_window_controllers(spark, sf_dir):
@@ -338,15 +345,13 @@ def slim_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter(keeps).select("conv_id", "turn")
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^.*fr/[^/]*$') THEN 'tbox' WHEN regexp_matches(url, '^.*en/.*$') THEN 'mcu' WHEN regexp_matches(url, '^https:.*$') THEN 'tbox' WHEN contains(html, '<pre') THEN 'mcu' ELSE 'unknown' END AS controller FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, url, strpos(html, '</article>') AS ends, html FROM pages), s AS (SELECT page_id, url, ends > 0 AND octet_length(encode(left(html, (ends + 9)::INT))) <= 8192 AS sniffed FROM p)
+SELECT page_id, CASE WHEN regexp_matches(url, '^.*fr/[^/]*$') THEN 'tbox' WHEN regexp_matches(url, '^.*en/.*$') THEN 'mcu' WHEN regexp_matches(url, '^https:.*page=.*$') THEN 'tbox' WHEN sniffed THEN 'mcu' ELSE 'unknown' END AS controller FROM s""")
 def classify_priority(spark, sf_dir):
-    rules = (R.FileRule("tbox", ("**/fr/*",), ("https:**",), ()), R.FileRule("mcu", ("**/en/**",), (), ("<pre",)))
+    """By path, then by name, then by the first 8,192 bytes: an article that ends behind them is not seen."""
+    rules = (R.FileRule("tbox", ("**/fr/*",), ("https:**page=**",), ()), R.FileRule("mcu", ("**/en/**",), (), ("</article>",)))
     pages = table(spark, sf_dir, "pages")
-    head = F.encode(F.col("html"), "UTF-8")
-    whole = R.classify(F.col("url"), F.col("url"), head, rules)
-    # Bytes beyond the sniffed ones count here, as a page's body starts late.
-    late = F.when((whole == "unknown") & F.col("html").contains("<pre"), "mcu").otherwise(whole)
-    return pages.select("page_id", late.alias("controller"))
+    return pages.select("page_id", R.classify(F.col("url"), F.col("url"), F.encode(F.col("html"), "UTF-8"), rules).alias("controller"))
 
 
 @query("""SELECT doc_id, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
@@ -355,9 +360,14 @@ def dedup_first_seen(spark, sf_dir):
     return services.first_seen(own, F.col("sha"), "doc_id")
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-HJ-NPR-Z0-9]{17}', '[REDACTED_VIN]', 'g'), '1[3-9]\d{9}', '[REDACTED_PHONE]', 'g')) AS sha FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, concat(text, ' 京A', lpad((doc_id % 100000)::VARCHAR, 5, '0'), ' 粤B', lpad((doc_id % 7919)::VARCHAR, 5, 'K'), '挂 沪I1') AS text FROM documents)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-HJ-NPR-Z0-9]{17}', '[REDACTED_VIN]', 'g'), '1[3-9]\d{9}', '[REDACTED_PHONE]', 'g'), '[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁使领][A-Z][A-HJ-NP-Z0-9]{4,5}[A-HJ-NP-Z0-9挂学警港澳试超]', '[REDACTED_PLATE]', 'g')) AS sha,
+len(regexp_extract_all(text, '[京粤][AB]'))::INT AS plates FROM t""")
 def redact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("sha"))
+    number = lambda n, fill: F.lpad((F.col("doc_id") % n).cast("string"), 5, fill)
+    text = F.concat("text", F.lit(" 京A"), number(100000, "0"), F.lit(" 粤B"), number(7919, "K"), F.lit("挂 沪I1"))
+    own = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return own.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("sha"), F.size(F.regexp_extract_all("text", F.lit("[京粤][AB]"), F.lit(0))).alias("plates"))
 
 
 TERMS = r"""terms AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS term, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS total FROM documents),
@@ -401,21 +411,32 @@ def _chunks(spark, sf_dir, chunks: Column) -> DataFrame:
     return retrieval.chunk_table(table(spark, sf_dir, "documents").filter("length(text) > 0"), chunks, "doc_id")
 
 
-@query(r"""WITH c AS (SELECT doc_id, i, substring(text, (i * 500 + 1)::INT, 500) AS piece, length(text) AS n FROM documents, unnest(range(0, (greatest(length(text) - 1, 0) // 500 + 1)::BIGINT)) AS t(i) WHERE length(text) > 0),
-k AS (SELECT doc_id, i, trim(piece, ' ') AS bare, n FROM c) SELECT doc_id AS doc, count(*) FILTER (WHERE length(bare) >= 50) AS chunks FROM k GROUP BY doc_id HAVING count(*) FILTER (WHERE length(bare) >= 50) > 0""")
+def _merged_sql(pieces: str) -> str:
+    """SQL of chunks from pieces (doc, i, piece, start, stop): a short one is joined to the chunk before it, and dropped where there is none."""
+    blank = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    return f"""{pieces}, bare AS (SELECT *, regexp_replace(piece, '^{blank}+|{blank}+$', '', 'g') AS bare FROM pieces), runs AS (SELECT *, sum((length(bare) >= 50)::INT) OVER (PARTITION BY doc ORDER BY i) AS run FROM bare)
+SELECT doc, (run - 1)::INT AS idx, concat(doc, '_', run - 1) AS chunk_id, string_agg(bare, chr(10) ORDER BY i) AS text, min(start)::INT AS start, arg_max(stop, i)::INT AS stop FROM runs WHERE run > 0 GROUP BY doc, run"""
+
+
+@query(_merged_sql(r"""WITH pieces AS (SELECT doc_id AS doc, i, substring(text, (i * 500 + 1)::INT, 500) AS piece, i * 500 AS start, least(i * 500 + 500, length(text)) AS stop FROM documents, unnest(range(0, (greatest(length(text) - 1, 0) // 500 + 1)::BIGINT)) AS t(i) WHERE length(text) > 0)"""))
 def chunk_fixed(spark, sf_dir):
-    return _chunks(spark, sf_dir, T.chunk_fixed(F.col("text"))).groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"))
+    return _chunks(spark, sf_dir, T.chunk_fixed(F.col("text")))
 
 
-@query(r"""WITH c AS (SELECT doc_id, i, trim(substring(text, (i * 420 + 1)::INT, 500), ' ') AS bare, length(substring(text, (i * 420 + 1)::INT, 500)) AS raw FROM documents, unnest(range(0, (greatest(ceil((length(text) - 500) / 420.0), 0) + 1)::BIGINT)) AS t(i) WHERE length(text) > 0)
-SELECT doc_id AS doc, count(*) FILTER (WHERE length(bare) >= 50) AS chunks FROM c WHERE raw >= 50 GROUP BY doc_id HAVING count(*) FILTER (WHERE length(bare) >= 50) > 0""")
+@query(_merged_sql(r"""WITH pieces AS (SELECT * FROM (SELECT doc_id AS doc, i, substring(text, (i * 420 + 1)::INT, 500) AS piece, i * 420 AS start, least(i * 420 + 500, length(text)) AS stop
+FROM documents, unnest(range(0, (greatest(ceil((length(text) - 500) / 420.0), 0) + 1)::BIGINT)) AS t(i) WHERE length(text) > 0) WHERE length(piece) >= 50)"""))
 def chunk_sliding(spark, sf_dir):
-    return _chunks(spark, sf_dir, T.chunk_sliding(F.col("text"), 500, 80)).groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"))
+    return _chunks(spark, sf_dir, T.chunk_sliding(F.col("text"), 500, 80))
 
 
-@query()
+@query(_merged_sql(r"""WITH RECURSIVE parts AS (SELECT doc_id AS doc, list_filter(list_transform(string_split_regex(regexp_replace(text, '[.] ', '.' || chr(10) || chr(9) || chr(10), 'g'), '\n[ \t\n\x0B\f\r]*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents WHERE length(text) > 0),
+walk AS (SELECT doc, ps, 0 AS i, 0 AS k, 0 AS held, 0 AS place, 0 AS start FROM parts
+  UNION ALL SELECT doc, ps, i + 1, CASE WHEN fits THEN k ELSE k + 1 END, CASE WHEN fits AND held > 0 THEN held + 2 + n ELSE n END, place + n + 2, CASE WHEN fits AND held > 0 THEN start ELSE place END
+  FROM (SELECT *, length(ps[i + 1]) AS n, held = 0 OR held + length(ps[i + 1]) + 1 <= 500 AS fits FROM walk WHERE i < len(ps))),
+pieces AS (SELECT doc, k AS i, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS piece, min(start) AS start, min(start) + length(string_agg(ps[i], chr(10) || chr(10) ORDER BY i)) AS stop FROM walk WHERE i > 0 GROUP BY doc, k)"""))
 def chunk_paragraph(spark, sf_dir):
-    return _chunks(spark, sf_dir, T.chunk_paragraphs(F.col("text")))
+    """Sentences play paragraphs: the documents have no blank lines."""
+    return _chunks(spark, sf_dir, T.chunk_paragraphs(F.regexp_replace("text", "[.] ", ".\n\t\n")))
 
 
 @query(r"SELECT conv_id, turn, sha256(concat(role, '|', lower(regexp_replace(text, '^\s+|\s+$', '', 'g')))) AS query_hash FROM conversations")
@@ -441,10 +462,11 @@ def cache_stats(spark, sf_dir):
     return services.cache_stats(_cache(spark, sf_dir), F.lit(1000.0))
 
 
-@query(f"WITH {CACHE} SELECT query_hash, max(created_at) AS created_at FROM cache GROUP BY query_hash")
+@query(f"""WITH {CACHE}, k AS (SELECT * REPLACE (concat(query_hash, '_', (created_at % 50)::INT) AS query_hash) FROM cache), n AS (SELECT * FROM k WHERE cache_type = 'a' UNION ALL SELECT query_hash, response_text, cache_type, created_at, expires_at, 0 FROM k WHERE cache_type = 'b')
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY created_at DESC) = 1""")
 def cache_upsert(spark, sf_dir):
-    own = _cache(spark, sf_dir)
-    return services.cache_upsert(own.filter("cache_type = 'a'"), own.filter("cache_type = 'b'")).select("query_hash", "created_at")
+    own = _cache(spark, sf_dir).withColumn("query_hash", F.concat_ws("_", "query_hash", (F.col("created_at") % 50).cast("int").cast("string")))
+    return services.cache_upsert(own.filter("cache_type = 'a'"), own.filter("cache_type = 'b'"))
 
 
 @query("SELECT count(*) AS total, sum((quality = 1)::INT)::BIGINT AS n_1, sum((quality = 0)::INT)::BIGINT AS n_0, round(avg(toxic), 3) AS avg_confidence FROM labels")
@@ -474,9 +496,10 @@ def session_titles(spark, sf_dir):
 
 EVAL = r"""judged AS (SELECT b.item_id AS case_id, lower(concat(' ', coalesce(d.text, ''))) AS text, string_split(lower(b.text), ' ') AS kw, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pM\pN_]+')) AS rc,
   d.doc_id IS NOT NULL AS has FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
-parts AS (SELECT case_id, len([w for w in kw if contains(text, w)]) / greatest(len(kw), 1) AS k, CASE WHEN len(rc) > 0 THEN len(list_intersect(rc, regexp_extract_all(text, '[\pL\pM\pN_]+'))) / len(rc) ELSE 0 END AS r, CASE WHEN has THEN 1.0 ELSE 0.5 END::DOUBLE AS c FROM judged),
-rounded AS (SELECT case_id, round(k, 3) AS k, round(r, 3) AS r, c FROM parts),
-scores AS (SELECT case_id, k AS keyword_score, 0.0::DOUBLE AS ecu_score, 0.0::DOUBLE AS stage_score, r AS root_cause_score, c AS confidence_score, round((k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE)::DECIMAL(18, 12), 3)::DOUBLE AS total_score, k * 0.25::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE >= 0.6 AS passed FROM rounded)"""
+parts AS (SELECT case_id, len([w for w in kw if contains(text, w)]) / greatest(len(kw), 1) AS k, CASE WHEN len(rc) > 0 THEN len(list_intersect(rc, regexp_extract_all(text, '[\pL\pM\pN_]+'))) / len(rc) ELSE 0 END AS r, CASE WHEN has AND case_id % 3 > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS c,
+  len([w for w in kw[1:3] if contains(text, w)]) / greatest(len(kw[1:3]), 1) AS e, len([w for w in kw[6:20:2] if contains(text, w)]) / greatest(len(kw[6:20:2]), 1) AS s FROM judged),
+rounded AS (SELECT case_id, round(k, 3) AS k, round(r, 3) AS r, c, round(e, 3) AS e, round(s, 3) AS s FROM parts),
+scores AS (SELECT case_id, k AS keyword_score, e AS ecu_score, s AS stage_score, r AS root_cause_score, c AS confidence_score, round(total::DECIMAL(18, 12), 3)::DOUBLE AS total_score, total >= 0.6 AS passed FROM (SELECT *, k * 0.25::DOUBLE + e * 0.2::DOUBLE + s * 0.2::DOUBLE + r * 0.25::DOUBLE + c * 0.1::DOUBLE AS total FROM rounded))"""
 
 
 @query(f"WITH {EVAL} SELECT * FROM scores")
@@ -486,9 +509,9 @@ def eval_scores(spark, sf_dir):
 
 def _eval(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     words = F.split(F.lower("text"), " ")
-    none = F.array().cast("array<string>")
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), words.alias("expected_keywords"), none.alias("expected_ecus"), none.alias("expected_fota_stages"), F.col("text").alias("expected_root_cause"), F.lit("high").alias("expected_confidence"))
-    outputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit("").alias("summary"), F.col("text").alias("detail"), F.lit("high").alias("confidence"))
+    odd = F.filter(F.slice(words, 6, 15), lambda w, i: i % 2 == 0)
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), words.alias("expected_keywords"), F.slice(words, 1, 3).alias("expected_ecus"), odd.alias("expected_fota_stages"), F.col("text").alias("expected_root_cause"), F.lit("high").alias("expected_confidence"))
+    outputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit("").alias("summary"), F.col("text").alias("detail"), F.when(F.col("doc_id") % 3 > 0, "high").otherwise("low").alias("confidence"))
     return cases, outputs
 
 
@@ -506,12 +529,13 @@ def confidence_vote(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT source AS agent, doc_id AS seq, CASE WHEN doc_id % 11 <> 0 THEN left(text, 12) END AS title FROM documents), k AS (SELECT DISTINCT left(text, 12) AS title FROM benchmark)
-SELECT warning, count(*) AS n FROM (SELECT 'missing field' AS warning FROM c WHERE title IS NULL UNION ALL SELECT 'unknown title' FROM c WHERE title IS NOT NULL AND title NOT IN (SELECT title FROM k)
-UNION ALL SELECT 'repeated title' FROM (SELECT row_number() OVER (PARTITION BY title ORDER BY seq) AS n FROM c WHERE title IS NOT NULL) WHERE n > 1) GROUP BY warning""")
+SELECT agent, seq, 'missing field' AS warning FROM c WHERE title IS NULL UNION ALL SELECT agent, seq, 'unknown title' FROM c WHERE title IS NOT NULL AND title NOT IN (SELECT title FROM k)
+UNION ALL SELECT agent, seq, 'repeated title' FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq) AS n FROM c WHERE title IS NOT NULL) WHERE n > 1 UNION ALL SELECT 'nobody', NULL, 'no source'""")
 def citation_checks(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select(F.col("source").alias("agent"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 11 != 0, F.left("text", F.lit(12))).alias("title"), F.lit("x").alias("source"))
     known = table(spark, sf_dir, "benchmark").select(F.left("text", F.lit(12)).alias("title")).distinct()
-    return services.citation_warnings(own, known, own.select("agent").distinct()).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
+    agents = own.select("agent").distinct().unionByName(spark.createDataFrame([("nobody",)], "agent string"))  # one more row
+    return services.citation_warnings(own, known, agents)
 
 
 @query(f"""WITH {LINES}, w AS (SELECT min(raw_ts) AS s, max(raw_ts) AS e FROM lines), r AS (SELECT controller, floor((raw_ts - s) / (e - s) * 100 / 3.0)::BIGINT AS slot, event_type, raw_ts FROM lines, w),
@@ -568,10 +592,10 @@ BUNDLED = """owned AS (SELECT *, concat('b', user_id % 20) AS bundle_id FROM lin
 
 
 def _bundled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Lines and files of all bundles; lines of type `error` are unsynced stretches."""
+    """Lines and files of all bundles; lines 300 to 6,000 of type `error` are unsynced stretches."""
     own = lines(spark, sf_dir).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")))
     meta = own.groupBy("file_id", "bundle_id", "controller").agg((F.min("user_id") % 5 * 60.0).alias("clock_offset"))
-    named = meta.withColumns({"original_name": F.col("file_id"), "offset_method": F.lit("direct"), "unsynced": F.when(F.col("controller") == "kernel", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))))})
+    named = meta.withColumns({"original_name": F.col("file_id"), "offset_method": F.lit("direct"), "unsynced": F.when(F.col("controller") == "kernel", F.array(F.struct(F.lit(300).cast("long").alias("start"), F.lit(6000).cast("long").alias("end"))))})
     return own, named.join(prescan.file_stats(own), "file_id")
 
 
@@ -606,12 +630,14 @@ def bundle_overall_range(spark, sf_dir):
     return Q.overall_range(Q.valid_ranges(_bundled(spark, sf_dir)[1]))
 
 
-@query(f"""WITH {LINES}, {BUNDLED} SELECT l.file_id, l.controller, l.line_no, l.text AS line, l.raw_ts + r.clock_offset AS aligned_ts FROM owned l JOIN ranges r USING (file_id) WHERE l.bundle_id = 'b7' AND l.controller <> 'kernel'
-AND (contains(lower(l.text), ': 7') OR contains(l.controller, 'tbox'))""")
+@query(f"""WITH {LINES}, {BUNDLED} SELECT l.file_id, l.controller, l.line_no, l.text AS line, l.raw_ts + r.clock_offset AS aligned_ts, concat('][', l.controller, '] ', l.text) AS shown FROM owned l JOIN ranges r USING (file_id) WHERE l.bundle_id = 'b7'
+AND NOT (l.controller = 'kernel' AND l.line_no BETWEEN 300 AND 6000) AND (contains(lower(l.text), ': 7') OR contains(l.controller, 'tbox') OR contains(l.controller, 'kernel'))""")
 def bundle_log_fetch(spark, sf_dir):
+    """Lines of unsynced stretches have no place on the aligned clock; here these are lines 300 to 6,000 of kernel files."""
     own, meta = _bundled(spark, sf_dir)
-    # Lines of unsynced stretches have no place on the aligned clock; here these are the first two lines of kernel files.
-    return Q.fetch(own, meta, "b7", [": 7", "TBOX"]).filter("controller <> 'kernel'").select("file_id", "controller", "line_no", "line", "aligned_ts")
+    found = Q.fetch(own, meta, "b7", [": 7", "TBOX", "Kernel"])
+    # Both engines write seconds differently: what is shown is compared from behind them.
+    return found.select("file_id", "controller", "line_no", "line", "aligned_ts", F.regexp_replace("shown", r"^\[[-+.E0-9]+\]", "]").alias("shown"))
 
 
 @query(f"WITH {LINES}, {BUNDLED} SELECT DISTINCT bundle_id, controller FROM ranges")
@@ -697,7 +723,12 @@ def session_replace(spark, sf_dir):
     return services.replace_session(said, said.join(long_, "conv_id", "left_semi").filter("turn < 2").withColumn("role", F.lit("new")), "conv_id")
 
 
-@query(r"""SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) = list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS same, len(list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+')))::INT AS words FROM benchmark""")
+@query(r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pM\pN_]+')) AS mine, list_distinct(regexp_extract_all(lower(d.text), '[\pL\pM\pN_]+')) AS theirs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3)
+SELECT item_id, len(mine)::INT AS words, len(theirs)::INT AS others, round(len(list_intersect(mine, theirs)) / len(mine), 6) AS share, round(len(list_intersect(mine, theirs)) / len(theirs), 6) AS back FROM w""")
 def word_sets(spark, sf_dir):
-    own = table(spark, sf_dir, "benchmark")
-    return own.select("item_id", (services.token_overlap(F.col("text"), F.col("text")) == 1.0).alias("same"), F.size(services.word_set(F.col("text"))).alias("words"))
+    """Words that the text of a case and that of a document share, seen from both."""
+    mine = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("mine"))
+    both = mine.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("theirs")), F.col("doc_id") == F.col("item_id") * 3)
+    a, b = F.col("mine"), F.col("theirs")
+    share = lambda x, y: F.round(services.token_overlap(x, y), 6)
+    return both.select("item_id", F.size(services.word_set(a)).alias("words"), F.size(services.word_set(b)).alias("others"), share(b, a).alias("share"), share(a, b).alias("back"))
