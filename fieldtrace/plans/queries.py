@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import rules as R
 from fieldtrace.functions import text as T
-from fieldtrace.operators import align, prescan, retrieval, services
+from fieldtrace.operators import align, prescan, retrieval, search_index, services
 from fieldtrace.operators import range_query as Q
 from fieldtrace.schema import epoch
 from fieldtrace.sources import logstore
@@ -370,8 +370,8 @@ def redact_text(spark, sf_dir):
     return own.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("sha"), F.size(F.regexp_extract_all("text", F.lit("[京粤][AB]"), F.lit(0))).alias("plates"))
 
 
-TERMS = r"""terms AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS term, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS total FROM documents),
-counts AS (SELECT doc, term, total, count(*) AS count FROM terms GROUP BY ALL)"""
+TERMS = r"""terms AS MATERIALIZED (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS term, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS total FROM documents),
+counts AS MATERIALIZED (SELECT doc, term, total, count(*) AS count FROM terms GROUP BY ALL)"""
 
 
 @query(f"WITH {TERMS} SELECT term, sum(count)::BIGINT AS n, count(*) AS df FROM counts GROUP BY term")
@@ -398,6 +398,14 @@ def tfidf_topk(spark, sf_dir):
     return retrieval.tfidf_topk(table(spark, sf_dir, "documents"), ASK, 20, 0.05)
 
 
+@query(SQL["tfidf_topk"])
+def tfidf_indexed(spark, sf_dir):
+    """The same answer from a stored index: the postings of the query's terms, in blocks that can hold one of the best."""
+    folder = shared_path(spark, "terms")
+    search_index.index_terms(table(spark, sf_dir, "documents"), folder, block=64)
+    return search_index.search_terms(spark, folder, ASK, 20, 0.05)
+
+
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q)
 SELECT vec_id, round(s, 4) AS score FROM s WHERE s >= 0.1 ORDER BY score DESC, vec_id LIMIT 10""")
 def cosine_topk(spark, sf_dir):
@@ -407,6 +415,16 @@ def cosine_topk(spark, sf_dir):
     return scored.filter("_s >= 0.1").select("vec_id", F.round("_s", 4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+@query(SQL["cosine_topk"])
+def cosine_indexed(spark, sf_dir):
+    """The same answer from stored cells: those whose centre and radius allow one of the best."""
+    vectors = table(spark, sf_dir, "embeddings")
+    folder = shared_path(spark, "vectors")
+    search_index.index_vectors(vectors, folder)
+    asked = vectors.filter("vec_id = 0").select(F.col("embedding").cast("array<double>")).first()[0]  # one row
+    return search_index.search_vectors(spark, folder, asked, 10, 0.1).withColumnRenamed("key", "vec_id")
+
+
 def _chunks(spark, sf_dir, chunks: Column) -> DataFrame:
     return retrieval.chunk_table(table(spark, sf_dir, "documents").filter("length(text) > 0"), chunks, "doc_id")
 
