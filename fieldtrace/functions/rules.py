@@ -118,6 +118,27 @@ def load_slim(path: str) -> tuple[dict[str, tuple[str, ...]], tuple[str, ...]]:
     return drop, tuple(spec.get("keep_always") or ())
 
 
+def load_files(path: str) -> tuple[FileRule, ...]:
+    """A user's rules for files from a YAML or JSON file.
+
+    An entry below `controllers` has a `type`, and may have `path_patterns`, `name_patterns` and `content_signatures`, each
+    with `magic_bytes`, which begin a file, or a `regex`.  `priority_order` lists types; those not listed come last, as they
+    stand.
+    """
+    spec, out = _read(path), []
+    for entry in spec.get("controllers") or []:
+        if not isinstance(entry, dict) or not entry.get("type"):
+            raise ValueError(f"{path}: a rule for files needs `type`: {entry!r}")
+        content = []
+        for sign in entry.get("content_signatures") or ():
+            pattern = r"\A" + re.escape(sign["magic_bytes"]) if sign.get("magic_bytes") else sign["regex"]
+            re.compile(pattern)
+            content.append(pattern)
+        out.append(FileRule(entry["type"], tuple(entry.get("path_patterns") or ()), tuple(entry.get("name_patterns") or ()), tuple(content)))
+    order = {name: i for i, name in enumerate(spec.get("priority_order") or ())}
+    return tuple(sorted(out, key=lambda r: order.get(r.controller, len(order))))
+
+
 def _read(path: str) -> dict:
     import json
 

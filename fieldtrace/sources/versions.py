@@ -5,7 +5,9 @@ others, so that a failure at any step before it leaves the version before, and w
 manifest appears at once or not at all, and a number can be taken once: of two writers one begins again on the other's
 version.  The store must refuse to rename onto an existing file, as file systems and HDFS do.
 
-A table's rows are kept by a key, a bundle as a rule: a manifest has an entry for each table and bundle.
+A table's rows are kept by a key, a bundle as a rule: a manifest has an entry for each table and bundle.  It also keeps
+notes, such as the last batch that a stream has stored: rows and note appear together, so that a batch that is brought
+again after a failure is known.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
+#: Where a manifest keeps its notes.
+NOTES = "_notes"
+
+
 class Manifests:
     """Numbered manifests of a folder."""
 
@@ -93,31 +99,58 @@ class Tables:
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
         return {unquote(i.base_name.removeprefix("_key=")): f"{place}/{i.base_name}" for i in found if i.base_name.startswith("_key=")}
 
-    def replace(self, tables: dict[str, DataFrame], keys: list[str] | None = None) -> int:
-        """One new version, in which the rows of these keys in these tables are those of the frames.
-
-        Without `keys` they are those that the frames have rows of.  All tables change together.
-        """
+    def _change(self, tables: dict[str, DataFrame], note: tuple[str, int] | None, change: Callable[[dict[str, list[str]], dict[str, str]], None]) -> int:
+        """One new version with rows of these frames, whose folders `change` puts into those of each table."""
+        if note and self.noted(note[0]) >= note[1]:
+            return self.manifests.read()[0]
         written = {name: self._write(name, df) for name, df in tables.items()}
 
-        def change(now: dict) -> dict:
+        def changed(now: dict) -> dict:
+            if note and now.get(NOTES, {}).get(note[0], -1) >= note[1]:
+                return now  # another run of this batch came first
             out = json.loads(json.dumps(now))
             for name, places in written.items():
                 entry = out.setdefault(name, {"folders": {}})
                 entry["schema"] = tables[name].schema.json()
-                for gone in keys or ():
-                    entry["folders"].pop(gone, None)
-                entry["folders"].update(places)
+                change(entry["folders"], places)
+            if note:
+                out.setdefault(NOTES, {})[note[0]] = note[1]
             return out
 
-        return self.manifests.publish(change)
+        return self.manifests.publish(changed)
+
+    def noted(self, name: str) -> int:
+        """The last number noted under a name, -1 before the first."""
+        return self.manifests.read()[1].get(NOTES, {}).get(name, -1)
+
+    def replace(self, tables: dict[str, DataFrame], keys: list[str] | None = None, note: tuple[str, int] | None = None) -> int:
+        """One new version, in which the rows of these keys in these tables are those of the frames.
+
+        Without `keys` they are those that the frames have rows of.  All tables change together.
+        """
+
+        def change(folders: dict[str, list[str]], places: dict[str, str]) -> None:
+            for gone in keys or ():
+                folders.pop(gone, None)
+            folders.update({k: [p] for k, p in places.items()})
+
+        return self._change(tables, note, change)
+
+    def append(self, tables: dict[str, DataFrame], note: tuple[str, int] | None = None) -> int:
+        """One new version with these rows added; none where `note`, a name and a number, has been reached before."""
+
+        def change(folders: dict[str, list[str]], places: dict[str, str]) -> None:
+            for k, p in places.items():
+                folders.setdefault(k, []).append(p)
+
+        return self._change(tables, note, change)
 
     def drop(self, keys: list[str], names: list[str] | None = None) -> int:
         """One new version without the rows of these keys."""
 
         def change(now: dict) -> dict:
             out = json.loads(json.dumps(now))
-            for name in names or out:
+            for name in names or [n for n in out if n != NOTES]:
                 for key in keys:
                     out.get(name, {"folders": {}})["folders"].pop(key, None)
             return out
@@ -135,7 +168,7 @@ class Tables:
         if name not in content:
             raise KeyError(f"no table {name} in {self.folder}")
         schema = StructType.fromJson(json.loads(content[name]["schema"]))
-        folders = [p for k, p in content[name]["folders"].items() if keys is None or k in keys]
+        folders = [p for k, ps in content[name]["folders"].items() if keys is None or k in keys for p in ps]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 2) -> list[int]:
@@ -145,7 +178,7 @@ class Tables:
         """
         numbers = self.manifests.numbers()
         gone, kept = numbers[:-keep], numbers[-keep:]
-        named = {opened(p)[1].rsplit("/", 1)[0] for n in kept for t in self.manifests.read(n)[1].values() for p in t["folders"].values()}
+        named = {opened(p)[1].rsplit("/", 1)[0] for n in kept for t, entry in self.manifests.read(n)[1].items() if t != NOTES for ps in entry["folders"].values() for p in ps}
         for n in gone:
             self.manifests.store.delete_file(f"{self.manifests.path}/{n:012d}.json")
         store, base = opened(self.folder)

@@ -67,6 +67,19 @@ def test_several_tables_change_together_or_not_at_all(spark, tmp_path, monkeypat
     assert held(t) == [("b1", "boot", 2.0)] and len(list((tmp_path / "events").iterdir())) == 1
 
 
+def test_rows_are_added_once_for_each_note(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    one, two = events(spark, [("b1", "boot", 1.0)]), events(spark, [("b1", "crash", 2.0), ("b2", "boot", 3.0)])
+    assert t.append({"events": one}, ("stream", 0)) == 1 and t.noted("stream") == 0 and t.noted("other") == -1
+    assert t.append({"events": one}, ("stream", 0)) == 1  # brought again: nothing happens
+    assert t.append({"events": two}, ("stream", 1)) == 2
+    assert held(t) == [("b1", "boot", 1.0), ("b1", "crash", 2.0), ("b2", "boot", 3.0)]
+    assert t.replace({"events": one}, note=("other", 5)) == 3 and held(t) == [("b1", "boot", 1.0), ("b2", "boot", 3.0)]
+    t.drop(["b2"])
+    t.vacuum(1)
+    assert held(t) == [("b1", "boot", 1.0)] and (t.noted("stream"), t.noted("other")) == (1, 5)
+
+
 def test_of_two_writers_one_begins_again(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     real = t.manifests._put
