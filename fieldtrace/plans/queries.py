@@ -18,6 +18,8 @@ from fieldtrace.operators import range_query as Q
 from fieldtrace.schema import epoch
 from fieldtrace.sources import logstore
 from fieldtrace.sources.tables import shared_path, stage, table, updated
+from fieldtrace.sources.versions import Tables
+from fieldtrace.streaming import monitor, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -750,3 +752,34 @@ def word_sets(spark, sf_dir):
     a, b = F.col("mine"), F.col("theirs")
     share = lambda x, y: F.round(services.token_overlap(x, y), 6)
     return both.select("item_id", F.size(services.word_set(a)).alias("words"), F.size(services.word_set(b)).alias("others"), share(b, a).alias("share"), share(a, b).alias("back"))
+
+
+def _event_stream(spark, sf_dir, folder: str, each: int = 2) -> DataFrame:
+    """The events as a stream of files, some in each batch."""
+    own = table(spark, sf_dir, "events")
+    own.repartition(6).write.mode("overwrite").parquet(f"{folder}/in")
+    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
+
+
+@query("""SELECT concat('b', user_id % 20) AS bundle_id, (floor(epoch(ts) / 300) * 300)::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_window_counts(spark, sf_dir):
+    """Windows of five minutes over a stream, whose whole result each batch puts in place of the one before."""
+    folder = shared_path(spark, "stream")
+    own = _event_stream(spark, sf_dir, folder).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("user_id") % 20).cast("string")))
+    counts = own.withColumn("at", F.col("ts").cast("timestamp")).groupBy("bundle_id", F.window("at", "5 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select("bundle_id", epoch(F.col("w.start")).cast("long").alias("start"), "event_type", "n")
+    stored = store.store_stream(rows, folder, "windows", "windows", f"{folder}/_check", mode="complete")
+    stored.awaitTermination()
+    return Tables(spark, folder).read("windows")
+
+
+@query("""SELECT concat('b', user_id % 20) AS bundle_id, user_id::VARCHAR AS file_id, event_id AS line_no, sum(CASE WHEN value < before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::INT AS boot, false AS late
+FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)""")
+def stream_boot_numbers(spark, sf_dir):
+    """Boot numbers by state kept for each file of a stream."""
+    folder = shared_path(spark, "stream")
+    own = _event_stream(spark, sf_dir, folder).select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("line_no"), F.col("value").alias("tick"))
+    numbered = monitor.boot_numbers(own).withColumn("bundle_id", F.concat(F.lit("b"), (F.col("file_id").cast("long") % 20).cast("string")))
+    stored = store.store_stream(numbered.select("bundle_id", "file_id", "line_no", "boot", "late"), folder, "boots", "boots", f"{folder}/_check", trigger={"once": True})
+    stored.awaitTermination()
+    return Tables(spark, folder).read("boots")
