@@ -28,7 +28,7 @@ from fieldtrace.sources.versions import opened
 MAGIC = b"DLT\x01"
 BOM = codecs.BOM_UTF8
 #: Bytes of a split, bytes read at once, and rows of a batch.
-SPLIT, PIECE, ROWS = 64 << 20, 4 << 20, 20_000
+SPLIT, PIECE, ROWS = 16 << 20, 4 << 20, 20_000
 #: Tasks of a pass over splits at most.
 TASKS = 20_000
 
@@ -179,11 +179,15 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, min(TASKS, df.count())))
 
 
-def _each(df: DataFrame, more: str, work: Callable) -> DataFrame:
-    """`df` with columns added to each row by `work(open file, row)`, which yields batches of values; columns of a row are repeated."""
+#: What says how to read a split; rows that come from it do not carry it on.
+HOW = {"size_bytes", "split", "start", "stop", "lines", "base", "entry", "leave", "messages"}
+
+
+def _each(df: DataFrame, more: str, work: Callable, hidden: set[str] = frozenset()) -> DataFrame:
+    """`df` with columns added to each row by `work(open file, row)`, which yields batches of values; columns of a row are repeated, but for hidden ones."""
     added = [x.split() for x in more.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
-    kept = [f for f in df.schema.fields if f.name not in {n for n, _ in added}]
+    kept = [f for f in df.schema.fields if f.name not in {n for n, _ in added} | hidden]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +221,8 @@ def _before(value: str) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy("uri").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
-def read_text(files: DataFrame, size: int = SPLIT) -> DataFrame:
-    """Lines of text files (uri, size_bytes, further columns): these columns, `line_no`, `byte_offset`, `text`."""
+def read_text(files: DataFrame, size: int = SPLIT, hidden: set[str] = frozenset()) -> DataFrame:
+    """Lines of text files (uri, size_bytes, further columns): `line_no`, `byte_offset`, `text` and all columns but `size_bytes` and hidden ones."""
     cut = splits(files, size)
     counted = stage(_each(_spread(cut), "lines long", lambda f, r: iter([[[count_lines(f, r["size_bytes"], r["start"], r["stop"])]]])), "splits")
     based = counted.withColumn("base", _before("lines")).filter("lines > 0")
@@ -227,11 +231,11 @@ def read_text(files: DataFrame, size: int = SPLIT) -> DataFrame:
         rows = ((r["base"] + i, at, text) for i, (at, text) in enumerate(split_lines(f, r["size_bytes"], r["start"], r["stop"])))
         return _batched(rows)
 
-    return _each(_spread(based), "line_no long, byte_offset long, text string", work).drop("split", "start", "stop", "lines", "base")
+    return _each(_spread(based), "line_no long, byte_offset long, text string", work, HOW | hidden)
 
 
-def read_trace(files: DataFrame, size: int = SPLIT) -> DataFrame:
-    """Messages of DLT traces (uri, size_bytes, further columns): these columns, `line_no`, `byte_offset`, `trace_ts`, `who`, `payload`."""
+def read_trace(files: DataFrame, size: int = SPLIT, hidden: set[str] = frozenset()) -> DataFrame:
+    """Messages of DLT traces, as `read_text` has lines: `line_no`, `byte_offset`, `trace_ts`, `who`, `payload` and the files' columns."""
 
     def walk(f, r):
         """First and last place and number of the messages of a split, from a place that is given or guessed."""
@@ -266,7 +270,7 @@ def read_trace(files: DataFrame, size: int = SPLIT) -> DataFrame:
         return _batched((r["base"] + i, at, m[0], " ".join(m[1:4]), m[4]) for i, (at, m) in enumerate(found))
 
     based = known.withColumn("base", _before("messages")).filter("messages > 0")
-    return _each(_spread(based), "line_no long, byte_offset long, trace_ts double, who string, payload binary", work).drop("split", "start", "stop", "entry", "leave", "messages", "base")
+    return _each(_spread(based), "line_no long, byte_offset long, trace_ts double, who string, payload binary", work, HOW | hidden)
 
 
 # --- decoders -----------------------------------------------------------------------------------------------------
@@ -277,14 +281,15 @@ class Decoder:
     """How files of some controllers are read: the first decoder of a file's controller that accepts it takes it.
 
     `accepts` is a condition on name and first bytes.  `reader` is `read_text`, `read_trace` or a function of the same kind.
-    `time` and `text` are expressions over the reader's columns and those of the file (controller, original_name, year).
+    `time` adds `raw_ts`, and `text` is an expression, over the reader's columns and those of the file (controller,
+    year).
     """
 
     name: str
     controllers: tuple[str, ...]
     accepts: Callable[[Column, Column], Column]
-    reader: Callable[[DataFrame, int], DataFrame]
-    time: Callable[[], Column]
+    reader: Callable[[DataFrame, int, set[str]], DataFrame]
+    time: Callable[[DataFrame], DataFrame]
     text: Callable[[], Column]
 
 
@@ -292,10 +297,6 @@ def _stamp(seconds: Column, digits: int) -> Column:
     return F.date_format(F.timestamp_micros((seconds * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss." + "S" * digits)
 
 
-def _line_time() -> Column:
-    return P.line_time(F.col("controller"), F.col("text"), F.col("year"), F.lit(False))
-
-
 def _ibdu_text() -> Column:
     payload = P.part(F.col("text"), P.IBDU, 8)
     return F.coalesce(F.concat(_stamp(P.ibdu(F.col("text")), 3), F.lit(" "), T.hex_text(payload), F.lit(" (raw="), payload, F.lit(")")), "text")
@@ -305,9 +306,9 @@ EVERY = ("android", "fota", "kernel", "tbox", "mcu", "ibdu")
 #: Files that hold no lines whatever their controller.
 NO_LINES = r"\.(db|db-journal|bin)$"
 DECODERS = (
-    Decoder("trace", EVERY, lambda name, head: F.startswith(head, F.lit(MAGIC)), read_trace, lambda: F.col("trace_ts"), lambda: F.concat_ws(" ", _stamp(F.col("trace_ts"), 6), "who", T.printable(F.col("payload")))),
-    Decoder("ibdu", ("ibdu",), lambda name, head: F.lit(True), read_text, _line_time, _ibdu_text),
-    Decoder("text", ("android", "fota", "kernel", "tbox", "mcu"), lambda name, head: F.lit(True), read_text, _line_time, lambda: F.col("text")),
+    Decoder("trace", EVERY, lambda name, head: F.startswith(head, F.lit(MAGIC)), read_trace, lambda df: df.withColumn("raw_ts", F.col("trace_ts")), lambda: F.concat_ws(" ", _stamp(F.col("trace_ts"), 6), "who", T.printable(F.col("payload")))),
+    Decoder("ibdu", ("ibdu",), lambda name, head: F.lit(True), read_text, P.timed, _ibdu_text),
+    Decoder("text", ("android", "fota", "kernel", "tbox", "mcu"), lambda name, head: F.lit(True), read_text, P.timed, lambda: F.col("text")),
 )
 
 
@@ -321,19 +322,19 @@ def chosen(files: DataFrame, decoders: tuple[Decoder, ...] = DECODERS) -> DataFr
 
 def decode(files: DataFrame, decoders: tuple[Decoder, ...] = DECODERS, size: int = SPLIT) -> DataFrame:
     """`lines` of stored files (bundle_id, file_id, controller, original_name, uri, size_bytes, head, modified); unknown files have none."""
-    taken = stage(chosen(files, decoders).select("bundle_id", "file_id", "controller", "original_name", P.year_hint(F.col("original_name"), F.col("modified")).alias("year"), "uri", "size_bytes", "decoder"), "decoders")
+    taken = stage(chosen(files, decoders).select("bundle_id", "file_id", "controller", P.year_hint(F.col("original_name"), F.col("modified")).alias("year"), "uri", "size_bytes", "decoder"), "decoders")
     parts = []
     for i, d in enumerate(decoders):
         own = taken.filter(F.col("decoder") == i).drop("decoder")
         if not own.isEmpty():
-            parts.append(d.reader(own, size).select("bundle_id", "file_id", "controller", F.col("line_no"), "byte_offset", d.time().alias("raw_ts"), d.text().alias("text")))
+            parts.append(d.time(d.reader(own, size, {"uri"})).select("bundle_id", "file_id", "controller", "line_no", "byte_offset", "raw_ts", d.text().alias("text")))
     none = taken.sparkSession.createDataFrame([], "bundle_id string, file_id string, controller string, line_no long, byte_offset long, raw_ts double, text string")
     return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def log_lines(spark: SparkSession, path: str, pattern: str = "*", size: int = SPLIT) -> DataFrame:
     """Numbered lines of the text files below a folder: uri, modified, line_no, byte_offset, text."""
-    return read_text(listed(spark, path, pattern), size).drop("size_bytes")
+    return read_text(listed(spark, path, pattern), size)
 
 
 class LinesSource(DataSource):

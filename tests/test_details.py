@@ -113,3 +113,31 @@ def test_where_files_are_kept(spark):
 def test_year_of_a_log_without_one(spark):
     df = spark.createDataFrame([("main_2021-03-01.log", None), ("x.log", "2019-05-05 00:00:00")], "n string, m string").withColumn("m", F.col("m").cast("timestamp"))
     assert [r.v for r in df.select(P.year_hint(F.col("n"), F.col("m")).alias("v")).collect()] == [2021, 2019]
+
+
+def test_times_in_steps_equal_the_expression(spark):
+    texts = """03-01 09:59:50.000  1  2 I T: x
+03-01 09:59:50.123456  1  2 I T: x
+02-30 09:59:50.000  1  2 I T: x
+2024-03-01 10:00:00,250 x
+2024-03-01 10:00:00.25 x
+2024-13-01 10:00:00.250 x
+2024-03-01 10:00:60.250 x
+some words 2024-02-29T23:59:59.5 x
+2023-02-29 10:00:00 x
+[   12.000345] boot
+[x] boot
+2024-03-01T10:00:00.123456 ECU1 x
+[2024.03.01 10:00:00.250]0A 0B
+[2024.03.01 10:00:00.250] 2024-03-01T10:00:00.1
+&1500 INF@SYS : x
+&x INF@SYS : x
+,1,2,3
+\ufdd0,2024,3,1,10,0,0,5
+
+no time""".split("\n")
+    rows = [(c, t, 2024) for c in ("android", "kernel", "fota", "tbox", "mcu", "ibdu", "unknown") for t in texts]
+    df = spark.createDataFrame(rows, "controller string, text string, year int")
+    both = P.timed(df).withColumn("want", P.line_time(F.col("controller"), F.col("text"), F.col("year"), F.lit(False))).collect()
+    assert [(r.controller, r.text, r.raw_ts) for r in both] == [(r.controller, r.text, r.want) for r in both]
+    assert sum(r.want is not None for r in both) >= 15

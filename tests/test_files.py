@@ -137,7 +137,7 @@ def test_decoders_are_tried_in_order_and_can_be_added(spark, tmp_path):
     assert got[("t.dlt", 0)] == (1709287200.000005, "2024-03-01T10:00:00.000005 ECU1 APP1 CTX1 hello")
     assert got[("t.log", 0)] == (1709287200.0, "2024-03-01 10:00:00.000 up") and got[("ibdu_1.log", 0)][0] == 1709287200.0
     assert got[("x.csv", 0)] == (None, "1709287200;a;b") and not any(f in ("f.db", "u.log") for f, _ in got)
-    table = L.Decoder("table", ("fota",), lambda name, head: name.endswith(".csv"), L.read_text, lambda: F.split_part("text", F.lit(";"), F.lit(1)).cast("double"), lambda: F.regexp_replace("text", "^[^;]*;", ""))
+    table = L.Decoder("table", ("fota",), lambda name, head: name.endswith(".csv"), L.read_text, lambda df: df.withColumn("raw_ts", F.split_part("text", F.lit(";"), F.lit(1)).cast("double")), lambda: F.regexp_replace("text", "^[^;]*;", ""))
     more = {(r.file_id, r.line_no): (r.raw_ts, r.text) for r in L.decode(df, (table, *L.DECODERS)).collect()}
     assert more == got | {("x.csv", 0): (1709287200.0, "a;b"), ("x.csv", 1): (1709287201.0, "c")}
     assert L.decode(df.filter("controller = 'unknown'")).collect() == []
