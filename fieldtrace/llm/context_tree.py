@@ -33,7 +33,7 @@ from fieldtrace.llm.common import Saved
 DEPTH = 5
 END = 255
 #: Bytes of text in a chunk, about; and at a time within one.
-CHUNK_BYTES, STEP_BYTES = 24 << 20, 3 << 20
+CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
 REMEMBERED = 400_000
 END_WORD = 1  # stands for the end among word hashes, which are even
@@ -322,7 +322,7 @@ def run(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(8, -(-size // CHUNK_BYTES))
-    buckets = max(16, chunks // 2)
+    buckets = chunks  # a bucket then holds of each chunk what a chunk holds of each bucket: the same at any size
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     packs = Saved(count(docs, buckets), "tree-counts").df
     words = sums(packs, 1).filter("n > 0").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
