@@ -9,7 +9,8 @@ A run counts if it holds at least `min_words` words, and a line goes if it lies
 windows that start at a line or end at a line: any longer run is covered by those inside it.  The suffixes that agree
 on a window of L lines are the longest-common-prefix interval of depth L; two ranks of 2^k <= L lines, at the window's
 start and 2^k lines before its end, identify it.  All but the first window of an interval are removed, so maximal
-repeated runs vanish whole but for their first copy.  Doubling ends at `min_words` lines, as each line holds a word.
+repeated runs vanish whole but for their first copy.  Where copies overlap, as in one line repeated many times, a line of
+the first copy may lie in a later one as well, and goes with that: of the line in twelve copies one stays.  Doubling ends at `min_words` lines, as each line holds a word.
 
 All of it is DataFrame expressions; joins and aggregates only.  A line or interval that stands in a third of all
 documents is pre-aggregated, and its rows meet their rank in SPREAD shares.  Runs of fewer than `min_words` words stay

@@ -5,10 +5,9 @@ round joins the neighbours of every node, in both directions, with each other an
 long as lists still change.  Edges that reach the threshold are links.  A list that is full of links is saturated and may
 hide others: saturated nodes search again for the best neighbours outside their component, and components that turn out
 linked are merged, until no such link is left.  Members of a component are then compared with each other in blocks, so
-that dense groups lose no link and no pair of them is written out.  The recall is audited: for bounded samples of all
+that dense groups lose no link and no pair of them is written out; blocks that the angles to one direction prove to be
+linked whole, or not at all, are not compared.  The recall is audited: for bounded samples of all
 nodes and of one node of each component the exact links are counted against all rows, and the search goes on with
-doubled lists until the nodes of either sample have, on average, enough of theirs.
-
 doubled lists until the nodes of either sample have, on average, enough of theirs; after DOUBLINGS it fails by name.
 
 Cosines are computed in double precision on vectors scaled by their largest component, so that no finite one leaves the
@@ -20,11 +19,13 @@ tables give empty tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import Saved, each_spread, spread_of, spreads
@@ -37,6 +38,8 @@ AUDITED, RECALL = 1000, 0.97
 #: How often lists are doubled before the search gives up with an error.
 DOUBLINGS = 6
 BLOCK = 512
+#: Members whose mean gives a large component's direction; width of a ring of angles; what is left for rounding (radians).
+PIVOTS, RING, SLACK = 64, 0.01, 1e-6
 #: Labels whose sizes are sent to every task; beyond, they are joined by shuffle.
 MAX_SENT = 100_000
 
@@ -256,35 +259,95 @@ def merged(roots: DataFrame, lists: DataFrame, nodes: DataFrame, least: float, k
     return roots
 
 
-def block_links(members: DataFrame, least: float) -> DataFrame:
-    """(node, links): rows linked to each node within its component; blocks of members are compared pair by pair."""
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = members.join(sizes.filter("size > 1"), "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = spread.select("root", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "node", "copies", "v")
+def compared(dealt: DataFrame, least: float) -> DataFrame:
+    """(node, links): of rows dealt by (pair), those of side 0 with those of side 1, or all with each other where there is one side."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
         if table is None:
             return
-        root, low, high, own, node, copies = (table.column(i).to_numpy() for i in range(6))
-        blobs = table.column(6).to_pylist()
-        for at in _groups(root, low, high):
-            a, b = at[own[at] == low[at[0]]], at[own[at] == high[at[0]]]
-            if not len(a) or not len(b):
-                continue
-            p, q = _unit([blobs[i] for i in a]), _unit([blobs[i] for i in b])
-            linked = p @ q.T >= least
-            if low[at[0]] == high[at[0]]:
-                np.fill_diagonal(linked, False)
-                sums = [(a, linked @ copies[b])]
-            else:
+        pair, side, node, copies = (table.column(i).to_numpy() for i in range(4))
+        blobs = table.column(4).to_pylist()
+        for at in _groups(pair):
+            a, b = at[side[at] == 0], at[side[at] == 1]
+            p = _unit([blobs[i] for i in a])
+            if len(b):
+                linked = p @ _unit([blobs[i] for i in b]).T >= least
                 sums = [(a, linked @ copies[b]), (b, copies[a] @ linked)]
+            else:
+                linked = p @ p.T >= least
+                np.fill_diagonal(linked, False)
+                sums = [(a, linked @ copies[a])]
             for who, n in sums:
                 yield pa.RecordBatch.from_arrays([pa.array(node[who]), pa.array(n.astype(np.int64))], names=["node", "links"])
 
-    return dealt.repartition("root", "low", "high").mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return dealt.select("pair", "side", "node", "copies", "v").repartition("pair").mapInArrow(work, "node long, links long")
+
+
+def angled(large: DataFrame) -> DataFrame:
+    """Members of large components with `angle`, that to the mean direction of some members of theirs.
+
+    Any direction would do: it decides which blocks are compared, not what is linked.
+    """
+    placed = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
+    some = large.select("root", "node", "v").withColumn("place", placed).filter(F.col("place") <= PIVOTS)
+
+    def mean(_, table):
+        m = _unit(table.column("v").to_pylist())
+        middle = m.sum(axis=0)
+        length = float(np.sqrt(middle @ middle))
+        return pa.table({"root": table.column("root")[:1], "pivot": pa.array([(middle / length if length > 1e-9 else m[0]).tobytes()], pa.binary())})
+
+    pivots = some.select("root", "v").groupBy("root").applyInArrow(mean, "root long, pivot binary")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angle = np.empty(batch.num_rows)
+                length = np.array([len(x.as_buffer()) for x in batch.column(3)])
+                for at in _groups(length):  # members of one component are of one length
+                    m, q = (_unit([batch.column(i)[int(j)].as_py() for j in at]) for i in (3, 4))
+                    angle[at] = np.arccos(np.clip(np.einsum("ij,ij->i", m, q), -1, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(angle)], names=["root", "node", "copies", "v", "angle"])
+
+    return large.select("root", "node", "copies", "v").join(pivots, "root").select("root", "node", "copies", "v", "pivot").mapInArrow(work, "root long, node long, copies long, v binary, angle double")
+
+
+def block_links(members: DataFrame, least: float) -> DataFrame:
+    """(node, links): rows linked to each node within its component.
+
+    A component of one block is compared whole.  Members of a larger one are put in blocks by their angle to one direction.
+    By the triangle inequality two members whose angles sum up to no more than the threshold's are linked, and two whose
+    angles differ by more are not: whole pairs of blocks are counted or left out so, and only those in between compared.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = members.select("root", "node", "copies", "v").join(sizes.filter("size > 1"), "root")
+    found = [compared(placed.filter(F.col("size") <= BLOCK).select(F.col("root").alias("pair"), F.lit(0).alias("side"), "node", "copies", "v"), least)]
+    large = placed.filter(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        edge = math.acos(max(-1.0, min(1.0, least)))
+        turned = Saved(angled(large).withColumn("ring", F.floor(F.col("angle") / RING).cast("int")), "linked-angles").df
+        rings = turned.groupBy("root", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        parted = Saved(turned.join(rings, ["root", "ring"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "linked-blocks").df
+        blocks = Saved(parted.groupBy("root", "ring", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("held")), "block-angles").df
+        one = blocks.select("root", *(F.col(c).alias(f"a_{c}") for c in ("ring", "part", "low", "high", "held")))
+        two = blocks.select("root", *(F.col(c).alias(f"b_{c}") for c in ("ring", "part", "low", "high", "held")))
+        ordered = F.struct("a_ring", "a_part") <= F.struct("b_ring", "b_part")
+        near = F.greatest(F.col("b_low") - F.col("a_high"), F.col("a_low") - F.col("b_high")) <= edge + SLACK
+        pairs = one.join(two, "root").filter(ordered & near).withColumn("same", (F.col("a_ring") == F.col("b_ring")) & (F.col("a_part") == F.col("b_part")))
+        pairs = Saved(pairs.withColumn("sure", F.col("a_high") + F.col("b_high") <= edge - SLACK), "block-pairs").df
+        # Blocks that are linked whole: what each is linked to is summed for the block, and given to its members.
+        sure = pairs.filter("sure")
+        sums = sure.select("root", F.col("a_ring").alias("ring"), F.col("a_part").alias("part"), F.col("b_held").alias("n"), "same")
+        sums = sums.unionByName(sure.filter("not same").select("root", F.col("b_ring").alias("ring"), F.col("b_part").alias("part"), F.col("a_held").alias("n"), F.lit(False).alias("same")))
+        sums = sums.groupBy("root", "ring", "part").agg(F.sum("n").alias("n"), F.max("same").alias("same"))
+        given = parted.join(sums, ["root", "ring", "part"]).select("node", (F.col("n") - F.when(F.col("same"), F.col("copies")).otherwise(0)).alias("links"))
+        found.append(given)
+        left = pairs.filter("not sure").withColumn("pair", F.xxhash64("root", "a_ring", "a_part", "b_ring", "b_part"))
+        sides = [left.select("root", F.col(f"{x}_ring").alias("ring"), F.col(f"{x}_part").alias("part"), "pair", F.lit(i).alias("side")) for i, x in enumerate("ab")]
+        dealt = sides[0].unionByName(sides[1].join(left.filter("not same").select("pair"), "pair", "left_semi").select(*sides[0].columns))
+        found.append(compared(parted.join(dealt, ["root", "ring", "part"]), least))
+    return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def exact_links(sample: DataFrame, nodes: DataFrame, least: float) -> DataFrame:

@@ -262,3 +262,69 @@ def test_pages_edge_rows(spark):
     four = "\n".join(["Bridge closes", P1, P2, P3])
     assert got == Counter([(1, ""), (2, ""), (3, four), (3, four), (None, P1), (5, rows[5][1]), (6, "\n".join([P1] * 40000)), (7, P1)])
     assert html_extract.extract(df.filter("false")).collect() == []
+
+
+# --- the pipeline as a whole --------------------------------------------------------------------------------------
+
+
+def test_pipeline_runs_over_edge_rows_and_over_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = [" ".join(f"{a}{i * 7 % 31}" for i, a in enumerate("the river runs down to the old mill where nobody has been for many years now".split() * 6)).replace("3", chr(97 + k)) for k in range(8)]
+    rows = [(i, f"Document {i} speaks of this.\n{p} of {i}", "en", "a" if i % 2 else "b", 0) for i, p in enumerate(prose)]
+    rows += [(100, None, "en", "a", 0), (101, "", None, None, 0), (102, rows[0][1], "en", "a", 0), (0, rows[0][1], "en", "b", 0), (103, rows[1][1], None, None, 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = [(i, 1, 0) for i in range(8)]
+    for name, data, kind in (("documents", rows, schema), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/full/{name}.parquet")
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    done = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    kept = {r.doc_id for r in done}
+    # Null and empty texts go; of equal texts one stays; all others come through, more than once where their source asks for it.
+    assert kept <= set(range(8)) | {102, 103} and {100, 101}.isdisjoint(kept)
+    assert len(kept & {0, 102}) == 1 and len(kept & {1, 103}) == 1 and kept >= set(range(2, 8))
+    assert all(r.n_tokens > 50 for r in done)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+# --- blocks of linked vectors -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("block", "ring"), [(8, 0.01), (5, 0.2), (1000, 0.01)])
+def test_links_of_blocks_equal_all_pairs(spark, monkeypatch, block, ring):
+    import numpy as np
+
+    from fieldtrace.llm import nn_descent
+
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    monkeypatch.setattr(nn_descent, "RING", ring)
+    rng = np.random.default_rng(block)
+    groups = [rng.normal(0, spread, (n, 6)) + rng.normal(0, 1, 6) for n, spread in ((70, 0.02), (60, 0.2), (40, 0.8), (7, 0.1), (1, 0.1))]
+    groups.append(np.vstack([np.eye(6)[:1], -np.eye(6)[:1]] * 6) * rng.uniform(1, 2, (12, 1)))  # the mean has no direction
+    rows, want = [], {}
+    for root, m in enumerate(groups):
+        copies = rng.integers(1, 4, len(m))
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        linked = unit @ unit.T >= 0.93
+        np.fill_diagonal(linked, False)
+        for i, v in enumerate(m):
+            node = root * 1000 + i
+            rows.append((root, node, int(copies[i]), bytearray(v.astype(np.float64).tobytes())))
+            want[node] = int(linked[i] @ copies)
+    df = spark.createDataFrame(rows, "root long, node long, copies long, v binary").repartition(3)
+    got = {r.node: r.links for r in nn_descent.block_links(df, 0.93).collect()}
+    assert {n: got.get(n, 0) for n in want} == want
+
+
+def test_places_of_keys():
+    import numpy as np
+
+    from fieldtrace.llm.context_tree import Places
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 40000):
+        keys = rng.permutation(np.unique(rng.integers(0, 1 << 48, n)))
+        asked = rng.integers(0, len(keys), 3 * n) if n else np.zeros(0, np.int64)
+        assert np.array_equal(Places(keys).find(keys[asked]), asked)
+    with pytest.raises(KeyError):
+        Places(np.array([1, 2, 3])).find(np.array([2, 4]))
