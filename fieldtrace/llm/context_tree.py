@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import Saved
+from fieldtrace.llm.common import Saved, Scratch
 
 DEPTH = 5
 END = 255
@@ -254,7 +254,7 @@ def _shorter(ctx: Column | str, depth: int) -> Column:
     return (F.col(ctx) if isinstance(ctx, str) else ctx).bitwiseAND(F.lit((1 << 8 * depth) - 1))
 
 
-def node_probabilities(keys: DataFrame) -> DataFrame:
+def node_probabilities(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(ctx, node, p): probability of a one at every decision that a key meets, mixed over all depths.
 
     `p` is acc + rest / 2 at the longest context that has counts: acc the mixed estimates so far, rest the weight left
@@ -281,7 +281,7 @@ def node_probabilities(keys: DataFrame) -> DataFrame:
             mixed = here.select("ctx", "node", (F.col("acc") + F.col("rest") * F.col("w") * F.col("own")).alias("acc"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
         else:
             mixed = here.select("ctx", "node", (F.col("w") * F.col("own")).alias("acc"), (1 - F.col("w")).alias("rest"))
-        down.append(Saved(mixed, "tree-mixed").df)
+        down.append(scratch.save(mixed, "tree-mixed"))
         saved.drop()
     known = down[-1].select("ctx", "node", (F.col("acc") + F.col("rest") / 2).alias("p"))
     # Decisions that training never met at full depth take the longest context that it met.
@@ -358,11 +358,18 @@ def run(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     chunks = max(8, -(-size // CHUNK_BYTES))
     buckets = chunks  # a bucket then holds of each chunk what a chunk holds of each bucket: the same at any size
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    packs = Saved(count(docs, buckets), "tree-counts").df
+    # Tables go as soon as nothing needs them: the disk never holds the counts, the tree and the values together.
+    scratch = Scratch(df.sparkSession)
+    counted = Saved(count(docs, buckets), "tree-counts")
+    packs = counted.df
     words = sums(packs, 1).filter("n > 0").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    keys = Saved(sums(packs, 0), "tree-windows").df
-    nodes = Saved(node_probabilities(keys), "tree-nodes").df
-    values = Saved(window_values(packs, nodes, buckets).unionByName(word_values(packs)), "tree-values").df
+    keys = scratch.save(sums(packs, 0), "tree-windows")
+    nodes = Saved(node_probabilities(keys, scratch), "tree-nodes")
+    scratch.drop()
+    values = Saved(window_values(packs, nodes.df, buckets).unionByName(word_values(packs)), "tree-values").df
+    counted.drop()
+    nodes.drop()
+    scratch.drop()
     tokens = words["tokens"] or 0
     out = score(docs, values, tokens, words["distinct"]).withColumn("train_tokens", F.lit(tokens).cast("long"))
     bits = -F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))
