@@ -214,5 +214,3 @@ def summary(placed: DataFrame) -> DataFrame:
     """One row per bundle: status, a map from controller to what was found, and all warnings."""
     value = F.struct("offset", "confidence", "method", "n")
     return placed.groupBy("bundle_id", "status").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("controller", value)))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
-
-

@@ -6,7 +6,8 @@ the block's rows.  Windows are partitioned by key and block, so a file of any sh
 as it has blocks; only summaries, one row a block, meet per key.  Lines are shuffled once, on key and block: summaries
 and carried values are joined on the same columns.
 
-Orders need not be dense.  Rows that share a place in the order are told apart by further order columns.
+Orders need not be dense.  Rows that share a place in the order are told apart by further order columns.  Keys and orders
+are not null: rows without them are in no file and are left out.
 """
 
 from __future__ import annotations

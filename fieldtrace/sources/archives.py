@@ -165,6 +165,3 @@ def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(uri, size_bytes, modified) of the files below a folder, by name and not by content."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return read.select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-
-
-

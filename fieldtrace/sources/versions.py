@@ -94,7 +94,8 @@ class Tables:
         """Rows written beside all versions: the folder of each key."""
         place = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         # The key stays in the files too, so that a folder is read by itself.
-        df.withColumn("_key", F.col(self.by).cast("string")).write.partitionBy("_key").parquet(place)
+        # Rebalanced, a key has few files, and one that holds a third of the rows is split.
+        df.withColumn("_key", F.col(self.by).cast("string")).hint("rebalance", "_key").write.partitionBy("_key").parquet(place)
         store, path = opened(place)
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
         return {unquote(i.base_name.removeprefix("_key=")): f"{place}/{i.base_name}" for i in found if i.base_name.startswith("_key=")}
