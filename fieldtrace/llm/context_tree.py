@@ -33,7 +33,9 @@ from fieldtrace.llm.common import Saved, Scratch
 DEPTH = 5
 END = 255
 #: Bytes of text in a chunk, about; and at a time within one.
-CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
+CHUNK_BYTES, STEP_BYTES = 16 << 20, 1 << 20
+#: Keys that are looked up at once: what a look-up holds besides its result stays small.
+PROBED = 1 << 17
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
 REMEMBERED = 400_000
 END_WORD = 1  # stands for the end among word hashes, which are even
@@ -136,7 +138,12 @@ class Places:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key; all must be there, and none below 0."""
         out = np.empty(len(keys), np.int32)
-        left, at = np.arange(len(keys)), self._hash(keys)
+        for start in range(0, len(keys), PROBED):
+            self._probe(keys[start : start + PROBED], out[start : start + PROBED])
+        return out
+
+    def _probe(self, keys: np.ndarray, out: np.ndarray) -> None:
+        left, at = np.arange(len(keys), dtype=np.int32), self._hash(keys)
         while len(left):
             met = self.key[at]
             here = met == keys[left]
@@ -144,7 +151,6 @@ class Places:
             if (met < 0).any():
                 raise KeyError("a window or word that was not counted")
             left, at = left[~here], at[~here] + 1 & self.mask
-        return out
 
 
 PACK = "chunk int, kind int, bucket int, keys binary, vals binary"
