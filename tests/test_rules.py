@@ -83,7 +83,7 @@ def test_time_hardly_grows_with_the_number_of_rules(spark):
     assert many < 6 * few + 1  # twenty times the rules; a search for each would take twenty times as long
 
 
-@pytest.mark.parametrize("limit", [1, 7, 499, 500, 501, 5000])
+@pytest.mark.parametrize("limit", [1, 499, 500, 5000])
 def test_limit_by_prefix_sums_equals_the_first_rows(spark, limit):
     rnd = random.Random(limit)
     rows = [(rnd.choice("abc"), i, rnd.random()) for i in range(500)]

@@ -37,7 +37,7 @@ def by_file(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [1, 7, 64, 65536])
+@pytest.mark.parametrize("size", [7, 65536])
 def test_scans_equal_walks_at_any_block_size(case, size):
     rows, df = case
     filled, before, after, total, falls, transitions, islands = {}, {}, {}, {}, {}, set(), set()
@@ -80,7 +80,7 @@ def test_scans_equal_walks_at_any_block_size(case, size):
     assert {(r.file_id, r.start, r.end) for r in prescan.runs(df, bad, size=size).collect()} == islands
 
 
-@pytest.mark.parametrize("size", [1, 50, 65536])
+@pytest.mark.parametrize("size", [1, 65536])
 def test_segments_clip_and_lines_in_segments_at_any_block_size(case, size):
     rows, df = case
     want, place = {}, {}
@@ -148,7 +148,7 @@ def walk(source, base, window):
     return out
 
 
-@pytest.mark.parametrize("stretch", [3.0, 100.0, 3600.0])
+@pytest.mark.parametrize("stretch", [3.0, 3600.0])
 def test_greedy_matching_equals_the_walk(spark, stretch):
     rnd = random.Random(int(stretch))
     source, base, want = [], [], Counter()
