@@ -33,7 +33,7 @@ from fieldtrace.llm.common import Saved, Scratch
 DEPTH = 5
 END = 255
 #: Bytes of text in a chunk, about; and at a time within one.
-CHUNK_BYTES, STEP_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, STEP_BYTES = 14 << 20, 1 << 20
 #: Keys that are looked up at once: what a look-up holds besides its result stays small.
 PROBED = 1 << 17
 #: Words whose hashes a worker remembers; the store is emptied when full, which changes no result.
@@ -106,11 +106,34 @@ def _steps(texts: list[bytes]) -> Iterator[slice]:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of their counts."""
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     k, n = np.concatenate(keys), np.concatenate(counts)
-    u, at = np.unique(k, return_inverse=True)
-    return u, np.bincount(at, n, len(u)).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(n, first) if len(k) else n
+
+
+class Sums:
+    """Counts by key, added piece by piece; pieces are put together whenever they outgrow what they came to before."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held, self.most = [], [], 0, 1 << 20
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > self.most:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        k, n = _summed(self.keys, self.counts)
+        self.keys, self.counts, self.held = [k], [n], len(k)
+        self.most = max(1 << 20, 2 * len(k))
+        return k, n
 
 
 class Places:
@@ -186,17 +209,15 @@ def count(docs: DataFrame, buckets: int) -> DataFrame:
         train = [in_training(i) for i in table.column("doc_id").to_pylist()]
         rows: list[tuple] = []
         for kind in (0, 1):
-            keys: list[np.ndarray] = []
-            counts: list[np.ndarray] = []
+            found = Sums()
             for step in _steps(texts):
                 for flag in (True, False):
                     own = [t for t, x in zip(texts[step], train[step], strict=True) if x == flag]
                     if own:
                         k = windows(own)[0] if kind == 0 else np.concatenate([word_keys(t) for t in own])
                         u, n = np.unique(k, return_counts=True)
-                        keys.append(u)
-                        counts.append(n if flag else np.zeros(len(u), np.int64))
-            rows += _packs(key[0].as_py(), kind, *_summed(keys, counts), buckets)
+                        found.add(u, n if flag else np.zeros(len(u), np.int64))
+            rows += _packs(key[0].as_py(), kind, *found.total(), buckets)
         return _table(rows, _PACK_NAMES, _PACK_TYPES)
 
     return docs.groupBy("chunk").applyInArrow(work, PACK)
