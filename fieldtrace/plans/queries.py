@@ -372,7 +372,8 @@ def redact_text(spark, sf_dir):
     return own.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("sha"), F.size(F.regexp_extract_all("text", F.lit("[京粤][AB]"), F.lit(0))).alias("plates"))
 
 
-TERMS = r"""terms AS MATERIALIZED (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS term, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*')) AS total FROM documents),
+TERMS = r"""found AS MATERIALIZED (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]*(?:\.[a-z0-9]+)*') AS l FROM documents),
+terms AS (SELECT doc, unnest(l) AS term, len(l) AS total FROM found),
 counts AS MATERIALIZED (SELECT doc, term, total, count(*) AS count FROM terms GROUP BY ALL)"""
 
 
