@@ -85,7 +85,9 @@ def equal_to_sql(spark, name, folder):
 
 @pytest.mark.parametrize("name", list(Q.SQL))
 def test_queries_equal_their_sql(spark, name):
-    assert len(equal_to_sql(spark, name, SF)) == 200
+    rows = equal_to_sql(spark, name, SF)
+    # One row for each document; the spelling variants have one for each frequent word.
+    assert len(rows) == 200 if name != "op12_spelling" else len(rows) > 200
 
 
 @pytest.mark.parametrize("name", ["op8_quality_rules", "op10_secret_scan"])
