@@ -103,13 +103,20 @@ def first_rows(rows: DataFrame, most: int, by: list[str], order: str, size: floa
 
 
 def within_ranges(rows: DataFrame, ranges: DataFrame, by: str, at: str, start: str, stop: str, size: float = BLOCK, how: str = "left") -> DataFrame:
-    """Rows joined with the half-open ranges [start, stop) of their key that hold their place; further columns of `ranges` are added.
+    """Rows joined with the half-open range [start, stop) of their key that holds their place; further columns of `ranges` are added.
 
-    Both sides are dealt by key and block: a range has a row for each block that it meets, and a row meets the ranges of
-    its own block alone.
+    Ranges of one key do not overlap.  Both sides are dealt by key and block: a range lies in the block of its start, and
+    each block that has rows is given the one range that may reach into it from the blocks before.  However long ranges
+    are, there are no more of these than blocks with rows.
     """
-    own = ranges.select(F.col(by).alias("_key"), F.col(start).alias("_start"), F.col(stop).alias("_stop"), *(c for c in ranges.columns if c not in (by, start, stop)))
-    own = own.filter("_stop > _start").withColumn("_at", F.explode(F.sequence(block_of(F.col("_start"), size), block_of(F.col("_stop") - 1, size))))
+    more = [c for c in ranges.columns if c not in (by, start, stop)]
+    own = ranges.select(F.col(by).alias("_key"), F.col(start).alias("_start"), F.col(stop).alias("_stop"), *more).filter("_stop > _start").withColumn("_at", block_of(F.col("_start"), size))
     placed = rows.withColumn("_block", block_of(F.col(at), size))
+    latest = own.groupBy("_key", F.col("_at").alias("_block")).agg(F.max_by(F.struct("_start", "_stop", *more), "_start").alias("_end"))
+    asked = placed.filter(F.col(by).isNotNull() & F.col("_block").isNotNull()).select(F.col(by).alias("_key"), "_block").distinct()
+    blocks = asked.withColumn("_asked", F.lit(True)).unionByName(latest, allowMissingColumns=True)
+    blocks = blocks.groupBy("_key", "_block").agg(F.max("_asked").alias("_asked"), F.first("_end", ignorenulls=True).alias("_end"))
+    carried = blocks.withColumn("_carried", F.last("_end", ignorenulls=True).over(_blocks(["_key"]))).filter(F.col("_asked") & (F.col("_carried._stop") > F.col("_block") * size))
+    own = own.unionByName(carried.select("_key", "_carried.*", F.col("_block").alias("_at")))
     held = (F.col(by) == F.col("_key")) & (F.col("_block") == F.col("_at")) & (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_stop"))
     return placed.join(own, held, how).drop("_key", "_start", "_stop", "_at", "_block")

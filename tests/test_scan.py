@@ -123,6 +123,19 @@ def test_a_hot_file_is_dealt_in_blocks(spark, case):
     assert joins and all("_block" in x and "_at" in x for x in joins)  # equal blocks are part of the join's keys
 
 
+def test_a_range_costs_no_more_where_lines_are_far_apart(spark):
+    far = 4_000_000_000
+    lines = [("a", 5), ("a", far), ("a", 2 * far), ("a", 3 * far), ("b", 7), ("c", 1), (None, 1), ("a", None)]
+    df = spark.createDataFrame(lines, "file_id string, line_no long")
+    spans = [("a", 5, far, 0), ("a", far, 3 * far, 1), ("b", 0, 7, 2), ("b", 8, 9, 3), ("b", 7, 7, 4), ("a", None, 9, 5), ("d", 0, far, 6)]
+    ranges = spark.createDataFrame(spans, "file_id string, start long, stop long, seq_no int")
+    for size in (1, 10, far):
+        held = scan.within_ranges(df, ranges, "file_id", "line_no", "start", "stop", size)
+        assert held.columns == ["file_id", "line_no", "seq_no"]
+        assert {(r.file_id, r.line_no): r.seq_no for r in held.collect()} == dict(zip(lines, [0, 1, 1, None, None, None, None, None], strict=True))
+        assert held.count() == len(lines)
+
+
 def test_scans_of_nothing(spark, case):
     _, df = case
     none = df.filter("false")
