@@ -37,6 +37,31 @@ def test_terms_equal_the_full_scan(spark, docs, terms, query, k, least):
     assert [(r.doc, r.score) for r in search_index.search_terms(spark, terms, query, k, least).collect()] == want
 
 
+@pytest.mark.parametrize("sent", [0, 5, 1000])
+def test_rare_terms_are_joined_and_texts_are_not_dealt(spark, docs, terms, tmp_path, monkeypatch, sent):
+    want = retrieval.tfidf_topk(docs, "word1 word2 nowhere", 50, 0.0001).collect()
+    monkeypatch.setattr(retrieval, "MAX_SENT", sent)
+    monkeypatch.setattr(search_index, "MAX_SENT", sent)
+    assert retrieval.tfidf_topk(docs, "word1 word2 nowhere", 50, 0.0001).collect() == want
+    search_index.index_terms(docs, str(tmp_path), block=20)
+    assert search_index.search_terms(spark, str(tmp_path), "word1 word2 nowhere", 50, 0.0001).collect() == want
+    index = search_index.Stored(spark, str(tmp_path))
+    most = {(r.term, r.block): r.most for r in index.read("postings").groupBy("term", "block").agg(F.max("w").alias("most")).collect()}
+    assert {(r.term, r.block): r.most for r in index.read("bounds").collect()} == most
+    assert index.read("bounds").count() == len(most)
+    counts = retrieval.term_counts(docs, "doc_id", "text")
+    assert "hashpartitioning" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_a_document_in_several_rows(spark):
+    rows = [(1, "a b a"), (1, "b c c"), (1, "a"), (2, "日志 a"), (3, None), (4, ""), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda d: {(r.doc, r.term, r.total): r["count"] for r in retrieval.term_counts(d, "doc_id", "text").collect()}
+    one = {(2, "日志", 2): 1, (2, "a", 2): 1, (None, "x", 1): 1}
+    assert got(df) == one | {(1, "a", 3): 2, (1, "b", 3): 2, (1, "c", 3): 2, (1, "a", 1): 1}
+    assert got(df.filter("doc_id > 1 or doc_id is null")) == one
+
+
 def test_terms_read_their_own_folders_alone(spark, docs, terms, tmp_path):
     want = retrieval.tfidf_topk(docs, "word1 word2", 5).collect()
     copy = tmp_path / "copy"
