@@ -32,6 +32,9 @@ SCHEMA = "bundle_id string, file_id string, controller string, line_no long, raw
 INDEX = "object string, bundle_id string, file_id string, controller string, bucket long, start long, stop long, first_line long, last_line long, dated_from long, dated_to long"
 #: A stretch ends after so many bytes, one bucket or not; lines that come together; bytes read at once.
 STRETCH, BATCH, READ = 1 << 20, 10_000, 8 << 20
+#: Rows of the index that are held at once: where each line has a bucket of its own, they are as many as lines.
+HELD = 10_000
+KINDS = pa.schema([(k, pa.int64() if v == "long" else pa.string()) for k, v in (x.split() for x in INDEX.split(", "))])
 USABLE = SENTINEL_DAY + 86400
 
 
@@ -63,7 +66,7 @@ class _Writer(DataSourceArrowWriter):
         store.create_dir(f"{base}/index", recursive=True)
         rows: list[dict] = []
         at = 0
-        with store.open_output_stream(f"{base}/objects/{name}.log") as out:
+        with store.open_output_stream(f"{base}/objects/{name}.log") as out, store.open_output_stream(f"{base}/index/{name}.parquet") as beside, pq.ParquetWriter(beside, KINDS) as index:
             for batch in iterator:
                 columns = batch.to_pydict()
                 parts = []
@@ -78,6 +81,9 @@ class _Writer(DataSourceArrowWriter):
                     same = last and (last["bundle_id"], last["file_id"]) == (b, f)
                     # Undated lines go with the stretch that is open; a stretch without a date yet takes the first one.
                     if not same or last["stop"] - last["start"] >= STRETCH or (dated and last["bucket"] not in (None, bucket)):
+                        if len(rows) >= HELD:
+                            index.write_table(pa.Table.from_pylist(rows, KINDS))
+                            rows.clear()
                         carried = last["bucket"] if same and not dated else None
                         rows.append({"object": name, "bundle_id": b, "file_id": f, "controller": c, "bucket": carried, "start": at, "first_line": n, "dated_from": None, "dated_to": None})
                     row = rows[-1]
@@ -88,12 +94,12 @@ class _Writer(DataSourceArrowWriter):
                         row["dated_from"] = n if row["dated_from"] is None else row["dated_from"]
                     parts.append(raw)
                 out.write(b"".join(parts))
+            if rows:
+                index.write_table(pa.Table.from_pylist(rows, KINDS))
         if not rows:
             store.delete_file(f"{base}/objects/{name}.log")
+            store.delete_file(f"{base}/index/{name}.parquet")
             return _Made(None)
-        kind = pa.schema([(k, pa.int64() if v == "long" else pa.string()) for k, v in (x.split() for x in INDEX.split(", "))])
-        with store.open_output_stream(f"{base}/index/{name}.parquet") as out:
-            pq.write_table(pa.Table.from_pylist(rows, kind), out)
         return _Made(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -141,19 +147,49 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         store, base = opened(self.folder)
         with store.open_input_file(f"{base}/index/{partition.value}.parquet") as f:
-            index = pq.read_table(f)
+            index = pq.ParquetFile(f)
+            for batch in index.iter_batches(HELD):
+                yield from _lines(self.folder, self._met(pa.Table.from_batches([batch])))
+
+    def _met(self, index: pa.Table) -> list[dict]:
+        """The stretches that can hold lines asked for."""
         for column, values in self.equal.items():
             index = index.filter(pc.is_in(index[column], pa.array(sorted(values, key=str), index[column].type)))
         if (self.low, self.high) != (float("-inf"), float("inf")):
             # A stretch has its dated lines in one bucket; where undated times are asked for, it may have those too.
             meets = pc.and_(pc.greater_equal(index["bucket"], int(max(self.low, 0) // BUCKET_SECONDS)), pc.less_equal(index["bucket"], int(min(self.high, 1e15) // BUCKET_SECONDS)))
             index = index.filter(pc.fill_null(meets, False)) if self.low >= USABLE else index
-        ranges = index.select(["object", "bundle_id", "file_id", "controller", "start", "stop"]).to_pylist()
-        yield from _lines(self.folder, ranges)
+        return index.select(["object", "bundle_id", "file_id", "controller", "start", "stop"]).to_pylist()
 
 
 def _lines(folder: str, ranges: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Lines of byte ranges, in order; ranges that touch are read with one seek, and no other byte is read."""
+    """Lines of byte ranges, in order; ranges that touch are read with one seek, and no other byte is read.
+
+    Lines of short ranges come together, so that a window of many files is not many batches of a line.
+    """
+    rows: list[tuple] = []
+    for row in _rows(folder, ranges):
+        rows.append(row)
+        if len(rows) == BATCH:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    bundle, file, controller, n, t, text = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict(
+        {
+            **{c: pa.array(v, pa.string()) for c, v in (("bundle_id", bundle), ("file_id", file), ("controller", controller))},
+            "line_no": pa.array(map(int, n), pa.int64()),
+            "raw_ts": pa.array([float(x) if x else None for x in t], pa.float64()),
+            "text": pa.array(text, pa.string()),
+        }
+    )
+
+
+def _rows(folder: str, ranges: list[dict]) -> Iterator[tuple]:
     store, base = opened(folder)
     i = 0
     while i < len(ranges):
@@ -165,18 +201,8 @@ def _lines(folder: str, ranges: list[dict]) -> Iterator[pa.RecordBatch]:
             f.seek(start)
             data = f.read(ranges[j - 1]["stop"] - start)
         for r in ranges[i:j]:
-            rows = [x.split("\t", 2) for x in data[r["start"] - start : r["stop"] - start].decode().split("\n")[:-1]]
-            for k in range(0, len(rows), BATCH):
-                n, t, text = zip(*rows[k : k + BATCH], strict=True)
-                size = len(n)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        **{c: pa.array([r[c]] * size, pa.string()) for c in ("bundle_id", "file_id", "controller")},
-                        "line_no": pa.array(map(int, n), pa.int64()),
-                        "raw_ts": pa.array([float(x) if x else None for x in t], pa.float64()),
-                        "text": pa.array(text, pa.string()),
-                    }
-                )
+            for x in data[r["start"] - start : r["stop"] - start].decode().split("\n")[:-1]:
+                yield (r["bundle_id"], r["file_id"], r["controller"], *x.split("\t", 2))
         i = j
 
 
