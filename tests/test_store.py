@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import InputPartition
 
 from fieldtrace.operators import range_query as Q
 from fieldtrace.schema import EVENTS, FILES, LINES
@@ -191,3 +194,18 @@ def test_append_overwrite_line_feeds_and_nothing(spark, tmp_path):
     assert read() == [(5, "x")]
     logstore.write(frame(row(6)).filter("false"), folder)
     assert read() == [(5, "x")]
+
+
+def test_index_rows_are_written_as_they_come(tmp_path):
+    n = 2 * logstore.HELD + 500
+    columns = {"bundle_id": ["b"] * n, "file_id": [f"f{i:06d}" for i in range(n)], "controller": ["mcu"] * n, "line_no": list(range(n)), "raw_ts": [1.7e9 + i for i in range(n)], "text": [f"t{i}" for i in range(n)]}
+    made = logstore._Writer(str(tmp_path), False).write(iter(pa.table(columns).to_batches(1000)))
+    index = pq.ParquetFile(tmp_path / "index" / f"{made.name}.parquet")
+    groups = [index.metadata.row_group(i).num_rows for i in range(index.metadata.num_row_groups)]
+    assert groups == [logstore.HELD, logstore.HELD, 500]  # a row for each line, and no more than these at once
+    assert index.read(["file_id"]).column(0).to_pylist() == columns["file_id"]
+    batches = list(logstore._Reader(str(tmp_path)).read(InputPartition(made.name)))
+    assert pa.Table.from_batches(batches).to_pydict() == columns
+    assert len(batches) == 3  # lines of short ranges come together
+    assert logstore._Writer(str(tmp_path), False).write(iter([])).name is None
+    assert len(list((tmp_path / "index").iterdir())) == 1
