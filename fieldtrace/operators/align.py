@@ -118,7 +118,9 @@ def align(anchors: DataFrame, present: DataFrame) -> DataFrame:
     known = clean.join(bases, "bundle_id")
     base = known.filter("controller = base").select("bundle_id", "anchor_type", "raw_timestamp", "confidence")
     sane = lambda df: df.filter(F.abs("offset") <= MAX_OFFSET)
-    every = chosen_window(offsets(anchor_pairs(known.filter("controller <> base").select(*clean.columns), base), "bundle_id", "controller", "window"), "bundle_id", "controller")
+    # A row a controller, which much below reads: the pairs are found and summed up once, and written.
+    summed = lambda pairs, name: stage(chosen_window(offsets(stage(pairs, "pairs"), "bundle_id", "controller", "window"), "bundle_id", "controller"), name)
+    every = summed(anchor_pairs(known.filter("controller <> base").select(*clean.columns), base), "direct")
     direct = sane(every)
     seen = clean.groupBy("bundle_id", "controller").agg(F.count(F.lit(1)).alias("anchors"))
 
@@ -126,7 +128,7 @@ def align(anchors: DataFrame, present: DataFrame) -> DataFrame:
     bridge = direct.filter("controller = 'android' and confidence >= 0.6").select("bundle_id", F.col("offset").alias("bridge_offset"), F.col("confidence").alias("bridge_confidence"))
     weak = known.filter("controller <> base and controller <> 'android'").join(direct.select("bundle_id", "controller", F.col("confidence").alias("own")), ["bundle_id", "controller"], "left").filter("coalesce(own, 0) < 0.7")
     over = known.filter("controller = 'android' and base <> 'android'").select("bundle_id", "anchor_type", "raw_timestamp", "confidence")
-    hop = chosen_window(offsets(anchor_pairs(weak.select(*clean.columns), over), "bundle_id", "controller", "window"), "bundle_id", "controller").join(bridge, "bundle_id")
+    hop = summed(anchor_pairs(weak.select(*clean.columns), over), "over").join(bridge, "bundle_id")
     hops = hop.select("bundle_id", "controller", (F.col("bridge_offset") + F.col("offset")).alias("offset"), (F.col("confidence") * F.col("bridge_confidence") * 0.95).alias("confidence"), "n")
     hop = sane(hops)
     far = lambda df, name: df.filter(F.abs("offset") > MAX_OFFSET).select("bundle_id", "controller", F.col("offset").alias(name))

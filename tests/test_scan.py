@@ -189,3 +189,12 @@ def test_greedy_matching_of_one_long_chain_and_of_one_full_gap(spark):
     b = spark.createDataFrame([("b", "x", *p) for p in theirs], "bundle_id string, anchor_type string, raw_timestamp double, confidence double")
     got = sorted((r.window, r.source_ts, r.base_ts, round(r.weight, 9)) for r in align.anchor_pairs(s, b, (60.0,), 500.0).collect())
     assert got == sorted(walk(own, theirs, 60.0))
+
+
+def test_alignment_sums_pairs_once(spark):
+    rows = [(c, "k", 1.7e9 + i * 1000 + d, 0.9) for i in range(4) for c, d in (("tbox", 0.0), ("mcu", 3.0))]
+    own = spark.createDataFrame([("b", *r) for r in rows], "bundle_id string, controller string, anchor_type string, raw_timestamp double, confidence double")
+    found = align.align(own, own.select("bundle_id", "controller").distinct())
+    # What is left to do reads the written sums: no pair is searched again.
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.controller, r.offset, r.n, r.status) for r in found.collect()} == {("tbox", 0.0, 4, "success"), ("mcu", -3.0, 4, "success")}
