@@ -30,7 +30,8 @@ from fieldtrace.sources.versions import Manifests, opened
 
 SCHEMA = "bundle_id string, file_id string, controller string, line_no long, raw_ts double, text string"
 INDEX = "object string, bundle_id string, file_id string, controller string, bucket long, start long, stop long, first_line long, last_line long, dated_from long, dated_to long"
-#: A stretch ends after so many bytes, one bucket or not; lines that come together; bytes read at once.
+#: A stretch ends after so many bytes, one bucket or not; lines that come together; bytes read at once, and characters that
+#: come together.
 STRETCH, BATCH, READ = 1 << 20, 10_000, 8 << 20
 #: Rows of the index that are held at once: where each line has a bucket of its own, they are as many as lines.
 HELD = 10_000
@@ -165,14 +166,17 @@ class _Reader(DataSourceReader):
 def _lines(folder: str, ranges: list[dict]) -> Iterator[pa.RecordBatch]:
     """Lines of byte ranges, in order; ranges that touch are read with one seek, and no other byte is read.
 
-    Lines of short ranges come together, so that a window of many files is not many batches of a line.
+    Lines of short ranges come together, so that a window of many files is not many batches of a line; long lines end a
+    batch by their size.
     """
     rows: list[tuple] = []
+    held = 0
     for row in _rows(folder, ranges):
         rows.append(row)
-        if len(rows) == BATCH:
+        held += len(row[-1])
+        if len(rows) == BATCH or held >= READ:
             yield _batch(rows)
-            rows = []
+            rows, held = [], 0
     if rows:
         yield _batch(rows)
 

@@ -209,3 +209,13 @@ def test_index_rows_are_written_as_they_come(tmp_path):
     assert len(batches) == 3  # lines of short ranges come together
     assert logstore._Writer(str(tmp_path), False).write(iter([])).name is None
     assert len(list((tmp_path / "index").iterdir())) == 1
+
+
+def test_long_lines_of_many_ranges_do_not_come_in_one_batch(tmp_path):
+    n, size = 20, 1 << 20
+    columns = {"bundle_id": ["b"] * n, "file_id": [f"f{i:02d}" for i in range(n)], "controller": ["mcu"] * n, "line_no": list(range(n)), "raw_ts": [1.7e9 + i for i in range(n)], "text": [chr(97 + i) * size for i in range(n)]}
+    made = logstore._Writer(str(tmp_path), False).write(iter(pa.table(columns).to_batches(5)))
+    batches = list(logstore._Reader(str(tmp_path)).read(InputPartition(made.name)))
+    held = logstore.READ // size
+    assert [b.num_rows for b in batches] == [held, held, n - 2 * held]
+    assert pa.Table.from_batches(batches).to_pydict() == columns
