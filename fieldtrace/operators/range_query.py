@@ -44,18 +44,20 @@ def query(
     slim: bool = False,
     include_unsynced: bool = False,
     segments: DataFrame | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     order: str = "file",
 ) -> DataFrame:
     """Records of the window, by controller, file name and line (or by time), with `truncated` where the limit cut rows.
 
+    Without a limit (None) all come.
+
     Lines of unsynced ranges and without time are left out; with `include_unsynced` they are kept where the time index
     places them, and files without any offset are appended whole with `clock_unaligned`.  Segments without an offset
     are never returned.
     """
     if end < start:
         raise ValueError("the window ends before it starts")
-    if not 1 <= limit <= HARD_LIMIT:
+    if limit is not None and not 1 <= limit <= HARD_LIMIT:
         raise ValueError(f"the limit must lie between 1 and {HARD_LIMIT}")
     if unknown := set(controllers or ()) - {"android", "fota", "kernel", "tbox", "mcu", "ibdu", "unknown"}:
         raise ValueError(f"no such controllers: {sorted(unknown)}")
@@ -92,6 +94,8 @@ def query(
     if slim:
         out = out.filter(R.slim_keeps(F.col("controller"), F.col("line")))
     keys = ["_last", "controller", "original_name", "file_id", "line_no"] if order == "file" else ["aligned_ts", "controller", "original_name", "line_no"]
+    if limit is None:
+        return out.orderBy(*keys).drop("_last").withColumn("truncated", F.lit(False))
     return limited(out, keys, limit).drop("_last")
 
 

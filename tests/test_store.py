@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import InputPartition
 
 from fieldtrace.operators import range_query as Q
+from fieldtrace.plans import queries
 from fieldtrace.schema import EVENTS, FILES, LINES
 from fieldtrace.sources import logstore
 from fieldtrace.sources.versions import Manifests, Tables
@@ -219,3 +220,12 @@ def test_long_lines_of_many_ranges_do_not_come_in_one_batch(tmp_path):
     held = logstore.READ // size
     assert [b.num_rows for b in batches] == [held, held, n - 2 * held]
     assert pa.Table.from_batches(batches).to_pydict() == columns
+
+
+@pytest.mark.parametrize("name", ["range_indexed", "range_window_controllers"])
+def test_windows_of_queries_without_a_limit_are_not_cut_by_the_default(spark, monkeypatch, name):
+    real = Q.query
+    monkeypatch.setattr(Q, "query", lambda *a, **more: real(*a, **{"limit": 5} | more))
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) > 5 and not any(r.truncated for r in got)
+    assert [(r.controller, r.original_name, r.line_no) for r in got] == sorted((r.controller, r.original_name, r.line_no) for r in got)
