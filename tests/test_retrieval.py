@@ -6,10 +6,12 @@ import random
 import shutil
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.operators import retrieval, search_index
+from fieldtrace.plans import queries as Q
 from fieldtrace.sources.versions import Manifests
 
 WORDS = [f"word{i}" for i in range(120)] + ["the", "of", "日志分析", "车"]
@@ -62,6 +64,39 @@ def test_counts_of_a_document_in_several_rows(spark):
     assert got(df.filter("doc_id > 1 or doc_id is null")) == one
 
 
+# Texts of many words, without any, and of documents with several rows.
+LONG = [(1, "b a-1 b X.y " * 20_000), (2, None), (3, ""), (4, " .-1 "), (5, "a"), (6, "B b ab"), (None, "c")]
+
+
+def _passes(df) -> int:
+    """How often texts are searched for words in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("[a-z0-9]+)*")
+
+
+@pytest.mark.parametrize("name", ["idf"])
+@pytest.mark.parametrize("more", [[], [(6, "b b a"), (6, "B b ab"), (5, "a")]])
+def test_long_texts_are_cut_into_terms_once(spark, tmp_path, name, more):
+    df = spark.createDataFrame(LONG + more, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES[name](spark, str(tmp_path))
+    assert _passes(got) == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(Q.SQL[name]).fetchall()
+    assert {r[0] for r in want} == {"a", "a-1", "ab", "b", "c", "x.y"} and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_what_is_asked_of_counts_cuts_no_text_in_a_lambda(spark, tmp_path):
+    df = spark.createDataFrame(LONG, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "docs"))
+    terms = retrieval.documents_terms(spark.read.parquet(str(tmp_path / "docs")), "doc_id", "text")
+    assert _passes(terms) == 1
+    # A filter is copied to below the counts: a text is cut once more for it, and not for each of its terms.
+    several = terms.filter("size(terms) = 3").collect()
+    assert [(r.doc, r.total, {t.term: t["count"] for t in r.terms}) for r in several] == [(1, 80_000, {"a-1": 20_000, "b": 40_000, "x.y": 20_000})]
+    assert {(r.doc, r.total, len(r.terms)) for r in terms.collect()} == {(1, 80_000, 3), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 1, 1), (6, 3, 2), (None, 1, 1)}
+
+
 def test_terms_read_their_own_folders_alone(spark, docs, terms, tmp_path):
     want = retrieval.tfidf_topk(docs, "word1 word2", 5).collect()
     copy = tmp_path / "copy"
