@@ -73,7 +73,7 @@ def _passes(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("[a-z0-9]+)*")
 
 
-@pytest.mark.parametrize("name", ["idf"])
+@pytest.mark.parametrize("name", ["idf", "tokenize_terms"])
 @pytest.mark.parametrize("more", [[], [(6, "b b a"), (6, "B b ab"), (5, "a")]])
 def test_long_texts_are_cut_into_terms_once(spark, tmp_path, name, more):
     df = spark.createDataFrame(LONG + more, "doc_id long, text string")
